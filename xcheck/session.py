@@ -112,3 +112,9 @@ class Tables:
         if name in TABLES:
             return load(self.spark, self.sf_dir, name)
         raise AttributeError(name)
+
+
+def register_views(spark: SparkSession, sf_dir: str, names=TABLES) -> None:
+    """Expose the driver tables as temp views (for Spark SQL queries)."""
+    for n in names:
+        load(spark, sf_dir, n).createOrReplaceTempView(n)
