@@ -1,3 +1,52 @@
-"""Queries (filled in below)."""
+"""PII queries over ``documents`` (whole texts) and ``conversations``."""
 
 from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import pii as P
+from ..session import Tables, ensure_parallelism
+from .registry import query
+
+_SQL_MASK_EMAIL = ("regexp_replace(regexp_replace(text, '([a-zA-Z0-9._%+\\-])[a-zA-Z0-9._%+\\-]+@([a-zA-Z0-9.\\-]+\\.[a-zA-Z]{2,})', "
+                   "'\\1***@\\2', 'g'), '(^|[^a-zA-Z0-9._%+\\-*])([a-zA-Z0-9._%+\\-])@([a-zA-Z0-9.\\-]+\\.[a-zA-Z]{2,})', "
+                   "'\\1***@\\3', 'g')")
+
+
+@query("mask_email", oracle=f"""
+SELECT doc_id, md5({_SQL_MASK_EMAIL}) AS masked_md5 FROM documents WHERE {_SQL_MASK_EMAIL} <> text""")
+def mask_email(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = Tables(spark, sf_dir).documents.select("doc_id", "text", P.mask_email("text").alias("m"))
+    return d.where(F.col("m") != F.col("text")).select("doc_id", F.md5("m").alias("masked_md5"))
+
+
+@query("mask_pii")
+def mask_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Full ordered mask of whole document texts; rows that changed."""
+    d = ensure_parallelism(Tables(spark, sf_dir).documents.select("doc_id", "text"))
+    m = P.mask_pii(d.withColumn("masked", F.col("text")), ["masked"])
+    return m.where(F.col("masked") != F.col("text")).select("doc_id", "masked")
+
+
+@query("pii_summary")
+def pii_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits per kind (email, US phone, SSN, card) before masking, over document
+    texts and conversation turns."""
+    t = Tables(spark, sf_dir)
+    d = ensure_parallelism(t.documents.select(F.col("text").alias("a")))
+    c = t.conversations.select(F.col("text").alias("a"))
+    return P.pii_summary(d.unionByName(c), ["a"])
+
+
+_SQL_EMAIL = "[a-zA-Z0-9._%+\\-]+@[a-zA-Z0-9.\\-]+\\.[a-zA-Z]{2,}"
+
+
+@query("detect_pii", oracle=f"""
+SELECT doc_id, len(regexp_extract_all(text, '{_SQL_EMAIL}')) AS email_hits FROM documents
+WHERE len(regexp_extract_all(text, '{_SQL_EMAIL}')) > 0""")
+def detect_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents holding email addresses, with their hit counts."""
+    d = Tables(spark, sf_dir).documents
+    n = P.pii_counts("text")["email"]
+    return d.select("doc_id", n.alias("email_hits")).where(F.col("email_hits") > 0)

@@ -45,6 +45,7 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = b.getOrCreate()
     configure(spark)
+    ship_package(spark)
     return spark
 
 
@@ -58,6 +59,19 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable on executors (Arrow UDF helpers live in it).
+    Local sessions import it from the driver's path; on a cluster the zipped
+    package is added once per session."""
+    if spark.sparkContext.master.startswith("local"):
+        return
+    import shutil
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    out = shutil.make_archive(os.path.join(tempfile.mkdtemp(), "xcheck"), "zip",
+                              os.path.dirname(pkg), os.path.basename(pkg))
+    spark.sparkContext.addPyFile(out)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by the cluster.
 
