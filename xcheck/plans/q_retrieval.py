@@ -110,9 +110,9 @@ def select_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     global centroid; 5 nearest tables per connection."""
     t = Tables(spark, sf_dir)
     e = t.embeddings.select(array_to_vector(F.transform("embedding", lambda x: x.cast("double"))).alias("v"))
-    g = e.agg(vector_to_array(Summarizer.mean(F.col("v"))).alias("c"))
-    conns = t.embeddings.select("label").distinct()
-    q = R.with_unit(conns.crossJoin(g), vec="c", out="qunit").select(
+    g = e.agg(vector_to_array(Summarizer.mean(F.col("v"))).alias("c")).first()["c"]   # one 64-d vector
+    conns = t.embeddings.select("label").distinct().withColumn("c", F.array(*[F.lit(float(x)) for x in g]))
+    q = R.with_unit(conns, vec="c", out="qunit").select(
         F.col("label").cast("long").alias("qid"), "label", "qunit")
     r = R.topk(q, corpus(t), 5, partition_cols=["label"])
     return r.select("qid", "vec_id", "rank", F.round("score", 6).alias("score"))
