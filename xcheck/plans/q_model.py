@@ -1,3 +1,62 @@
-"""Queries (filled in below)."""
+"""Trend / forecast queries: monthly and yearly revenue per nation from
+``orders`` + ``customer`` (month index = months since 1990-01)."""
 
 from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import model as M
+from ..session import Tables
+from .registry import query
+
+
+def monthly(t: Tables) -> DataFrame:
+    o = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
+    mi = ((F.year("o_orderdate") - 1990) * 12 + F.month("o_orderdate") - 1).cast("int")
+    return (o.groupBy("c_nationkey", mi.alias("mi"))
+            .agg(F.round(F.sum("o_totalprice"), 2).alias("revenue")))
+
+
+_SQL_MONTHLY = """
+  mo AS (SELECT c_nationkey, CAST((year(o_orderdate) - 1990) * 12 + month(o_orderdate) - 1 AS INT) AS mi,
+                round(sum(o_totalprice), 2) AS revenue
+         FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL)"""
+
+
+@query("trend_fit", oracle=f"""WITH {_SQL_MONTHLY}
+SELECT c_nationkey, count(*) AS n, round(regr_slope(revenue, mi), 4) AS slope, round(regr_intercept(revenue, mi), 2) AS intercept,
+       round(regr_r2(revenue, mi), 6) AS r2 FROM mo GROUP BY c_nationkey""")
+def trend_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = M.trend_fit(monthly(Tables(spark, sf_dir)), ["c_nationkey"], "mi", "revenue")
+    return f.select("c_nationkey", "n", F.round("slope", 4).alias("slope"), F.round("intercept", 2).alias("intercept"),
+                    F.round("r2", 6).alias("r2"))
+
+
+@query("forecast_linear", oracle=f"""WITH {_SQL_MONTHLY},
+  f AS (SELECT c_nationkey, regr_slope(revenue, mi) AS b, regr_intercept(revenue, mi) AS a, max(mi) AS last FROM mo GROUP BY ALL)
+SELECT c_nationkey, s AS step, last + s AS mi, round(a + b * (last + s), 2) AS yhat FROM f, range(1, 13) r(s)""")
+def forecast_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = M.forecast_linear(monthly(Tables(spark, sf_dir)), ["c_nationkey"], "mi", "revenue", 12)
+    return f.select("c_nationkey", "step", F.col("mi").cast("int").alias("mi"), F.round("yhat", 2).alias("yhat"))
+
+
+@query("forecast")
+def forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """12 months ahead per nation: lag + trend regression for long series,
+    a straight line for short ones."""
+    return M.forecast(monthly(Tables(spark, sf_dir)), ["c_nationkey"], "mi", "revenue", 12)
+
+
+@query("period_change", oracle="""
+WITH y AS (SELECT c_nationkey, year(o_orderdate) AS yr, sum(o_totalprice) AS revenue
+           FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL),
+  l AS (SELECT *, lag(revenue) OVER (PARTITION BY c_nationkey ORDER BY yr) AS prev FROM y)
+SELECT c_nationkey, yr, round(revenue, 2) AS revenue, round(CASE WHEN prev <> 0 THEN (revenue - prev) / prev * 100 END, 4) AS pct_change FROM l""")
+def period_change(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Year-over-year revenue change per nation."""
+    t = Tables(spark, sf_dir)
+    o = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
+    y = o.groupBy("c_nationkey", F.year("o_orderdate").alias("yr")).agg(F.sum("o_totalprice").alias("revenue"))
+    p = M.period_change(y, ["c_nationkey"], "yr", "revenue", 1)
+    return p.select("c_nationkey", "yr", F.round("revenue", 2).alias("revenue"), F.round("pct_change", 4).alias("pct_change"))
