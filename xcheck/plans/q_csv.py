@@ -1,3 +1,97 @@
-"""Queries (filled in below)."""
+"""CSV queries. The uploaded files are multi-section exports that Spark writes
+from the tables first: one file per region, one section per nation (title row
+``TABLE i: NATION``, a header row, one row per customer), rows padded to four
+columns as spreadsheet exports are. The files go to a fresh folder under the
+session's checkpoint directory."""
 
 from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..session import Tables, checkpoint_dir
+from ..sources import csvio as CV
+from .registry import query
+
+HEADER = ["Customer", "Segment", "Account Balance", "Nation Key"]
+
+
+def _q(c):
+    return F.concat(F.lit('"'), F.regexp_replace(c, '"', '""'), F.lit('"'))
+
+
+def write_region_csvs(spark: SparkSession, sf_dir: str) -> str:
+    t = Tables(spark, sf_dir)
+    nat = t.nation.select("n_nationkey", "n_name", "n_regionkey")
+    nat = nat.withColumn("sec", F.row_number().over(Window.partitionBy("n_regionkey").orderBy("n_nationkey")))
+    title = nat.select(F.col("n_regionkey").alias("region"), "sec", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("k"),
+                       F.concat(F.lit("TABLE "), F.col("sec").cast("string"), F.lit(": "), F.col("n_name"), F.lit(",,,")).alias("value"))
+    head = nat.select(F.col("n_regionkey").alias("region"), "sec", F.lit(1).alias("kind"), F.lit(0).cast("long").alias("k"),
+                      F.lit(",".join(HEADER)).alias("value"))
+    data = (t.customer.join(nat, F.col("c_nationkey") == F.col("n_nationkey"))
+            .select(F.col("n_regionkey").alias("region"), "sec", F.lit(2).alias("kind"), F.col("c_custkey").alias("k"),
+                    F.concat_ws(",", _q(F.col("c_name")), _q(F.col("c_mktsegment")),
+                                F.format_string("%.2f", "c_acctbal"), F.col("c_nationkey").cast("string")).alias("value")))
+    lines = title.unionByName(head).unionByName(data)
+    path = f"{checkpoint_dir(spark).rstrip('/')}/xcheck-csv/{uuid.uuid4().hex}"
+    (lines.repartition("region").sortWithinPartitions("region", "sec", "kind", "k")
+     .select("region", "value").write.partitionBy("region").text(path))
+    return path
+
+
+def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = write_region_csvs(spark, sf_dir)
+    raw = CV.read_csv_loose(spark, path + "/region=*/*.txt")
+    return raw.withColumn("region", F.regexp_extract("file", r"region=(\d+)", 1).cast("int"))
+
+
+_SQL_SECTIONS = """
+  nat AS (SELECT n_nationkey, n_name, n_regionkey, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS sec FROM nation),
+  cnt AS (SELECT nat.*, count(c_custkey) AS c FROM nat LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY ALL),
+  pos AS (SELECT *, coalesce(sum(c + 2) OVER (PARTITION BY n_regionkey ORDER BY sec ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS title_row_idx FROM cnt)"""
+
+
+@query("read_csv_loose", oracle=f"""WITH {_SQL_SECTIONS}
+SELECT n_regionkey AS region, CAST(sum(c + 2) AS BIGINT) AS n_rows, 4 AS width FROM pos GROUP BY n_regionkey""")
+def read_csv_loose(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = _raw(spark, sf_dir)
+    return r.groupBy("region").agg(F.count(F.lit(1)).alias("n_rows"), F.max(F.size("cells")).alias("width"))
+
+
+@query("csv_sections", oracle=f"""WITH {_SQL_SECTIONS}
+SELECT n_regionkey AS region, CAST(sec - 1 AS INT) AS index, 'TABLE ' || sec || ': ' || n_name AS name,
+       title_row_idx, title_row_idx + 1 AS header_row_idx, title_row_idx + 2 AS data_start_idx,
+       title_row_idx + 2 + c AS data_end_idx, ['customer', 'segment', 'account_balance', 'nation_key'] AS columns,
+       c AS row_count FROM pos""")
+def csv_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = CV.csv_sections(_raw(spark, sf_dir))
+    return s.withColumn("region", F.regexp_extract("file", r"region=(\d+)", 1).cast("int")).drop("file")
+
+
+@query("load_section", oracle="""
+SELECT c_name AS customer, c_mktsegment AS segment, round(c_acctbal, 2) AS account_balance,
+       CAST(c_nationkey AS DOUBLE) AS nation_key
+FROM customer JOIN nation ON c_nationkey = n_nationkey
+WHERE n_nationkey = (SELECT min(n_nationkey) FROM nation WHERE n_regionkey = 0)""")
+def load_section(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Section 0 of region 0's file as a typed table."""
+    raw = _raw(spark, sf_dir)
+    secs = CV.csv_sections(raw)
+    f = raw.where(F.col("region") == 0).select("file").first()["file"]
+    return CV.load_section(raw, secs, f, 0)
+
+
+@query("looks_multi_table", oracle=f"""WITH {_SQL_SECTIONS}
+SELECT n_regionkey AS region, true AS is_multi_table, count(*) - 1 AS section_markers FROM pos GROUP BY n_regionkey""")
+def looks_multi_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = CV.looks_multi_table(_raw(spark, sf_dir))
+    return m.withColumn("region", F.regexp_extract("file", r"region=(\d+)", 1).cast("int")).drop("file")
+
+
+@query("section_manifest")
+def section_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = _raw(spark, sf_dir)
+    return CV.section_manifest(CV.csv_sections(raw))
