@@ -41,7 +41,7 @@ def _parsed_lines(spark: SparkSession, sql: str) -> list[str]:
 
 def _node(line: str) -> str:
     s = re.sub(r"^[\s:|+\-]*", "", line).lstrip("'")
-    return re.split(r"[\s\[(]", s, 1)[0]
+    return re.split(r"[\s\[(]", s, maxsplit=1)[0]
 
 
 def _query_root(lines: list[str]) -> tuple[str, str | None]:

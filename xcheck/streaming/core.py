@@ -36,11 +36,16 @@ def scratch(spark: SparkSession, what: str) -> str:
 
 def file_stream(spark: SparkSession, folder: str, name: str, max_files: int | None = None) -> DataFrame:
     """Stream the Parquet files of one table (``name.parquet`` inside ``folder``)."""
-    schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    r = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
+    import os
+    target = f"{folder}/{name}.parquet"
+    schema = spark.read.parquet(target).schema
+    r = spark.readStream.schema(schema)
     if max_files:
         r = r.option("maxFilesPerTrigger", max_files)
-    df = r.parquet(folder)
+    if os.path.isdir(target):          # a table folder of part files
+        df = r.parquet(target)
+    else:                              # a single file next to other tables
+        df = r.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
     return df.select(*[F.col(f.name).cast(T.TimestampType()).alias(f.name)
                        if isinstance(f.dataType, T.TimestampNTZType) else F.col(f.name) for f in schema.fields])
 
