@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 
 from ..functions import rules
 from ..functions import text as T
+from ..session import ensure_parallelism
 
 
 def _c(c) -> Column:
@@ -61,9 +62,41 @@ def token_count(text) -> Column:
     return F.when(t == "", F.lit(0)).otherwise(F.size(F.split(t, r"\s+")))
 
 
-def doc_type(text) -> Column:
+def doc_type_scores(df: DataFrame, text: str = "text") -> DataFrame:
+    """Adds ``_ntok``, ``_ndig`` and one keyword-hit column per type, each
+    computed once (later projections only read these columns)."""
+    low = df.withColumn("_low", F.lower(F.col(text)))
+    toks = F.split(T.strip_ws(F.col("_low")), r"\s+")
+    out = low.select("*", *[keyword_hits(F.col("_low"), kws).alias(f"_s_{n}") for n, kws in rules.DOC_TYPE_KEYWORDS],
+                     F.when(T.strip_ws(F.col("_low")) == "", F.lit(0)).otherwise(F.size(toks)).alias("_ntok"),
+                     F.size(F.filter(toks, lambda t: t.rlike("[0-9]"))).alias("_ndig"))
+    return out.drop("_low")
+
+
+def _pick_type() -> Column:
+    best = F.greatest(*[F.struct(F.col(f"_s_{n}").alias("s"), F.lit(-i).alias("o"), F.lit(n).alias("n"))
+                        for i, (n, _) in enumerate(rules.DOC_TYPE_KEYWORDS)])
+    return (F.when(F.col("_ntok") < rules.DOC_TYPE_MIN_TOKENS, "general")
+            .when(best["s"] >= rules.DOC_TYPE_MIN_HITS, best["n"]).otherwise("general"))
+
+
+def with_doc_type(df: DataFrame, text: str = "text", out: str = "doc_type") -> DataFrame:
     """financial / legal / medical / research / general by keyword hits over
     the whole text (>= 50 tokens, best >= 3 hits, ties to the earlier type)."""
+    s = doc_type_scores(ensure_parallelism(df), text)
+    return s.withColumn(out, _pick_type()).drop(*[c for c in s.columns if c.startswith("_s_") or c in ("_ntok", "_ndig")])
+
+
+def with_extractable(df: DataFrame, text: str = "text", out: str = "extractable") -> DataFrame:
+    """>= 50 tokens and (a non-general type, or >= 1.5 % of tokens holding a digit)."""
+    s = doc_type_scores(ensure_parallelism(df), text).withColumn("_t", _pick_type())
+    ok = (F.col("_ntok") >= rules.DOC_TYPE_MIN_TOKENS) & (
+        (F.col("_t") != "general") | (F.col("_ndig") / F.col("_ntok") >= rules.NUMERIC_DENSITY))
+    return s.withColumn(out, ok).drop(*[c for c in s.columns if c.startswith("_s_") or c in ("_ntok", "_ndig")], "_t")
+
+
+def doc_type(text) -> Column:
+    """Column form of :func:`with_doc_type` for small inputs."""
     low = F.lower(_c(text))
     scores = [(name, keyword_hits(low, kws)) for name, kws in rules.DOC_TYPE_KEYWORDS]
     best = F.greatest(*[F.struct(s.alias("s"), F.lit(-i).alias("o"), F.lit(n).alias("n"))
@@ -73,7 +106,7 @@ def doc_type(text) -> Column:
 
 
 def is_extractable(text) -> Column:
-    """>= 50 tokens and (a non-general type, or >= 1.5 % of tokens holding a digit)."""
+    """Column form of :func:`with_extractable` for small inputs."""
     toks = F.split(T.strip_ws(F.lower(_c(text))), r"\s+")
     n = token_count(text)
     digits = F.size(F.filter(toks, lambda t: t.rlike("[0-9]")))

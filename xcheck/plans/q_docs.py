@@ -84,13 +84,13 @@ WITH s AS (SELECT doc_id, text, {scores}, {ntok} AS ntok, {ndig} AS ndig FROM do
 
 @query("doc_type", oracle=_sql_doc_type() + " SELECT doc_id, doc_type FROM t")
 def doc_type(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Tables(spark, sf_dir).documents.select("doc_id", DO.doc_type("text").alias("doc_type"))
+    return DO.with_doc_type(Tables(spark, sf_dir).documents.select("doc_id", "text")).select("doc_id", "doc_type")
 
 
 @query("is_extractable", oracle=_sql_doc_type() + """
 SELECT doc_id, (ntok >= 50 AND (doc_type <> 'general' OR ndig / ntok >= 0.015)) AS extractable FROM t""")
 def is_extractable(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Tables(spark, sf_dir).documents.select("doc_id", DO.is_extractable("text").alias("extractable"))
+    return DO.with_extractable(Tables(spark, sf_dir).documents.select("doc_id", "text")).select("doc_id", "extractable")
 
 
 def _sql_route() -> str:
