@@ -104,3 +104,16 @@ def retention_sweep(uploads: DataFrame, dependents: DataFrame, key: str, ts: str
     exp = F.col(ts) + F.make_dt_interval(hours=F.lit(hours))
     gone = uploads.where(F.col(ts).isNotNull() & (exp <= now)).select(key).distinct()
     return uploads.join(gone, key, "left_anti"), dependents.join(gone, key, "left_anti")
+
+
+def fields_report(fields: DataFrame, key: str = "doc_id", order: str = "ix") -> DataFrame:
+    """Verified fields as ``  - name: value unit (span: "...")`` lines under a
+    header, per document; value shown with two decimals unless the unit is
+    ``n/a`` (then the first 80 span characters)."""
+    v = fields.where(F.col("verified"))
+    val = F.when(F.col("unit") != "n/a", F.format_number("value", 2)).otherwise(F.substring("span_text", 1, 80))
+    line = F.concat(F.lit("  - "), F.col("name"), F.lit(": "), val, F.lit(" "), F.col("unit"),
+                    F.lit(' (span: "'), F.substring("span_text", 1, 80), F.lit('")'))
+    agg = v.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, line.alias("l")))).alias("_l"))
+    return agg.select(key, F.concat(F.lit("Structured values extracted from this document (span-verified):\n"),
+                                    F.array_join(F.transform("_l", lambda x: x["l"]), "\n")).alias("report"))

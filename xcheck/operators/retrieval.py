@@ -24,9 +24,12 @@ MAX_BROADCAST_QUERIES = 100_000
 
 def with_unit(df: DataFrame, vec: str = "embedding", out: str = "unit") -> DataFrame:
     """Add the L2-normalised vector as ``array<double>`` (zero vector stays zero)."""
-    n = T.norm(vec)
-    return df.withColumn(out, F.when(n == 0, F.transform(vec, lambda x: F.lit(0.0)))
-                         .otherwise(F.transform(vec, lambda x: x.cast("double") / n)))
+    # the norm is its own column first: referenced inside the lambda it would be
+    # recomputed for every element (quadratic in the dimension)
+    d = df.withColumn("_norm", T.norm(vec))
+    unit = F.when(F.col("_norm") == 0, F.transform(vec, lambda x: F.lit(0.0))).otherwise(
+        F.transform(vec, lambda x: x.cast("double") / F.col("_norm")))
+    return d.withColumn(out, unit).drop("_norm")
 
 
 def _topk_slice(spark, qrows, corpus, k, qid, did, dvec, keys, min_score, qvec):

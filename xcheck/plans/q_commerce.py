@@ -259,3 +259,17 @@ def sync_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = n.where(F.col("status") == "shipped").select("connection_id", "order_date")
     rep = C.sync_window(events, n, "connection_id", "order_date", 24)
     return rep.groupBy("connection_id").agg(F.count(F.lit(1)).alias("repulled"))
+
+
+@query("webhook_verify")
+def webhook_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order webhooks signed with the shop's secret; urgent orders arrive with a
+    tampered body (signature over the original), so they fail verification."""
+    from ..operators import webhooks as WH
+    raw = shopify_raw(Tables(spark, sf_dir)).withColumn("secret", F.sha2("connection_id", 256))
+    signed = raw.withColumn("header", WH.sign("secret", "raw_json"))
+    t = Tables(spark, sf_dir).orders.select(F.col("o_orderkey").alias("ix"), (F.col("o_orderpriority") == "1-URGENT").alias("tamper"))
+    ev = signed.join(t, "ix").withColumn(
+        "body", F.when(F.col("tamper"), F.regexp_replace("raw_json", '"total_price":"', '"total_price":"9')).otherwise(F.col("raw_json")))
+    ok = WH.verified_events(ev, "secret", "body", "header")
+    return ok.select("connection_id", "ix")

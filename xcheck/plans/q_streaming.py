@@ -81,3 +81,34 @@ def stream_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = S.file_stream(spark, sf_dir, "conversations")
     m = P.mask_pii(c.select("conv_id", "turn", "role", "text"), ["text"])
     return S.run_available_now(m, "mask")
+
+
+@query("stream_upsert_orders", oracle="""
+WITH so AS (SELECT o.*, 'shop-' || c_nationkey AS connection_id FROM orders o JOIN customer ON o_custkey = c_custkey)
+SELECT connection_id, CAST(o_orderkey AS VARCHAR) AS marketplace_order_id,
+       CASE WHEN o_orderdate >= TIMESTAMP '1995-07-01' THEN upper(CASE o_orderstatus WHEN 'F' THEN 'delivered' WHEN 'P' THEN 'shipped' ELSE 'pending' END)
+            ELSE CASE o_orderstatus WHEN 'F' THEN 'delivered' WHEN 'P' THEN 'shipped' ELSE 'pending' END END AS status,
+       round(o_totalprice, 2) AS total_amount,
+       CASE WHEN o_orderdate >= TIMESTAMP '1995-07-01' THEN 1 ELSE 0 END AS updated_at
+FROM so""")
+def stream_upsert_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order feed arriving as two files (the earlier pull, then an overlapping
+    pull with refreshed statuses) streamed one file per micro-batch and
+    upserted by (connection_id, marketplace_order_id)."""
+    from ..operators import commerce as C
+    from ..session import Tables
+    from .q_commerce import shopify_raw
+    n = C.normalize_orders(shopify_raw(Tables(spark, sf_dir)), "shopify", keep=("connection_id", "ix"))
+    feed_dir = S.scratch(spark, "feed")
+    ts = F.col("order_date")
+    first = n.where(ts < F.lit("1996-01-01").cast("timestamp"))
+    second = n.where(ts >= F.lit("1995-07-01").cast("timestamp")).withColumn("status", F.upper("status"))
+    cols = ["connection_id", "marketplace_order_id", "status", "total_amount", "ix"]
+    first.select(*cols).coalesce(1).write.parquet(f"{feed_dir}/f1")
+    second.select(*cols).coalesce(1).write.parquet(f"{feed_dir}/f2")
+    schema = spark.read.parquet(f"{feed_dir}/f1").schema
+    stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True)
+              .option("pathGlobFilter", "*.parquet").parquet(feed_dir))
+    out = S.stream_upsert(stream, S.scratch(spark, "orders_table"), ["connection_id", "marketplace_order_id"], "ix")
+    return out.select("connection_id", "marketplace_order_id", "status", F.round("total_amount", 2).alias("total_amount"),
+                      F.col("updated_at").cast("int").alias("updated_at"))

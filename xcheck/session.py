@@ -96,11 +96,33 @@ def ensure_parallelism(df: DataFrame, min_parts: int | None = None) -> DataFrame
     the cluster when the input arrives in fewer partitions than cores, e.g. a
     small file with one row group. Large inputs are already split by the scan
     and pass through without a shuffle."""
-    sc = df.sparkSession.sparkContext
-    want = min_parts or sc.defaultParallelism
-    if df.rdd.getNumPartitions() < want:
-        return df.repartition(want)
-    return df
+    try:
+        sc = df.sparkSession.sparkContext
+        want = min_parts or sc.defaultParallelism
+        have = df.rdd.getNumPartitions()
+    except Exception:  # no RDD view (e.g. a remote client): leave it to AQE
+        return df
+    return df.repartition(want) if have < want else df
+
+
+def _fs(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def fs_is_dir(spark: SparkSession, path: str) -> bool:
+    """Directory test on any Hadoop-compatible store (local, HDFS, object stores)."""
+    fs, p = _fs(spark, path)
+    return bool(fs.exists(p) and fs.getFileStatus(p).isDirectory())
+
+
+def fs_list(spark: SparkSession, path: str) -> list[str]:
+    """Child names of a folder on any Hadoop-compatible store ([] if missing)."""
+    fs, p = _fs(spark, path)
+    if not fs.exists(p):
+        return []
+    return [st.getPath().getName() for st in fs.listStatus(p)]
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

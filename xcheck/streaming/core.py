@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..session import checkpoint_dir
+from ..session import checkpoint_dir, fs_is_dir, fs_list
 
 # FIXED VALUES — endpoint weights for budgets (default 1)
 ENDPOINT_WEIGHTS = {"chat": 1, "hybrid": 2, "sandbox": 2, "autopilot": 5}
@@ -36,13 +36,12 @@ def scratch(spark: SparkSession, what: str) -> str:
 
 def file_stream(spark: SparkSession, folder: str, name: str, max_files: int | None = None) -> DataFrame:
     """Stream the Parquet files of one table (``name.parquet`` inside ``folder``)."""
-    import os
     target = f"{folder}/{name}.parquet"
     schema = spark.read.parquet(target).schema
     r = spark.readStream.schema(schema)
     if max_files:
         r = r.option("maxFilesPerTrigger", max_files)
-    if os.path.isdir(target):          # a table folder of part files
+    if fs_is_dir(spark, target):       # a table folder of part files
         df = r.parquet(target)
     else:                              # a single file next to other tables
         df = r.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
@@ -183,3 +182,42 @@ def budget_reference(weights: list[float], cap: float) -> list[bool]:
             out.append(True)
     return out
 
+
+
+# ---------------------------------------------------------------------------
+# Streaming upsert into a versioned Parquet table
+# ---------------------------------------------------------------------------
+
+def latest_version(spark: SparkSession, table: str):
+    """Path of the newest committed version of a versioned table (or None)."""
+    vs = sorted(v for v in fs_list(spark, table) if v.startswith("v") and "_SUCCESS" in fs_list(spark, f"{table}/{v}"))
+    return f"{table}/{vs[-1]}" if vs else None
+
+
+def stream_upsert(feed: DataFrame, table: str, keys: list[str], order_col: str, what: str = "upsert"):
+    """Each micro-batch is upserted into ``table``: rows of the batch replace
+    rows with the same key (latest ``order_col`` inside the batch wins) and a
+    new version ``v<epoch>`` is written. Re-running an epoch rewrites the same
+    version, so a retried batch is idempotent; readers take the newest
+    committed version."""
+    from ..operators.commerce import upsert
+    spark = feed.sparkSession
+    base = scratch(spark, what)
+
+    def apply(batch: DataFrame, epoch: int) -> None:
+        cur = latest_version(spark, table)
+        cols = [c for c in batch.columns if c != order_col]
+        if cur is None:
+            first = batch.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in cols if c not in keys]), F.col(order_col)).alias("_r"))
+            out = first.select(*keys, "_r.*").withColumn("updated_at", F.lit(epoch).cast("long"))
+        else:
+            target = spark.read.parquet(cur)
+            out = upsert(target, batch, keys, order_col=order_col, now=F.lit(epoch).cast("long"))
+        out.write.mode("overwrite").parquet(f"{table}/v{epoch:08d}")
+
+    q = (feed.writeStream.foreachBatch(apply).option("checkpointLocation", f"{base}/_checkpoint")
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    if q.exception():
+        raise q.exception()
+    return spark.read.parquet(latest_version(spark, table))
