@@ -130,7 +130,7 @@ WITH so AS ({_SQL_SHOP}),
                sum(round(coalesce(tax, 0), 2)) AS total_tax, sum(round(coalesce(disc, 0), 2)) AS total_discounts
         FROM so LEFT JOIN l ON o_orderkey = l_orderkey GROUP BY ALL)
 SELECT connection_id, strftime(period_start, '%Y-%m-%d') AS period_start, round(revenue, 2) AS revenue,
-       round(refunds, 2) AS refunds, 0.0 AS fees, round(revenue - refunds, 2) AS net_proceeds, 'USD' AS currency,
+       round(refunds, 2) AS refunds, CAST(0.0 AS DOUBLE) AS fees, round(revenue - refunds, 2) AS net_proceeds, 'USD' AS currency,
        order_count, round(total_tax, 2) AS total_tax, round(total_discounts, 2) AS total_discounts
 FROM r"""
 
