@@ -125,6 +125,11 @@ def fs_list(spark: SparkSession, path: str) -> list[str]:
     return [st.getPath().getName() for st in fs.listStatus(p)]
 
 
+# Dimension tables stay as read; fact tables are spread over the cores when a
+# file arrives as a single split (see ensure_parallelism).
+SMALL_DIMENSIONS = {"region", "nation", "supplier"}
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Read one driver table. ``timestamp_ntz`` columns become ``timestamp``
     (UTC session) so watermarks and time windows accept them."""
@@ -134,7 +139,8 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         if isinstance(f.dataType, T.TimestampNTZType) else F.col(f.name)
         for f in df.schema.fields
     ]
-    return df.select(*casts)
+    out = df.select(*casts)
+    return out if name in SMALL_DIMENSIONS else ensure_parallelism(out)
 
 
 class Tables:
