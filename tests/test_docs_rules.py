@@ -88,3 +88,18 @@ def test_gate_limit(spark):
     assert G.safe_select(spark, "SELECT id FROM gate_t").count() == 500
     assert G.safe_select(spark, "SELECT id FROM gate_t LIMIT 10").count() == 10
     assert G.safe_select(spark, "SELECT id FROM gate_t LIMIT 10", cap=700, replace=True).count() == 700
+
+
+def test_recursive_splitter_properties(spark):
+    from xcheck.operators.chunking import split_text, chunk_recursive
+    para = " ".join(f"word{i}" for i in range(400))
+    text = para + "\n\n" + para[:500] + "\nshort line\n\n" + "x" * 2500
+    chunks = split_text(text, 1000, 200)
+    assert all(len(c) <= 1000 for c in chunks)
+    assert chunks[0].startswith("word0") and set(chunks[-1]) == {"x"} and len(chunks[-1]) > 800
+    # consecutive chunks of the long paragraph overlap
+    assert any(chunks[0][-50:].split()[-1] in c for c in chunks[1:3])
+    df = spark.createDataFrame([(1, text), (2, "tiny")], "doc_id long, text string")
+    rows = chunk_recursive(df).collect()
+    assert [r["chunk"] for r in rows if r["doc_id"] == 2] == ["tiny"]
+    assert len([r for r in rows if r["doc_id"] == 1]) == len(chunks)

@@ -208,3 +208,12 @@ def text_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def question_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = Tables(spark, sf_dir).conversations.where(F.col("role") == "user")
     return c.select("conv_id", "turn", T.question_hash("text").alias("qhash"))
+
+
+@query("chunk_recursive_split")
+def chunk_recursive_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recursive separator splitting (1000 / 200) of whole documents."""
+    from ..operators.chunking import chunk_recursive
+    c = chunk_recursive(Tables(spark, sf_dir).documents)
+    return c.select("doc_id", F.col("chunk_ix").cast("long").alias("chunk_ix"), F.length("chunk").alias("chunk_len"),
+                    F.md5("chunk").alias("chunk_md5"))
