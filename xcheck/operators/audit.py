@@ -80,12 +80,27 @@ def latency_percentiles(df: DataFrame, by: list[str], value: str) -> DataFrame:
     return agg.select(*by, "n", (F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("frac")).alias("p50"), "p95")
 
 
-def trailing_count(df: DataFrame, key: str, ts: str, seconds: int = 60) -> DataFrame:
+def trailing_count(df: DataFrame, key: str, ts: str, seconds: int = 60, bucket_seconds: int = 3600) -> DataFrame:
     """Events of the same key in the trailing ``seconds`` (inclusive), per event
-    — the plain count, without denial feedback."""
-    w = (Window.partitionBy(key).orderBy(F.unix_micros(F.col(ts)))
-         .rangeBetween(-seconds * 1_000_000, 0))
-    return df.withColumn("trailing", F.count(F.lit(1)).over(w))
+    — the plain count, without denial feedback.
+
+    Skew-proof: the window runs per (key, time bucket) instead of per key, so
+    one key holding a third of all events is spread over its buckets. Each row
+    is also copied into the next bucket when it lies within ``seconds`` of that
+    bucket's start (a context row: counted, never emitted), which makes the
+    per-bucket count exact."""
+    if bucket_seconds < seconds:
+        raise ValueError("bucket_seconds must be at least the window length")
+    us = F.unix_micros(F.col(ts))
+    b_us = bucket_seconds * 1_000_000
+    bucket = F.floor(us / b_us).cast("long")
+    base = df.withColumn("_us", us).withColumn("_b", bucket).withColumn("_ctx", F.lit(False))
+    nxt_start = (F.col("_b") + 1) * b_us
+    ctx = (base.where(F.col("_us") >= nxt_start - seconds * 1_000_000)
+           .withColumn("_b", F.col("_b") + 1).withColumn("_ctx", F.lit(True)))
+    w = Window.partitionBy(key, "_b").orderBy("_us").rangeBetween(-seconds * 1_000_000, 0)
+    return (base.unionByName(ctx).withColumn("trailing", F.count(F.lit(1)).over(w))
+            .where(~F.col("_ctx")).drop("_us", "_b", "_ctx"))
 
 
 def audit_search(audit: DataFrame, event_type: str | None = None, session_id=None, user_id=None,

@@ -38,11 +38,17 @@ def needs_compression(msgs: DataFrame, sessions: DataFrame, threshold: int = COM
 def compression_input(msgs: DataFrame, keep: int = RECENT_WINDOW, key: str = "conv_id", order: str = "turn",
                       role: str = "role", text: str = "text") -> DataFrame:
     """All but the last ``keep`` messages as ``ROLE: first 500 chars`` lines,
-    newline-joined, cut at 8000 characters; nothing when total <= keep."""
-    cnt = Window.partitionBy(key)
+    newline-joined, cut at 8000 characters; nothing when total <= keep.
+
+    Only the first ``8000 // 3 + 1`` messages of a conversation can reach the
+    cut, so the row numbering is a top-k (limited map-side) and the message
+    count is a plain aggregation: a very long conversation is never sorted
+    whole."""
+    cap = INPUT_CHARS // 3 + 1
+    n = msgs.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
     pos = Window.partitionBy(key).orderBy(order)
-    m = (msgs.withColumn("_n", F.count(F.lit(1)).over(cnt)).withColumn("_i", F.row_number().over(pos))
-         .where((F.col("_i") <= F.col("_n") - keep) & (F.col("_i") <= INPUT_CHARS // 3 + 1)))
+    head = msgs.withColumn("_i", F.row_number().over(pos)).where(F.col("_i") <= cap)
+    m = head.join(n, key).where(F.col("_i") <= F.col("_n") - keep)
     line = F.concat(F.upper(role), F.lit(": "), F.substring(text, 1, LINE_CHARS))
     agg = m.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_i", line.alias("l")))).alias("_ls"))
     return agg.select(key, F.substring(F.array_join(F.transform("_ls", lambda x: x["l"]), "\n"), 1, INPUT_CHARS)
@@ -52,16 +58,18 @@ def compression_input(msgs: DataFrame, keep: int = RECENT_WINDOW, key: str = "co
 def compressed_context(msgs: DataFrame, summaries: DataFrame, keep: int = RECENT_WINDOW, key: str = "conv_id",
                        order: str = "turn") -> DataFrame:
     """With a summary: one system row (position 0) plus the last ``keep``
-    messages; without: every message. Rows: key, position, role, text."""
+    messages; without: every message. Rows: key, position, role, text.
+    Conversations without a summary pass through without any sort; the
+    others take a top-``keep`` (limited map-side)."""
     has = summaries.select(key, "summary")
-    tagged = msgs.join(has.select(key, F.lit(True).alias("_s")), key, "left")
+    plain = msgs.join(has.select(key), key, "left_anti")
+    summed = msgs.join(has.select(key), key, "left_semi")
     w = Window.partitionBy(key).orderBy(F.col(order).desc())
-    kept = (tagged.withColumn("_r", F.row_number().over(w))
-            .where(F.col("_s").isNull() | (F.col("_r") <= keep))
-            .select(key, F.col(order).cast("long").alias("position"), "role", "text"))
+    last = summed.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= keep).drop("_r")
+    cols = [key, F.col(order).cast("long").alias("position"), "role", "text"]
     intro = has.select(key, F.lit(-1).cast("long").alias("position"), F.lit("system").alias("role"),
                        F.concat(F.lit("Earlier conversation summary:\n"), F.col("summary")).alias("text"))
-    return intro.unionByName(kept)
+    return intro.unionByName(plain.select(*cols)).unionByName(last.select(*cols))
 
 
 def history_window(msgs: DataFrame, n: int, width: int | None = None, last_chars: int = 300,
