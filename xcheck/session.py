@@ -29,6 +29,9 @@ SESSION_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.parquet.filterPushdown": "true",
     "spark.sql.ansi.enabled": "false",
+    # rank filters up to this bound become map-side WindowGroupLimits (top-k
+    # per key before the shuffle); the compression input needs 2667
+    "spark.sql.optimizer.windowGroupLimitThreshold": "5000",
 }
 
 
