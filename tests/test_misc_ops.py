@@ -105,3 +105,25 @@ def test_retention_and_purge(spark):
     assert sorted(r["sid"] for r in ku.collect()) == [2, 3] and sorted(r["sid"] for r in kd.collect()) == [2, 3]
     left = H.purge({"d": dep}, "sid", spark.createDataFrame([(1,)], "sid long"))
     assert sorted(r["sid"] for r in left["d"].collect()) == [2, 3]
+
+
+def test_trailing_count_hot_key_across_buckets(spark):
+    import random
+    rnd = random.Random(5)
+    t0 = dt.datetime(2024, 1, 1, 0, 58)
+    rows, t = [], 0.0
+    for i in range(600):                       # one hot key crossing several hour buckets
+        t += rnd.choice([0.5, 3, 11, 29, 61])
+        rows.append((i, "hot" if i % 4 else "cold", t0 + dt.timedelta(seconds=t)))
+    df = spark.createDataFrame(rows, "event_id long, k string, ts timestamp")
+    got = {r["event_id"]: r["trailing"] for r in A.trailing_count(df, "k", "ts", 60, bucket_seconds=600).collect()}
+    for i, k, ts in rows:
+        want = sum(1 for _, k2, ts2 in rows if k2 == k and ts - dt.timedelta(seconds=60) <= ts2 <= ts)
+        assert got[i] == want
+
+
+def test_percentiles_approx_close(spark):
+    df = spark.createDataFrame([("g", float(v)) for v in range(1, 1001)], "k string, v double")
+    exact = A.latency_percentiles(df, ["k"], "v").first()
+    appr = A.latency_percentiles(df, ["k"], "v", approx=True).first()
+    assert abs(exact["p50"] - appr["p50"]) <= 1 and abs(exact["p95"] - appr["p95"]) <= 1

@@ -59,9 +59,19 @@ def platform_metrics(audit: DataFrame, type_col: str = "event_type", meta: str =
         F.bround(F.avg(F.when(et == "query", response_ms(F.col(meta)))), 1).alias("avg_response_time_ms"))
 
 
-def latency_percentiles(df: DataFrame, by: list[str], value: str) -> DataFrame:
+def latency_percentiles(df: DataFrame, by: list[str], value: str, approx: bool = False,
+                        accuracy: int = 100_000) -> DataFrame:
     """p50 = interpolated median, p95 = nearest rank ``sorted[max(0, round(.95 n) - 1)]``
-    (round half-even), per group."""
+    (round half-even), per group.
+
+    Exact mode sorts one row per distinct (group, value); with continuous values
+    and one group holding a large share of the data, ``approx=True`` switches to
+    ``percentile_approx`` (bounded sketch per group, rank error ~ 1/accuracy)."""
+    if approx:
+        v = F.col(value).cast("double")
+        return df.where(v.isNotNull()).groupBy(*by).agg(
+            F.count(v).alias("n"), F.percentile_approx(v, 0.5, accuracy).alias("p50"),
+            F.percentile_approx(v, 0.95, accuracy).alias("p95"))
     freq = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c"))
     w = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     cum = freq.withColumn("_cum", F.sum("_c").over(w)).withColumn(

@@ -57,7 +57,7 @@ def missing_labels(pred: DataFrame, gold: DataFrame, cols: list[str]) -> DataFra
 
 
 def semantic_breaks(sentences: DataFrame, doc: str, order: str, vec: str = "unit",
-                    pct: float = SEMANTIC_PERCENTILE) -> DataFrame:
+                    pct: float = SEMANTIC_PERCENTILE, approx: bool = False) -> DataFrame:
     """Distance to the next sentence (1 - cosine of unit vectors); a chunk ends
     where that distance is above the document's ``pct`` percentile (linear
     interpolation); chunk id = breaks so far."""
@@ -65,7 +65,10 @@ def semantic_breaks(sentences: DataFrame, doc: str, order: str, vec: str = "unit
     nxt = F.lead(vec).over(w)
     d = sentences.withColumn("dist", 1 - F.aggregate(F.zip_with(vec, nxt, lambda a, b: a * b), F.lit(0.0),
                                                      lambda s, x: s + x))
-    thr = d.groupBy(doc).agg(F.percentile("dist", pct).alias("thr"))
+    # exact percentile keeps the distinct distances of a document; approx=True
+    # bounds that memory for very large documents
+    q = F.percentile_approx("dist", pct, 100_000) if approx else F.percentile("dist", pct)
+    thr = d.groupBy(doc).agg(q.alias("thr"))
     j = d.join(thr, doc).withColumn("brk", (F.col("dist") > F.col("thr")).cast("int"))
     prev = F.coalesce(F.sum("brk").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return j.withColumn("chunk_id", prev).drop("brk")

@@ -48,17 +48,26 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = b.getOrCreate()
     configure(spark)
-    ship_package(spark)
     return spark
 
 
+_SHIPPED: set[int] = set()
+
+
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply the runtime-settable part of our defaults to an existing session."""
+    """Apply the runtime-settable part of our defaults to an existing session
+    (and ship the package to executors once per session on a cluster)."""
     for k, v in SESSION_CONF.items():
         try:
             spark.conf.set(k, v)
         except Exception:  # static conf on a shared session: leave it
             pass
+    if id(spark) not in _SHIPPED:
+        _SHIPPED.add(id(spark))
+        try:
+            ship_package(spark)
+        except Exception:  # a remote client without a SparkContext
+            pass
     return spark
 
 
