@@ -155,14 +155,19 @@ def missing_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------------------
 
 @query("semantic_breaks", oracle="""
-WITH u AS (SELECT vec_id, label, list_transform(CAST(embedding AS DOUBLE[]), lambda e: e / sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])))) AS v FROM embeddings),
-  d AS (SELECT *, 1 - list_dot_product(v, lead(v) OVER (PARTITION BY label ORDER BY vec_id)) AS dist FROM u),
-  th AS (SELECT label, quantile_cont(dist, 0.85) AS thr FROM d GROUP BY label),
-  b AS (SELECT d.vec_id, d.label, CASE WHEN dist > thr THEN 1 ELSE 0 END AS brk FROM d JOIN th USING (label))
-SELECT vec_id, label, CAST(coalesce(sum(brk) OVER (PARTITION BY label ORDER BY vec_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS chunk_id FROM b""")
+WITH u AS (SELECT vec_id, vec_id // 50 AS doc, list_transform(CAST(embedding AS DOUBLE[]), lambda e: e / sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])))) AS v FROM embeddings),
+  d AS (SELECT *, 1 - list_dot_product(v, lead(v) OVER (PARTITION BY doc ORDER BY vec_id)) AS dist FROM u),
+  th AS (SELECT doc, quantile_cont(dist, 0.85) AS thr FROM d GROUP BY doc),
+  b AS (SELECT d.vec_id, d.doc, CASE WHEN dist > thr THEN 1 ELSE 0 END AS brk FROM d JOIN th USING (doc))
+SELECT vec_id, doc, CAST(coalesce(sum(brk) OVER (PARTITION BY doc ORDER BY vec_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS chunk_id FROM b""")
 def semantic_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = R.with_unit(Tables(spark, sf_dir).embeddings.select("vec_id", "label", "embedding"))
-    return H.semantic_breaks(s, "label", "vec_id").select("vec_id", "label", F.col("chunk_id").cast("long"))
+    """Sentence vectors = ``embeddings`` in id order; a document = 50
+    consecutive sentences. Chunk boundaries where the distance to the next
+    sentence is above the document's 85th percentile."""
+    e = Tables(spark, sf_dir).embeddings.select("vec_id", "embedding",
+                                                  F.floor(F.col("vec_id") / 50).cast("long").alias("doc"))
+    s = R.with_unit(e)
+    return H.semantic_breaks(s, "doc", "vec_id").select("vec_id", "doc", F.col("chunk_id").cast("long"))
 
 
 # ---------------------------------------------------------------------------
