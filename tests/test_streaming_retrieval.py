@@ -68,3 +68,18 @@ def test_lsh_finds_planted_duplicates(spark):
     sims = Xn @ Xn.T
     truth = {(i, j) for i in range(200) for j in range(i + 1, 200) if sims[i, j] >= 0.99}
     assert truth and pairs <= truth and len(pairs & truth) >= 0.8 * len(truth)
+
+
+def test_daily_budget_resets_per_day(spark, tmp_path):
+    t0 = dt.datetime(2024, 1, 1, 22)
+    rows = [(i, t0 + dt.timedelta(hours=i * 0.5), 1, "signup") for i in range(12)]   # crosses midnight
+    df = spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string")
+    df.coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    ev = S.file_stream(spark, str(tmp_path), "events")
+    out = S.run_available_now(S.daily_budget(ev, "user_id", "ts", "event_id", F.lit(5.0), 10.0), "t-day").collect()
+    got = {r["event_id"]: r["allowed"] for r in out}
+    by_day = {}
+    for i, t, _, _ in rows:
+        by_day.setdefault(t.date(), []).append(i)
+    for day, ids in by_day.items():
+        assert [got[i] for i in ids] == S.budget_reference([5.0] * len(ids), 10.0)

@@ -63,14 +63,18 @@ def token_count(text) -> Column:
 
 
 def doc_type_scores(df: DataFrame, text: str = "text") -> DataFrame:
-    """Adds ``_ntok``, ``_ndig`` and one keyword-hit column per type, each
-    computed once (later projections only read these columns)."""
-    low = df.withColumn("_low", F.lower(F.col(text)))
-    toks = F.split(T.strip_ws(F.col("_low")), r"\s+")
-    out = low.select("*", *[keyword_hits(F.col("_low"), kws).alias(f"_s_{n}") for n, kws in rules.DOC_TYPE_KEYWORDS],
-                     F.when(T.strip_ws(F.col("_low")) == "", F.lit(0)).otherwise(F.size(toks)).alias("_ntok"),
-                     F.size(F.filter(toks, lambda t: t.rlike("[0-9]"))).alias("_ndig"))
-    return out.drop("_low")
+    """Adds ``_ntok``, ``_ndig`` and one keyword-hit column per type.
+
+    The scores come out of a generator (``inline`` of a one-element array):
+    each is evaluated once per row, and a later filter on a derived column
+    cannot be pushed beneath it (it would otherwise be inlined, duplicated and
+    pushed into the scan, ahead of the parallelism guard)."""
+    low = F.lower(F.col(text))
+    toks = F.split(T.strip_ws(low), r"\s+")
+    scores = F.struct(*[keyword_hits(low, kws).alias(f"_s_{n}") for n, kws in rules.DOC_TYPE_KEYWORDS],
+                      F.when(T.strip_ws(low) == "", F.lit(0)).otherwise(F.size(toks)).alias("_ntok"),
+                      F.size(F.filter(toks, lambda t: t.rlike("[0-9]"))).alias("_ndig"))
+    return df.select("*", F.inline(F.array(scores)))
 
 
 def _pick_type() -> Column:

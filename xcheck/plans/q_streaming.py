@@ -69,8 +69,7 @@ def session_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
 def daily_user_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per (user, UTC day): weighted budget of 10."""
     ev = S.file_stream(spark, sf_dir, "events")
-    key = F.concat_ws("|", F.col("user_id").cast("string"), F.to_date("ts").cast("string"))
-    d = S.budget(ev, key, "ts", "event_id", S.endpoint_weight(_endpoint(F.col("event_type"))), 10.0)
+    d = S.daily_budget(ev, "user_id", "ts", "event_id", S.endpoint_weight(_endpoint(F.col("event_type"))), 10.0)
     return S.run_available_now(d, "daily")
 
 

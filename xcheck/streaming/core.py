@@ -132,6 +132,38 @@ def _budget_fn(cap: float):
     return fn
 
 
+def _daily_budget_fn(cap: float):
+    def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        day, spent = (state.get[0], state.get[1]) if state.exists else ("", 0.0)
+        frames = [p for p in pdfs]
+        if not frames:
+            return
+        pdf = pd.concat(frames).sort_values(["ts", "event_id"])
+        out = []
+        for eid, t, w in zip(pdf["event_id"].tolist(), pdf["ts"].tolist(), pdf["weight"].tolist()):
+            d = t.strftime("%Y-%m-%d")
+            if d != day:                      # a new UTC day: the budget starts over
+                day, spent = d, 0.0
+            if spent + w > cap:
+                out.append((f"{key[0]}|{day}", eid, t, False, 0, spent))
+            else:
+                spent += w
+                out.append((f"{key[0]}|{day}", eid, t, True, 0, spent))
+        state.update((day, float(spent)))
+        yield pd.DataFrame(out, columns=["key", "event_id", "ts", "allowed", "retry_after", "used"])
+    return fn
+
+
+def daily_budget(events: DataFrame, user: str, ts: str, event_id: str, weight: Column, cap: float) -> DataFrame:
+    """Per (user, UTC day) budget. State is kept per user as (day, spent) and
+    resets when the day changes, so there is one stateful group per user, not
+    one per user-day."""
+    ev = events.select(F.col(user).cast("string").alias("key"), F.col(event_id).alias("event_id"),
+                       F.col(ts).alias("ts"), weight.cast("double").alias("weight"))
+    return ev.groupBy("key").applyInPandasWithState(
+        _daily_budget_fn(cap), _DECISION, "day string, spent double", "append", GroupStateTimeout.NoTimeout)
+
+
 def sliding_rate_limit(events: DataFrame, key: str, ts: str, event_id: str, limit: int,
                        seconds: int = 60) -> DataFrame:
     """Per key: allow up to ``limit`` requests per trailing ``seconds``; denied
