@@ -154,12 +154,13 @@ def report_lines(discrepancies: DataFrame) -> DataFrame:
         T.format_number_plain("doc_value"), F.lit(" [Source: "), F.col("doc_snippet"),
         F.lit("]. DB shows "), T.format_number_plain("db_value"), F.lit(" [DB: "),
         F.col("db_snippet"), F.lit("]. Delta: "), sign, T.format_number_plain("delta"), pct)
-    items = discrepancies.select("entity_id", (F.col("doc_ix") + 1).cast("long").alias("line_key"),
-                                 item.alias("line"))
-    ents = discrepancies.select("entity_id").distinct()
-    head = ents.select("entity_id", F.lit(0).cast("long").alias("line_key"),
-                       F.lit("\n\nPRE-COMPUTED DISCREPANCY ANALYSIS (use these exact numbers):").alias("line"))
-    foot = ents.select("entity_id", F.lit(2 ** 62).cast("long").alias("line_key"),
-                       F.lit("Flag each of the above with [DISCREPANCY] in your answer. "
-                             "Do NOT invent additional discrepancies beyond those listed.").alias("line"))
-    return head.unionByName(items).unionByName(foot)
+    head = F.lit("\n\nPRE-COMPUTED DISCREPANCY ANALYSIS (use these exact numbers):")
+    foot = F.lit("Flag each of the above with [DISCREPANCY] in your answer. "
+                 "Do NOT invent additional discrepancies beyond those listed.")
+    # one pass over the discrepancies: every row emits the entity's header and
+    # footer too; duplicates of those two collapse in one aggregation
+    three = F.array(F.struct(F.lit(0).cast("long").alias("line_key"), head.alias("line")),
+                    F.struct((F.col("doc_ix") + 1).cast("long").alias("line_key"), item.alias("line")),
+                    F.struct(F.lit(2 ** 62).cast("long").alias("line_key"), foot.alias("line")))
+    rows = discrepancies.select("entity_id", F.inline(three))
+    return rows.groupBy("entity_id", "line_key").agg(F.first("line").alias("line"))
