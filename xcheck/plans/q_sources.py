@@ -283,7 +283,8 @@ SELECT c_custkey,
   round(c_nationkey / 100.0, 4) AS percent_value,
   round(CAST(round(abs(c_acctbal) / 1000, 1) AS DOUBLE) * 1000, 2) AS amount_k,
   '10.0.' || c_nationkey || '.1' AS client_ip,
-  left(sha256(c_name), 16) AS qhash
+  left(sha256(c_name), 16) AS qhash,
+  coalesce(nullif(left(regexp_replace(replace(lower(trim(regexp_replace(regexp_extract('/uploads/' || c_name || '.csv', '([^/\\\\]+)$', 1), '\\.[^.]*$', ''))), ' ', '_'), '[^a-z0-9_]', '_', 'g'), 50), ''), 'uploaded_data') AS table_name
 FROM customer""")
 def scalar_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = Tables(spark, sf_dir).customer
@@ -298,4 +299,5 @@ def scalar_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
         .alias("amount_k"),
         T.client_ip(F.concat(F.lit(" 10.0."), F.col("c_nationkey").cast("string"), F.lit(".1 , 1.2.3.4")), F.lit("peer"))
         .alias("client_ip"),
-        T.question_hash("c_name").alias("qhash"))
+        T.question_hash("c_name").alias("qhash"),
+        T.table_name_from_file(F.concat(F.lit("/uploads/"), F.col("c_name"), F.lit(".csv"))).alias("table_name"))
