@@ -117,7 +117,24 @@ def route_question(spark: SparkSession, sf_dir: str) -> DataFrame:
                     r["primary_hits"].alias("primary_hits"))
 
 
-@query("suggest_persona", oracle=None)
+
+def _sql_persona() -> str:
+    parts = []
+    for j, (p, ks) in enumerate(rules.UPLOAD_PERSONA_KEYWORDS):
+        hits = " + ".join(f"CAST(bool_or(contains(x, '{k}')) AS INT)" for k in ks)
+        parts.append(f"SELECT source, {j} AS o, '{p}' AS persona, {hits} AS c FROM u GROUP BY source")
+    union = " UNION ALL ".join(parts)
+    return f"""
+WITH r AS (SELECT source, doc_id, lang, text, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rk FROM documents),
+  smp AS (SELECT source, lower(left(string_agg(text, ' ' ORDER BY rk), 5000)) AS x FROM r WHERE rk <= 6 GROUP BY source),
+  u AS (SELECT source, lower('doc_' || doc_id || '_' || lang || '.txt') AS x FROM documents UNION ALL SELECT source, x FROM smp),
+  sc AS ({union}),
+  b AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY CASE WHEN c >= 2 THEN c ELSE 0 END DESC, o) AS k FROM sc)
+SELECT source, CASE WHEN c >= 2 THEN persona ELSE 'Generalist' END AS persona, CASE WHEN c >= 2 THEN c ELSE 0 END AS hits
+FROM b WHERE k = 1"""
+
+
+@query("suggest_persona", oracle=_sql_persona())
 def suggest_persona(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Upload session = ``source``; file name ``doc_<id>_<lang>.txt``; pages in
     ``doc_id`` order."""
