@@ -72,11 +72,10 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Make this package importable on executors (Arrow UDF helpers live in it).
-    Local sessions import it from the driver's path; on a cluster the zipped
-    package is added once per session."""
-    if spark.sparkContext.master.startswith("local"):
-        return
+    """Make this package importable by the Python workers (Arrow UDF helpers,
+    ``mapInPandas`` and stateful functions live in it): the zipped package is
+    added to the session once. Needed on a cluster, and locally whenever the
+    driver was not started from the repository folder."""
     import shutil
     pkg = os.path.dirname(os.path.abspath(__file__))
     out = shutil.make_archive(os.path.join(tempfile.mkdtemp(), "xcheck"), "zip",
