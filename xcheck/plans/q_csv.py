@@ -91,7 +91,12 @@ def looks_multi_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.withColumn("region", F.regexp_extract("file", r"region=(\d+)", 1).cast("int")).drop("file")
 
 
-@query("section_manifest")
+@query("section_manifest", oracle=f"""WITH {_SQL_SECTIONS},
+  l AS (SELECT n_regionkey, sec, printf('Section %d (row %d): "%s"', sec - 1, title_row_idx, 'TABLE ' || sec || ': ' || n_name)
+                 || chr(10) || '  Columns: customer, segment, account_balance, nation_key' || chr(10)
+                 || printf('  Data rows: %d-%d (%d rows)', title_row_idx + 2, title_row_idx + 1 + c, c) AS line FROM pos)
+SELECT n_regionkey AS region, left(string_agg(line, chr(10) || chr(10) ORDER BY sec), 2500) AS manifest FROM l GROUP BY n_regionkey""")
 def section_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = _raw(spark, sf_dir)
-    return CV.section_manifest(CV.csv_sections(raw))
+    m = CV.section_manifest(CV.csv_sections(raw))
+    return m.select(F.regexp_extract("file", r"region=(\d+)", 1).cast("int").alias("region"), "manifest")
