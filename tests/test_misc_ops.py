@@ -127,3 +127,22 @@ def test_percentiles_approx_close(spark):
     exact = A.latency_percentiles(df, ["k"], "v").first()
     appr = A.latency_percentiles(df, ["k"], "v", approx=True).first()
     assert abs(exact["p50"] - appr["p50"]) <= 1 and abs(exact["p95"] - appr["p95"]) <= 1
+
+
+def test_shopify_feed_cases(spark):
+    import json
+    order = {"id": 1001, "total_price": "150.00", "currency": "USD", "financial_status": "partially_refunded",
+             "fulfillment_status": None, "created_at": "2024-03-05T10:00:00Z", "customer": {"email": "a@b.co"},
+             "total_tax": "10.00", "total_discounts": "5.00",
+             "refunds": [{"transactions": [{"kind": "refund", "amount": "25.00"}, {"kind": "sale", "amount": "9.00"}]}]}
+    no_id = dict(order, id=None)
+    raw = spark.createDataFrame([("c1", 0, json.dumps(order)), ("c1", 1, json.dumps(no_id))],
+                                "connection_id string, ix long, raw_json string")
+    n = C.normalize_orders(raw, "shopify").collect()
+    assert len(n) == 1 and n[0]["status"] == "confirmed" and n[0]["total_amount"] == 150.0
+    assert n[0]["order_date"] == dt.datetime(2024, 3, 5, 10, 0)
+    fin = C.shopify_financials(raw.where("ix = 0").withColumn("p", F.lit("2024-03")), ["connection_id", "p"]).first()
+    assert (fin["revenue"], fin["refunds"], fin["fees"], fin["net_proceeds"], fin["order_count"]) == \
+        (150.0, 25.0, 0.0, 125.0, 1)
+    empty = C.shopify_financials(raw.where("ix < 0").withColumn("p", F.lit("2024-03")), ["connection_id", "p"])
+    assert empty.count() == 0
