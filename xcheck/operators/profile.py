@@ -42,10 +42,12 @@ def _unpivot(row: DataFrame, cols: list[str], fields: list[str]) -> DataFrame:
 
 
 def describe_numeric(df: DataFrame, cols: list[str] | None = None, approx: bool = False,
-                     accuracy: int = 10_000) -> DataFrame:
+                     accuracy: int = 10_000, exact_scale: int | None = None) -> DataFrame:
     """count, mean, std (sample), min, 25/50/75 % (linear interpolation), max.
     ``approx=True`` swaps the exact percentiles for ``percentile_approx``
-    (bounded memory per column at any scale)."""
+    (bounded memory per column at any scale). ``exact_scale=s`` (columns with
+    at most ``s`` decimals, e.g. money) accumulates the mean as a sum of scaled
+    integers, so it does not depend on the order partial sums are combined."""
     cols = cols or numeric_columns(df)
     aggs = []
     for c in cols:
@@ -54,7 +56,12 @@ def describe_numeric(df: DataFrame, cols: list[str] | None = None, approx: bool
             q = F.percentile_approx(x, [0.25, 0.5, 0.75], accuracy)
         else:
             q = F.percentile(x, [0.25, 0.5, 0.75])
-        aggs += [F.count(x).alias(f"{c}__count"), F.avg(x).alias(f"{c}__mean"),
+        if exact_scale is None:
+            mean = F.avg(x)
+        else:
+            k = 10 ** exact_scale
+            mean = F.sum(F.round(x * k).cast("long")) / F.count(x) / k
+        aggs += [F.count(x).alias(f"{c}__count"), mean.alias(f"{c}__mean"),
                  F.stddev_samp(x).alias(f"{c}__std"), F.min(x).alias(f"{c}__min"),
                  q.alias(f"{c}__q"), F.max(x).alias(f"{c}__max")]
     row = df.agg(*aggs)
@@ -183,7 +190,7 @@ def numeric_if_majority(df: DataFrame, cols: list[str] | None = None, share: flo
     return df.select(*[parsed[c].alias(c) if c in flip else F.col(c) for c in df.columns])
 
 
-def profile_table(df: DataFrame) -> DataFrame:
+def profile_table(df: DataFrame, exact_scale: int | None = None) -> DataFrame:
     """One-call profile in long form: per column its type, null %, distinct
     count (approximate, HLL), and numeric min/mean/max; rows/columns on every
     row. One aggregation pass."""
@@ -194,8 +201,10 @@ def profile_table(df: DataFrame) -> DataFrame:
         aggs += [F.count_if(F.col(c).isNull()).alias(f"{c}__nulls"),
                  F.approx_count_distinct(c).alias(f"{c}__distinct")]
         if c in nums:
-            aggs += [F.min(F.col(c).cast("double")).alias(f"{c}__min"),
-                     F.avg(F.col(c).cast("double")).alias(f"{c}__mean"),
+            x = F.col(c).cast("double")
+            mean = F.avg(x) if exact_scale is None else (
+                F.sum(F.round(x * 10 ** exact_scale).cast("long")) / F.count(x) / 10 ** exact_scale)
+            aggs += [F.min(x).alias(f"{c}__min"), mean.alias(f"{c}__mean"),
                      F.max(F.col(c).cast("double")).alias(f"{c}__max")]
         else:
             aggs += [F.lit(None).cast("double").alias(f"{c}__min"), F.lit(None).cast("double").alias(f"{c}__mean"),

@@ -17,11 +17,12 @@ def _r6(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 @query("describe_numeric", oracle=" UNION ALL ".join(
-    f"SELECT '{c}' AS column, count({c}) AS count, round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS std, "
+    f"SELECT '{c}' AS column, count({c}) AS count, round(sum(CAST(round({c} * 100) AS BIGINT)) / count({c}) / 100, 6) AS mean, "
+    f"round(stddev_samp({c}), 6) AS std, "
     f"round(min({c}), 6) AS min, round(quantile_cont({c}, 0.25), 6) AS p25, round(quantile_cont({c}, 0.5), 6) AS p50, "
     f"round(quantile_cont({c}, 0.75), 6) AS p75, round(max({c}), 6) AS max FROM lineitem" for c in _LI_NUM))
 def describe_numeric(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = P.describe_numeric(Tables(spark, sf_dir).lineitem, _LI_NUM)
+    d = P.describe_numeric(Tables(spark, sf_dir).lineitem, _LI_NUM, exact_scale=2)   # money / rates: 2 decimals
     return _r6(d, ["mean", "std", "min", "p25", "p50", "p75", "max"])
 
 
@@ -131,9 +132,10 @@ _CUST = [("c_custkey", "bigint", True), ("c_name", "string", False), ("c_nationk
 
 @query("profile_table", oracle=" UNION ALL ".join(
     f"SELECT '{c}' AS column, '{ty}' AS dtype, round_even(count(*) FILTER (WHERE {c} IS NULL) / count(*) * 100, 1) AS null_pct, "
-    + (f"round(min({c}), 6) AS min, round(avg({c}), 6) AS mean, round(max({c}), 6) AS max, " if num else
+    + (f"round(min({c}), 6) AS min, round(sum(CAST(round({c} * 100) AS BIGINT)) / count({c}) / 100, 6) AS mean, "
+       f"round(max({c}), 6) AS max, " if num else
        "CAST(NULL AS DOUBLE) AS min, CAST(NULL AS DOUBLE) AS mean, CAST(NULL AS DOUBLE) AS max, ")
     + "count(*) AS row_count, 5 AS column_count FROM customer" for c, ty, num in _CUST))
 def profile_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = P.profile_table(Tables(spark, sf_dir).customer)
+    p = P.profile_table(Tables(spark, sf_dir).customer, exact_scale=2)
     return _r6(p.drop("distinct"), ["min", "mean", "max"])

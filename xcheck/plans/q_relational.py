@@ -17,7 +17,8 @@ SELECT o_orderkey, o_custkey, o_totalprice FROM orders
 WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT'""",
     "rel_aggregate": """
 SELECT l_returnflag, l_linestatus, count(*) AS n, CAST(sum(l_quantity) AS DOUBLE) AS sum_qty,
-       round(sum(l_extendedprice), 2) AS sum_price, round(avg(l_discount), 6) AS avg_disc,
+       round(sum(l_extendedprice), 2) AS sum_price,
+       round(sum(CAST(round(l_discount * 100) AS BIGINT)) / count(l_discount) / 100, 6) AS avg_disc,
        min(l_extendedprice) AS min_price, max(l_extendedprice) AS max_price
 FROM lineitem GROUP BY l_returnflag, l_linestatus""",
     "rel_join": """
