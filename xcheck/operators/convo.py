@@ -13,7 +13,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-# FIXED VALUES — compression thresholds and text caps
+# FIXED VALUES — compression thresholds and text caps; speaker labels of the
+# plain-text export (the assistant label is a neutral name of our own)
+EXPORT_USER = "You"
+EXPORT_ASSISTANT = "Assistant"
 COMPRESSION_THRESHOLD = 20
 RECENT_WINDOW = 10
 LINE_CHARS = 500
@@ -87,8 +90,8 @@ def history_window(msgs: DataFrame, n: int, width: int | None = None, last_chars
 
 
 def export_blocks(msgs: DataFrame, key: str = "conv_id", order: str = "turn") -> DataFrame:
-    """Plain-text export as ordered blocks: ``--- You ---`` / ``--- DocBot ---``."""
-    who = F.when(F.col("role") == "user", "You").otherwise("DocBot")
+    """Plain-text export as ordered blocks: ``--- You ---`` / ``--- Assistant ---``."""
+    who = F.when(F.col("role") == "user", EXPORT_USER).otherwise(EXPORT_ASSISTANT)
     return msgs.select(key, F.col(order).alias("position"),
                        F.concat(F.lit("\n--- "), who, F.lit(" ---\n"), F.col("text"), F.lit("\n")).alias("block"))
 

@@ -77,7 +77,7 @@ def history_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("conversation_export", oracle=f"""
-SELECT conv_id, turn AS position, chr(10) || '--- ' || CASE WHEN role = 'user' THEN 'You' ELSE 'DocBot' END || ' ---' || chr(10) || text || chr(10) AS block
+SELECT conv_id, turn AS position, chr(10) || '--- ' || CASE WHEN role = 'user' THEN 'You' ELSE 'Assistant' END || ' ---' || chr(10) || text || chr(10) AS block
 FROM {_MSGS}""")
 def conversation_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.export_blocks(_msgs(Tables(spark, sf_dir)))
