@@ -103,3 +103,18 @@ def test_recursive_splitter_properties(spark):
     rows = chunk_recursive(df).collect()
     assert [r["chunk"] for r in rows if r["doc_id"] == 2] == ["tiny"]
     assert len([r for r in rows if r["doc_id"] == 1]) == len(chunks)
+
+
+def test_schema_summary_and_drift(spark):
+    rows = [("c", "wide", i, f"col{i}", "int") for i in range(30)] + [("c", "untyped", 0, "a", None),
+                                                                        ("c", "empty", 0, None, None)]
+    cols = spark.createDataFrame(rows, "connection_id string, table_name string, ordinal int, column_name string, data_type string")
+    got = {r["table_name"]: r["summary"] for r in G.schema_summary(cols).collect()}
+    assert got["wide"].startswith("wide: col0 (int), col1 (int)") and got["wide"].count("(int)") == 20
+    assert got["untyped"] == "untyped: a (unknown)" and got["empty"] == "empty"
+    old = spark.createDataFrame([("c", "t", "a", "int"), ("c", "t", "b", "text")],
+                                "connection_id string, table_name string, column_name string, data_type string")
+    new = spark.createDataFrame([("c", "t", "a", "bigint"), ("c", "t", "c", "text")],
+                                "connection_id string, table_name string, column_name string, data_type string")
+    drift = {r["column_name"]: r["change"] for r in G.schema_drift(old, new).collect()}
+    assert drift == {"a": "retyped", "b": "removed", "c": "added"}
