@@ -6,8 +6,11 @@ import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .ngram_jaccard import ngram_jaccard_join
+from .quality_thresholds import quality_rules
+from .winnowing import winnow_hits
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -29,3 +32,15 @@ def op(name: str, oracle: str | None = None):
 @op("op1_ngram_jaccard_join")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+@op("op4_quality_rules")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents")).drop("failed")
+
+
+@op("op5_winnowing")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = winnow_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return hits.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"),
+                       F.sha2(F.concat_ws(",", "item_ids"), 256).alias("items_sha256"), "contaminated")

@@ -10,6 +10,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
@@ -34,3 +35,23 @@ def written(df: DataFrame, what: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
+
+
+def with_results(docs: DataFrame, column: str, compute, fields: list[tuple[str, str]]) -> DataFrame:
+    """All columns of ``docs`` plus ``fields`` (name, type), which ``compute``
+    makes from one Arrow array of ``column``: it yields (first row, last row,
+    arrays) piece by piece. No shuffle. Columns travel by position, so any
+    names, also clashing ones, are safe; the new names must be free."""
+    plain = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
+    at = docs.columns.index(column)
+    schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in plain.schema.fields]
+                       + [f"r{k} {kind}" for k, (_, kind) in enumerate(fields)])
+    labels = [*plain.columns, *[f"r{k}" for k in range(len(fields))]]
+
+    def run(batches):
+        for b in batches:
+            for lo, hi, arrays in compute(b.column(at)):
+                kept = [b.column(k).slice(lo, hi - lo) for k in range(b.num_columns)]
+                yield pa.RecordBatch.from_arrays([*kept, *arrays], names=labels)
+
+    return plain.mapInArrow(run, schema).toDF(*docs.columns, *[n for n, _ in fields])
