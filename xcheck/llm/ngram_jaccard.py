@@ -11,13 +11,15 @@ own, and the parts summed per pair.
 What keeps the work in proportion to the input:
 
 * Texts with the same set are one class; only classes meet.
-* A class's fragments go to its fragment key's bucket after a map-side star:
-  inside a chunk of a task a bucket sends one posting on, the others are tied
-  to it at once, so a bucket meets at most one posting per chunk in one place.
-* First every member is compared with its bucket's hub only (as many pairs as
-  postings). Links found join classes into components; what is left are pairs
-  across components in one bucket. These are compared exhaustively, behind an
-  exact length filter and an exact bitmap filter (two sets' parity bitmaps
+* Inside a chunk of a task a fragment key sends one posting on to its bucket,
+  the others are members at once, so a bucket meets at most one posting per
+  chunk in one place, whatever the size of a group of copies.
+* A linked pair agrees on at least (filled fragments - D) keys, so a class in
+  fewer shared buckets than that has no link there and leaves.
+* First every member is compared with two hubs of its bucket only (as many pairs
+  as members, twice). Links found join classes into components; what is left are
+  pairs across components in one bucket. These are compared exhaustively, behind
+  an exact length filter and an exact bitmap filter (two sets' parity bitmaps
   differ in no more bits than the sets have n-grams apart), so no link between
   different texts is lost and a component of near copies is never expanded.
 """
@@ -38,8 +40,9 @@ from .words import SPACES, byte_class, mix, ngrams_of_texts, pieces, scan, utf8
 N_WORDS = 4
 THRESHOLD = 85          # percent: linked when 100 * shared >= THRESHOLD * union
 CLASS_STEP = 1.5        # ratio of neighbouring size classes
-SPARE = 0.08            # fragments beyond D + 1, so that empty ones rarely matter
+SPARE = 0.15            # share of fragments beyond D + 1: keys that linked sets must share
 CHUNK = 1_500_000       # postings a task holds before it sends them on
+FIRST_KEYS = 6          # of a node, carried along to skip pairs already met
 OVERLAP_PARTS = 4       # fragments of the exact count
 BLOOM_BITS = 1 << 26    # filter of nodes whose sets are fetched (8 MB, fixed)
 
@@ -120,14 +123,16 @@ def size_classes(largest: int, threshold: int) -> np.ndarray:
 
 
 def _postings(gram: np.ndarray, first: np.ndarray, node: np.ndarray, threshold: int):
-    """(bucket key, node) of every fragment of every set, for its own size class
-    and, where a partner may be of the next class, that one too."""
+    """(bucket key, node, keys that a linked set shares) of every fragment of every
+    set, for its own size class and, where a partner may be of the next class,
+    that one too. A key's low 6 bits are the class."""
     n = np.diff(first)
     if not len(n) or n.max() == 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
     tops = size_classes(int(n.max()), threshold)
     own = np.searchsorted(tops, n)
-    keys, nodes = [], []
+    keys, nodes, needs = [], [], []
+    low = _U(63)
     strong = mix(gram ^ _U(0x2545F4914F6CDD1D))
     total = np.zeros(len(gram) + 1, _U)
     np.cumsum(strong, out=total[1:])
@@ -148,52 +153,54 @@ def _postings(gram: np.ndarray, first: np.ndarray, node: np.ndarray, threshold:
         e = np.append(s[1:], len(at))
         o = owner[s]
         content = total[at[e - 1] + 1] - total[at[s]]
+        label = tag.astype(_U) & low
         key = mix(content ^ mix((part[s] << _U(16)) ^ tag[o].astype(_U) ^ ((e - s).astype(_U) << _U(48))))
-        keys.append(key), nodes.append(node[rows][o])
         filled = np.bincount(o, minlength=len(rows))
-        for r in np.flatnonzero(cuts - filled >= cuts - apart):
+        need = np.maximum(filled - apart, 1).astype(np.int32)
+        keys.append((key & ~low) | label[o]), nodes.append(node[rows][o]), needs.append(need[o])
+        for r in np.flatnonzero(filled <= apart):
             # so many empty fragments that they alone could be the ones agreed on
             r_parts = set(part[s[o == r]].tolist())
             void = np.array([p for p in range(int(cuts[r])) if p not in r_parts], _U)
-            keys.append(mix(mix(void + _U(0x1234567)) ^ tag[r].astype(_U)))
-            nodes.append(np.full(len(void), node[rows[r]]))
-    return np.concatenate(keys).view(np.int64), np.concatenate(nodes)
+            keys.append((mix(mix(void + _U(0x1234567)) ^ tag[r].astype(_U)) & ~low) | label[r])
+            nodes.append(np.full(len(void), node[rows[r]])), needs.append(np.ones(len(void), np.int32))
+    return np.concatenate(keys).view(np.int64), np.concatenate(nodes), np.concatenate(needs)
 
 
-_POSTING = "key long, node long, hub long"
+_POSTING = "key long, node long, need int"
 
 
-def _star(key: np.ndarray, node: np.ndarray):
-    """Distinct (key, node) sorted, and per row the first node of its key, and whether the key has others."""
+def _shared(key: np.ndarray, node: np.ndarray):
+    """Among distinct (key, node): places of each key's first node, and of all
+    nodes of keys with several; both in the given order."""
     order = np.lexsort((node, key))
-    key, node = key[order], node[order]
-    keep = np.ones(len(key), bool)
-    keep[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
-    key, node = key[keep], node[keep]
-    new = np.ones(len(key), bool)
-    new[1:] = key[1:] != key[:-1]
-    s = np.flatnonzero(new)
-    count = np.diff(np.append(s, len(key)))
-    return key, node, np.repeat(node[s], count), np.repeat(count, count) > 1, new
+    k, x = key[order], node[order]
+    keep = np.ones(len(k), bool)
+    keep[1:] = (k[1:] != k[:-1]) | (x[1:] != x[:-1])
+    order, k = order[keep], k[keep]
+    new = np.ones(len(k), bool)
+    new[1:] = k[1:] != k[:-1]
+    count = np.diff(np.append(np.flatnonzero(new), len(k)))
+    return np.sort(order[new]), np.sort(order[np.repeat(count, count) > 1])
 
 
-def _batch(key, node, hub, no_hub) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(key), pa.array(node), pa.array(hub, mask=no_hub)], names=["key", "node", "hub"])
+def _batch(key, node, need) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(key), pa.array(node), pa.array(need)], names=["key", "node", "need"])
 
 
 def bucket_members(texts: DataFrame, text_col: str, n_words: int, threshold: int) -> DataFrame:
-    """(key, node, hub) for every member of every bucket of two or more classes.
-    The hub is the smallest member seen together with it (in a task's chunk, or
-    among the chunks' hubs)."""
+    """(key, node, need) for the members of every bucket of two or more classes;
+    a member may come more than once."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list = []
         count, seen = 0, set()
 
         def out():
-            key, node, hub, shared, head = _star(np.concatenate([k for k, _ in held]), np.concatenate([x for _, x in held]))
-            yield _batch(key[head], node[head], hub[head], np.ones(int(head.sum()), bool))
-            yield _batch(key[shared], node[shared], hub[shared], np.zeros(int(shared.sum()), bool))
+            key, node, need = (np.concatenate(x) for x in zip(*held))
+            first, shared = _shared(key, node)      # in document order, which packs well
+            yield _batch(key[first], node[first], need[first])
+            yield _batch(key[shared], node[shared], -need[shared])      # members already: they need not meet
 
         for b in batches:
             for lo, hi, gram, first in _sets(b.column(0), n_words):
@@ -214,40 +221,36 @@ def bucket_members(texts: DataFrame, text_col: str, n_words: int, threshold: int
             yield from out()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None   # the postings of the last key, which may go on in the next batch
+        rest = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)]    # the last key may go on
+
+        def found(key, node, need):
+            if len(key):
+                at = _shared(key, node)[1]
+                if len(at):
+                    yield _batch(key[at], node[at], need[at])
+
         for b in batches:
-            hub = b.column(2)
-            tied = np.asarray(hub.is_valid())
+            rows = [np.asarray(c) for c in b.columns]
+            tied = rows[2] < 0
             if tied.any():
-                yield b.filter(pa.array(tied))
-            key, node = (np.asarray(b.column(k))[~tied] for k in (0, 1))
-            if rest is not None:
-                key, node = np.concatenate([rest[0], key]), np.concatenate([rest[1], node])
-            if not len(key):
+                yield _batch(rows[0][tied], rows[1][tied], -rows[2][tied])
+            rows = [np.concatenate([x, y[~tied]]) for x, y in zip(rest, rows)]
+            if not len(rows[0]):
                 continue
-            cut = int(np.searchsorted(key, key[-1]))
-            if cut == 0 and len(key) > CHUNK:   # one key over many batches: its hub stays, the rest goes on
-                k, x, h, shared, _ = _star(key, node)
-                yield _batch(k[shared], x[shared], h[shared], np.zeros(int(shared.sum()), bool))
-                rest = (k[:1], x[:1])
+            cut = int(np.searchsorted(rows[0], rows[0][-1]))
+            if cut == 0 and len(rows[0]) > CHUNK:   # one key over many batches: a member stays to meet what comes
+                yield from found(*rows)
+                rest = [x[:1] for x in rows]
                 continue
-            rest = (key[cut:], node[cut:])
-            if cut:
-                k, x, h, shared, _ = _star(key[:cut], node[:cut])
-                if shared.any():
-                    yield _batch(k[shared], x[shared], h[shared], np.zeros(int(shared.sum()), bool))
-        if rest is not None and len(rest[0]):
-            k, x, h, shared, _ = _star(*rest)
-            if shared.any():
-                yield _batch(k[shared], x[shared], h[shared], np.zeros(int(shared.sum()), bool))
+            rest = [x[cut:] for x in rows]
+            yield from found(*[x[:cut] for x in rows])
+        yield from found(*rest)
 
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sent = texts.select(F.col(text_col).alias("text")).mapInArrow(send, _POSTING)
-    # tied postings go anywhere; a bucket's untied ones meet in key order
-    place = F.when(F.col("hub").isNull(), F.col("key")).otherwise(F.xxhash64("key", "node"))
-    return (sent.repartition(parts, place)
-            .sortWithinPartitions(F.col("hub").isNotNull(), "key")
-            .mapInArrow(meet, _POSTING))
+    # members go anywhere; postings that have to meet come in key order
+    place = F.when(F.col("need") > 0, F.col("key")).otherwise(F.xxhash64("key", "node"))
+    return (sent.repartition(parts, place).sortWithinPartitions(F.col("need") > 0, "key").mapInArrow(meet, _POSTING))
 
 
 def _bloom(nodes: DataFrame) -> bytes:
@@ -346,12 +349,16 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     docs = docs.select(F.col(id_col).alias(id_col), F.col(text_col).alias(text_col))
     rows = written(describe_sets(docs, id_col, text_col, n_words), "sets")
     facts = rows.filter("node is not null").groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "b0", "b1", "b2", "b3")])
-    members = written(bucket_members(docs, text_col, n_words, threshold), "buckets")
-    in_buckets = members.select("node").distinct().join(facts, "node")
-    in_buckets = written(in_buckets, "facts")
-
-    # 1. every member with its hub
-    tied = members.filter("hub <> node").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    found = written(bucket_members(docs, text_col, n_words, threshold), "buckets")
+    tag = F.col("key").bitwiseAND(F.lit(63)).alias("tag")
+    able = found.groupBy("node", tag).agg(F.count("*").alias("m"), F.max("need").alias("need")).filter("m >= need").select("node", "tag")
+    members = written(found.select("key", "node", tag).join(able, ["node", "tag"], "left_semi").select("key", "node").distinct(), "members")
+    in_buckets = written(members.select("node").distinct().join(facts, "node"), "facts")
+
+    # 1. every member with its bucket's first and last
+    ends = members.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi")
+    tied = (members.join(ends, "key").select(F.explode(F.array("lo", "hi")).alias("a"), F.col("node").alias("b"), "lo", "hi")
+            .filter("a <> b and not (a = hi and b = lo)").select("a", "b").distinct())
     x, y = in_buckets.alias("x"), in_buckets.alias("y")
     pairs = (tied.join(x, F.col("a") == F.col("x.node")).join(y, F.col("b") == F.col("y.node")).filter(_possible(threshold))
              .select("a", "b", F.col("x.n").alias("na"), F.col("y.n").alias("nb")))
@@ -363,12 +370,17 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     placed = (members.select("key", "node").join(named, "node", "left")
               .withColumn("c", F.coalesce("component", "node")).drop("component"))
     mixed = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("key")
-    placed = written(placed.join(mixed, "key").distinct().join(in_buckets, "node"), "mixed")
-    big = placed.groupBy("key", "c").agg(F.count("*").alias("m")).groupBy("key").agg(F.max_by("c", F.struct("m", "c")).alias("main"))
-    # one side without the bucket's largest component: a pair across components has such a member
-    few = placed.join(big, "key").filter("c <> main").drop("main")
-    x, y = few.alias("x"), placed.alias("y")
-    across = (x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.c") != F.col("y.c")) & _possible(threshold))
+    placed = written(placed.join(mixed, "key").distinct(), "mixed")
+    # a node's first keys tell most pairs that they have met in an earlier bucket
+    heads = (placed.groupBy("node").agg(F.slice(F.array_sort(F.collect_set("key")), 1, FIRST_KEYS).alias("heads"))   # of one text's fragments
+             .join(in_buckets, "node"))
+    most = placed.groupBy("key", "c").agg(F.count("*").alias("m")).groupBy("key").agg(F.max_by("c", F.struct("m", "c")).alias("main"))
+    placed = written(placed.join(heads, "node").join(most, "key").withColumn("in_main", F.col("c") == F.col("main")).drop("main"), "placed")
+    # a pair across components has a member outside the bucket's largest one
+    x, y = placed.filter("not in_main").alias("x"), placed.alias("y")
+    met = F.array_min(F.array_intersect("x.heads", "y.heads")) < F.col("x.key")
+    across = (x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.c") != F.col("y.c")) & (F.col("y.in_main") | (F.col("x.node") < F.col("y.node")))
+                     & _possible(threshold) & ~F.coalesce(met, F.lit(False)))
               .select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"),
                       F.when(F.col("x.node") < F.col("y.node"), F.col("x.n")).otherwise(F.col("y.n")).alias("na"),
                       F.when(F.col("x.node") < F.col("y.node"), F.col("y.n")).otherwise(F.col("x.n")).alias("nb"))

@@ -13,7 +13,9 @@ from .lm_score import cross_entropy_difference
 from .ngram_jaccard import ngram_jaccard_join
 from .packing import pack_documents
 from .quality_thresholds import quality_rules
+from .secret_markov import LEARNED, secret_spans, span_text
 from .sentencepiece_codec import sentencepiece_decode, sentencepiece_encode
+from .url_rules import url_verdicts
 from .winnowing import winnow_hits
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,3 +78,17 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
                        F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
                        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@op("op6_url_filters")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_verdicts(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
+@op("op7_secret_scans")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("__spans", lambda s: s["kind"] != LEARNED)
+    kinds = F.transform("__spans", lambda s: s["kind"])
+    counts = [(F.size("__spans") - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")]
+    return found.select("doc_id", *counts, F.sha2(span_text(base), 256).alias("base_sha256"), span_text(F.col("__spans")).alias("spans"))
