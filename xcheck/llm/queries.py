@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .html_blocks import extract_main_text
 from .lang_id import identify
 from .lm_score import cross_entropy_difference
 from .ngram_jaccard import ngram_jaccard_join
@@ -92,3 +93,9 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = F.transform("__spans", lambda s: s["kind"])
     counts = [(F.size("__spans") - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")]
     return found.select("doc_id", *counts, F.sha2(span_text(base), 256).alias("base_sha256"), span_text(F.col("__spans")).alias("spans"))
+
+
+@op("op2_html_extraction")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return extract_main_text(pages).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
