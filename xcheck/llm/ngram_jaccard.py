@@ -46,6 +46,9 @@ FIRST_KEYS = 6          # of a node, carried along to skip pairs already met
 OVERLAP_PARTS = 4       # fragments of the exact count
 BLOOM_BITS = 1 << 26    # filter of nodes whose sets are fetched (8 MB, fixed)
 
+MAPS = 8                # words of a set's parity bitmap
+_MAPS = [f"b{k}" for k in range(MAPS)]
+
 _U = np.uint64
 
 
@@ -86,7 +89,7 @@ def _node(gram: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def describe_sets(texts: DataFrame, id_col: str, text_col: str, n_words: int) -> DataFrame:
-    """(id, text_key, node, n, b0..b3): the set's name, size and 256-bit parity bitmap."""
+    """(id, text_key, node, n, b0, b1, ...): the set's name, size and 512-bit parity bitmap."""
     kind = texts.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,17 +97,17 @@ def describe_sets(texts: DataFrame, id_col: str, text_col: str, n_words: int) ->
             for lo, hi, gram, first in _sets(b.column(2), n_words):
                 n = np.diff(first)
                 node = _node(gram, first)
-                bit = (gram & _U(255)).astype(np.int64)
+                bit = (gram & _U(511)).astype(np.int64)
                 row = np.repeat(np.arange(hi - lo), n)
-                odd = np.bincount(row * 256 + bit, minlength=(hi - lo) * 256).reshape(hi - lo, 4, 64) & 1
+                odd = np.bincount(row * 512 + bit, minlength=(hi - lo) * 512).reshape(hi - lo, MAPS, 64) & 1
                 maps = (odd.astype(_U) << np.arange(64, dtype=_U)).sum(axis=2, dtype=_U).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo), pa.array(node, mask=n == 0), pa.array(n.astype(np.int64))]
-                    + [pa.array(np.ascontiguousarray(maps[:, k])) for k in range(4)],
-                    names=["id", "text_key", "node", "n", "b0", "b1", "b2", "b3"])
+                    + [pa.array(np.ascontiguousarray(maps[:, k])) for k in range(MAPS)],
+                    names=["id", "text_key", "node", "n", *_MAPS])
 
     cols = [F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text")]
-    return texts.select(*cols).mapInArrow(run, f"id {kind}, text_key long, node long, n long, b0 long, b1 long, b2 long, b3 long")
+    return texts.select(*cols).mapInArrow(run, f"id {kind}, text_key long, node long, n long, " + ", ".join(f"{m} long" for m in _MAPS))
 
 
 def most_apart(a: int, b: int, threshold: int) -> int:
@@ -327,7 +330,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, text_col: str, n_words: int, t
 
 def _possible(threshold: int):
     """Length and bitmap filters: both never reject a linked pair."""
-    apart = sum((F.bit_count(F.col(f"x.b{k}").bitwiseXOR(F.col(f"y.b{k}"))) for k in range(4)), F.lit(0))
+    apart = sum((F.bit_count(F.col(f"x.b{k}").bitwiseXOR(F.col(f"y.b{k}"))) for k in range(MAPS)), F.lit(0))
     return ((F.col("x.n") * 100 >= F.col("y.n") * threshold) & (F.col("y.n") * 100 >= F.col("x.n") * threshold)
             & (apart * (100 + threshold) <= (F.col("x.n") + F.col("y.n")) * (100 - threshold)))
 
@@ -348,7 +351,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     empty result. 64-bit hashes stand for n-grams and sets."""
     docs = docs.select(F.col(id_col).alias(id_col), F.col(text_col).alias(text_col))
     rows = written(describe_sets(docs, id_col, text_col, n_words), "sets")
-    facts = rows.filter("node is not null").groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "b0", "b1", "b2", "b3")])
+    facts = rows.filter("node is not null").groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", *_MAPS)])
     found = written(bucket_members(docs, text_col, n_words, threshold), "buckets")
     tag = F.col("key").bitwiseAND(F.lit(63)).alias("tag")
     able = found.groupBy("node", tag).agg(F.count("*").alias("m"), F.max("need").alias("need")).filter("m >= need").select("node", "tag")
@@ -392,7 +395,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         if not more.isEmpty():
             named = connected_components(links.unionAll(more))
 
-    grouped = rows.join(named, "node", "left").withColumn("group", F.coalesce("component", "node")).drop("component", "b0", "b1", "b2", "b3")
+    grouped = rows.join(named, "node", "left").withColumn("group", F.coalesce("component", "node")).drop("component", *_MAPS)
     smallest = grouped.filter("node is not null").groupBy("group").agg(F.min("id").alias("smallest"))
     return (grouped.join(smallest, "group", "left")
             .select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
