@@ -99,9 +99,9 @@ def test_quality_rules(docs, empty):
 def test_fences_follow_their_group(spark):
     # one source is full of symbols, the other has none: the same document passes in one only
     body = " ".join(f"word{i}" for i in range(40))
-    noisy = [(i, body + " #" * (10 + i % 20), "en", "noisy") for i in range(150)]
+    noisy = [(i, body + " " + "#" * (10 + i % 20), "en", "noisy") for i in range(150)]
     clean = [(1000 + i, body, "en", "clean") for i in range(150)]
-    odd = [(5000, body + " #" * 20, "en", "noisy"), (5001, body + " #" * 20, "en", "clean")]
+    odd = [(5000, body + " " + "#" * 20, "en", "noisy"), (5001, body + " " + "#" * 20, "en", "clean")]
     got = quality_thresholds.quality_rules(spark.createDataFrame(noisy + clean + odd, "doc_id long, text string, lang string, source string"))
     kept = {r.doc_id: r.kept for r in got.collect()}
     assert kept[5000] and not kept[5001]
