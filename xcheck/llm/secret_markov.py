@@ -68,8 +68,8 @@ def _pairs(value: Column) -> Column:
     """Neighbouring characters as first * size + second, places in the alphabet (0: none of it)."""
     size = len(ALPHABET) + 1
     places = F.transform(F.split(value, ""), lambda c: F.position(c, F.lit(ALPHABET)))
-    n = F.size(places) - 1
-    return F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.element_at(places, i) * size + F.coalesce(F.try_element_at(places, i + 1), F.lit(0)))
+    ahead = F.slice(places, F.lit(2), F.greatest(F.length(value), F.lit(1)))
+    return F.zip_with(places, ahead, lambda a, b: a * size + F.coalesce(b, F.lit(0)))
 
 
 def train(docs: DataFrame, text_col: str, sample: int = SAMPLE) -> list[float]:
@@ -79,7 +79,7 @@ def train(docs: DataFrame, text_col: str, sample: int = SAMPLE) -> list[float]:
     some = docs.select(F.col(text_col).alias("t")).filter((F.pmod(F.xxhash64("t"), F.lit(1 << 30)) < share) & F.col("t").isNotNull())
     random = some.select(F.explode(F.transform(_base(F.col("t")), lambda s: s["value"])).alias("v"), F.lit(1).alias("random")).filter("v rlike '[0-9]'")
     # ordinary: words of letters (any of the sample), identifiers with joints included
-    words = F.regexp_extract_all(F.col("t"), F.lit(r"(?<![A-Za-z0-9])[A-Za-z][a-z]{3,}(?:[_-]?[A-Z]?[a-z]{2,}|[_-]?[0-9]+)*(?![A-Za-z0-9])"), F.lit(0))
+    words = F.regexp_extract_all(F.col("t"), F.lit(r"(?<![A-Za-z0-9])[A-Za-z][a-z]{3,}+(?:[_-]?[A-Z]?[a-z]{2,}+|[_-]?[0-9]++)*+(?![A-Za-z0-9])"), F.lit(0))
     ordinary = some.select(F.explode(words).alias("v"), F.lit(0).alias("random"))
     ordinary = ordinary.groupBy("v", "random").agg(F.count("*").alias("n"))      # distinct words first
     seen = random.withColumn("n", F.lit(1).cast("long")).unionByName(ordinary.select("v", "random", "n"))
