@@ -83,3 +83,29 @@ def test_daily_budget_resets_per_day(spark, tmp_path):
         by_day.setdefault(t.date(), []).append(i)
     for day, ids in by_day.items():
         assert [got[i] for i in ids] == S.budget_reference([5.0] * len(ids), 10.0)
+
+
+def test_daily_budget_late_event_keeps_both_days(spark, tmp_path):
+    day = dt.datetime(2024, 1, 2, 1)
+    rows = [(1, day, 1), (2, day - dt.timedelta(hours=2), 1), (3, day + dt.timedelta(hours=1), 1)]
+    for r in rows:
+        (spark.createDataFrame([r], "event_id long, ts timestamp, user_id long").coalesce(1)
+         .write.mode("append").parquet(str(tmp_path / "events.parquet")))
+    ev = S.file_stream(spark, str(tmp_path), "events", max_files=1)
+    out = S.run_available_now(S.daily_budget(ev, "user_id", "ts", "event_id", F.lit(10.0), 10.0), "t-late").collect()
+    assert {r["event_id"]: r["allowed"] for r in out} == {1: True, 2: True, 3: False}
+
+
+def test_stream_upsert_resumes_and_keeps_rows(spark, tmp_path):
+    feed, table = str(tmp_path / "feed"), str(tmp_path / "table")
+    schema = "k string, v long, ix long"
+
+    def pull(rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(feed)
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(feed)
+        return {r["k"]: r["v"] for r in S.stream_upsert(stream, table, ["k"], "ix").collect()}
+
+    assert pull([("a", 1, 0), ("b", 1, 0)]) == {"a": 1, "b": 1}
+    assert pull([("a", 2, 1), ("c", 1, 1)]) == {"a": 2, "b": 1, "c": 1}
+    assert pull([("d", 1, 2)]) == {"a": 2, "b": 1, "c": 1, "d": 1}
+    assert [v.split("-")[0] for v in S.committed_versions(spark, table)] == ["v000000000000", "v000000000001", "v000000000002"]

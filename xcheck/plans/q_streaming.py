@@ -91,9 +91,9 @@ SELECT connection_id, CAST(o_orderkey AS VARCHAR) AS marketplace_order_id,
        CASE WHEN o_orderdate >= TIMESTAMP '1995-07-01' THEN 1 ELSE 0 END AS updated_at
 FROM so""")
 def stream_upsert_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order feed arriving as two files (the earlier pull, then an overlapping
-    pull with refreshed statuses) streamed one file per micro-batch and
-    upserted by (connection_id, marketplace_order_id)."""
+    """Order feed arriving in two pulls (the earlier one, then an overlapping one
+    with refreshed statuses); each pull is one run of the same stream, which
+    resumes at its checkpoint and upserts by (connection_id, marketplace_order_id)."""
     from ..operators import commerce as C
     from ..session import Tables
     from .q_commerce import shopify_raw
@@ -103,11 +103,10 @@ def stream_upsert_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = n.where(ts < F.lit("1996-01-01").cast("timestamp"))
     second = n.where(ts >= F.lit("1995-07-01").cast("timestamp")).withColumn("status", F.upper("status"))
     cols = ["connection_id", "marketplace_order_id", "status", "total_amount", "ix"]
-    first.select(*cols).coalesce(1).write.parquet(f"{feed_dir}/f1")
-    second.select(*cols).coalesce(1).write.parquet(f"{feed_dir}/f2")
-    schema = spark.read.parquet(f"{feed_dir}/f1").schema
-    stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True)
-              .option("pathGlobFilter", "*.parquet").parquet(feed_dir))
-    out = S.stream_upsert(stream, S.scratch(spark, "orders_table"), ["connection_id", "marketplace_order_id"], "ix")
+    table = S.scratch(spark, "orders_table")
+    for pull in (first, second):
+        pull.select(*cols).write.mode("append").parquet(feed_dir)
+        stream = spark.readStream.schema(spark.read.parquet(feed_dir).schema).parquet(feed_dir)
+        out = S.stream_upsert(stream, table, ["connection_id", "marketplace_order_id"], "ix")
     return out.select("connection_id", "marketplace_order_id", "status", F.round("total_amount", 2).alias("total_amount"),
                       F.col("updated_at").cast("int").alias("updated_at"))

@@ -3,14 +3,15 @@
 Streams read files incrementally (``readStream`` with an explicit schema),
 carry event time as ``timestamp``, and run with ``availableNow`` so a backlog
 is processed in bounded micro-batches and the query stops when caught up.
-Every query writes through a checkpoint in the session's checkpoint folder, so
-a restarted job resumes exactly where it stopped.
+Every query writes through a checkpoint in the session's checkpoint folder; the
+streaming upsert keeps its checkpoint with its table and resumes there, the other
+registered queries are one-off runs with a fresh checkpoint.
 
 Stateful quota folds (sliding rate limit, session / daily budgets) are
 sequential per key by definition; ``applyInPandasWithState`` keeps only the
 per-key state (accepted timestamps inside the window, or the amount spent)
-between micro-batches, so memory per key is bounded by the state, and a hot key
-is split across micro-batches instead of being gathered whole.
+between micro-batches; one key's rows of one micro-batch are sorted together, so
+bound the batches (``max_files``) where a key may be hot.
 """
 
 from __future__ import annotations
@@ -88,6 +89,7 @@ def financials_by_day(orders: DataFrame, ts: str, amount: str, by: str, watermar
 # Stateful quota folds
 # ---------------------------------------------------------------------------
 
+_DAY_MS = 86_400_000
 _DECISION = "key string, event_id long, ts timestamp, allowed boolean, retry_after long, used double"
 
 
@@ -132,36 +134,42 @@ def _budget_fn(cap: float):
     return fn
 
 
-def _daily_budget_fn(cap: float):
+def _daily_budget_fn(cap: float, lateness_ms: int):
     def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        day, spent = (state.get[0], state.get[1]) if state.exists else ("", 0.0)
+        user, day = key
+        if state.hasTimedOut:
+            state.remove()
+            return
+        spent = state.get[0] if state.exists else 0.0
         frames = [p for p in pdfs]
         if not frames:
             return
         pdf = pd.concat(frames).sort_values(["ts", "event_id"])
         out = []
         for eid, t, w in zip(pdf["event_id"].tolist(), pdf["ts"].tolist(), pdf["weight"].tolist()):
-            d = t.strftime("%Y-%m-%d")
-            if d != day:                      # a new UTC day: the budget starts over
-                day, spent = d, 0.0
-            if spent + w > cap:
-                out.append((f"{key[0]}|{day}", eid, t, False, 0, spent))
-            else:
+            ok = spent + w <= cap
+            if ok:
                 spent += w
-                out.append((f"{key[0]}|{day}", eid, t, True, 0, spent))
-        state.update((day, float(spent)))
+            out.append((f"{user}|{day}", eid, t, ok, 0, spent))
+        state.update((float(spent),))
+        closes = int(pd.Timestamp(day, tz="UTC").timestamp() * 1000) + _DAY_MS + lateness_ms
+        state.setTimeoutTimestamp(max(closes, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=["key", "event_id", "ts", "allowed", "retry_after", "used"])
     return fn
 
 
-def daily_budget(events: DataFrame, user: str, ts: str, event_id: str, weight: Column, cap: float) -> DataFrame:
-    """Per (user, UTC day) budget. State is kept per user as (day, spent) and
-    resets when the day changes, so there is one stateful group per user, not
-    one per user-day."""
-    ev = events.select(F.col(user).cast("string").alias("key"), F.col(event_id).alias("event_id"),
-                       F.col(ts).alias("ts"), weight.cast("double").alias("weight"))
-    return ev.groupBy("key").applyInPandasWithState(
-        _daily_budget_fn(cap), _DECISION, "day string, spent double", "append", GroupStateTimeout.NoTimeout)
+def daily_budget(events: DataFrame, user: str, ts: str, event_id: str, weight: Column, cap: float,
+                 late_days: int = 2) -> DataFrame:
+    """Per (user, UTC day) budget: an event is charged to its own day, whatever
+    order days arrive in. The state of a day (the amount spent) goes once the
+    watermark, ``late_days`` behind the newest event, has passed it by as much
+    again; events behind the watermark are left out, as in any windowed stream."""
+    ev = (events.withWatermark(ts, f"{late_days} days")
+          .select(F.col(user).cast("string").alias("key"), F.date_format(ts, "yyyy-MM-dd").alias("day"),
+                  F.col(event_id).alias("event_id"), F.col(ts).alias("ts"), weight.cast("double").alias("weight")))
+    return ev.groupBy("key", "day").applyInPandasWithState(
+        _daily_budget_fn(cap, late_days * _DAY_MS), _DECISION, "spent double", "append",
+        GroupStateTimeout.EventTimeTimeout)
 
 
 def sliding_rate_limit(events: DataFrame, key: str, ts: str, event_id: str, limit: int,
@@ -220,34 +228,45 @@ def budget_reference(weights: list[float], cap: float) -> list[bool]:
 # Streaming upsert into a versioned Parquet table
 # ---------------------------------------------------------------------------
 
+def committed_versions(spark: SparkSession, table: str) -> list[str]:
+    """Names of the committed versions of a versioned table, oldest first."""
+    return sorted(v for v in fs_list(spark, table) if v.startswith("v") and "_SUCCESS" in fs_list(spark, f"{table}/{v}"))
+
+
 def latest_version(spark: SparkSession, table: str):
     """Path of the newest committed version of a versioned table (or None)."""
-    vs = sorted(v for v in fs_list(spark, table) if v.startswith("v") and "_SUCCESS" in fs_list(spark, f"{table}/{v}"))
+    vs = committed_versions(spark, table)
     return f"{table}/{vs[-1]}" if vs else None
 
 
 def stream_upsert(feed: DataFrame, table: str, keys: list[str], order_col: str, what: str = "upsert"):
     """Each micro-batch is upserted into ``table``: rows of the batch replace
     rows with the same key (latest ``order_col`` inside the batch wins) and a
-    new version ``v<epoch>`` is written. Re-running an epoch rewrites the same
-    version, so a retried batch is idempotent; readers take the newest
-    committed version."""
+    new version ``v<number>-<what>-e<epoch>`` is written, one above the newest.
+
+    The checkpoint lies beside the versions (``_checkpoint/<what>``), so a later
+    call goes on where the last one ended. The name of a version records its
+    epoch: an epoch that is already committed is skipped, and one that was cut
+    off is written again under the same name. Readers take the newest committed
+    version; a version is never read while it is written."""
     from ..operators.commerce import upsert
     spark = feed.sparkSession
-    base = scratch(spark, what)
 
     def apply(batch: DataFrame, epoch: int) -> None:
-        cur = latest_version(spark, table)
+        done = committed_versions(spark, table)
+        if any(v.endswith(f"-{what}-e{epoch}") for v in done):
+            return
         cols = [c for c in batch.columns if c != order_col]
-        if cur is None:
+        if not done:
             first = batch.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in cols if c not in keys]), F.col(order_col)).alias("_r"))
             out = first.select(*keys, "_r.*").withColumn("updated_at", F.lit(epoch).cast("long"))
         else:
-            target = spark.read.parquet(cur)
+            target = spark.read.parquet(f"{table}/{done[-1]}")
             out = upsert(target, batch, keys, order_col=order_col, now=F.lit(epoch).cast("long"))
-        out.write.mode("overwrite").parquet(f"{table}/v{epoch:08d}")
+        number = int(done[-1][1:].split("-")[0]) + 1 if done else 0
+        out.write.mode("overwrite").parquet(f"{table}/v{number:012d}-{what}-e{epoch}")
 
-    q = (feed.writeStream.foreachBatch(apply).option("checkpointLocation", f"{base}/_checkpoint")
+    q = (feed.writeStream.foreachBatch(apply).option("checkpointLocation", f"{table}/_checkpoint/{what}")
          .trigger(availableNow=True).start())
     q.awaitTermination()
     if q.exception():
