@@ -26,8 +26,10 @@ _ROOT_OK = {"Project", "Aggregate", "Sort", "Filter", "GlobalLimit", "Distinct",
             "UnresolvedHaving", "WithWindowDefinition", "Join", "Generate", "Window",
             "SubqueryAlias", "Pivot", "Unpivot"}
 _SETOPS = {"Union", "Except", "Intersect"}
+_WRAPPERS = {"Sort", "GlobalLimit", "LocalLimit", "Offset", "Distinct"}
 _FILE_FORMATS = {"parquet", "csv", "json", "orc", "text", "avro", "binaryfile", "delta", "jdbc"}
-_REFLECT = re.compile(r"\b(reflect|java_method|try_reflect)\s*\(", re.I)
+_REFLECT = re.compile(r"\b(reflect|java_method|try_reflect)`?\s*\(", re.I)
+_NOT_CODE = re.compile(r"""'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*"|--[^\n]*|/\*.*?\*/""", re.S)
 
 
 def _parsed_lines(spark: SparkSession, sql: str) -> list[str]:
@@ -44,20 +46,48 @@ def _node(line: str) -> str:
     return re.split(r"[\s\[(]", s, maxsplit=1)[0]
 
 
-def _query_root(lines: list[str]) -> tuple[str, str | None]:
-    """Root node of the final query (below a ``CTE`` wrapper) and its child."""
+def _root_chain(lines: list[str]) -> list[str]:
+    """Nodes of the final query (below a ``CTE`` wrapper) from its root through
+    ordering, limits, offsets and DISTINCT, up to and with the first other node."""
     names = [_node(ln) for ln in lines]
-    if names[0] != "CTE":
-        return names[0], names[1] if len(names) > 1 else None
-    for i, ln in enumerate(lines):
-        if ln.startswith("+- "):
-            return names[i], names[i + 1] if i + 1 < len(names) else None
-    return names[0], None
+    at = 0
+    if names[0] == "CTE":
+        at = next((i for i, ln in enumerate(lines) if ln.startswith("+- ")), 0)
+    chain = []
+    for n in names[at:]:
+        chain.append(n)
+        if n not in _WRAPPERS:
+            break
+    return chain
+
+
+def _code_only(sql: str) -> str:
+    """The statement with string literals and comments blanked out, at the same
+    length, so that positions carry over."""
+    return _NOT_CODE.sub(lambda m: " " * len(m.group()), sql)
+
+
+def _without_limit(sql: str) -> str:
+    """The statement without the LIMIT clause of its outermost query; an OFFSET
+    after it stays."""
+    code, depth, limit, end = _code_only(sql), 0, None, len(sql)
+    for m in re.finditer(r"[()]|;|\b(?:limit|offset)\b", code, flags=re.I):
+        t = m.group().lower()
+        depth += {"(": 1, ")": -1}.get(t, 0)
+        if depth:
+            continue
+        if t == "limit":
+            limit, end = m.start(), len(sql)
+        elif t in ("offset", ";") and limit is not None and end == len(sql):
+            end = m.start()
+    return sql if limit is None else sql[:limit] + sql[end:]
 
 
 def check_select(spark: SparkSession, sql: str) -> str:
-    """Validate; returns the query-root node name. Raises ``QueryRejected``."""
-    if _REFLECT.search(sql):
+    """Validate; returns the query-root node name. Raises ``QueryRejected``.
+    Reflection is looked for in the code outside literals and comments (plan
+    strings are cut after some columns)."""
+    if _REFLECT.search(_code_only(sql)):
         raise QueryRejected("Only SELECT queries are permitted.")
     lines = _parsed_lines(spark, sql)
     for ln in lines:
@@ -71,8 +101,9 @@ def check_select(spark: SparkSession, sql: str) -> str:
             first = parts.group(1).split(",")[0].strip().lower() if parts else ""
             if first in _FILE_FORMATS:
                 raise QueryRejected("Only SELECT queries over registered tables are permitted.")
-    root, child = _query_root(lines)
-    if root in _SETOPS or (root == "Distinct" and child in _SETOPS):
+    chain = _root_chain(lines)
+    root = chain[0]
+    if chain[-1] in _SETOPS:
         raise QueryRejected("Only SELECT queries are permitted. Set operations must be inside a CTE.")
     if root not in _ROOT_OK:
         raise QueryRejected("Only SELECT queries are permitted. Write operations are not allowed.")
@@ -81,13 +112,13 @@ def check_select(spark: SparkSession, sql: str) -> str:
 
 def safe_select(spark: SparkSession, sql: str, cap: int = 500, replace: bool = False) -> DataFrame:
     """Run one validated SELECT. Without a root LIMIT a ``limit(cap)`` is added;
-    with ``replace=True`` (the full-series rerun) an existing trailing LIMIT is
+    with ``replace=True`` (the full-series rerun) an existing root LIMIT is
     replaced by ``cap``."""
     root = check_select(spark, sql)
     if root == "GlobalLimit":
         if not replace:
             return spark.sql(sql)
-        sql = re.sub(r"\s+LIMIT\s+\d+\s*;?\s*$", "", sql.strip(), flags=re.I)
+        sql = _without_limit(sql)
     return spark.sql(sql).limit(cap)
 
 
