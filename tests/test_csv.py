@@ -1,5 +1,7 @@
 """CSV fixtures: multi-section, BOM, messy headers, single table."""
 
+from pyspark.sql import functions as F
+
 from xcheck.sources import csvio as CV
 
 MULTI = ("TABLE 1: Sales,,\nProduct,Revenue,Units\nA,100,1\nB,200,2\nC,300,3\n"
@@ -42,3 +44,20 @@ def test_single_bom_messy(spark, tmp_path):
     raw = CV.read_csv_loose(spark, _write(tmp_path, "messy.csv", MESSY))
     s = CV.csv_sections(raw).first()
     assert s["columns"] == ["product_name", "revenue", "notes"] and s["row_count"] == 2
+
+
+def test_ragged_multiline_quotes_latin1(spark, tmp_path):
+    text = ('TABLE 1: Sales\nProduct,Revenue,Notes\nA,100,"two\nlines"\nB,200\nC,300,"say ""hi"""\nTABLE 2: Costs\n'
+            'Item,Cost,Qty\nX,10,1,extra\n')
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a b.csv").write_text(text, encoding="utf-8")
+    (tmp_path / "in" / "old.csv").write_bytes("name,city\nx,Zürich\n".encode("latin-1"))
+    raw = CV.read_csv_loose(spark, str(tmp_path / "in"))
+    rows = {}
+    for r in raw.orderBy("file", "row_ix").collect():
+        rows.setdefault("old" if "old.csv" in r["file"] else "new", []).append([c for c in r["cells"] if c is not None])
+    assert rows["new"] == [["TABLE 1: Sales"], ["Product", "Revenue", "Notes"], ["A", "100", "two\nlines"], ["B", "200"],
+                           ["C", "300", 'say "hi"'], ["TABLE 2: Costs"], ["Item", "Cost", "Qty"], ["X", "10", "1", "extra"]]
+    assert rows["old"] == [["name", "city"], ["x", "Zürich"]]
+    s = CV.csv_sections(raw.where(F.col("file").contains("old.csv") == F.lit(False))).orderBy("index").collect()
+    assert [(r["name"], r["row_count"]) for r in s] == [("TABLE 1: Sales", 3), ("TABLE 2: Costs", 1)]

@@ -90,19 +90,54 @@ def test_gate_limit(spark):
     assert G.safe_select(spark, "SELECT id FROM gate_t LIMIT 10", cap=700, replace=True).count() == 700
 
 
-def test_recursive_splitter_properties(spark):
-    from xcheck.operators.chunking import split_text, chunk_recursive
+def test_gate_limit_with_offset_comment_and_literals(spark):
+    spark.range(1000).createOrReplaceTempView("gate_t")
+    for sql in ("SELECT id FROM gate_t ORDER BY id LIMIT 10 OFFSET 2", "SELECT id FROM gate_t LIMIT 10 -- tail",
+                "SELECT id, 'limit 3 (' AS s FROM (SELECT id FROM gate_t LIMIT 999) LIMIT 10"):
+        assert G.safe_select(spark, sql, cap=700, replace=True).count() == 700
+    assert G.safe_select(spark, "SELECT id FROM gate_t ORDER BY id LIMIT 10 OFFSET 2", cap=700, replace=True).first()[0] == 2
+    assert G.safe_select(spark, "SELECT 'reflect(x)' AS s").first()[0] == "reflect(x)"
+
+
+@pytest.mark.parametrize("sql", [
+    "SELECT 1 AS k UNION SELECT 2 ORDER BY k LIMIT 5", "SELECT 1 AS k UNION ALL SELECT 2 ORDER BY k",
+    "WITH a AS (SELECT 1 AS k) SELECT k FROM a UNION ALL SELECT k FROM a LIMIT 3",
+    "SELECT 'a' AS s, `reflect`('java.lang.Thread', 'sleep') AS r",
+])
+def test_gate_rejects_root_set_operations(spark, sql):
+    with pytest.raises(G.QueryRejected):
+        G.safe_select(spark, sql)
+
+
+def test_html_references_and_quoted_gt(spark):
+    assert _one(spark, DO.html_to_text, "<p>Caf&eacute; &#8217;26 &#x41; &copy;</p>") == "Café ’26 A ©"
+    assert _one(spark, DO.html_to_text, '<p title="a > b">x</p> 1 < 2') == "x\n1 < 2"
+
+
+def test_chunks_cut_at_the_coarsest_separator(spark):
+    from xcheck.operators.chunking import chunk_recursive, chunks_of
     para = " ".join(f"word{i}" for i in range(400))
-    text = para + "\n\n" + para[:500] + "\nshort line\n\n" + "x" * 2500
-    chunks = split_text(text, 1000, 200)
-    assert all(len(c) <= 1000 for c in chunks)
-    assert chunks[0].startswith("word0") and set(chunks[-1]) == {"x"} and len(chunks[-1]) > 800
-    # consecutive chunks of the long paragraph overlap
-    assert any(chunks[0][-50:].split()[-1] in c for c in chunks[1:3])
-    df = spark.createDataFrame([(1, text), (2, "tiny")], "doc_id long, text string")
-    rows = chunk_recursive(df).collect()
-    assert [r["chunk"] for r in rows if r["doc_id"] == 2] == ["tiny"]
-    assert len([r for r in rows if r["doc_id"] == 1]) == len(chunks)
+    text = para[:600] + "\n\n" + para + "\nshort line\n\n" + "x" * 2500
+    got = chunks_of(text, 1000, 200)
+    assert all(0 < len(c) <= 1000 for c in got) and got[0] == para[:600]
+    words = set(text.split())
+    assert all(w in words for c in got[:3] for w in c.split())          # no word is cut before the long one
+    assert all(any(w in c for c in got) for w in words if len(w) < 100)
+    assert got[1].split()[-1] in got[2].split()                         # whole words are repeated
+    assert sum(c.count("x") for c in got) >= 2500
+    df = spark.createDataFrame([(1, text), (2, "tiny"), (3, ""), (4, None), (5, " \n ")], "doc_id long, text string")
+    rows = chunk_recursive(df).orderBy("doc_id", "chunk_ix").collect()
+    assert [r["chunk"] for r in rows if r["doc_id"] == 1] == got
+    assert [(r["doc_id"], r["chunk"]) for r in rows if r["doc_id"] > 1] == [(2, "tiny")]
+
+
+def test_chunk_page_is_the_first_that_holds_its_head(spark):
+    pages = spark.createDataFrame([(1, 1, "intro " + "a" * 50), (1, 2, "b" * 90), (1, 3, "a" * 50)],
+                                  "doc_id long, page int, page_text string")
+    chunks = spark.createDataFrame([(1, 0, "a" * 50), (1, 1, "b" * 85), (1, 2, "zz"), (1, 3, ""), (1, 4, "a" * 45)],
+                                   "doc_id long, chunk_ix int, chunk string")
+    got = {r["chunk_ix"]: r["page"] for r in DO.attach_page_meta(chunks, pages).collect()}
+    assert got == {0: 3, 1: 2, 2: 1, 3: 1, 4: 1}
 
 
 def test_schema_summary_and_drift(spark):

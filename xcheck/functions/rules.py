@@ -234,8 +234,9 @@ EXPANSION_RULES = [
 # ---------------------------------------------------------------------------
 CHUNK_SIZE = 1000
 CHUNK_OVERLAP = 200
+CHUNK_SEPARATORS = ["\n\n", "\n", " "]       # coarsest first: paragraph, line, word
 HTML_DROP_TAGS = ["script", "style"]          # element and content removed
 HTML_DROP_VOID_TAGS = ["meta", "link"]        # empty elements, removed with the tags
-HTML_ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"),
-                 ("&nbsp;", " "), ("&amp;", "&")]
+# a tag ends at the first > outside its quoted values (possessive: no backtracking)
+HTML_TAG = r"""<[/!?a-zA-Z](?:[^>"']++|"[^"]*+"|'[^']*+')*+>"""
 PAGE_MIN_CHARS = 50

@@ -1,15 +1,20 @@
-"""Recursive character splitting (separators paragraph -> line -> space ->
-character, chunks of at most ``size`` characters overlapping by up to
-``overlap``), the default chunker for documents without a semantic type.
-
-Whole documents are split in place (one document = one row) by a small Python
-helper inside an Arrow UDF, then exploded; Spark partitions the documents.
+"""Chunks of whole documents, cut at the coarsest separator: the default for
+documents without a semantic type.
+
+A chunk is a span of at most ``size`` characters. It ends after the last
+paragraph break in the second half of that span; where there is none, after the
+last line break there, then after the last space, else at ``size``. The next
+chunk starts after the first white space of this one's last ``overlap``
+characters, so it repeats whole words (without white space there, at the
+overlap's first character). Chunks are stripped; empty ones go. Null and empty
+texts have no chunk.
+
+The spans of a text follow from one another, so each document is walked once by
+a short Arrow function; Spark deals the documents.
 """
 
 from __future__ import annotations
 
-import re
-
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,82 +22,34 @@ from pyspark.sql.types import ArrayType, StringType
 
 from ..functions import rules
 
-# FIXED VALUES — separator ladder
-SEPARATORS = ["\n\n", "\n", " ", ""]
-
-
-def _split_keep(text: str, sep: str) -> list[str]:
-    """Split on ``sep`` keeping it at the start of each following piece."""
-    if not sep:
-        return [c for c in text]
-    parts = re.split(f"({re.escape(sep)})", text)
-    out = [parts[0]] + [parts[i] + parts[i + 1] for i in range(1, len(parts) - 1, 2)]
-    if len(parts) % 2 == 0:
-        out.append(parts[-1])
-    return [p for p in out if p != ""]
-
-
-def _join(pieces: list[str], sep: str) -> str | None:
-    t = sep.join(pieces).strip()
-    return t or None
-
-
-def _merge(splits: list[str], sep: str, size: int, overlap: int) -> list[str]:
-    docs, cur, total = [], [], 0
-    slen = len(sep)
-    for d in splits:
-        n = len(d)
-        if total + n + (slen if cur else 0) > size:
-            if cur:
-                j = _join(cur, sep)
-                if j is not None:
-                    docs.append(j)
-                while total > overlap or (total + n + (slen if cur else 0) > size and total > 0):
-                    total -= len(cur[0]) + (slen if len(cur) > 1 else 0)
-                    cur = cur[1:]
-        cur.append(d)
-        total += n + (slen if len(cur) > 1 else 0)
-    j = _join(cur, sep)
-    if j is not None:
-        docs.append(j)
-    return docs
-
-
-def split_text(text: str, size: int = rules.CHUNK_SIZE, overlap: int = rules.CHUNK_OVERLAP,
-               seps: list[str] | None = None) -> list[str]:
-    seps = SEPARATORS if seps is None else seps
-    sep, rest = seps[-1], []
-    for i, s in enumerate(seps):
-        if s == "":
-            sep = s
-            break
-        if s in text:
-            sep, rest = s, seps[i + 1:]
-            break
-    out, good = [], []
-    for piece in _split_keep(text, sep):
-        if len(piece) < size:
-            good.append(piece)
-            continue
-        if good:
-            out.extend(_merge(good, "", size, overlap))
-            good = []
-        out.extend(split_text(piece, size, overlap, rest) if rest else [piece])
-    if good:
-        out.extend(_merge(good, "", size, overlap))
-    return out
-
-
-def _udf(size: int, overlap: int):
-    @F.pandas_udf(ArrayType(StringType()))
-    def split(texts: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None else split_text(t, size, overlap) for t in texts])
-    return split
+_WHITE = " \t\n\f\r"
+
+
+def chunks_of(text: str | None, size: int = rules.CHUNK_SIZE, overlap: int = rules.CHUNK_OVERLAP) -> list[str]:
+    if size < 2 * overlap or size < 2:
+        raise ValueError("the overlap must not be more than half of the chunk size")
+    text, spans, start = text or "", [], 0
+    while len(text) - start > size:
+        half, full = start + size // 2, start + size
+        end = full
+        for sep in rules.CHUNK_SEPARATORS:
+            at = text.rfind(sep, half, full)
+            if at >= 0:
+                end = at + len(sep)
+                break
+        spans.append((start, end))
+        tail = end - overlap
+        gaps = [g for g in (text.find(" ", tail, end), text.find("\n", tail, end)) if g >= 0]
+        start = min(gaps) + 1 if gaps else tail
+    spans.append((start, len(text)))
+    return [c for c in (text[a:b].strip(_WHITE) for a, b in spans) if c]
 
 
 def chunk_recursive(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     size: int = rules.CHUNK_SIZE, overlap: int = rules.CHUNK_OVERLAP) -> DataFrame:
     """One row per chunk: (id, chunk_ix, chunk)."""
-    from ..session import ensure_parallelism
-    d = ensure_parallelism(docs.select(id_col, text_col))
-    return (d.select(id_col, F.posexplode(_udf(size, overlap)(F.col(text_col))).alias("chunk_ix", "chunk")))
+    @F.pandas_udf(ArrayType(StringType()))
+    def cut(texts: pd.Series) -> pd.Series:
+        return pd.Series([chunks_of(t, size, overlap) for t in texts], dtype=object)
+
+    return docs.select(id_col, F.posexplode(cut(F.col(text_col))).alias("chunk_ix", "chunk"))

@@ -7,15 +7,16 @@ words), so typing a document is a pure projection — no join, no shuffle.
 
 from __future__ import annotations
 
+from html import unescape
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType
+from pyspark.sql.types import ArrayType, IntegerType, StringType
 from pyspark.sql.window import Window
 
 from ..functions import rules
 from ..functions import text as T
-from ..session import ensure_parallelism
 
 
 def _c(c) -> Column:
@@ -27,17 +28,23 @@ def keyword_hits(text: Column, keywords: list[str]) -> Column:
     return F.size(F.filter(F.array(*[F.lit(k) for k in keywords]), lambda k: F.instr(text, k) > 0))
 
 
+@F.pandas_udf(StringType())
+def _char_refs(texts: pd.Series) -> pd.Series:
+    """Character references decoded; the full table is the standard library's."""
+    return texts.map(unescape, na_action="ignore")
+
+
 def html_to_text(html) -> Column:
     """Visible text of an HTML page: script/style content, comments, doctype,
-    meta/link dropped; one stripped text node per line; entities decoded;
-    runs of 3+ newlines collapsed to 2."""
+    meta/link dropped; one stripped text node per line; named and numeric
+    character references decoded; runs of 3+ newlines collapsed to 2. A tag
+    ends at the first ``>`` outside its quoted attribute values."""
     h = _c(html)
     for tag in rules.HTML_DROP_TAGS:
         h = F.regexp_replace(h, rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", "\u0001")
     h = F.regexp_replace(h, r"(?s)<!--.*?-->", "\u0001")
-    h = F.regexp_replace(h, r"(?s)<[^>]*>", "\u0001")
-    for ent, ch in rules.HTML_ENTITIES:
-        h = F.regexp_replace(h, ent, ch)
+    h = F.regexp_replace(h, rules.HTML_TAG, "\u0001")
+    h = _char_refs(h)
     parts = F.filter(F.transform(F.split(h, "\u0001"), lambda p: T.strip_ws(p)), lambda p: p != "")
     return F.regexp_replace(F.array_join(parts, "\n"), r"\n{3,}", "\n\n")
 
@@ -115,13 +122,13 @@ def _pick_type() -> Column:
 def with_doc_type(df: DataFrame, text: str = "text", out: str = "doc_type") -> DataFrame:
     """financial / legal / medical / research / general by keyword hits over
     the whole text (>= 50 tokens, best >= 3 hits, ties to the earlier type)."""
-    s = doc_type_scores(ensure_parallelism(df), text)
+    s = doc_type_scores(df, text)
     return s.withColumn(out, _pick_type()).drop(*[c for c in s.columns if c.startswith("_s_") or c in ("_ntok", "_ndig")])
 
 
 def with_extractable(df: DataFrame, text: str = "text", out: str = "extractable") -> DataFrame:
     """>= 50 tokens and (a non-general type, or >= 1.5 % of tokens holding a digit)."""
-    s = doc_type_scores(ensure_parallelism(df), text).withColumn("_t", _pick_type())
+    s = doc_type_scores(df, text).withColumn("_t", _pick_type())
     ok = (F.col("_ntok") >= rules.DOC_TYPE_MIN_TOKENS) & (
         (F.col("_t") != "general") | (F.col("_ndig") / F.col("_ntok") >= rules.NUMERIC_DENSITY))
     return s.withColumn(out, ok).drop(*[c for c in s.columns if c.startswith("_s_") or c in ("_ntok", "_ndig")], "_t")
@@ -207,13 +214,6 @@ def chunk_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                     F.substring(F.col(text_col), F.col("chunk_ix") * step + 1, F.lit(size)).alias("chunk")))
 
 
-def page_offsets(pages: DataFrame, id_col: str = "doc_id", sep_len: int = 1) -> DataFrame:
-    """Start offset of each page in the document text that joins the kept
-    pages with a one-character separator (a running sum per document)."""
-    w = Window.partitionBy(id_col).orderBy("page").rowsBetween(Window.unboundedPreceding, -1)
-    return pages.withColumn("start", F.coalesce(F.sum(F.length("page_text") + sep_len).over(w), F.lit(0)))
-
-
 def joined_text(pages: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The document text chunking sees: kept pages joined by a space."""
     return (pages.groupBy(id_col)
@@ -221,30 +221,50 @@ def joined_text(pages: DataFrame, id_col: str = "doc_id") -> DataFrame:
             .select(id_col, F.array_join(F.transform("_p", lambda x: x["page_text"]), " ").alias("text")))
 
 
-def attach_page_meta(chunks: DataFrame, pages: DataFrame, id_col: str = "doc_id",
-                     step: int = rules.CHUNK_SIZE - rules.CHUNK_OVERLAP) -> DataFrame:
+def _first_pages(heads, texts) -> list:
+    """For each head the index of the first text that holds it (None: none does).
+    Texts are read once per distinct head length, not once per head."""
+    first = {h: 0 for h in heads if h == ""}
+    left: dict[int, set] = {}
+    for h in heads:
+        if h:
+            left.setdefault(len(h), set()).add(h)
+    for k, text in enumerate(texts):
+        for n, want in left.items():
+            found = {w for i in range(len(text) - n + 1) if (w := text[i:i + n]) in want} if want else set()
+            first.update(dict.fromkeys(found, k))
+            want -= found
+    return [first.get(h) for h in heads]
+
+
+@F.pandas_udf(ArrayType(IntegerType()))
+def _head_pages(heads: pd.Series, texts: pd.Series) -> pd.Series:
+    return pd.Series([_first_pages(h, [] if t is None else t) for h, t in zip(heads, texts)], dtype=object)
+
+
+def attach_page_meta(chunks: DataFrame, pages: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Page of each chunk: the page whose 80-char prefix equals the chunk's
-    (the last such page); else the page the chunk starts in, when that page
-    holds the chunk's first 40 characters; else the document's first page.
-
-    The middle rule reads the reference's "first page containing the 40-char
-    head" as "the page at the chunk's offset": identical unless the same 40
-    characters also occur on an earlier page. Every step is an equi-join (no
-    chunk x page pairs): a page lists the chunk indices that start inside it."""
-    p = page_offsets(pages, id_col)
-    exact = (p.select(id_col, F.substring("page_text", 1, 80).alias("_k"), "page")
+    (the last such page); else the first page that holds the chunk's first 40
+    characters; else the document's first page. A document's pages and chunk
+    heads meet in one row, as the document did before it was cut."""
+    def listed(df, order, *cols):
+        rows = F.array_sort(F.collect_list(F.struct(order, *cols)))
+        return df.groupBy(id_col).agg(rows.alias("_r"))
+
+    exact = (pages.select(id_col, F.substring("page_text", 1, 80).alias("_k"), "page")
              .groupBy(id_col, "_k").agg(F.max("page").alias("p_exact")))
-    end = F.col("start") + F.length("page_text") + 1
-    lo = F.ceil(F.col("start") / step).cast("int")
-    hi = (F.ceil(end / step) - 1).cast("int")
-    span = (p.where(hi >= lo)
-            .select(id_col, "page", "page_text", F.explode(F.sequence(lo, hi)).alias("chunk_ix")))
-    c = chunks.withColumn("_k", F.substring("chunk", 1, 80)).join(exact, [id_col, "_k"], "left")
-    at = (c.join(span, [id_col, "chunk_ix"], "left")
-          .withColumn("p_at", F.when(F.instr("page_text", F.substring("chunk", 1, 40)) > 0, F.col("page"))))
-    first = p.groupBy(id_col).agg(F.min("page").alias("p_first"))
-    return (at.join(first, id_col, "left")
-            .select(id_col, "chunk_ix", F.coalesce("p_exact", "p_at", "p_first").alias("page")))
+    p = listed(pages, "page", "page_text").select(
+        id_col, F.col("_r.page").alias("_pages"), F.col("_r.page_text").alias("_texts"))
+    heads = chunks.select(id_col, "chunk_ix", F.substring("chunk", 1, 80).alias("_k"))
+    c = listed(heads, "chunk_ix", "_k").join(p, id_col, "left")
+    c = c.withColumn("_at", _head_pages(F.transform("_r", lambda x: F.substring(x["_k"], 1, 40)), F.col("_texts")))
+    c = (c.select(id_col, F.col("_pages")[0].alias("p_first"),
+                  F.explode(F.zip_with("_r", F.transform("_at", lambda k: F.get("_pages", k)),
+                                       lambda r, at: F.struct(r["chunk_ix"].alias("chunk_ix"), r["_k"].alias("_k"),
+                                                              at.alias("p_in")))).alias("_c"))
+         .select(id_col, "p_first", "_c.*"))
+    return (c.join(exact, [id_col, "_k"], "left")
+            .select(id_col, "chunk_ix", F.coalesce("p_exact", "p_in", "p_first").alias("page")))
 
 
 def new_filings(feed: DataFrame, cache: DataFrame, key: str, text_col: str = "text",

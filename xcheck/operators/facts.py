@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..functions import text as T
-from ..session import ensure_parallelism
 
 
 def _tag(p: int):
@@ -74,7 +73,7 @@ def extract_facts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
               for k, p in enumerate(rules.FACT_PATTERNS)]
     found = F.transform(F.transform(F.concat(*tagged), _groups), _parsed)
     found = F.transform(F.filter(found, lambda f: F.length(f["label"]) >= min_label), _keyed)
-    rows = (ensure_parallelism(docs.where(text.rlike("[0-9]")))
+    rows = (docs.where(text.rlike("[0-9]"))
             .select(F.col(id_col).alias("entity_id"), F.array_sort(found).alias("srt")))
     heads = F.filter("srt", lambda f, i: (i == 0) | (F.element_at("srt", i)["label"] != f["label"])
                      | (F.element_at("srt", i)["v2"] != f["v2"]))

@@ -1,7 +1,7 @@
 """CSV queries. The uploaded files are multi-section exports that Spark writes
 from the tables first: one file per region, one section per nation (title row
-``TABLE i: NATION``, a header row, one row per customer), rows padded to four
-columns as spreadsheet exports are. The files go to a fresh folder under the
+``TABLE i: NATION``, a header row, one row per customer); titles are unpadded,
+so rows differ in width. The files go to a fresh folder under the
 session's checkpoint directory."""
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ def write_region_csvs(spark: SparkSession, sf_dir: str) -> str:
     nat = t.nation.select("n_nationkey", "n_name", "n_regionkey")
     nat = nat.withColumn("sec", F.row_number().over(Window.partitionBy("n_regionkey").orderBy("n_nationkey")))
     title = nat.select(F.col("n_regionkey").alias("region"), "sec", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("k"),
-                       F.concat(F.lit("TABLE "), F.col("sec").cast("string"), F.lit(": "), F.col("n_name"), F.lit(",,,")).alias("value"))
+                       F.concat(F.lit("TABLE "), F.col("sec").cast("string"), F.lit(": "), F.col("n_name")).alias("value"))
     head = nat.select(F.col("n_regionkey").alias("region"), "sec", F.lit(1).alias("kind"), F.lit(0).cast("long").alias("k"),
                       F.lit(",".join(HEADER)).alias("value"))
     data = (t.customer.join(nat, F.col("c_nationkey") == F.col("n_nationkey"))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..functions import text as T
+from ..operators import chunking
 from ..operators import docs as DO
 from ..session import Tables
 from .registry import query
@@ -33,10 +36,11 @@ def _sql_html(x: str) -> str:
     for tag in rules.HTML_DROP_TAGS:
         h = f"regexp_replace({h}, '(?is)<{tag}\\b[^>]*>.*?</{tag}\\s*>', chr(1), 'g')"
     h = f"regexp_replace({h}, '(?s)<!--.*?-->', chr(1), 'g')"
-    h = f"regexp_replace({h}, '(?s)<[^>]*>', chr(1), 'g')"
-    for ent, ch in rules.HTML_ENTITIES:
-        rep = "chr(160)" if ch == " " else "'" + ch.replace("'", "''") + "'"
-        h = f"replace({h}, '{ent}', {rep})"
+    tag = rules.HTML_TAG.replace("++", "+").replace("*+", "*").replace("'", "''")   # RE2 never backtracks
+    h = f"regexp_replace({h}, '{tag}', chr(1), 'g')"
+    refs = {n: c for n, c in name2codepoint.items() if n != "amp"} | {"apos": 39, "#39": 39}
+    for name, code in [*refs.items(), ("amp", 38)]:       # HTML 4 names; &amp; last
+        h = f"replace({h}, '&{name};', chr({code}))"
     parts = f"list_filter(list_transform(string_split({h}, chr(1)), lambda p: {_sql_strip('p')}), lambda p: p <> '')"
     return f"regexp_replace(array_to_string({parts}, chr(10)), '\\n{{3,}}', chr(10) || chr(10), 'g')"
 
@@ -153,9 +157,9 @@ SELECT doc_id, chunk_ix, md5(substr(text, chunk_ix * 800 + 1, 1000)) AS chunk_md
 FROM (SELECT doc_id, text, unnest(range(0, greatest(1, ceil((length(text) - 200) / 800))::BIGINT)) AS chunk_ix FROM {src})"""
 
 
-@query("chunk_recursive", oracle=_SQL_WINDOWS.format(src="documents"))
+@query("chunk_windows", oracle=_SQL_WINDOWS.format(src="documents"))
 def chunk_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fixed-window form of the 1000/200 chunker over whole documents."""
+    """Fixed windows of 1000 characters, 200 of them shared, over whole documents."""
     c = DO.chunk_windows(Tables(spark, sf_dir).documents)
     return c.select("doc_id", "chunk_ix", F.md5("chunk").alias("chunk_md5"), F.length("chunk").alias("chunk_len"))
 
@@ -170,8 +174,6 @@ _SQL_LINE_PAGES = f"""
            SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS page,
                   {_sql_strip('unnest(string_split(text, chr(10)))')} AS page_text FROM documents)
          WHERE length(page_text) > 50),
-  po AS (SELECT *, coalesce(sum(length(page_text) + 1) OVER (PARTITION BY doc_id ORDER BY page
-                    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM lp),
   jt AS (SELECT doc_id, string_agg(page_text, ' ' ORDER BY page) AS text FROM lp GROUP BY doc_id)"""
 
 
@@ -179,11 +181,10 @@ _SQL_LINE_PAGES = f"""
 WITH {_SQL_LINE_PAGES},
   ch AS (SELECT doc_id, chunk_ix, substr(text, chunk_ix * 800 + 1, 1000) AS chunk
          FROM (SELECT doc_id, text, unnest(range(0, greatest(1, ceil((length(text) - 200) / 800))::BIGINT)) AS chunk_ix FROM jt)),
-  ex AS (SELECT doc_id, left(page_text, 80) AS k, max(page) AS p_exact FROM po GROUP BY ALL),
-  pat AS (SELECT ch.doc_id, ch.chunk_ix, po.page AS p_at FROM ch JOIN po ON ch.doc_id = po.doc_id
-         AND ch.chunk_ix * 800 >= po.start AND ch.chunk_ix * 800 < po.start + length(po.page_text) + 1
-         WHERE contains(po.page_text, left(ch.chunk, 40))),
-  fp AS (SELECT doc_id, min(page) AS p_first FROM po GROUP BY doc_id)
+  ex AS (SELECT doc_id, left(page_text, 80) AS k, max(page) AS p_exact FROM lp GROUP BY ALL),
+  pat AS (SELECT ch.doc_id, ch.chunk_ix, min(lp.page) AS p_at FROM ch JOIN lp ON ch.doc_id = lp.doc_id
+         WHERE contains(lp.page_text, left(ch.chunk, 40)) GROUP BY ALL),
+  fp AS (SELECT doc_id, min(page) AS p_first FROM lp GROUP BY doc_id)
 SELECT ch.doc_id, ch.chunk_ix, coalesce(ex.p_exact, pat.p_at, fp.p_first) AS page
 FROM ch LEFT JOIN ex ON ch.doc_id = ex.doc_id AND left(ch.chunk, 80) = ex.k
 LEFT JOIN pat ON ch.doc_id = pat.doc_id AND ch.chunk_ix = pat.chunk_ix
@@ -227,10 +228,27 @@ def question_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("conv_id", "turn", T.question_hash("text").alias("qhash"))
 
 
-@query("chunk_recursive_split")
-def chunk_recursive_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Recursive separator splitting (1000 / 200) of whole documents."""
-    from ..operators.chunking import chunk_recursive
-    c = chunk_recursive(Tables(spark, sf_dir).documents)
-    return c.select("doc_id", F.col("chunk_ix").cast("long").alias("chunk_ix"), F.length("chunk").alias("chunk_len"),
-                    F.md5("chunk").alias("chunk_md5"))
+def _sql_cut(sep: str) -> str:
+    n = len(sep)
+    at = f"instr(reverse(substr(text, s + 1, 1000)), {' || '.join(f'chr({ord(c)})' for c in reversed(sep))})"
+    return f"CASE WHEN {at} > 0 AND 1001 - {at} - {n} >= 500 THEN 1001 - {at} END"
+
+
+_SQL_END = f"""CASE WHEN length(text) - s <= 1000 THEN length(text)
+  ELSE s + coalesce({", ".join(_sql_cut(p) for p in rules.CHUNK_SEPARATORS)}, 1000) END"""
+
+
+@query("chunk_recursive", oracle=f"""
+WITH RECURSIVE c AS (
+  SELECT doc_id, text, s, {_SQL_END} AS e FROM (SELECT doc_id, text, CAST(0 AS BIGINT) AS s FROM documents)
+  UNION ALL
+  SELECT doc_id, text, s, {_SQL_END} AS e FROM (
+    SELECT doc_id, text, e - 200 + instr(replace(substr(text, e - 199, 200), chr(10), ' '), ' ') AS s
+    FROM c WHERE e < length(text))),
+  k AS (SELECT doc_id, s, {_sql_strip('substr(text, s + 1, e - s)')} AS chunk FROM c)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY s) - 1 AS chunk_ix, length(chunk) AS chunk_len,
+       md5(chunk) AS chunk_md5 FROM k WHERE chunk <> ''""")
+def chunk_recursive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks at the coarsest separator (1000 / 200) of whole documents."""
+    c = chunking.chunk_recursive(Tables(spark, sf_dir).documents)
+    return c.select("doc_id", "chunk_ix", F.length("chunk").alias("chunk_len"), F.md5("chunk").alias("chunk_md5"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import pii as P
-from ..session import Tables, ensure_parallelism
+from ..session import Tables
 from .registry import query
 
 _SQL_MASK_EMAIL = ("regexp_replace(regexp_replace(text, '([a-zA-Z0-9._%+\\-])[a-zA-Z0-9._%+\\-]+@([a-zA-Z0-9.\\-]+\\.[a-zA-Z]{2,})', "
@@ -24,7 +24,7 @@ def mask_email(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("mask_pii")
 def mask_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Full ordered mask of whole document texts; rows that changed."""
-    d = ensure_parallelism(Tables(spark, sf_dir).documents.select("doc_id", "text"))
+    d = Tables(spark, sf_dir).documents.select("doc_id", "text")
     m = P.mask_pii(d.withColumn("masked", F.col("text")), ["masked"])
     return m.where(F.col("masked") != F.col("text")).select("doc_id", "masked")
 
@@ -34,7 +34,7 @@ def pii_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hits per kind (email, US phone, SSN, card) before masking, over document
     texts and conversation turns."""
     t = Tables(spark, sf_dir)
-    d = ensure_parallelism(t.documents.select(F.col("text").alias("a")))
+    d = t.documents.select(F.col("text").alias("a"))
     c = t.conversations.select(F.col("text").alias("a"))
     return P.pii_summary(d.unionByName(c), ["a"])
 

@@ -15,6 +15,7 @@ ORACLES: dict[str, str] = {}
 # numbers, counts, list positions) is bigint: widened so both schemas agree.
 AS_LONG = {
     "attach_page_meta": ["chunk_ix", "page"], "chunk_recursive": ["chunk_ix", "chunk_len"],
+    "chunk_windows": ["chunk_ix", "chunk_len"],
     "cite_sources": ["first_rank"], "deep_retrieve": ["rank"], "detect_pii": ["email_hits"],
     "expand_queries": ["ix"], "few_shot": ["rank"], "forecast_linear": ["step", "mi"], "full_series": ["mo", "yr"],
     "period_change": ["yr"], "read_pages_text": ["page"], "rel_window": ["rk"], "retrieve": ["final_rank"],

@@ -96,24 +96,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared folder (survives executor loss)."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def ensure_parallelism(df: DataFrame, min_parts: int | None = None) -> DataFrame:
-    """Spread CPU-heavy per-row work (regex over whole texts, vector math) over
-    the cluster when the input arrives in fewer partitions than cores, e.g. a
-    small file with one row group. Large inputs are already split by the scan
-    and pass through without a shuffle."""
-    try:
-        sc = df.sparkSession.sparkContext
-        want = min_parts or sc.defaultParallelism
-        have = df.rdd.getNumPartitions()
-    except Exception:  # no RDD view (e.g. a remote client): leave it to AQE
-        return df
-    return df.repartition(want) if have < want else df
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows over ``xcheck.spread.partitions`` partitions if the session
+    sets that, else leave them as they are. Off by default: a cluster splits its
+    scans by ``spark.sql.files.maxPartitionBytes``. A single-file table of one row
+    group cannot be split, which is what the bench sets it for."""
+    n = df.sparkSession.conf.get("xcheck.spread.partitions", None)
+    return df.repartition(int(n)) if n else df
 
 
 def _fs(spark: SparkSession, path: str):
@@ -136,8 +125,7 @@ def fs_list(spark: SparkSession, path: str) -> list[str]:
     return [st.getPath().getName() for st in fs.listStatus(p)]
 
 
-# Dimension tables stay as read; fact tables are spread over the cores when a
-# file arrives as a single split (see ensure_parallelism).
+# Dimension tables always stay as read (see ``spread``).
 SMALL_DIMENSIONS = {"region", "nation", "supplier"}
 
 
@@ -151,7 +139,7 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         for f in df.schema.fields
     ]
     out = df.select(*casts)
-    return out if name in SMALL_DIMENSIONS else ensure_parallelism(out)
+    return out if name in SMALL_DIMENSIONS else spread(out)
 
 
 class Tables:

@@ -10,6 +10,8 @@ equi-join on ``(file, row_ix)`` (no row x row pairs).
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -26,17 +28,38 @@ TITLE_CHARS = 120
 MULTI_TABLE_KEYWORDS = ["EXHIBIT", "SHEET", "TABLE"]
 
 
-def read_csv_loose(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
-    """Header-less, all-string read; malformed lines skipped; BOM removed;
-    all-blank rows and all-blank columns (per file) dropped.
+def _cells(spark: SparkSession, files, encoding: str, cols: list[str]) -> DataFrame:
+    """Rows of the files in file order keys, one array of cells each."""
+    paths = files if isinstance(files, str) else [unquote(f) for f in files]
+    raw = (spark.read.schema(", ".join(f"{c} string" for c in cols)).option("mode", "PERMISSIVE")
+           .option("multiLine", True).option("escape", '"').option("maxColumns", len(cols) + 1)
+           .option("encoding", encoding).csv(paths))
+    cells = F.array(*[F.regexp_replace(F.col(c), "^\ufeff", "") if i == 0 else F.col(c) for i, c in enumerate(cols)])
+    return raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_blk"),
+                      F.monotonically_increasing_id().alias("_mono"), cells.alias("cells"))
+
+
+def _file_shapes(spark: SparkSession, path: str) -> list:
+    """(file, most cells a line can have, valid UTF-8?) of every file under ``path``."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+    return (lines.groupBy("file")
+            .agg(F.max(F.length(F.regexp_replace("value", "[^,]", "")) + 1).alias("width"),
+                 F.bool_and(F.is_valid_utf8("value")).alias("utf8")).collect())
+
+
+def read_csv_loose(spark: SparkSession, path: str) -> DataFrame:
+    """Header-less, all-string read. Rows may be shorter or longer than the
+    first one (the table is as wide as its widest row), cells may hold line
+    breaks and doubled quotes; files that are not valid UTF-8 are read as
+    latin-1. BOM removed; all-blank rows and all-blank columns (per file) dropped.
     Output: file, row_ix (0-based, after blank rows are dropped), cells."""
-    raw = (spark.read.option("header", False).option("mode", "DROPMALFORMED").option("encoding", encoding)
-           .option("inferSchema", False).csv(path))
-    cols = [c for c in raw.columns if c.startswith("_c")]     # not partition columns
-    cells = F.array(*[F.regexp_replace(F.col(c), "^﻿", "") if i == 0 else F.col(c)
-                      for i, c in enumerate(cols)])
-    r = raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_blk"),
-                   F.monotonically_increasing_id().alias("_mono"), cells.alias("cells"))
+    shapes = _file_shapes(spark, path)
+    width = max((r["width"] for r in shapes), default=1)
+    cols = [f"_c{i}" for i in range(width)]
+    old = [r["file"] for r in shapes if not r["utf8"]]
+    reads = [("UTF-8", [r["file"] for r in shapes if r["utf8"]] if old else path), ("ISO-8859-1", old)]
+    parts = [_cells(spark, files, encoding, cols) for encoding, files in reads if files]
+    r = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     r = r.where(F.exists("cells", lambda x: x.isNotNull()))
     w = Window.partitionBy("file").orderBy("_blk", "_mono")
     r = r.withColumn("row_ix", (F.row_number().over(w) - 1).cast("long")).drop("_blk", "_mono")
@@ -120,14 +143,6 @@ def csv_sections(raw: DataFrame) -> DataFrame:
                     .alias("row_count"))
 
 
-def section_rows(raw: DataFrame, sections: DataFrame) -> DataFrame:
-    """Rows of every section (data range) tagged with the section index."""
-    s = sections.select("file", "index", "data_start_idx", "data_end_idx", "columns")
-    return (raw.join(s, "file")
-            .where((F.col("row_ix") >= F.col("data_start_idx")) & (F.col("row_ix") < F.col("data_end_idx")))
-            .select("file", "index", "row_ix", "cells", "columns"))
-
-
 def load_section(raw: DataFrame, sections: DataFrame, file: str, index: int) -> DataFrame:
     """One section as a table: header promoted to column names (blank names
     dropped), all-blank rows/columns removed, majority-numeric columns cast."""
