@@ -3,6 +3,7 @@ repeated, clashing extra columns, empty tables."""
 
 import collections
 import hashlib
+import math
 import re
 
 import pytest
@@ -236,6 +237,43 @@ def test_cross_entropy_difference(spark, docs, empty):
     assert cross_entropy_difference(docs, good.limit(0)).count() == len(rows())
 
 
+@pytest.mark.parametrize("hot", [1e-5, 0.0, 1.0])
+def test_cross_entropy_counts_are_exact(spark, hot):
+    # more distinct words than any fixed vocabulary of 65,536, with rare ones in the target
+    texts = [" ".join(f"w{k % 90_000} the next" for k in range(i * 500, i * 500 + 500)) for i in range(200)]
+    texts += ["rare pair here", "pair rare here", "Rare pair rare pair", texts[3], "the next"]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(7, texts[7]), (None, "the next"), (400, None)]
+    target = {*range(0, 200, 3), 200}
+    good = spark.createDataFrame([(i,) for i in target], "doc_id long")
+    pair, word, context = (collections.defaultdict(lambda: [0, 0]) for _ in range(3))
+    for i, t in rows:
+        w = low(t).split()
+        for a, b in zip(["", *w], w):
+            for c in (pair[a, b], word[b], context[a]):
+                c[0] += i in target
+                c[1] += 1
+    total = [sum(c[k] for c in word.values()) for k in (0, 1)]
+
+    def loss(t, k):
+        w, scale = low(t).split(), total[0] / total[1] if k else 1.0
+        p = []
+        for a, b in zip(["", *w], w):
+            alone = (word[b][k] * scale + 1) / (total[k] * scale + len(word))
+            p.append(0.4 * alone + 0.6 * (pair[a, b][k] * scale + alone) / (context[a][k] * scale + 1))
+        return -sum(map(math.log, p)) / len(p)
+
+    got = cross_entropy_difference(spark.createDataFrame(rows, "doc_id long, text string").repartition(7), good, hot=hot).collect()
+    text = dict(rows)
+    assert collections.Counter(r.doc_id for r in got) == collections.Counter(i for i, _ in rows)
+    for r in got:
+        t = text[r.doc_id]
+        if t is None:
+            assert r.score is None
+        else:
+            assert r.n_words == len(t.split())
+            assert r.target_loss == pytest.approx(loss(t, 0), rel=1e-5) and r.background_loss == pytest.approx(loss(t, 1), rel=1e-5)
+
+
 def test_digests_are_of_the_operator(spark):
     from xcheck.llm.queries import QUERIES
     r = QUERIES["op5_winnowing"](spark, "/root/testdata/sf0.001").filter("n_items = 0").first()

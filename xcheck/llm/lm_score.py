@@ -3,14 +3,15 @@
 A target model (documents labelled of good quality) and a background model (all
 documents) score each document: the difference of their mean losses per token
 says whether the text is more like the target. Both are bigram models with
-unigram back-off over one vocabulary, the most frequent words of the whole
-corpus (others share one unknown word), and they are matched in size: the
-background's counts are scaled to the target's token total.
-
-Counts cover all documents: every task adds up its own, and the sums are merged
-by key in the shuffle. What goes to the tasks for scoring has a fixed size: the
-vocabulary (``VOCABULARY`` hashes) and two count tables of ``TABLE`` cells into
-which bigrams are hashed.
+unigram back-off over one vocabulary, every word of the corpus, and they are
+matched in size: the background's counts are scaled to the target's token total.
+
+Counts are exact and cover all documents: every task adds up its own (previous,
+word) pairs, and the sums are merged by pair in the shuffle. Words and contexts
+are sums of the pairs. Every pair's loss in both models is a row of a table;
+each document's distinct pairs meet it by join. Pairs that make up more than
+``HOT`` of all tokens (fewer than ``1 / HOT``) are sent to the tasks instead, so
+that no join key has many rows. Words and pairs are named by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -23,13 +24,14 @@ from pyspark.sql import functions as F
 from .tables import with_results, written
 from .words import SPACES, byte_class, mix, pieces, scan, utf8
 
-VOCABULARY = 1 << 16
-TABLE = 1 << 21
 BACK_OFF = 0.4          # weight of the unigram estimate
-HELD = 2_000_000        # distinct counts a task holds before it sends them on
+HOT = 1e-5              # share of all tokens above which a pair is sent to the tasks
+HELD = 2_000_000        # distinct pairs a task holds before it sends them on
+START = 0               # the word before a text's first
 
 _CLASSES = byte_class(SPACES, True)
 _U = np.uint64
+_PRIME = _U(0x9E3779B97F4A7C15)
 
 
 def _pieces_of(column):
@@ -38,27 +40,41 @@ def _pieces_of(column):
         yield lo, hi, scan(data[off[lo]:off[hi]], off[lo:hi + 1] - off[lo], _CLASSES)
 
 
-def _summed(key: np.ndarray, a: np.ndarray, b: np.ndarray):
-    uniq, back = np.unique(key, return_inverse=True)
-    return uniq, np.bincount(back, a, len(uniq)).astype(np.int64), np.bincount(back, b, len(uniq)).astype(np.int64)
+def _pairs(w) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(previous word, name of the pair, row) of every word."""
+    before = np.zeros(len(w.hash), _U)
+    before[1:] = w.hash[:-1]
+    before[w.first[:-1][w.first[:-1] < w.first[1:]]] = START
+    return before, _named(before, w.hash), np.repeat(np.arange(len(w.first) - 1), np.diff(w.first))
 
 
-def _counted(texts: DataFrame, keys_of) -> DataFrame:
-    """(key, target, whole) summed over all texts; ``texts`` is (text, is_target)."""
+def _named(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return mix(mix(before) * _PRIME + word)
+
+
+def _summed(pair, before, word, target, whole):
+    """The rows of each pair added up."""
+    uniq, at, back = np.unique(pair, return_index=True, return_inverse=True)
+    return uniq, before[at], word[at], *(np.bincount(back, x, len(uniq)).astype(np.int64) for x in (target, whole))
+
+
+def _counted(texts: DataFrame) -> DataFrame:
+    """(before, word, target, whole) summed over all texts; ``texts`` is (text, is_target)."""
 
     def run(batches):
         held, size = [], 0
 
         def out():
-            key, t, w = _summed(*(np.concatenate(x) for x in zip(*held)))
-            return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(t), pa.array(w)], names=["key", "target", "whole"])
+            _, before, word, t, n = _summed(*(np.concatenate(x) for x in zip(*held)))
+            return pa.RecordBatch.from_arrays([pa.array(before.view(np.int64)), pa.array(word.view(np.int64)), pa.array(t), pa.array(n)],
+                                              names=["before", "word", "target", "whole"])
 
         for b in batches:
             flag = np.asarray(b.column(1)).astype(np.int64)
             for lo, hi, w in _pieces_of(b.column(0)):
-                key, row = keys_of(w)
-                if len(key):
-                    held.append(_summed(key, flag[lo:hi][row], np.ones(len(key), np.int64)))
+                before, pair, row = _pairs(w)
+                if len(pair):
+                    held.append(_summed(pair, before, w.hash, flag[lo:hi][row], np.ones(len(pair), np.int64)))
                     size += len(held[-1][0])
                 if size > HELD:
                     held = [_summed(*(np.concatenate(x) for x in zip(*held)))]
@@ -69,109 +85,88 @@ def _counted(texts: DataFrame, keys_of) -> DataFrame:
         if held:
             yield out()
 
-    got = texts.mapInArrow(run, "key long, target long, whole long")
-    return got.groupBy("key").agg(F.sum("target").alias("target"), F.sum("whole").alias("whole"))
-
-
-def _rows(first: np.ndarray) -> np.ndarray:
-    return np.repeat(np.arange(len(first) - 1), np.diff(first))
+    got = texts.mapInArrow(run, "before long, word long, target long, whole long")
+    return got.groupBy("before", "word").agg(F.sum("target").alias("target"), F.sum("whole").alias("whole"))
 
 
-def _word_keys(w):
-    return w.hash, _rows(w.first)
+def _losses(pairs: DataFrame, back_off: float) -> tuple[DataFrame, int]:
+    """(before, word, whole, target_loss, background_loss) of every pair, and all tokens."""
+    words = written(pairs.groupBy("word").agg(F.sum("target").alias("word_target"), F.sum("whole").alias("word_whole")), "words")
+    contexts = pairs.groupBy("before").agg(F.sum("target").alias("before_target"), F.sum("whole").alias("before_whole"))
+    size, target, whole = (x or 0 for x in words.agg(F.count("*"), F.sum("word_target"), F.sum("word_whole")).first())
 
+    def loss(kind, total, scale):
+        pair, word, before = (F.col(c) * F.lit(scale) for c in (kind, f"word_{kind}", f"before_{kind}"))
+        alone = (word + 1) / F.lit(max(1.0, total * scale + size))
+        return (-F.log(back_off * alone + (1 - back_off) * (pair + alone) / (before + 1))).cast("float")
 
-def _ids(vocabulary: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """1 + place in the sorted vocabulary; 0 for other words."""
-    at = np.minimum(np.searchsorted(vocabulary, hashes), len(vocabulary) - 1)
-    return np.where(vocabulary[at] == hashes, at + 1, 0) if len(vocabulary) else np.zeros(len(hashes), np.int64)
+    matched = min(1.0, max(1, target) / max(1, whole))      # matched size
+    rows = pairs.join(words, "word").join(contexts, "before")
+    return rows.select("before", "word", "whole", loss("target", target, 1.0).alias("target_loss"), loss("whole", whole, matched).alias("background_loss")), whole
 
 
-def _bigrams(w, vocabulary, table):
-    """(word id, hashed cell of the bigram that ends there, row); a text starts after an unknown word."""
-    word, row = _ids(vocabulary, w.hash), _rows(w.first)
-    before = np.zeros(len(word), np.int64)
-    before[1:] = word[:-1]
-    before[w.first[:-1][w.first[:-1] < w.first[1:]]] = 0
-    cell = (mix(before.astype(_U) * _U(1 << 32) + word.astype(_U)) & _U(table - 1)).astype(np.int64)
-    return word, before, cell, row
-
-
-class Models:
-    """Both models' log probabilities from shared count tables."""
-
-    def __init__(self, vocabulary, unigrams, cells, back_off):
-        self.vocabulary = vocabulary
-        self.back_off = back_off
-        self.models = []
-        total = unigrams.sum(axis=1).clip(1)
-        scale = [1.0, min(1.0, total[0] / total[1])]     # matched size
-        for k in (0, 1):
-            uni = unigrams[k] * scale[k]
-            self.models.append(((uni + 1.0) / (uni.sum() + len(uni)), uni, cells[k] * scale[k]))
-
-    def losses(self, w):
-        """Mean loss per token of both models per text (nan without words)."""
-        word, before, cell, row = _bigrams(w, self.vocabulary, len(self.models[0][2]))
-        n = np.diff(w.first)
-        out = []
-        for uni, context, cells in self.models:
-            lam = self.back_off
-            seen = context[before]
-            p = lam * uni[word] + (1 - lam) * np.minimum(1.0, (cells[cell] + uni[word]) / (seen + 1.0))
-            loss = np.bincount(row, -np.log(p), len(n))
-            out.append(np.divide(loss, n, out=np.full(len(n), np.nan), where=n > 0))
-        return out
+def _name_of(id_column, text):
+    return F.xxhash64(id_column, F.xxhash64(text))
 
 
 def cross_entropy_difference(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                             vocabulary: int = VOCABULARY, table: int = TABLE, back_off: float = BACK_OFF) -> DataFrame:
+                             back_off: float = BACK_OFF, hot: float = HOT) -> DataFrame:
     """(id, n_words, target_loss, background_loss, score), one row for each row
     of ``docs``; ``targets`` has the ids of target documents in ``id_col``.
     ``score`` is target loss minus background loss per token: lower is more like
     the target.
 
     Null and word-less texts have no losses and no score (null). Repeated rows
-    count and score each; a null id is no target. Ties in the vocabulary go to
-    the smaller word hash. Without targets or documents the losses still stand
-    (a model without counts is uniform). Other columns are not looked at."""
+    count and score each; a null id is no target. Without targets or documents
+    the losses still stand (a model without counts is uniform). Other columns
+    are not looked at."""
     spark = docs.sparkSession
     plain = docs.select(F.col(id_col).alias(id_col), F.col(text_col).alias("text"))
     wanted = targets.select(F.col(id_col).alias("__id")).filter("__id is not null").distinct()
     ids = docs.select(F.col(id_col).alias("__doc")).filter("__doc is not null").join(wanted, F.col("__doc") == F.col("__id"), "left_semi").distinct()
     flagged = plain.join(ids.withColumnRenamed("__doc", "__target"), F.col(id_col) == F.col("__target"), "left")
-    texts = flagged.select("text", F.col("__target").isNotNull().alias("is_target"))
-    words = written(_counted(texts, _word_keys), "words")
-    top = words.orderBy(F.desc("whole"), "key").limit(vocabulary).toArrow()     # bounded: the vocabulary
-    known = np.sort(np.asarray(top["key"]).view(_U))
-    unigrams = np.zeros((2, len(known) + 1))
-    place = _ids(known, np.asarray(top["key"]).view(_U))
-    for k, c in enumerate(("target", "whole")):
-        np.add.at(unigrams[k], place, np.asarray(top[c]).astype(float))
-    total = words.agg(F.sum("target"), F.sum("whole")).first()
-    unigrams[:, 0] = [max(0, (total[k] or 0) - unigrams[k].sum()) for k in (0, 1)]
-    sent = spark.sparkContext.broadcast(known)
-
-    def cells_of(w):
-        _, _, cell, row = _bigrams(w, sent.value, table)
-        return cell.astype(_U), row
-
-    counts = written(_counted(texts, cells_of), "bigrams")
-    cells = np.zeros((2, table), np.float32)
-    for part in range(8):      # a cell at most once: bounded by the table
-        some = counts.filter(F.pmod("key", F.lit(8)) == part).toArrow()
-        at = np.asarray(some["key"])
-        cells[0, at], cells[1, at] = np.asarray(some["target"]), np.asarray(some["whole"])
-    tables = spark.sparkContext.broadcast((known, unigrams, cells))
-    made: list[Models] = []
+    pairs = written(_counted(flagged.select("text", F.col("__target").isNotNull().alias("is_target"))), "pairs")
+    losses, tokens = _losses(pairs, back_off)
+    losses = written(losses, "losses")
+    often = losses.filter(F.col("whole") > hot * tokens).toArrow()      # fewer than 1 / hot rows
+    name = _named(*(np.asarray(often[c]).view(_U) for c in ("before", "word")))
+    order = np.argsort(name)
+    sent = spark.sparkContext.broadcast((name[order], *(np.asarray(often[c])[order].astype(float) for c in ("target_loss", "background_loss"))))
+
+    def found(pair):
+        """(place among the hot pairs, is hot)"""
+        known = sent.value[0]
+        at = np.minimum(np.searchsorted(known, pair), max(0, len(known) - 1))
+        return at, (known[at] == pair) if len(known) else np.zeros(len(pair), bool)
+
+    def others(batches):
+        for b in batches:
+            names = np.asarray(b.column(0))
+            for lo, hi, w in _pieces_of(b.column(1)):
+                before, pair, row = _pairs(w)
+                cold = np.flatnonzero(~found(pair)[1])
+                _, at, n = np.unique(mix(pair[cold] ^ mix(row[cold].astype(_U) + _U(1))), return_index=True, return_counts=True)
+                order = np.argsort(at)      # a text's pairs stay together
+                at = cold[at[order]]
+                yield pa.RecordBatch.from_arrays([pa.array(names[lo:hi][row[at]]), pa.array(before[at].view(np.int64)), pa.array(w.hash[at].view(np.int64)),
+                                                  pa.array(n[order].astype(np.int32))], names=["doc", "before", "word", "n"])
 
     def compute(column):
-        if not made:
-            made.append(Models(*tables.value, back_off))
         for lo, hi, w in _pieces_of(column):
-            a, b = made[0].losses(w)
-            none = np.isnan(a)
-            yield lo, hi, [pa.array(np.diff(w.first)), *[pa.array(x, mask=none) for x in (a, b, a - b)]]
-
-    found = with_results(plain, "text", compute, [("n_words", "long"), ("target_loss", "double"), ("background_loss", "double"), ("score", "double")])
-    return found.drop("text")
+            _, pair, row = _pairs(w)
+            at, is_hot = found(pair)
+            sums = [np.bincount(row[is_hot], x[at[is_hot]], hi - lo).astype(float) for x in sent.value[1:]]
+            yield lo, hi, [pa.array(np.diff(w.first)), pa.array(np.bincount(row[is_hot], minlength=hi - lo)), *[pa.array(x) for x in sums]]
+
+    pair = F.xxhash64("before", "word").alias("pair")
+    of_docs = plain.select(_name_of(F.col(id_col), F.col("text")).alias("doc"), "text").mapInArrow(others, "doc long, before long, word long, n int")
+    rest = losses.filter(F.col("whole") <= hot * tokens).select(pair, "target_loss", "background_loss")
+    met = of_docs.select("doc", "n", pair).join(rest, "pair")
+    # rows alike in id and text have the same mean
+    mean = met.groupBy("doc").agg(*[(F.sum(F.col(c) * F.col("n")) / F.sum("n")).alias(f"mean_{k}") for k, c in enumerate(("target_loss", "background_loss"))])
+    own = with_results(plain, "text", compute, [("n_words", "long"), ("n_hot", "long"), ("hot_0", "double"), ("hot_1", "double")])
+    own = own.select(id_col, _name_of(F.col(id_col), F.col("text")).alias("name"), "n_words", "n_hot", "hot_0", "hot_1")
+    both = own.join(mean, F.col("name") == F.col("doc"), "left")
+    total = [F.col(f"hot_{k}") + (F.col("n_words") - F.col("n_hot")) * F.coalesce(f"mean_{k}", F.lit(0.0)) for k in (0, 1)]
+    a, b = (F.when(F.col("n_words") > 0, x / F.col("n_words")) for x in total)
+    return both.select(id_col, "n_words", a.alias("target_loss"), b.alias("background_loss"), (a - b).alias("score"))
