@@ -109,6 +109,37 @@ def test_fences_follow_their_group(spark):
     assert all(v for k, v in kept.items() if k < 5000)
 
 
+def test_each_ratio_fences_by_its_group(spark):
+    # two sources with unlike words, lines and repeats; in one of them each odd document fails by one ratio alone
+    def text(i, long, lines, repeats):
+        words = [f"{chr(97 + k % 26)}{i}x{k}" + "y" * long * (i % 3) for k in range(80)]
+        rows = [" ".join(words[k:k + 4]) for k in range(0, 80, 4)]
+        rows += [rows[k * 7 % 20] for k in range(lines * (i % 4))]
+        return "\n".join(rows) + "\n" + " ".join(words[:5] * (repeats * (i % 2)))
+
+    tidy = [(i, text(i, 0, 0, 0), "en", "tidy") for i in range(150)]
+    loose = [(1000 + i, text(i, 2, 1, 1), "en", "loose") for i in range(150)]
+    odd = {"dup_line_ratio": text(3, 0, 2, 0), "repeat_ratio": text(3, 0, 0, 1), "word_length": text(2, 3, 0, 0), "symbol_ratio": text(0, 0, 0, 0) + "#" * 8}
+    rows = tidy + loose + [(5000 + k, t, "en", "tidy") for k, t in enumerate(odd.values())] + [(6000, text(3, 0, 1, 0), "en", "loose")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r for r in quality_thresholds.quality_rules(df).collect()}
+    for k, ratio in enumerate(odd):
+        assert not got[5000 + k].base_failed and got[5000 + k].failed == [ratio], ratio
+    assert all(got[i].kept for i in range(150)) and got[6000].kept
+
+
+def test_fences_of_the_table_differ(spark):
+    table = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    m = quality_thresholds.measures(table)
+    m = m.select("lang", "source", *[F.col(f"__{c}").alias(c) for c in [*quality_thresholds._BASE, "n_lines"]])
+    m = m.filter("n_words >= 10 and n_repeat_words * 5 <= n_words").select("*", *[quality_thresholds._ratio(c).alias(c) for c in quality_thresholds.RATIOS])
+    got = quality_thresholds.fences(m, quality_thresholds.REACH, quality_thresholds.MIN_GROUP).collect()
+    for c in ("dup_line_ratio", "repeat_ratio", "word_length"):
+        assert len({r[f"{c}_fence"] for r in got}) > 2, c
+    failed = quality_thresholds.quality_rules(table).filter("not base_failed").select(F.explode("failed").alias("ratio")).groupBy("ratio").count().collect()
+    assert {r.ratio for r in failed} == set(quality_thresholds.RATIOS)
+
+
 def brute_spans(t):
     rules = [("assign", r"""((?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
              ("access", "AKIA[A-Z0-9]+", 0, 20), ("hex", "[0-9a-f]+", 0, 24)]

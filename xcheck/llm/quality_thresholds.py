@@ -4,8 +4,9 @@ Fixed rules decide the plain cases (``base_failed``). For the rest, each
 document's ratios are compared with fences of its own language and source:
 KLL quantile sketches per (language, source) are aggregated map-side, merged to
 language sketches and to one over everything, and the fence of a ratio is
-``upper quartile + reach * max(interquartile range, floor)``. A group with fewer
-than ``min_group`` documents uses its language's sketch, a language with fewer
+``upper + reach * max(upper - median, floor)``, ``upper`` being the ratio's own
+upper quantile in the group. The floor decides only where that quantile equals
+the median, as in groups that have no symbols at all. A group with fewer than ``min_group`` documents uses its language's sketch, a language with fewer
 the overall one. Sketches have a fixed size, so a source with a third of all
 rows costs no more than any other; fences are joined back to the documents.
 """
@@ -24,9 +25,9 @@ MIN_WORDS = 10
 REPEAT_PERCENT = 20
 WINDOW = 5
 MIN_GROUP = 100         # documents below which a wider group's sketch is used
-REACH = 6.0             # interquartile ranges above the upper quartile
-# ratio -> smallest interquartile range that counts (ratios are often constant)
-RATIOS = {"symbol_ratio": 0.05, "dup_line_ratio": 0.05, "repeat_ratio": 0.03, "word_length": 0.5}
+# ratio -> (upper quantile, distances from the median to it that a fence lies above it, smallest distance)
+RATIOS = {"symbol_ratio": (0.9, 1.0, 0.02), "dup_line_ratio": (0.99, 1.0, 0.05), "repeat_ratio": (0.99, 1.0, 0.01), "word_length": (0.9, 2.0, 0.1)}
+REACH = 1.0             # factor on the distances
 
 _CLASSES = byte_class(SPACES, False)
 _SYMBOLS = np.zeros(256, bool)
@@ -34,11 +35,12 @@ _SYMBOLS[list(b"#*$%&|<>")] = True
 _BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
-def _duplicate_lines(text: str | None) -> int:
+def _lines(text: str | None) -> tuple[int, int]:
+    """(lines that are not blank, those that repeat an earlier one)"""
     if not text:
-        return 0
+        return 0, 0
     lines = [x for x in text.split("\n") if x.strip(" \t\x0b\x0c\r")]
-    return len(lines) - len(set(lines))
+    return len(lines), len(lines) - len(set(lines))
 
 
 def _measure(column):
@@ -62,20 +64,20 @@ def _measure(column):
         np.add.at(covered, again + WINDOW, -1)
         inside = np.zeros(len(w.hash) + 1, np.int64)
         np.cumsum(np.cumsum(covered[:-1]) > 0, out=inside[1:])
+        lines = np.array([_lines(t) for t in column.slice(lo, hi - lo).to_pylist()], np.int64)
         yield lo, hi, [pa.array(np.diff(w.first)), pa.array(np.diff(chars[w.first])), pa.array(np.diff(symbols[o])),
-                       pa.array([_duplicate_lines(t) for t in column.slice(lo, hi - lo).to_pylist()], pa.int64()),
-                       pa.array(np.diff(inside[w.first]))]
+                       pa.array(lines[:, 1]), pa.array(np.diff(inside[w.first])), pa.array(lines[:, 0])]
 
 
 def measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` plus ``__n_words``, ``__word_chars``, ``__n_symbols``,
-    ``__n_dup_lines`` and ``__n_repeat_words`` of the whole text."""
-    return with_results(docs, text_col, _measure, [(f"__{c}", "long") for c in _BASE])
+    ``__n_dup_lines``, ``__n_repeat_words`` and ``__n_lines`` of the whole text."""
+    return with_results(docs, text_col, _measure, [(f"__{c}", "long") for c in [*_BASE, "n_lines"]])
 
 
 def _ratio(name: str):
     words = F.greatest("n_words", F.lit(1))
-    return {"symbol_ratio": F.col("n_symbols") / words, "dup_line_ratio": F.col("n_dup_lines") / words,
+    return {"symbol_ratio": F.col("n_symbols") / words, "dup_line_ratio": F.col("n_dup_lines") / F.greatest("n_lines", F.lit(1)),
             "repeat_ratio": F.col("n_repeat_words") / words, "word_length": F.col("word_chars") / words}[name]
 
 
@@ -87,13 +89,13 @@ def fences(rows: DataFrame, reach: float, min_group: int) -> DataFrame:
     lang = small.groupBy("lang").agg(F.sum("n").alias("lang_n"), *[F.kll_merge_agg_double(c).alias(f"lang_{c}") for c in names])
     whole = small.agg(*[F.kll_merge_agg_double(c).alias(f"all_{c}") for c in names])
 
-    def fence(sketch, floor):
-        q1, q3 = (F.kll_sketch_get_quantile_double(sketch, F.lit(q)) for q in (0.25, 0.75))
-        return q3 + F.greatest(q3 - q1, F.lit(floor)) * reach
+    def fence(sketch, level, far, floor):
+        middle, upper = (F.kll_sketch_get_quantile_double(sketch, F.lit(q)) for q in (0.5, level))
+        return upper + F.greatest(upper - middle, F.lit(floor)) * far * reach
 
     joined = small.join(lang, small["lang"].eqNullSafe(lang["lang"])).drop(lang["lang"]).crossJoin(F.broadcast(whole))  # one row
     chosen = [F.when(F.col("n") >= min_group, F.col(c)).when(F.col("lang_n") >= min_group, F.col(f"lang_{c}")).otherwise(F.col(f"all_{c}")) for c in names]
-    return joined.select("lang", "source", *[fence(s, RATIOS[c]).alias(f"{c}_fence") for c, s in zip(names, chosen)])
+    return joined.select("lang", "source", *[fence(s, *RATIOS[c]).alias(f"{c}_fence") for c, s in zip(names, chosen)])
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source",
@@ -108,7 +110,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     their row and weigh in the sketches; values on a fence are kept. Other
     columns are not looked at; an empty table gives an empty result."""
     plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"))
-    m = measures(plain).select("id", "lang", "source", *[F.col(f"__{c}").alias(c) for c in _BASE])
+    m = measures(plain).select("id", "lang", "source", *[F.col(f"__{c}").alias(c) for c in [*_BASE, "n_lines"]])
     m = m.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * REPEAT_PERCENT))
     m = written(m.select("*", *[_ratio(c).alias(c) for c in RATIOS]), "measures")
     # fences come from the documents that the fixed rules pass
