@@ -27,7 +27,7 @@ ORACLE_SQL = None
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with an identified language: null, empty and letter-less texts go."""
+    """Documents with an identified language: letter-less texts go, and those unlike all that was learned."""
     return keep_identified(docs)
 
 

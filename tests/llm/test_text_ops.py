@@ -268,6 +268,28 @@ def test_cross_entropy_difference(spark, docs, empty):
     assert cross_entropy_difference(docs, good.limit(0)).count() == len(rows())
 
 
+def test_unidentified_texts_go(spark):
+    import random
+    r = random.Random(3)
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    foreign = ["Сегодня утром мы пошли в магазин и купили хлеб, молоко и немного сыра.", "今日は朝から雨が降っていたので、私たちは家で本を読みました。",
+               "ذهبنا هذا الصباح إلى المتجر واشترينا الخبز والحليب", "Bu sabah markete gittik ve kahvaltı için ekmek, süt ve biraz peynir aldık.",
+               "Dzisiaj rano poszliśmy do sklepu i kupiliśmy chleb, mleko oraz trochę sera."]
+    noise = [" ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(r.randint(3, 12))) for _ in range(60)),
+             "8 3 1 4 7 9 2 2 " * 30 + "a", "#$%& ** || <<>> " * 30 + "x", "x" * 500]
+    rows = [(10_000_000 + i, t, None, "odd", len(t)) for i, t in enumerate(foreign + noise)]
+    kept = lang_id.keep_identified(table.unionByName(spark.createDataFrame(rows, table.schema)))
+    assert [r.text for r in kept.filter("source = 'odd'").collect()] == []
+    # clean documents stay, also those that were not learned from
+    held = table.filter(lang_id.held_out(F.col("doc_id")) & F.col("text").rlike(r"\p{L}"))
+    good = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").filter("quality = 1").select("doc_id")
+    left = kept.select("doc_id")
+    assert held.join(good, "doc_id", "left_semi").join(left, "doc_id", "left_anti").count() == 0
+    assert held.join(left, "doc_id", "left_anti").count() <= 0.01 * held.count()
+    unlabelled = table.withColumn("lang", F.lit(None).cast("string"))
+    assert lang_id.keep_identified(unlabelled).count() == table.filter(F.col("text").rlike(r"\p{L}")).count()
+
+
 @pytest.mark.parametrize("hot", [1e-5, 0.0, 1.0])
 def test_cross_entropy_counts_are_exact(spark, hot):
     # more distinct words than any fixed vocabulary of 65,536, with rare ones in the target

@@ -4,6 +4,11 @@ Linear support vector machines over hashed byte n-grams (1 to 3 bytes, of the
 lower-cased text) first separate language families, one against the rest; inside
 the predicted family, one-versus-one machines separate its languages and vote.
 Training reads a bounded sample of labelled rows; prediction reads whole texts.
+
+A text of no learned language can lie far on one side of every machine, so the
+model also says how usual a text is: the mean log frequency of its n-grams, each
+as in the learned language that has most of it. Score and usualness of the
+learned rows set what a text must reach to count as identified.
 """
 
 from __future__ import annotations
@@ -28,6 +33,9 @@ BITS = 12               # hashed feature space of 2^BITS
 PER_LANGUAGE = 240      # labelled rows a language gives at most, about
 ROUNDS = 30
 UNKNOWN = "und"
+LOW = 0.01              # quantile of the learned rows' scores and usualness
+PART = 0.5              # share of that score, and of that mean n-gram frequency, which a text must reach (at most its inverse above)
+RARE = 1e-6             # least frequency of an n-gram
 
 _SIZE = 1 << BITS
 _U32 = np.uint32
@@ -105,28 +113,42 @@ class Hierarchy:
         w = np.array(rows).reshape(len(rows), _SIZE + 1)
         self.weight = (w[:, :-1] * scale).astype(np.float32)
         self.bias = w[:, -1].astype(np.float32)
+        often = np.stack([x[label == k].mean(axis=0) for k in range(len(self.languages))]).max(axis=0)
+        self.usual = np.log(np.maximum(often, RARE)).astype(np.float32)
+        _, score = self._decided(x @ self.weight.T + self.bias)
+        self.least_score = float(np.quantile(score, LOW)) * PART
+        low, high = np.quantile((x @ self.usual) / x.sum(axis=1).clip(1e-9), [LOW, 1 - LOW])
+        self.usual_range = float(low + np.log(PART)), float(high - np.log(PART))      # beyond: blanks and digits around a letter
 
     def margins(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
-        """(texts, machines) margins over whole texts."""
+        """(texts, machines) margins over whole texts, and how usual each is."""
         n = len(off) - 1
-        out = np.zeros((n, len(self.machines)), np.float64)
+        out = np.zeros((n, len(self.machines) + 1), np.float64)
+        inside = np.zeros(n, np.int64)
         if len(data):
             # a text's n-grams do not run into the next one: they are cut by its length
             length = np.diff(off)
             grams = _grams(_prepared(data)) if len(data) > 2 else []
             for k, g in enumerate(grams):
                 upto = np.maximum(length - k, 0)
-                for m in range(len(self.machines)):
+                stop = np.minimum(off[:-1] + upto, len(g))
+                inside += stop - np.minimum(off[:-1], stop)
+                for m, weight in enumerate([*self.weight, self.usual]):
                     run = np.zeros(len(g) + 1, np.float64)
-                    np.cumsum(self.weight[m][g], out=run[1:])
-                    stop = np.minimum(off[:-1] + upto, len(g))
+                    np.cumsum(weight[g], out=run[1:])
                     out[:, m] += run[stop] - run[np.minimum(off[:-1], stop)]
-            out /= np.maximum(3 * length, 1)[:, None]
-        return out + self.bias
-
-    def predict(self, data: np.ndarray, off: np.ndarray) -> tuple[list[str], np.ndarray]:
-        m = self.margins(data, off)
-        n = len(off) - 1
+            out[:, :-1] /= np.maximum(3 * length, 1)[:, None]
+        return out[:, :-1] + self.bias, out[:, -1] / np.maximum(inside, 1)
+
+    def predict(self, data: np.ndarray, off: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """(language, score, reaches what the learned rows ask for) of each text."""
+        m, usual = self.margins(data, off)
+        best, score = self._decided(m)
+        return [self.languages[k] for k in best], score, (score >= self.least_score) & (usual >= self.usual_range[0]) & (usual <= self.usual_range[1])
+
+    def _decided(self, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place of the language, score) by the machines' margins."""
+        n = len(m)
         sure = 1 / (1 + np.exp(-2 * np.clip(m, -15, 15)))
         family_p = np.zeros((n, len(self.families)))
         if len(self.families) == 1:
@@ -144,7 +166,7 @@ class Hierarchy:
         inside = self.family_of[None, :] == chosen[:, None]
         best = np.where(inside, votes + certain * 0.5, -1).argmax(axis=1)
         score = family_p.max(axis=1) * certain[np.arange(n), best]
-        return [self.languages[k] for k in best], np.clip(score, 0, 1)
+        return best, np.clip(score, 0, 1)
 
 
 def train(labelled: DataFrame, text_col: str, lang_col: str, per_language: int = PER_LANGUAGE) -> Hierarchy | None:
@@ -171,10 +193,13 @@ def train(labelled: DataFrame, text_col: str, lang_col: str, per_language: int =
     return Hierarchy(x, got["lang"].to_pylist())
 
 
-def predict(docs: DataFrame, model: Hierarchy | None, text_col: str = "text", lang_name: str = "lang_pred", score_name: str = "score") -> DataFrame:
-    """All columns of ``docs`` plus the predicted language and its certainty (0
-    to 1). Null texts and texts without a letter, and any text if there is no
-    model, are ``und`` with score 0. Whole texts are read; rows are independent."""
+def predict(docs: DataFrame, model: Hierarchy | None, text_col: str = "text", lang_name: str = "lang_pred", score_name: str = "score",
+            sure_name: str = "__sure") -> DataFrame:
+    """All columns of ``docs`` plus the predicted language, its certainty (0 to 1)
+    and whether the text is like the learned ones. Null texts and texts without a
+    letter, and any text if there is no model, are ``und`` with score 0; without a
+    model texts with a letter are taken as sure. Whole texts are read; rows are
+    independent."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     import regex
     letter = regex.compile(r"\p{L}")
@@ -186,12 +211,12 @@ def predict(docs: DataFrame, model: Hierarchy | None, text_col: str = "text", la
             texts = column.slice(lo, hi - lo).to_pylist()
             blank = np.array([t is None or letter.search(t) is None for t in texts], bool)
             if sent.value is None:
-                lang, score = [UNKNOWN] * (hi - lo), np.zeros(hi - lo)
+                lang, score, sure = [UNKNOWN] * (hi - lo), np.zeros(hi - lo), np.ones(hi - lo, bool)
             else:
-                lang, score = sent.value.predict(d, o)
-            yield lo, hi, [pa.array([UNKNOWN if x else v for v, x in zip(lang, blank)], pa.string()), pa.array(np.where(blank, 0.0, score))]
+                lang, score, sure = sent.value.predict(d, o)
+            yield lo, hi, [pa.array([UNKNOWN if x else v for v, x in zip(lang, blank)], pa.string()), pa.array(np.where(blank, 0.0, score)), pa.array(sure & ~blank)]
 
-    return with_results(docs, text_col, compute, [(lang_name, "string"), (score_name, "double")])
+    return with_results(docs, text_col, compute, [(lang_name, "string"), (score_name, "double"), (sure_name, "boolean")])
 
 
 def held_out(id_column) -> object:
@@ -208,9 +233,10 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     return predict(plain, model, "__text").select(id_col, held_out(F.col(id_col)).alias("held_out"), "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float = 0.0) -> DataFrame:
-    """The rows of ``docs`` (all columns) whose language is identified: ``und``
-    goes, and what scores under ``least``."""
+def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of ``docs`` (all columns) whose language is identified: texts
+    without a letter go, and texts whose score or usualness lies outside what
+    the learned rows have (``LOW``, ``PART``). Without a row to learn from, every
+    text with a letter stays."""
     model = train(docs.filter(~held_out(F.col(id_col))), text_col, lang_col)
-    found = predict(docs, model, text_col, "__lang", "__score")
-    return found.filter((F.col("__lang") != UNKNOWN) & (F.col("__score") >= least)).select(*docs.columns)
+    return predict(docs, model, text_col, "__lang", "__score").filter("__sure").select(*docs.columns)
