@@ -172,6 +172,28 @@ def test_secret_model_and_masking(spark):
     assert all(t.startswith(prose) and t.endswith(" end") for t in masked.values())
 
 
+def test_secrets_without_digits_and_short_ones(spark):
+    import random
+    r = random.Random(5)
+    low, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    kinds = [(low, 16), (low, 24), (low.upper(), 16), (low.upper(), 24), (low + low.upper(), 12), (low + low.upper(), 20), (low + low.upper() + digits, 12), (low + low.upper() + digits, 15)]
+    secrets = [["".join(r.choice(chars) for _ in range(n)) for _ in range(40)] for chars, n in kinds]
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    prose = [t for (t,) in table.filter("length(text) > 400").select("text").limit(400).collect()]
+    words = sorted({w for t in prose for w in re.findall(r"(?<![A-Za-z0-9+/_=-])[A-Za-z]{12,}(?![A-Za-z0-9+/_=-])", t)})
+    words += [w.upper() for w in words] + ["order_2024_12345678_item", "customer-account-number-7", "transaction_history_v2_final", "1234567890123456"]
+    mine = [f"von {w} bis" for w in [*(s for kind in secrets for s in kind), *words]]
+    df = table.unionByName(spark.createDataFrame([(10_000_000 + i, t) for i, t in enumerate(mine)], "doc_id long, text string"))
+    masked = {x.doc_id - 10_000_000: x.text for x in secret_markov.redact(df, "text").filter("doc_id >= 10000000").collect()}
+    at = 0
+    for (chars, n), kind in zip(kinds, secrets):
+        assert sum(masked[at + k] != mine[at + k] for k in range(40)) >= 32, (chars, n)
+        at += 40
+    assert len(words) > 100
+    assert sum(masked[at + k] != mine[at + k] for k in range(len(words))) <= 0.01 * len(words)
+    assert all(masked[len(mine) - k] == mine[len(mine) - k] for k in range(1, 5))
+
+
 def test_sentencepiece(spark, docs, empty):
     import sentencepiece
     file = P.path("piece_bpe_32k.model")

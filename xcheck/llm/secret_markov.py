@@ -3,8 +3,9 @@
 Fixed patterns find assigned passwords and keys, access key ids and long hex
 strings. Beyond them, two character Markov models judge every long token: one of
 random strings, learned from what the patterns found, one of ordinary
-identifiers, learned from the other words. A token whose mean log-likelihood
-ratio per transition exceeds ``RATIO`` is a secret too. Both are counted on a
+identifiers, learned from the other words and their upper-case forms. A token
+whose log-likelihood ratio exceeds ``LEAST`` in sum and ``RATIO`` per transition
+is a secret too, with or without digits: short ones must say more each. Both are counted on a
 bounded hash sample of documents (``SAMPLE`` documents, about); the scan itself
 reads every whole text. Scores are sums over a literal array of log ratios.
 """
@@ -23,21 +24,23 @@ RULES = (
     ("hex", r"(?<![0-9a-f])[0-9a-f]{24,}", 0, 24),
 )
 LEARNED = "markov"
-# whole runs of 16 or more characters with a digit
-TOKEN = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{16,}"
+# whole runs of 12 or more characters
+TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{12,}"
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-."
 SAMPLE = 5_000
 SMOOTHING = 20.0
 FLOOR = 0.002           # least back-off probability of a character
 LIMIT = 3.0             # bound of one transition's log ratio
 RATIO = 0.4             # mean log ratio per transition (natural logarithm)
+LEAST = 6.0             # log ratio of all transitions together: decides up to 16 characters
 
 _KIND_ORDER = {k: i for i, (k, *_) in enumerate(RULES)} | {LEARNED: len(RULES)}
 
 
-def _matches(text: Column, pattern: str, group: int) -> Column:
-    """array<struct<start, end, value>> of all matches in code points: a match
-    starts after the pieces between the matches and the matches before it."""
+def _matches(text: Column, pattern: str, group: int, only: Column | None = None) -> Column:
+    """array<struct<start, end, value>> of all matches (whose value is in the array
+    ``only``) in code points: a match starts after the pieces between the matches
+    and the matches before it."""
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
     gaps = F.transform(F.split(text, pattern, -1), F.length)
@@ -48,10 +51,11 @@ def _matches(text: Column, pattern: str, group: int) -> Column:
     def step(acc, r):
         lo = acc["at"] + r["g"]
         hi = lo + F.length(r["w"])
-        return F.struct(hi.alias("at"), F.concat(acc["out"], F.array(F.struct(lo.alias("start"), hi.alias("end"), r["v"].alias("value")))).alias("out"))
+        more = F.concat(acc["out"], F.array(F.struct(lo.alias("start"), hi.alias("end"), r["v"].alias("value"))))
+        return F.struct(hi.alias("at"), (more if only is None else F.when(F.array_contains(only, r["v"]), more).otherwise(acc["out"])).alias("out"))
 
     got = F.aggregate(F.filter(rows, lambda r: r["w"].isNotNull()), start, step)["out"]
-    return F.when(text.rlike(pattern), got).otherwise(empty)
+    return F.when(text.rlike(pattern) if only is None else F.size(only) > 0, got).otherwise(empty)
 
 
 def _base(text: Column) -> Column:
@@ -82,6 +86,7 @@ def train(docs: DataFrame, text_col: str, sample: int = SAMPLE) -> list[float]:
     words = F.regexp_extract_all(F.col("t"), F.lit(r"(?<![A-Za-z0-9])[A-Za-z][a-z]{3,}+(?:[_-]?[A-Z]?[a-z]{2,}+|[_-]?[0-9]++)*+(?![A-Za-z0-9])"), F.lit(0))
     ordinary = some.select(F.explode(words).alias("v"), F.lit(0).alias("random"))
     ordinary = ordinary.groupBy("v", "random").agg(F.count("*").alias("n"))      # distinct words first
+    ordinary = ordinary.unionByName(ordinary.filter("v rlike '^[A-Za-z]+$'").withColumn("v", F.upper("v")))     # in capitals too
     seen = random.withColumn("n", F.lit(1).cast("long")).unionByName(ordinary.select("v", "random", "n"))
     counts = (seen.select("random", "n", F.explode(_pairs(F.col("v"))).alias("pair")).filter("n > 0")
               .groupBy("random", "pair").agg(F.sum("n").alias("n")).collect())      # two tables of the alphabet squared
@@ -92,10 +97,16 @@ def train(docs: DataFrame, text_col: str, sample: int = SAMPLE) -> list[float]:
             table[r.random][r.pair] += r.n
     digits = {1 + ALPHABET.index(c) for c in "0123456789"}
     even = 1 / 62                       # random strings come in several alphabets
-    plain = [sum(table[0][a * size + b] for a in range(1, size)) for b in range(size)]
-    plain = [max(FLOOR, x / max(1.0, sum(plain[1:]))) for x in plain]
+    capital = {1 + ALPHABET.index(c) for c in ALPHABET if c.isupper()}
+
+    def back_off(rows):
+        seen = [sum(table[0][a * size + b] for a in rows) for b in range(size)]
+        return [max(FLOOR, x / max(1.0, sum(seen[1:]))) for x in seen]
+
+    after = {True: back_off(capital), False: back_off(set(range(1, size)) - capital)}     # after a capital, after others
     out = [0.0] * (size * size)
     for a in range(1, size):
+        plain = after[a in capital]
         left = [sum(t[a * size + 1:a * size + size]) for t in table]
         for b in range(1, size):
             if a in digits and b in digits:
@@ -119,16 +130,18 @@ def secret_spans(docs: DataFrame, text_col: str = "text", ratio: float = RATIO,
     model = _literal(train(docs, text_col, sample))
     text = F.coalesce(F.col(text_col), F.lit(""))
 
-    def mean_ratio(value):
-        pairs = _pairs(value)
-        total = F.aggregate(pairs, F.lit(0.0), lambda acc, p: acc + F.coalesce(F.try_element_at(model, (p + 1).cast("int")), F.lit(0.0)))
-        return total / F.greatest(F.size(pairs), F.lit(1))
+    def summed_ratio(value):
+        return F.aggregate(_pairs(value), F.lit(0.0), lambda acc, p: acc + F.coalesce(F.try_element_at(model, (p + 1).cast("int")), F.lit(0.0)))
+
+    def limit(value):
+        return F.greatest(F.lit(LEAST), ratio * (F.length(value) - 1))
 
-    plain = docs.withColumn("__base", _base(text)).withColumn("__tokens", _matches(text, TOKEN, 0))
+    tokens = F.array_distinct(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)))
+    plain = docs.withColumn("__base", _base(text)).withColumn("__odd", F.filter(tokens, lambda t: summed_ratio(t) > limit(t)))
+    plain = plain.withColumn("__tokens", _matches(text, TOKEN, 0, F.col("__odd")))
     free = F.filter("__tokens", lambda t: ~F.exists("__base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
-    odd = F.filter(free, lambda t: t["value"].rlike("[0-9]") & t["value"].rlike("[A-Za-z]") & (mean_ratio(t["value"]) > ratio))
-    learned = F.transform(odd, lambda t: F.struct(t["start"], F.lit(_KIND_ORDER[LEARNED]).alias("rank"), t["end"], F.lit(LEARNED).alias("kind"), t["value"]))
-    return plain.withColumn("__spans", F.array_sort(F.concat("__base", learned))).drop("__base", "__tokens")
+    learned = F.transform(free, lambda t: F.struct(t["start"], F.lit(_KIND_ORDER[LEARNED]).alias("rank"), t["end"], F.lit(LEARNED).alias("kind"), t["value"]))
+    return plain.withColumn("__spans", F.array_sort(F.concat("__base", learned))).drop("__base", "__odd", "__tokens")
 
 
 def span_text(spans: Column) -> Column:
