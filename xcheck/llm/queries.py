@@ -13,6 +13,7 @@ from .lang_id import identify
 from .lm_score import cross_entropy_difference
 from .ngram_jaccard import ngram_jaccard_join
 from .packing import pack_documents
+from .phrase_tries import KEEP, MIN_COUNT, mine_phrases
 from .quality_thresholds import quality_rules
 from .secret_markov import LEARNED, secret_spans, span_text
 from .sentencepiece_codec import sentencepiece_decode, sentencepiece_encode
@@ -99,3 +100,32 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     return extract_main_text(pages).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+# phrases counted by list slices; exact sums in HUGEINT
+_PHRASES = f"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+words AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[ \x09]+'), lambda w: w <> '') AS w FROM pieces),
+spans AS (SELECT lang, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM words, (VALUES (1), (2), (3), (4)) AS s(size) WHERE len(w) >= size),
+counted AS (SELECT lang, w[i:i + size - 1] AS p, size, count(*)::HUGEINT AS a FROM spans GROUP BY ALL),
+totals AS (SELECT lang, sum(a)::HUGEINT AS n FROM counted WHERE size = 1 GROUP BY lang),
+often AS (SELECT * FROM counted WHERE a >= {MIN_COUNT}),
+cuts AS (SELECT o.lang, o.p, o.a, k, l.a AS l, r.a AS r, (2000000 * o.a) // (l.a + r.a) AS score
+  FROM (SELECT *, unnest(range(1, size)) AS k FROM often WHERE size > 1) o
+  JOIN often l ON l.lang = o.lang AND l.p = o.p[1:k] JOIN often r ON r.lang = o.lang AND r.p = o.p[k + 1:o.size]),
+scored AS (SELECT lang, p, a, l, r, score FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1),
+parts AS (SELECT lang, p[i:j] AS p, max(a) AS longer FROM
+  (SELECT *, unnest(range(i + 1, size + 1)) AS j FROM (SELECT *, unnest(range(1, size)) AS i FROM often WHERE size > 2)) WHERE j - i + 1 < size GROUP BY ALL),
+kept AS (SELECT s.*, array_to_string(s.p, ' ') AS phrase FROM scored s LEFT JOIN parts USING (lang, p) WHERE longer IS NULL OR 100 * longer < 80 * s.a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM ranked JOIN totals USING (lang) WHERE rank <= {KEEP}
+"""
+
+
+@op("op13_phrase_collocations", oracle=_PHRASES)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mine_phrases(table(spark, sf_dir, "documents"))
