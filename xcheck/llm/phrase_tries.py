@@ -38,6 +38,7 @@ SCALE = 2_000_000       # of the score
 SHARD = 400_000         # phrases of a trie, about
 TRIES = 3               # tries sent at once
 HELD = 1_500_000        # distinct phrases or words that a task holds before it sends them on
+NEAR = 128              # free places that a node's children are tried at
 FILTER_BITS = 1 << 26   # filter of frequent parts (8 MB, fixed)
 NO_LANGUAGE = "und"
 
@@ -207,30 +208,42 @@ def candidates(texts: DataFrame, parts: DataFrame, k: int, min_count: int) -> Da
 
 class DoubleArrayTrie:
     """Transition of state s by symbol c: t = base[s] + c, if check[t] is s.
-    State 0 is the root; ``state[p]`` is the accepting state of phrase p."""
+    State 0 is the root; ``state[p]`` is the accepting state of phrase p. A
+    word is ``digits`` symbols, its number (rare words last) to the base 256 plus
+    one: with so few symbols the children of nodes fit between each other."""
 
     def __init__(self, phrases: np.ndarray):
         """``phrases``: distinct rows of word names, zeros at the end."""
-        self.words = np.unique(phrases[phrases != 0])
-        symbol = np.where(phrases != 0, np.searchsorted(self.words, phrases) + 1, 0)
-        size = len(self.words) + 1
-        self.base, self.check = np.zeros(size, np.int32), np.full(size, -1, np.int32)
+        self.words, times = np.unique(phrases[phrases != 0], return_counts=True)
+        self.number = np.zeros(len(self.words), np.int32)
+        self.number[np.argsort(-times, kind="stable")] = np.arange(len(self.words))
+        self.base, self.check = np.zeros(NEAR, np.int32), np.full(NEAR, -1, np.int32)
         self.check[0] = -2
+        self._set_digits()
+        number = np.where(phrases != 0, self.numbers(phrases), -1)
         self.state = np.zeros(len(phrases), np.int64)
-        for level in range(phrases.shape[1]):
-            rows = np.flatnonzero(symbol[:, level])
-            key = self.state[rows] * (len(self.words) + 1) + symbol[rows, level]
-            uniq, back = np.unique(key, return_inverse=True)
-            parent, child = uniq // (len(self.words) + 1), uniq % (len(self.words) + 1)
-            self.state[rows] = (self._placed(parent, child) if level else self._root(child))[back]
-
-    def _root(self, child):
-        self.check[child] = 0
-        return child
+        for k in range(phrases.shape[1]):
+            rows = np.flatnonzero(number[:, k] >= 0)
+            for shift in self.shifts:
+                key = self.state[rows] * 257 + self._symbol(number[rows, k], shift)
+                uniq, back = np.unique(key, return_inverse=True)
+                self.state[rows] = self._placed(uniq // 257, uniq % 257)[back] if len(rows) else 0
+        used = int(np.flatnonzero(self.check != -1)[-1]) + 1
+        self.base, self.check = self.base[:used].copy(), self.check[:used].copy()
+
+    def _set_digits(self):
+        digits = 1
+        while 256 ** digits < len(self.words):
+            digits += 1
+        self.shifts = [8 * k for k in range(digits - 1, -1, -1)]
+
+    @staticmethod
+    def _symbol(number, shift):
+        return (number >> shift & 255) + 1
 
     def _grow(self, size):
         if size > len(self.check):
-            more = max(size, len(self.check) * 5 // 4) - len(self.check)
+            more = max(size - len(self.check), len(self.check) // 8, 4096)
             self.base = np.concatenate([self.base, np.zeros(more, np.int32)])
             self.check = np.concatenate([self.check, np.full(more, -1, np.int32)])
 
@@ -259,70 +272,77 @@ class DoubleArrayTrie:
 
     def _fit(self, c, start):
         """(base at which all of c is free, where to look next time): first fit
-        among the next free places, behind the end if none of them fits."""
-        window = self.check[start:start + 4096]
-        places = np.flatnonzero(window == -1)
-        if len(places) < 256 and len(window) == 4096:
-            start += 2048       # nearly full
-        places = places[:256] + (start if len(places) >= 256 or len(window) < 4096 else start - 2048)
-        if len(places):
-            at = places[:, None] + (c - c[0])[None, :]
-            self._grow(int(at.max()) + 1)
-            fits = np.flatnonzero((self.check[at] == -1).all(axis=1))
-            if len(fits):
-                return int(places[fits[0]] - c[0]), start
-        size = len(self.check)
-        self._grow(size + int(c[-1] - c[0]) + 1)
-        return size - int(c[0]), start
-
-    def symbols(self, name: np.ndarray) -> np.ndarray:
-        """Symbol of each word, 0 if the trie has none."""
+        among the next ``NEAR`` free places, else behind the last one used."""
+        width = 4 * NEAR
+        while True:
+            free = np.flatnonzero(self.check[start:start + width] == -1)[:NEAR] + start
+            if len(free) == NEAR:
+                break
+            if start + width >= len(self.check):
+                self._grow(start + 2 * width)
+            width *= 2
+        if width > 16 * NEAR:       # few places are left up to here
+            start = int(free[NEAR // 2])
+        at = free[:, None] + (c - c[0])[None, :]
+        self._grow(int(at[-1, -1]) + 1)
+        fits = np.flatnonzero((self.check[at] == -1).all(axis=1))
+        if len(fits):
+            return int(free[fits[0]] - c[0]), start
+        last = int(np.flatnonzero(self.check != -1)[-1])
+        self._grow(last + 2 + int(c[-1] - c[0]))
+        return last + 1 - int(c[0]), start
+
+    def numbers(self, name: np.ndarray) -> np.ndarray:
+        """Number of each word, -1 if the trie has none."""
         if not len(self.words):
-            return np.zeros(len(name), np.int64)
+            return np.full(name.shape, -1)
         at = np.minimum(np.searchsorted(self.words, name), len(self.words) - 1)
-        return np.where(self.words[at] == name, at + 1, 0)
+        return np.where(self.words[at] == name, self.number[at], -1)
 
     def count(self, name: np.ndarray, end: np.ndarray, into: np.ndarray) -> None:
         """Add to ``into`` how often each state is reached from a position,
         inside its piece: all positions go on a level at a time."""
-        symbol = self.symbols(name)
-        at = np.flatnonzero(symbol)
-        at = at[self.check[symbol[at]] == 0]
-        state = symbol[at]
-        for level in range(1, LONGEST):
+        number = self.numbers(name)
+        at = np.flatnonzero(number >= 0)
+        state = np.zeros(len(at), np.int64)
+        for level in range(LONGEST):
             on = at + level < end[at]
             at, state = at[on], state[on]
-            c = symbol[at + level]
-            to = self.base[state] + c
-            on = (c > 0) & (to >= 0) & (to < len(self.check))
-            at, state, to = at[on], state[on], to[on]
-            on = self.check[to] == state
-            at, state = at[on], to[on]
+            word = number[at + level]
+            on = word >= 0
+            at, state, word = at[on], state[on], word[on]
+            for shift in self.shifts:
+                to = self.base[state] + self._symbol(word, shift)
+                on = (to >= 0) & (to < len(self.check))
+                on[on] = self.check[to[on]] == state[on]
+                at, state, word = at[on], to[on], word[on]
             if not len(at):
                 return
-            into += np.bincount(state, minlength=len(into))
+            if level:
+                into += np.bincount(state, minlength=len(into))
 
     def packed(self) -> list[bytes]:
-        return [x.tobytes() for x in (self.words, self.base, self.check, self.state)]
+        return [x.tobytes() for x in (self.words, self.number, self.base, self.check, self.state)]
 
     @classmethod
     def unpacked(cls, packed: list[bytes]) -> DoubleArrayTrie:
         out = cls.__new__(cls)
-        out.words, out.base, out.check, out.state = (np.frombuffer(x, kind) for x, kind in zip(packed, (_U, np.int32, np.int32, np.int64)))
+        out.words, out.number, out.base, out.check, out.state = (np.frombuffer(x, kind) for x, kind in zip(packed, (_U, np.int32, np.int32, np.int32, np.int64)))
+        out._set_digits()
         return out
 
 
 def tries(phrases: DataFrame, shards: int) -> DataFrame:
-    """(shard, words, base, check, state, phrases): one row for each of ``shards``
+    """(shard, words, number, base, check, state, phrases): one row for each of ``shards``
     tries over (s1, ..., s4); ``phrases`` has the words of every phrase, in order."""
 
     def build(table: pa.Table) -> pa.Table:
         rows = np.column_stack([np.asarray(table[s]).view(_U) for s in _S])
         trie = DoubleArrayTrie(rows)
-        return pa.table({"shard": pa.array([table["shard"][0].as_py()], pa.int64()), **{c: pa.array([x], pa.binary()) for c, x in zip(("words", "base", "check", "state", "phrases"), [*trie.packed(), rows.tobytes()])}})
+        return pa.table({"shard": pa.array([table["shard"][0].as_py()], pa.int64()), **{c: pa.array([x], pa.binary()) for c, x in zip(("words", "number", "base", "check", "state", "phrases"), [*trie.packed(), rows.tobytes()])}})
 
     dealt = phrases.withColumn("shard", F.pmod(F.xxhash64(*_S), F.lit(shards)))
-    return dealt.groupBy("shard").applyInArrow(build, "shard long, words binary, base binary, check binary, state binary, phrases binary")
+    return dealt.groupBy("shard").applyInArrow(build, "shard long, words binary, number binary, base binary, check binary, state binary, phrases binary")
 
 
 def frequencies(texts: DataFrame, phrases: DataFrame, shard: int = SHARD, at_once: int = TRIES) -> DataFrame:
