@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .factor_machine import classify_quality
 from .html_blocks import extract_main_text
 from .lang_id import identify
 from .lm_score import cross_entropy_difference
@@ -17,6 +18,7 @@ from .phrase_tries import KEEP, MIN_COUNT, mine_phrases
 from .quality_thresholds import quality_rules
 from .secret_markov import LEARNED, secret_spans, span_text
 from .sentencepiece_codec import sentencepiece_decode, sentencepiece_encode
+from .token_alignment import align_tokens
 from .url_rules import url_verdicts
 from .winnowing import winnow_hits
 
@@ -129,3 +131,15 @@ FROM ranked JOIN totals USING (lang) WHERE rank <= {KEEP}
 @op("op13_phrase_collocations", oracle=_PHRASES)
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mine_phrases(table(spark, sf_dir, "documents"))
+
+
+@op("op12_token_alignment")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return align_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@op("op11_quality_classifier")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
