@@ -6,7 +6,7 @@ import re
 
 from xcheck.llm import html_blocks, url_rules
 from xcheck.llm.components import connected_components
-from xcheck.llm.ngram_jaccard import keep_one_per_group, ngram_jaccard_join
+from xcheck.llm.ngram_jaccard import bucket_members, keep_one_per_group, ngram_jaccard_join
 
 SCHEMA = "doc_id long, text string, component_id string, node long"
 
@@ -65,6 +65,31 @@ def test_ngram_jaccard_join(spark):
     assert ngram_jaccard_join(df.limit(0)).count() == 0
 
 
+def test_short_texts_meet_no_bucket(spark):
+    """Texts of few words share no key unless they share n-grams."""
+    r = random.Random(8)
+    rows = [(i, " ".join("".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(r.randint(1, 14)))) for i in range(2500)]
+    rows += [(5000 + i, rows[i][1]) for i in range(50)]
+    df = spark.createDataFrame([(*x, "clash", 5) for x in rows], SCHEMA).repartition(4)
+    found = bucket_members(df, "text", 4, 85)
+    assert found.groupBy("key").count().agg({"count": "max"}).first()[0] in (None, 2)
+    got = ngram_jaccard_join(df).collect()
+    assert collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == collections.Counter(
+        (i, max(1, len(t.split()) - 3), i - 5000 if i >= 5000 else i) for i, t in rows)
+
+
+def test_few_filled_fragments(spark):
+    """Links among sets of 6 to 20 n-grams, many of which fill few fragments."""
+    r = random.Random(4)
+    rows = []
+    for k in range(400):
+        words = [f"w{r.randrange(10 ** 9)}" for _ in range(r.randint(9, 22))]
+        rows += [(10 * k, " ".join(words)), (10 * k + 1, " ".join([*words, f"x{k}"])), (10 * k + 2, " ".join(words[1:]))]
+    df = spark.createDataFrame([(*x, "clash", 5) for x in rows], SCHEMA).repartition(3)
+    got = ngram_jaccard_join(df).collect()
+    assert collections.Counter((x.doc_id, x.n_shingles, x.component_id) for x in got) == collections.Counter(brute(rows))
+
+
 def test_keep_one_per_group(spark):
     rows = near_rows(5)
     df = spark.createDataFrame([(*x, "clash", 5) for x in rows], SCHEMA).repartition(3)

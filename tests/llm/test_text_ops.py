@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from xcheck.llm import lang_id, quality_thresholds, secret_markov, winnowing
 from xcheck.llm.lm_score import cross_entropy_difference
 from xcheck.llm.packing import best_fit_decreasing, pack_documents, unpack
-from xcheck.llm.sentencepiece_codec import Vocabulary, sentencepiece_decode, sentencepiece_encode
+from xcheck.llm.sentencepiece_codec import Vocabulary, sentencepiece_decode, sentencepiece_encode, sentencepiece_round_trip
 
 P = pytest.importorskip("public_tokenizers")
 SCHEMA = "doc_id long, text string, lang string, source string, n_hit long, __extra string"
@@ -128,6 +128,22 @@ def test_each_ratio_fences_by_its_group(spark):
     assert all(got[i].kept for i in range(150)) and got[6000].kept
 
 
+def test_same_rows_same_verdicts(spark):
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    one, other = (sorted((r.doc_id, r.kept, *r.failed) for r in quality_thresholds.quality_rules(t).collect()) for t in (table, table.repartition(7)))
+    assert one == other
+
+
+def test_sketch_quantiles(spark):
+    import numpy as np
+    v = np.random.default_rng(2).lognormal(-2, 1.5, 3000)
+    df = spark.createDataFrame([(float(x),) for x in v], "v double").select(F.lit("g").alias("lang"), *[F.col("v").alias(c) for c in quality_thresholds.RATIOS])
+    row = quality_thresholds.sketch_fences(quality_thresholds.sketches(df, ["lang"]), ["lang"], 1.0).first()
+    for c, (level, far, floor) in quality_thresholds.RATIOS.items():
+        middle, upper = (np.sort(v)[int(np.ceil(q * len(v))) - 1] for q in (0.5, level))
+        assert abs(row[f"{c}_fence"] / (upper + max(upper - middle, floor) * far) - 1) < 0.02
+
+
 def test_fences_of_the_table_differ(spark):
     table = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     m = quality_thresholds.measures(table)
@@ -203,7 +219,9 @@ def test_sentencepiece(spark, docs, empty):
     for r in got.collect():
         ids = sp.encode(r.text or "")
         assert r.ids == ids and r.decoded == sp.decode(ids)
-    assert sentencepiece_encode(empty, file).count() == 0
+    both = {(r.doc_id, r.text, tuple(r.ids), r.decoded) for r in sentencepiece_round_trip(docs, file).collect()}
+    assert both == {(r.doc_id, r.text, tuple(r.ids), r.decoded) for r in got.collect()}
+    assert sentencepiece_encode(empty, file).count() == 0 and sentencepiece_round_trip(empty, file).count() == 0
 
 
 def test_sentencepiece_random():
@@ -276,6 +294,28 @@ def test_language(spark, docs, empty):
     assert lang_id.keep_identified(docs).columns == docs.columns
 
 
+def test_a_language_of_one_copied_text_is_learned(spark):
+    import random
+    r = random.Random(5)
+    english = [(i, " ".join(r.choice("the of and with over under house garden river window".split()) for _ in range(30)), "en") for i in range(600)]
+    german = [(10_000 + i, "der die das und mit über unter haus garten fluss fenster straße größe", "de") for i in range(600)]
+    got = lang_id.identify(spark.createDataFrame(english + german, "doc_id long, text string, lang string")).collect()
+    assert all(x.lang_pred == ("en" if x.doc_id < 10_000 else "de") for x in got)
+
+
+def test_stages_with_clashing_names(spark):
+    from xcheck.llm.ngram_jaccard import keep_one_per_group
+    text = "one two three four five six seven eight nine ten eleven token = abcdefgh1234"
+    names = ["__base", "__odd", "__tokens", "__spans", "__key", "__fate", "fate", "id", "text_key", "group", "c0", "c3", "lang_pred", "score", "__sure", "__lang"]
+    df = spark.createDataFrame([(i, text, "en", *[f"{n}{i}" for n in names]) for i in range(4)], ["doc_id", "text", "lang", *names])
+    for stage, n in ((lang_id.keep_identified, 4), (keep_one_per_group, 1), (secret_markov.redact, 4)):
+        got = stage(df)
+        assert got.columns == df.columns
+        got = got.collect()
+        assert len(got) == n and all(r["__base"] == f"__base{r.doc_id}" and r["score"] == f"score{r.doc_id}" for r in got)
+    assert all("[secret]" in r.text for r in got)
+
+
 def test_cross_entropy_difference(spark, docs, empty):
     good = spark.createDataFrame([(i,) for i in range(100, 130)], "doc_id long")
     mine = [(100 + i, "alpha beta gamma delta " * 20) for i in range(30)] + [(200 + i, "red green blue black " * 20) for i in range(30)]

@@ -15,10 +15,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tables import with_results
+from .tables import with_results, written
 from .words import pieces, utf8
 
 # Families of common languages; any other language is a family of its own.
@@ -30,7 +30,7 @@ FAMILY = {
     **dict.fromkeys("hi ur bn mr ne pa gu".split(), "indic"),
 }
 BITS = 12               # hashed feature space of 2^BITS
-PER_LANGUAGE = 240      # labelled rows a language gives at most, about
+PER_LANGUAGE = 240      # distinct labelled texts a language gives at most
 ROUNDS = 30
 UNKNOWN = "und"
 LOW = 0.01              # quantile of the learned rows' scores and usualness
@@ -170,14 +170,16 @@ class Hierarchy:
 
 
 def train(labelled: DataFrame, text_col: str, lang_col: str, per_language: int = PER_LANGUAGE) -> Hierarchy | None:
-    """Fit on about ``per_language`` rows a language, taken by hash of the text;
-    features are made in the tasks. None if there is no labelled text."""
-    named = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("lang is not null and length(text) > 2")
-    counts = {r.lang: r.n for r in named.groupBy("lang").agg(F.count("*").alias("n")).collect()}     # one row a language
-    if not counts:
+    """Fit on ``per_language`` distinct texts a language at most, those with the
+    smallest hashes: copies weigh once, and no language with a text is without
+    one. Features are made in the tasks. None if there is no labelled text."""
+    named = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("lang is not null and length(text) > 2").withColumn("hash", F.xxhash64("text"))
+    order = Window.partitionBy("lang").orderBy("hash")
+    chosen = written(named.select("lang", "hash").distinct().withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= per_language).drop("rank"), "drawn")
+    if chosen.isEmpty():
         return None
-    share = F.create_map(*[F.lit(v) for k, n in counts.items() for v in (k, min(1.0, per_language / n))])
-    sample = named.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < F.element_at(share, F.col("lang")) * (1 << 30))
+    # a task sends one row of each chosen text
+    sample = named.join(F.broadcast(chosen), ["lang", "hash"]).groupBy("lang", "hash").agg(F.max("text").alias("text")).select("text", "lang")
 
     def run(batches):
         for b in batches:
@@ -187,8 +189,6 @@ def train(labelled: DataFrame, text_col: str, lang_col: str, per_language: int =
                 yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x], pa.binary()), part.column(1)], names=["x", "lang"])
 
     got = sample.mapInArrow(run, "x binary, lang string").orderBy("lang", "x").toArrow()
-    if not got.num_rows:
-        return None
     x = np.frombuffer(b"".join(got["x"].to_pylist()), np.float32).reshape(got.num_rows, _SIZE)
     return Hierarchy(x, got["lang"].to_pylist())
 
@@ -239,4 +239,5 @@ def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     the learned rows have (``LOW``, ``PART``). Without a row to learn from, every
     text with a letter stays."""
     model = train(docs.filter(~held_out(F.col(id_col))), text_col, lang_col)
-    return predict(docs, model, text_col, "__lang", "__score").filter("__sure").select(*docs.columns)
+    plain = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])     # columns go by place, whatever their names
+    return predict(plain, model, f"c{docs.columns.index(text_col)}").filter("__sure").select(*plain.columns).toDF(*docs.columns)

@@ -14,6 +14,7 @@ What keeps the work in proportion to the input:
 * Inside a chunk of a task a fragment key sends one posting on to its bucket,
   the others are members at once, so a bucket meets at most one posting per
   chunk in one place, whatever the size of a group of copies.
+* Sets that can be linked to no other set (fewer than 6 n-grams) meet no bucket.
 * A linked pair agrees on at least (filled fragments - D) keys, so a class in
   fewer shared buckets than that has no link there and leaves.
 * First every member is compared with two hubs of its bucket only (as many pairs
@@ -34,14 +35,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .tables import written
+from .tables import give_back, written
 from .words import SPACES, byte_class, mix, ngrams_of_texts, pieces, scan, utf8
 
 N_WORDS = 4
 THRESHOLD = 85          # percent: linked when 100 * shared >= THRESHOLD * union
 CLASS_STEP = 1.5        # ratio of neighbouring size classes
 SPARE = 0.15            # share of fragments beyond D + 1: keys that linked sets must share
-CHUNK = 1_500_000       # postings a task holds before it sends them on
+CHUNK = 1_000_000       # postings a task holds before it sends them on
 FIRST_KEYS = 6          # of a node, carried along to skip pairs already met
 OVERLAP_PARTS = 4       # fragments of the exact count
 BLOOM_BITS = 1 << 26    # filter of nodes whose sets are fetched (8 MB, fixed)
@@ -97,10 +98,10 @@ def describe_sets(texts: DataFrame, id_col: str, text_col: str, n_words: int) ->
             for lo, hi, gram, first in _sets(b.column(2), n_words):
                 n = np.diff(first)
                 node = _node(gram, first)
-                bit = (gram & _U(511)).astype(np.int64)
                 row = np.repeat(np.arange(hi - lo), n)
-                odd = np.bincount(row * 512 + bit, minlength=(hi - lo) * 512).reshape(hi - lo, MAPS, 64) & 1
-                maps = (odd.astype(_U) << np.arange(64, dtype=_U)).sum(axis=2, dtype=_U).view(np.int64)
+                maps = np.zeros((hi - lo) * MAPS, _U)
+                np.bitwise_xor.at(maps, row * MAPS + (gram >> _U(6) & _U(MAPS - 1)).astype(np.int64), _U(1) << (gram & _U(63)))
+                maps = maps.view(np.int64).reshape(hi - lo, MAPS)
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo), pa.array(node, mask=n == 0), pa.array(n.astype(np.int64))]
                     + [pa.array(np.ascontiguousarray(maps[:, k])) for k in range(MAPS)],
@@ -128,8 +129,12 @@ def size_classes(largest: int, threshold: int) -> np.ndarray:
 def _postings(gram: np.ndarray, first: np.ndarray, node: np.ndarray, threshold: int):
     """(bucket key, node, keys that a linked set shares) of every fragment of every
     set, for its own size class and, where a partner may be of the next class,
-    that one too. A key's low 6 bits are the class."""
+    that one too. A key's low 6 bits are the class. Sets too small to be linked
+    to another set post nothing. A set with so few filled fragments that a partner
+    of the same kind may agree on empty ones alone also posts its first n-grams in
+    the global order, as many as make linked sets share one."""
     n = np.diff(first)
+    n = np.where(n * 100 >= threshold * (n + 1), n, 0)
     if not len(n) or n.max() == 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
     tops = size_classes(int(n.max()), threshold)
@@ -161,12 +166,14 @@ def _postings(gram: np.ndarray, first: np.ndarray, node: np.ndarray, threshold:
         filled = np.bincount(o, minlength=len(rows))
         need = np.maximum(filled - apart, 1).astype(np.int32)
         keys.append((key & ~low) | label[o]), nodes.append(node[rows][o]), needs.append(need[o])
-        for r in np.flatnonzero(filled <= apart):
-            # so many empty fragments that they alone could be the ones agreed on
-            r_parts = set(part[s[o == r]].tolist())
-            void = np.array([p for p in range(int(cuts[r])) if p not in r_parts], _U)
-            keys.append((mix(mix(void + _U(0x1234567)) ^ tag[r].astype(_U)) & ~low) | label[r])
-            nodes.append(np.full(len(void), node[rows[r]])), needs.append(np.ones(len(void), np.int32))
+        few = np.flatnonzero(filled <= apart)
+        take = size[few] - -(-threshold * size[few] // 100) + 1
+        to = np.cumsum(take) - take
+        head = np.arange(take.sum()) - np.repeat(to, take) + np.repeat(first[rows[few]], take)
+        keys.append((mix(mix(gram[head] + _U(0x1234567)) ^ np.repeat(tag[few], take).astype(_U)) & ~low) | np.repeat(label[few], take))
+        nodes.append(np.repeat(node[rows[few]], take)), needs.append(np.ones(len(head), np.int32))
+    if not keys:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
     return np.concatenate(keys).view(np.int64), np.concatenate(nodes), np.concatenate(needs)
 
 
@@ -222,6 +229,8 @@ def bucket_members(texts: DataFrame, text_col: str, n_words: int, threshold: int
                     held, count, seen = [], 0, set()
         if count:
             yield from out()
+        held, seen = [], set()
+        give_back()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)]    # the last key may go on
@@ -248,6 +257,7 @@ def bucket_members(texts: DataFrame, text_col: str, n_words: int, threshold: int
             rest = [x[cut:] for x in rows]
             yield from found(*[x[:cut] for x in rows])
         yield from found(*rest)
+        give_back()
 
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sent = texts.select(F.col(text_col).alias("text")).mapInArrow(send, _POSTING)
@@ -309,6 +319,7 @@ def _fragments(texts: DataFrame, text_col: str, n_words: int, wanted: DataFrame)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.array(ns, np.int64)), pa.array(np.array(ps, np.int64)), pa.ListArray.from_arrays(pa.array(offs), pa.array(flat))],
                     names=["node", "part", "grams"])
+        give_back()
 
     got = texts.select(F.col(text_col).alias("text")).mapInArrow(run, "node long, part long, grams array<long>")
     return got
@@ -407,18 +418,20 @@ def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """``docs`` without near copies, all columns kept: of every linked group the
     row with the smallest id stays (null ids last; of repeated ids the smallest
     text hash, of wholly repeated rows one). Rows without words all stay."""
-    found = written(ngram_jaccard_join(docs, id_col, text_col).select(F.col(id_col).alias("__id"), "group", "text_key")
+    found = written(ngram_jaccard_join(docs, id_col, text_col).select(F.col(id_col).alias("id"), "group", "text_key")
                     .filter("group is not null"), "found")
-    first = F.min(F.struct(F.col("__id").isNull().alias("no_id"), F.col("__id").alias("id"), "text_key"))
+    first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "text_key"))
     best = found.groupBy("group").agg(first.alias("best"), F.count("*").alias("rows")).filter("rows > 1")
     rows = found.join(best, "group")
-    same = F.col("__id").eqNullSafe(F.col("best.id")) & (F.col("text_key") == F.col("best.text_key"))
+    same = F.col("id").eqNullSafe(F.col("best.id")) & (F.col("text_key") == F.col("best.text_key"))
     # per distinct (id, text): 0 = goes, 1 = stays, 2 = stays once of several equal rows
-    fate = (rows.groupBy("__id", "text_key").agg(F.max(same).alias("stays"), F.count("*").alias("n"))
-            .select("__id", F.col("text_key").alias("__key"), F.when(~F.col("stays"), 0).when(F.col("n") == 1, 1).otherwise(2).alias("__fate"))
-            .filter("__fate <> 1"))
-    key = F.xxhash64(docs[text_col])
-    judged = docs.join(fate, docs[id_col].eqNullSafe(F.col("__id")) & (key == F.col("__key")), "left")
-    judged = written(judged.filter("__fate is null or __fate = 2"), "judged")
-    once = judged.filter("__fate = 2").dropDuplicates(["__id", "__key"])
-    return judged.filter("__fate is null").unionAll(once).select(*docs.columns)
+    fate = (rows.groupBy("id", "text_key").agg(F.max(same).alias("stays"), F.count("*").alias("n"))
+            .select("id", "text_key", F.when(~F.col("stays"), 0).when(F.col("n") == 1, 1).otherwise(2).alias("fate"))
+            .filter("fate <> 1"))
+    # columns go by place, whatever their names
+    plain = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
+    own_id, own_text = (F.col(f"c{docs.columns.index(c)}") for c in (id_col, text_col))
+    judged = plain.join(fate, own_id.eqNullSafe(F.col("id")) & (F.xxhash64(own_text) == F.col("text_key")), "left")
+    judged = written(judged.filter("fate is null or fate = 2"), "judged")
+    once = judged.filter("fate = 2").dropDuplicates(["id", "text_key"])
+    return judged.filter("fate is null").unionAll(once).select(*plain.columns).toDF(*docs.columns)

@@ -6,8 +6,11 @@ occur together far more than apart. Everything is counted over all texts:
 1. Words are added up inside each task and then by shuffle.
 2. Candidates of k words are Apriori-safe: both of their parts of k - 1 words
    are frequent. Tasks meet the frequent parts in a filter of fixed size (which
-   lets a few others pass) and send each phrase that is left once, with its
-   occurrences up to ``min_count``: enough to tell whether it can be frequent.
+   lets a few others pass). Phrases that are left are first counted by hash cell
+   (a byte a cell, counts up to ``min_count``; a cell holds all its phrases, so its sum
+   is never too low); then phrases of crowded cells are sent by name, each once a
+   task, with its occurrences up to ``min_count``: enough to tell whether it can be
+   frequent. In a corpus that crowds all cells every phrase is sent by name.
 3. All candidates are cut into shards of about ``SHARD`` phrases; each shard
    becomes a double-array trie, built in a task. ``TRIES`` of them at a time are
    sent to all tasks (so what is sent is bounded; more shards take more passes
@@ -39,6 +42,8 @@ SHARD = 400_000         # phrases of a trie, about
 TRIES = 3               # tries sent at once
 HELD = 1_500_000        # distinct phrases or words that a task holds before it sends them on
 NEAR = 128              # free places that a node's children are tried at
+CELLS = 1 << 25         # hash cells of phrases (32 MB a task, 4 MB sent back; fixed)
+CHUNK = 1 << 16         # cells that travel together
 FILTER_BITS = 1 << 26   # filter of frequent parts (8 MB, fixed)
 NO_LANGUAGE = "und"
 
@@ -160,10 +165,61 @@ def fixed_filter(phrases: DataFrame, k: int) -> bytes:
     return words.tobytes()
 
 
+def _possible(name: np.ndarray, end: np.ndarray, k: int, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first word, name) of the phrases of k words inside a piece whose first and last k - 1 words are in the filter."""
+    m = len(name) - k + 1
+    if m <= 0:
+        return np.zeros(0, np.int64), np.zeros(0, _U)
+    part = _named([name[j:len(name) - k + 2 + j] for j in range(k - 1)])
+    often = np.ones(len(part), bool)
+    for at in _places(part):
+        often &= (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+    at = np.flatnonzero(often[:m] & often[1:m + 1] & (np.arange(m) + k <= end[:m]))
+    return at, mix(part[at] * _PRIME + name[at + k - 1])
+
+
+def _cell(phrase: np.ndarray) -> np.ndarray:
+    return (phrase >> _U(40)).astype(np.int64) & (CELLS - 1)
+
+
+def crowded_cells(texts: DataFrame, sent, k: int, min_count: int) -> bytes:
+    """Bits of the cells whose possible phrases of k words occur ``min_count``
+    times together. Tasks send their cells in chunks; a chunk's parts are added up as
+    they come in."""
+
+    def run(batches):
+        bits = np.frombuffer(sent.value, np.uint8)
+        have = np.zeros(CELLS, np.uint8)
+        for b in batches:
+            for _, _, name, end, _ in _scanned(b.column(0), b.column(1)):
+                cell, n = np.unique(_cell(_possible(name, end, k, bits)[1]), return_counts=True)
+                have[cell] = np.minimum(have[cell] + n, min(min_count, 255))
+        for c in np.flatnonzero(have.reshape(-1, CHUNK).any(axis=1)).tolist():
+            yield pa.RecordBatch.from_arrays([pa.array([c]), pa.array([have[c * CHUNK:(c + 1) * CHUNK].tobytes()], pa.binary())], names=["chunk", "counts"])
+
+    def add(batches):
+        have: dict[int, np.ndarray] = {}
+        for b in batches:
+            for c, raw in zip(b.column(0).to_pylist(), b.column(1)):
+                more = np.frombuffer(raw.as_buffer(), np.uint8)
+                have[c] = np.minimum(have[c] + more, min_count) if c in have else more.astype(np.int32)
+        for c, n in have.items():
+            # a count that a byte cannot hold says nothing
+            yield pa.RecordBatch.from_arrays([pa.array([c]), pa.array([np.packbits(n >= min(min_count, 255), bitorder="little").tobytes()], pa.binary())], names=["chunk", "bits"])
+
+    got = texts.mapInArrow(run, "chunk long, counts binary").repartition("chunk").mapInArrow(add, "chunk long, bits binary").toArrow()
+    out = np.zeros((CELLS // CHUNK, CHUNK // 8), np.uint8)
+    for c, raw in zip(got["chunk"].to_pylist(), got["bits"].to_pylist()):
+        out[c] = np.frombuffer(raw, np.uint8)
+    return out.tobytes()
+
+
 def candidates(texts: DataFrame, parts: DataFrame, k: int, min_count: int) -> DataFrame:
     """(s1, ..., sk): the phrases of k words that occur ``min_count`` times and
     whose first and last k - 1 words are in ``parts``."""
-    sent = texts.sparkSession.sparkContext.broadcast(fixed_filter(parts, k - 1))
+    context = texts.sparkSession.sparkContext
+    sent = context.broadcast(fixed_filter(parts, k - 1))
+    crowd = context.broadcast(crowded_cells(texts, sent, k, min_count))
 
     def summed(held):
         cols = [np.concatenate(x) for x in zip(*held)]
@@ -171,7 +227,7 @@ def candidates(texts: DataFrame, parts: DataFrame, k: int, min_count: int) -> Da
         return [uniq, np.minimum(np.bincount(back, cols[1], len(uniq)), min_count).astype(np.int64), *[c[at] for c in cols[2:]]]
 
     def run(batches):
-        bits = np.frombuffer(sent.value, np.uint8)
+        bits, cells = np.frombuffer(sent.value, np.uint8), np.frombuffer(crowd.value, np.uint8)
         held, size = [], 0
 
         def out():
@@ -180,17 +236,13 @@ def candidates(texts: DataFrame, parts: DataFrame, k: int, min_count: int) -> Da
 
         for b in batches:
             for _, _, name, end, _ in _scanned(b.column(0), b.column(1)):
-                m = len(name) - k + 1
-                if m <= 0:
-                    continue
-                part = _named([name[j:len(name) - k + 2 + j] for j in range(k - 1)])
-                often = np.ones(len(part), bool)
-                for at in _places(part):
-                    often &= (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
-                at = np.flatnonzero(often[:m] & often[1:m + 1] & (np.arange(m) + k <= end[:m]))
+                at, phrase = _possible(name, end, k, bits)
+                cell = _cell(phrase)
+                on = (cells[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1 > 0
+                at, phrase = at[on], phrase[on]
                 if not len(at):
                     continue
-                uniq, first, n = np.unique(mix(part[at] * _PRIME + name[at + k - 1]), return_index=True, return_counts=True)
+                uniq, first, n = np.unique(phrase, return_index=True, return_counts=True)
                 held.append([uniq, n, *[name[at[first] + j] for j in range(k)]])
                 size += len(uniq)
                 if size > HELD:

@@ -1,13 +1,15 @@
 """Quality rules with adaptive thresholds.
 
 Fixed rules decide the plain cases (``base_failed``). For the rest, each
-document's ratios are compared with fences of its own language and source:
-KLL quantile sketches per (language, source) are aggregated map-side, merged to
-language sketches and to one over everything, and the fence of a ratio is
+document's ratios are compared with fences of its own language and source. A
+quantile sketch counts a group's values by logarithmic cells (a value is known to
+``ACCURACY``, relatively); counts add, so sketches of (language, source) merge to
+those of a language and to one over everything, and the same rows always give
+the same fences. The fence of a ratio is
 ``upper + reach * max(upper - median, floor)``, ``upper`` being the ratio's own
 upper quantile in the group. The floor decides only where that quantile equals
 the median, as in groups that have no symbols at all. A group with fewer than ``min_group`` documents uses its language's sketch, a language with fewer
-the overall one. Sketches have a fixed size, so a source with a third of all
+the overall one. A sketch has some 2,000 cells at most, so a source with a third of all
 rows costs no more than any other; fences are joined back to the documents.
 """
 
@@ -15,7 +17,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .tables import with_results, written
@@ -28,6 +30,8 @@ MIN_GROUP = 100         # documents below which a wider group's sketch is used
 # ratio -> (upper quantile, distances from the median to it that a fence lies above it, smallest distance)
 RATIOS = {"symbol_ratio": (0.9, 1.0, 0.02), "dup_line_ratio": (0.99, 1.0, 0.05), "repeat_ratio": (0.99, 1.0, 0.01), "word_length": (0.9, 2.0, 0.1)}
 REACH = 1.0             # factor on the distances
+ACCURACY = 0.005        # relative error of a sketch's quantiles
+NOTHING = 1e-4          # values up to here are taken as zero
 
 _CLASSES = byte_class(SPACES, False)
 _SYMBOLS = np.zeros(256, bool)
@@ -81,21 +85,40 @@ def _ratio(name: str):
             "repeat_ratio": F.col("n_repeat_words") / words, "word_length": F.col("word_chars") / words}[name]
 
 
+_STEP = float(np.log((1 + ACCURACY) / (1 - ACCURACY)))
+
+
+def sketches(rows: DataFrame, by: list[str]) -> DataFrame:
+    """(by..., ratio, cell, n): how many values of each ratio lie in each
+    logarithmic cell; cell 0 has the values up to ``NOTHING``."""
+    values = F.explode(F.array(*[F.struct(F.lit(c).alias("ratio"), F.col(c).alias("value")) for c in RATIOS])).alias("x")
+    cell = F.when(F.col("x.value") <= NOTHING, F.lit(0)).otherwise(F.greatest(F.lit(1), F.ceil(F.log(F.col("x.value") / NOTHING) / _STEP))).cast("long")
+    return rows.select(*by, values).groupBy(*by, F.col("x.ratio").alias("ratio"), cell.alias("cell")).agg(F.count("*").alias("n"))
+
+
+def sketch_fences(cells: DataFrame, by: list[str], reach: float) -> DataFrame:
+    """(by..., n, <ratio>_fence...) of sketches merged by ``by``."""
+    merged = cells.groupBy(*by, "ratio", "cell").agg(F.sum("n").alias("n"))
+    group = Window.partitionBy(*by, "ratio")
+    upto = merged.withColumn("upto", F.sum("n").over(group.orderBy("cell"))).withColumn("total", F.sum("n").over(group))
+    value = F.when(F.col("cell") == 0, F.lit(0.0)).otherwise(F.exp((F.col("cell") - 0.5) * _STEP) * NOTHING)
+    parts = [F.max("total").alias("n")]
+    for c, (level, far, floor) in RATIOS.items():
+        middle, upper = (F.min(F.when((F.col("ratio") == c) & (F.col("upto") >= F.col("total") * q), F.col("value"))) for q in (0.5, level))
+        parts.append((upper + F.greatest(upper - middle, F.lit(floor)) * far * reach).alias(f"{c}_fence"))
+    return upto.withColumn("value", value).groupBy(*by).agg(*parts)
+
+
 def fences(rows: DataFrame, reach: float, min_group: int) -> DataFrame:
     """(lang, source, <ratio>_fence...) from merged quantile sketches."""
-    names = list(RATIOS)
-    small = rows.groupBy("lang", "source").agg(F.count("*").alias("n"), *[F.kll_sketch_agg_double(c).alias(c) for c in names])
-    small = written(small, "sketches")
-    lang = small.groupBy("lang").agg(F.sum("n").alias("lang_n"), *[F.kll_merge_agg_double(c).alias(f"lang_{c}") for c in names])
-    whole = small.agg(*[F.kll_merge_agg_double(c).alias(f"all_{c}") for c in names])
-
-    def fence(sketch, level, far, floor):
-        middle, upper = (F.kll_sketch_get_quantile_double(sketch, F.lit(q)) for q in (0.5, level))
-        return upper + F.greatest(upper - middle, F.lit(floor)) * far * reach
-
-    joined = small.join(lang, small["lang"].eqNullSafe(lang["lang"])).drop(lang["lang"]).crossJoin(F.broadcast(whole))  # one row
-    chosen = [F.when(F.col("n") >= min_group, F.col(c)).when(F.col("lang_n") >= min_group, F.col(f"lang_{c}")).otherwise(F.col(f"all_{c}")) for c in names]
-    return joined.select("lang", "source", *[fence(s, *RATIOS[c]).alias(f"{c}_fence") for c, s in zip(names, chosen)])
+    cells = written(sketches(rows, ["lang", "source"]), "sketches")
+    own, lang = sketch_fences(cells, ["lang", "source"], reach), sketch_fences(cells, ["lang"], reach)
+    whole = sketch_fences(cells, [], reach).first()         # one row
+    names = [f"{c}_fence" for c in RATIOS]
+    lang = lang.select(F.col("lang").alias("of"), F.col("n").alias("lang_n"), *[F.col(c).alias(f"lang_{c}") for c in names])
+    joined = own.join(lang, F.col("lang").eqNullSafe(F.col("of")))
+    chosen = [F.when(F.col("n") >= min_group, F.col(c)).when(F.col("lang_n") >= min_group, F.col(f"lang_{c}")).otherwise(F.lit(whole[c])).alias(c) for c in names]
+    return joined.select("lang", "source", *chosen)
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source",

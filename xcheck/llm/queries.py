@@ -17,7 +17,7 @@ from .packing import pack_documents
 from .phrase_tries import KEEP, MIN_COUNT, mine_phrases
 from .quality_thresholds import quality_rules
 from .secret_markov import LEARNED, secret_spans, span_text
-from .sentencepiece_codec import sentencepiece_decode, sentencepiece_encode
+from .sentencepiece_codec import sentencepiece_round_trip
 from .token_alignment import align_tokens
 from .url_rules import url_verdicts
 from .winnowing import winnow_hits
@@ -78,7 +78,7 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
     model = public_tokenizers.path("piece_bpe_32k.model")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    rows = sentencepiece_decode(sentencepiece_encode(docs, model).drop("text"), model)
+    rows = sentencepiece_round_trip(docs, model)
     return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
                        F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
                        F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -152,8 +152,10 @@ def span_text(spans: Column) -> Column:
 def redact(docs: DataFrame, text_col: str = "text", mark: str = "[secret]") -> DataFrame:
     """``docs`` (same columns) with every secret's characters replaced by ``mark``
     (overlapping spans by one). Texts without spans stay as they are, null too."""
-    found = secret_spans(docs, text_col)
-    text = F.col(text_col)
+    plain = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])     # columns go by place, whatever their names
+    own = f"c{docs.columns.index(text_col)}"
+    found = secret_spans(plain, own)
+    text = F.col(own)
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc, s):
@@ -162,4 +164,4 @@ def redact(docs: DataFrame, text_col: str = "text", mark: str = "[secret]") -> D
             F.struct(s["end"].alias("at"), F.concat(acc["out"], before, F.lit(mark)).alias("out")))
 
     done = F.aggregate("__spans", start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    return found.withColumn(text_col, F.when(F.size("__spans") > 0, done).otherwise(text)).drop("__spans")
+    return found.withColumn(own, F.when(F.size("__spans") > 0, done).otherwise(text)).select(*plain.columns).toDF(*docs.columns)

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .tables import with_results
+from .tables import give_back, with_results
 from .token_words import WordEncoder
 from .words import pieces, utf8
 
@@ -170,6 +170,22 @@ def _loaded(model_file: str) -> tuple[Vocabulary, WordEncoder]:
     return _LOADED[model_file]
 
 
+def _forget(model_file: str) -> None:
+    """A worker keeps the vocabulary, not the words of the task that ended."""
+    if model_file in _LOADED:
+        _LOADED[model_file][1].clear()
+    give_back()
+
+
+def _encoded(column: pa.Array, model_file: str):
+    """(first row, last row, flat ids, offsets) in pieces."""
+    _, encoder = _loaded(model_file)
+    data, off = utf8(column)
+    if SPACE.encode() in data.tobytes():     # the mark itself is read as a space
+        data, off = utf8(pa.array([None if t is None else t.replace(SPACE, " ") for t in column.to_pylist()], pa.large_string()))
+    yield from encoder.column(data, off, prefix=0x20)
+
+
 def sentencepiece_encode(docs: DataFrame, model_file: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """All columns of ``docs`` plus ``ids_col`` (array<int>): the whole text's
     ids, as the library's ``encode`` without begin and end ids. Null and empty
@@ -177,15 +193,25 @@ def sentencepiece_encode(docs: DataFrame, model_file: str, text_col: str = "text
     no care; the new column's name must be free."""
 
     def compute(column):
-        _, encoder = _loaded(model_file)
-        mark = SPACE.encode()
-        data, off = utf8(column)
-        if mark in data.tobytes():     # the mark itself is read as a space
-            data, off = utf8(pa.array([None if t is None else t.replace(SPACE, " ") for t in column.to_pylist()], pa.large_string()))
-        for lo, hi, ids, first in encoder.column(data, off, prefix=0x20):
+        for lo, hi, ids, first in _encoded(column, model_file):
             yield lo, hi, [pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(ids))]
 
-    return with_results(docs, text_col, compute, [(ids_col, "array<int>")])
+    return with_results(docs, text_col, compute, [(ids_col, "array<int>")], lambda: _forget(model_file))
+
+
+def sentencepiece_round_trip(docs: DataFrame, model_file: str, text_col: str = "text", ids_col: str = "ids", decoded_col: str = "decoded") -> DataFrame:
+    """All columns of ``docs`` plus ``ids_col`` and ``decoded_col``: the whole
+    text's ids, and the text that these ids decode to, in one pass over the rows
+    (as ``sentencepiece_encode`` and ``sentencepiece_decode`` one after the other)."""
+
+    def compute(column):
+        vocabulary, _ = _loaded(model_file)
+        for lo, hi, ids, first in _encoded(column, model_file):
+            flat = ids.tolist()
+            text = pa.array([vocabulary.decode(flat[x:y]) for x, y in zip(first[:-1].tolist(), first[1:].tolist())], pa.string())
+            yield lo, hi, [pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(ids)), text]
+
+    return with_results(docs, text_col, compute, [(ids_col, "array<int>"), (decoded_col, "string")], lambda: _forget(model_file))
 
 
 def sentencepiece_decode(rows: DataFrame, model_file: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:

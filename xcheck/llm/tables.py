@@ -7,6 +7,7 @@ session names no folder (tests) a fresh temporary one is used.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -37,11 +38,22 @@ def written(df: DataFrame, what: str) -> DataFrame:
 
 
 
-def with_results(docs: DataFrame, column: str, compute, fields: list[tuple[str, str]]) -> DataFrame:
+def give_back() -> None:
+    """Return a worker's freed memory to the system: workers outlive their task
+    and would sit on the most they ever used."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):       # not glibc
+        pass
+
+
+def with_results(docs: DataFrame, column: str, compute, fields: list[tuple[str, str]], at_end=None) -> DataFrame:
     """All columns of ``docs`` plus ``fields`` (name, type), which ``compute``
     makes from one Arrow array of ``column``: it yields (first row, last row,
     arrays) piece by piece. No shuffle. Columns travel by position, so any
-    names, also clashing ones, are safe; the new names must be free."""
+    names, also clashing ones, are safe; the new names must be free. ``at_end``
+    is called when a task has read its last row."""
     plain = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
     at = docs.columns.index(column)
     schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in plain.schema.fields]
@@ -53,5 +65,7 @@ def with_results(docs: DataFrame, column: str, compute, fields: list[tuple[str,
             for lo, hi, arrays in compute(b.column(at)):
                 kept = [b.column(k).slice(lo, hi - lo) for k in range(b.num_columns)]
                 yield pa.RecordBatch.from_arrays([*kept, *arrays], names=labels)
+        if at_end is not None:
+            at_end()
 
     return plain.mapInArrow(run, schema).toDF(*docs.columns, *[n for n, _ in fields])
