@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from xcheck.llm.lang_id import keep_identified
 from xcheck.llm.ngram_jaccard import keep_one_per_group
 from xcheck.llm.secret_markov import redact
-from xcheck.llm.sentencepiece_codec import sentencepiece_decode, sentencepiece_encode
+from xcheck.llm.sentencepiece_codec import sentencepiece_round_trip
 from xcheck.llm.tables import written
 from xcheck.llm.winnowing import drop_contaminated
 
@@ -56,7 +56,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str, model_file: str |
         import public_tokenizers
         model_file = public_tokenizers.path("piece_bpe_32k.model")
     plain = docs.select(*[F.col(c) for c in ("doc_id", "lang", "source", "text")])
-    rows = sentencepiece_decode(sentencepiece_encode(plain, model_file).drop("text"), model_file)
+    rows = sentencepiece_round_trip(plain, model_file)
     return rows.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded")
 
 
