@@ -61,3 +61,39 @@ def test_ragged_multiline_quotes_latin1(spark, tmp_path):
     assert rows["old"] == [["name", "city"], ["x", "Zürich"]]
     s = CV.csv_sections(raw.where(F.col("file").contains("old.csv") == F.lit(False))).orderBy("index").collect()
     assert [(r["name"], r["row_count"]) for r in s] == [("TABLE 1: Sales", 3), ("TABLE 2: Costs", 1)]
+
+
+def _plain(text):
+    import csv
+    import io
+    rows = [r for r in csv.reader(io.StringIO(text)) if any(c != "" for c in r)]
+    return [[c for c in r] for r in rows]
+
+
+def test_many_splits_equal_one(spark, tmp_path):
+    """Rows with line breaks, doubled and stray quotes and blank rows, cut into splits of a few bytes."""
+    import random
+    r = random.Random(7)
+    cell = ["", "a", "b c", '"x, y"', '"say ""hi"""', '"two\nlines"', '"a\n\n""\n,b"', "12.5", 'in"side', "é"]
+    for k in range(2):
+        lines = [",".join(r.choice(cell) for _ in range(r.randint(1, 5))) for _ in range(400)]
+        text = "head,of,the,file,x\n" + "\n".join(lines) + ("\n" if k else "")
+        (tmp_path / f"f{k}.csv").write_text(text, encoding="utf-8")
+        want = _plain(text)
+        old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+        try:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
+            raw = CV.read_csv_loose(spark, str(tmp_path / f"f{k}.csv"))
+            got = raw.orderBy("row_ix").collect()
+            assert CV._lines(spark, str(tmp_path / f"f{k}.csv")).select("blk").distinct().count() > 3
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+        assert [x.row_ix for x in got] == list(range(len(want)))
+        assert [[c or "" for c in x.cells][:len(w)] for x, w in zip(got, want)] == want
+
+
+def test_split_states():
+    from xcheck.sources.csvio import ends_open
+    assert not ends_open(b'a,"b",c', False) and ends_open(b'a,"b', False) and not ends_open(b'b",c', True)
+    assert ends_open(b'b"",c', True) and ends_open(b'x","y', True) and not ends_open(b'5" pipe,3', False)
+    assert not ends_open(b'""', False) and ends_open(b'"""', False) and not ends_open(b"", False) and ends_open(b"", True)

@@ -1,8 +1,8 @@
 """CSV queries. The uploaded files are multi-section exports that Spark writes
-from the tables first: one file per region, one section per nation (title row
-``TABLE i: NATION``, a header row, one row per customer); titles are unpadded,
-so rows differ in width. The files go to a fresh folder under the
-session's checkpoint directory."""
+from the tables first: one file per region and slice of ``SLICE`` customer keys,
+one section per nation (title row ``TABLE i: NATION``, a header row, one row per
+customer); titles are unpadded, so rows differ in width. The files go to a fresh
+folder under the session's checkpoint directory; more customers make more files."""
 
 from __future__ import annotations
 
@@ -16,6 +16,7 @@ from ..session import Tables, checkpoint_dir
 from ..sources import csvio as CV
 from .registry import query
 
+SLICE = 50_000
 HEADER = ["Customer", "Segment", "Account Balance", "Nation Key"]
 
 
@@ -27,76 +28,82 @@ def write_region_csvs(spark: SparkSession, sf_dir: str) -> str:
     t = Tables(spark, sf_dir)
     nat = t.nation.select("n_nationkey", "n_name", "n_regionkey")
     nat = nat.withColumn("sec", F.row_number().over(Window.partitionBy("n_regionkey").orderBy("n_nationkey")))
-    title = nat.select(F.col("n_regionkey").alias("region"), "sec", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("k"),
-                       F.concat(F.lit("TABLE "), F.col("sec").cast("string"), F.lit(": "), F.col("n_name")).alias("value"))
-    head = nat.select(F.col("n_regionkey").alias("region"), "sec", F.lit(1).alias("kind"), F.lit(0).cast("long").alias("k"),
-                      F.lit(",".join(HEADER)).alias("value"))
-    data = (t.customer.join(nat, F.col("c_nationkey") == F.col("n_nationkey"))
-            .select(F.col("n_regionkey").alias("region"), "sec", F.lit(2).alias("kind"), F.col("c_custkey").alias("k"),
+    last = (t.customer.agg(F.max("c_custkey")).first()[0] or 0) // SLICE
+    sections = nat.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(last))))
+    place = [F.col("n_regionkey").alias("region"), F.col("slice").cast("int").alias("slice"), "sec"]
+    title = sections.select(*place, F.lit(0).alias("kind"), F.lit(0).cast("long").alias("k"),
+                            F.concat(F.lit("TABLE "), F.col("sec").cast("string"), F.lit(": "), F.col("n_name")).alias("value"))
+    head = sections.select(*place, F.lit(1).alias("kind"), F.lit(0).cast("long").alias("k"), F.lit(",".join(HEADER)).alias("value"))
+    data = (t.customer.join(nat, F.col("c_nationkey") == F.col("n_nationkey")).withColumn("slice", F.floor(F.col("c_custkey") / SLICE))
+            .select(*place, F.lit(2).alias("kind"), F.col("c_custkey").cast("long").alias("k"),
                     F.concat_ws(",", _q(F.col("c_name")), _q(F.col("c_mktsegment")),
                                 F.format_string("%.2f", "c_acctbal"), F.col("c_nationkey").cast("string")).alias("value")))
     lines = title.unionByName(head).unionByName(data)
     path = f"{checkpoint_dir(spark).rstrip('/')}/xcheck-csv/{uuid.uuid4().hex}"
-    (lines.repartition("region").sortWithinPartitions("region", "sec", "kind", "k")
-     .select("region", "value").write.partitionBy("region").text(path))
+    (lines.repartition("region", "slice").sortWithinPartitions("region", "slice", "sec", "kind", "k")
+     .select("region", "slice", "value").write.partitionBy("region", "slice").text(path))
     return path
 
 
+def _placed(df: DataFrame) -> DataFrame:
+    """Region and slice of a file, from its path."""
+    return df.withColumns({c: F.regexp_extract("file", rf"{c}=(\d+)", 1).cast("int") for c in ("region", "slice")})
+
+
 def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = write_region_csvs(spark, sf_dir)
-    raw = CV.read_csv_loose(spark, path + "/region=*/*.txt")
-    return raw.withColumn("region", F.regexp_extract("file", r"region=(\d+)", 1).cast("int"))
+    return _placed(CV.read_csv_loose(spark, path + "/region=*/slice=*/*.txt"))
 
 
-_SQL_SECTIONS = """
+_SQL_SECTIONS = f"""
   nat AS (SELECT n_nationkey, n_name, n_regionkey, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS sec FROM nation),
-  cnt AS (SELECT nat.*, count(c_custkey) AS c FROM nat LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY ALL),
-  pos AS (SELECT *, coalesce(sum(c + 2) OVER (PARTITION BY n_regionkey ORDER BY sec ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS title_row_idx FROM cnt)"""
+  sl AS (SELECT CAST(unnest(range(0, (SELECT coalesce(max(c_custkey), 0) // {SLICE} FROM customer) + 1)) AS INT) AS slice),
+  cnt AS (SELECT nat.*, slice, count(c_custkey) AS c FROM nat CROSS JOIN sl
+          LEFT JOIN customer ON c_nationkey = n_nationkey AND c_custkey // {SLICE} = slice GROUP BY ALL),
+  pos AS (SELECT *, coalesce(sum(c + 2) OVER (PARTITION BY n_regionkey, slice ORDER BY sec ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS title_row_idx FROM cnt)"""
 
 
 @query("read_csv_loose", oracle=f"""WITH {_SQL_SECTIONS}
-SELECT n_regionkey AS region, CAST(sum(c + 2) AS BIGINT) AS n_rows, 4 AS width FROM pos GROUP BY n_regionkey""")
+SELECT n_regionkey AS region, slice, CAST(sum(c + 2) AS BIGINT) AS n_rows, 4 AS width FROM pos GROUP BY ALL""")
 def read_csv_loose(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = _raw(spark, sf_dir)
-    return r.groupBy("region").agg(F.count(F.lit(1)).alias("n_rows"), F.max(F.size("cells")).alias("width"))
+    return r.groupBy("region", "slice").agg(F.count(F.lit(1)).alias("n_rows"), F.max(F.size("cells")).alias("width"))
 
 
 @query("csv_sections", oracle=f"""WITH {_SQL_SECTIONS}
-SELECT n_regionkey AS region, CAST(sec - 1 AS INT) AS index, 'TABLE ' || sec || ': ' || n_name AS name,
+SELECT n_regionkey AS region, slice, CAST(sec - 1 AS INT) AS index, 'TABLE ' || sec || ': ' || n_name AS name,
        title_row_idx, title_row_idx + 1 AS header_row_idx, title_row_idx + 2 AS data_start_idx,
        title_row_idx + 2 + c AS data_end_idx, ['customer', 'segment', 'account_balance', 'nation_key'] AS columns,
        c AS row_count FROM pos""")
 def csv_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = CV.csv_sections(_raw(spark, sf_dir))
-    return s.withColumn("region", F.regexp_extract("file", r"region=(\d+)", 1).cast("int")).drop("file")
+    return _placed(CV.csv_sections(_raw(spark, sf_dir))).drop("file")
 
 
 @query("load_section", oracle="""
 SELECT c_name AS customer, c_mktsegment AS segment, round(c_acctbal, 2) AS account_balance,
        CAST(c_nationkey AS DOUBLE) AS nation_key
 FROM customer JOIN nation ON c_nationkey = n_nationkey
-WHERE n_nationkey = (SELECT min(n_nationkey) FROM nation WHERE n_regionkey = 0)""")
+WHERE n_nationkey = (SELECT min(n_nationkey) FROM nation WHERE n_regionkey = 0) AND c_custkey // """ + str(SLICE) + " = 0")
 def load_section(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Section 0 of region 0's file as a typed table."""
+    """Section 0 of region 0's first file as a typed table."""
     raw = _raw(spark, sf_dir)
     secs = CV.csv_sections(raw)
-    f = raw.where(F.col("region") == 0).select("file").first()["file"]
+    f = raw.where("region = 0 and slice = 0").select("file").first()["file"]
     return CV.load_section(raw, secs, f, 0)
 
 
 @query("looks_multi_table", oracle=f"""WITH {_SQL_SECTIONS}
-SELECT n_regionkey AS region, true AS is_multi_table, count(*) - 1 AS section_markers FROM pos GROUP BY n_regionkey""")
+SELECT n_regionkey AS region, slice, true AS is_multi_table, count(*) - 1 AS section_markers FROM pos GROUP BY ALL""")
 def looks_multi_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = CV.looks_multi_table(_raw(spark, sf_dir))
-    return m.withColumn("region", F.regexp_extract("file", r"region=(\d+)", 1).cast("int")).drop("file")
+    return _placed(CV.looks_multi_table(_raw(spark, sf_dir))).drop("file")
 
 
 @query("section_manifest", oracle=f"""WITH {_SQL_SECTIONS},
-  l AS (SELECT n_regionkey, sec, printf('Section %d (row %d): "%s"', sec - 1, title_row_idx, 'TABLE ' || sec || ': ' || n_name)
+  l AS (SELECT n_regionkey, slice, sec, printf('Section %d (row %d): "%s"', sec - 1, title_row_idx, 'TABLE ' || sec || ': ' || n_name)
                  || chr(10) || '  Columns: customer, segment, account_balance, nation_key' || chr(10)
                  || printf('  Data rows: %d-%d (%d rows)', title_row_idx + 2, title_row_idx + 1 + c, c) AS line FROM pos)
-SELECT n_regionkey AS region, left(string_agg(line, chr(10) || chr(10) ORDER BY sec), 2500) AS manifest FROM l GROUP BY n_regionkey""")
+SELECT n_regionkey AS region, slice, left(string_agg(line, chr(10) || chr(10) ORDER BY sec), 2500) AS manifest FROM l GROUP BY ALL""")
 def section_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = _raw(spark, sf_dir)
     m = CV.section_manifest(CV.csv_sections(raw))
-    return m.select(F.regexp_extract("file", r"region=(\d+)", 1).cast("int").alias("region"), "manifest")
+    return _placed(m).select("region", "slice", "manifest")

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -96,6 +97,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
+def materialize(df: DataFrame, what: str) -> DataFrame:
+    """Write a table that several later steps read to the shared checkpoint
+    folder and read it back: it is computed once, and a lost executor costs a
+    re-read of its files."""
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/xcheck-tables/{what}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Deal the rows over ``xcheck.spread.partitions`` partitions if the session
     sets that, else leave them as they are. Off by default: a cluster splits its
