@@ -1,44 +1,73 @@
-"""PII detection and masking.
-
-Counting runs on the JVM (``regexp_extract_all`` understands the look-around
-patterns). Masking keeps the last four digits of a number whose digits may be
-split by separators, which a regex replacement template cannot gather, so the
-full ordered mask is a vectorised Arrow UDF over Python ``re`` (a small
-helper; Spark partitions the rows). Values without a digit or ``@`` cannot
-hold PII and pass through untouched. The email-only mask is pure JVM.
+"""PII detection and masking, JVM only.
+
+Each pass replaces the leftmost non-overlapping matches of one pattern. Where the
+four digits that a mask keeps stand in fixed places, a pass is one
+``regexp_replace`` with the pattern's groups (an alternation has a group in each
+branch; branches that did not match add nothing). European numbers may have
+separators anywhere between their digits, and an email's mask depends on the
+length of its name: their matches are listed, masked one by one and put back
+between the stretches that the same pattern splits the text into. Digits and white space are ASCII. Values without a digit or ``@`` pass
+through untouched.
 """
 
 from __future__ import annotations
 
 import re
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from ..functions import rules
 from ..functions.text import squeeze_spaces
 
-_LOCAL = r"[a-zA-Z0-9._%+\-]"
-_DOMAIN = r"([a-zA-Z0-9.\-]+\.[a-zA-Z]{2,})"
-EMAIL_MASK_PASSES = [
-    # local part of 2+ characters keeps its first character
-    (rf"({_LOCAL}){_LOCAL}+@{_DOMAIN}", "$1***@$2"),
-    # one-character local part (not glued to a longer local part or a mask)
-    (rf"(^|[^a-zA-Z0-9._%+\-*])({_LOCAL})@{_DOMAIN}", "$1***@$3"),
-]
+def _each_match(c: Column, pattern: str, mask) -> Column:
+    """``c`` with ``mask(match)`` in place of every match: the matches are listed,
+    masked one by one and put back between what the pattern splits the text into."""
+    masked = F.transform(F.regexp_extract_all(c, F.lit(pattern), F.lit(0)), mask)
+    put_back = F.zip_with(F.split(c, pattern, -1), masked, lambda between, m: F.concat(between, F.coalesce(m, F.lit(""))))
+    return F.when(F.regexp_like(c, F.lit(pattern)), F.array_join(put_back, "")).otherwise(c)
 
 
 def mask_email(c) -> Column:
-    """``john@d.com`` -> ``j***@d.com``; ``a@d.com`` -> ``***@d.com`` (JVM only)."""
+    """``john@d.com`` -> ``j***@d.com``; ``a@d.com`` -> ``***@d.com``."""
+    def mask(m):
+        local = F.substring_index(m, "@", 1)
+        head = F.when(F.length(local) > 1, F.left(local, F.lit(1))).otherwise(F.lit(""))
+        return F.concat(head, F.lit("***@"), F.substring_index(m, "@", -1))
+    return _each_match(F.col(c) if isinstance(c, str) else c, rules.PII_EMAIL, mask)
+
+
+_START, _END, _SEP = r"(?<!\d)", r"(?!\d)", r"[\s\-.]?"
+# the last group of a card number has one to four digits: the rest of the four is the end of the group before
+_CARD_PASS = (rf"{_START}(?:4\d{{3}}|5[1-5]\d{{2}}|3[47]\d{{2}}|6011|(?:2131|1800|35\d{{3}}))[\s\-]?\d{{4}}[\s\-]?"
+              rf"(?:\d{{4}}[\s\-]?(\d{{4}})|\d{{3}}(\d)[\s\-]?(\d{{3}})|\d{{2}}(\d{{2}})[\s\-]?(\d{{2}})|\d(\d{{3}})[\s\-]?(\d)){_END}")
+_SSN_HEAD, _SSN_MIDDLE, _SSN_TAIL = rf"{_START}(?!000|666|9\d{{2}})\d{{3}}", r"(?!00)\d{2}", rf"(?!0000)(\d{{4}}){_END}"
+# (pattern, replacement) in order: card, SSN with a hyphen, SSN with white space only, UK, India
+MASK_PASSES = [
+    (_CARD_PASS, "****-****-****-$1$2$3$4$5$6$7"),
+    (rf"{_SSN_HEAD}(?:-{_SSN_MIDDLE}[-\s]|\s{_SSN_MIDDLE}-){_SSN_TAIL}", "***-**-$1"),
+    (rf"{_SSN_HEAD}\s{_SSN_MIDDLE}\s{_SSN_TAIL}", "*** ** $1"),
+    (rf"{_START}(?:\+44{_SEP}7\d{{3}}{_SEP}\d{{2}}(\d{{4}})|07\d{{3}}{_SEP}\d{{2}}(\d{{4}})){_END}", "***-***-$1$2"),
+    (rf"{_START}\+91[\s\-]?\d{{5}}[\s\-]?\d(\d{{4}}){_END}", "***-***-$1"),
+]
+US_PASS = (rf"{_START}(?:\+?1{_SEP})?(?:\(?\d{{3}}\)?{_SEP})\d{{3}}{_SEP}(\d{{4}}){_END}", "***-***-$1")
+
+
+def _mask_europe(c: Column) -> Column:
+    return _each_match(c, rules.PII_PHONE_EU, lambda m: F.concat(F.lit("***-***-"), F.right(F.regexp_replace(m, r"\D", ""), F.lit(4))))
+
+
+def mask_value(c) -> Column:
+    """Ordered passes: card, SSN, UK, India, EU, US phone, email; null stays null."""
     col = F.col(c) if isinstance(c, str) else c
-    for pat, rep in EMAIL_MASK_PASSES:
-        col = F.regexp_replace(col, pat, rep)
-    return col
+    out = col
+    for pattern, put in MASK_PASSES:
+        out = F.regexp_replace(out, pattern, put)
+    out = mask_email(F.regexp_replace(_mask_europe(out), *US_PASS))
+    return F.when(col.rlike("[0-9@]"), out).otherwise(col)
 
 
-# --- the Python helper used inside the Arrow UDF ---------------------------
+# --- one value in plain Python, as the tests check the passes against -------
 
 _CARD = re.compile(rules.PII_CARD)
 _SSN = re.compile(rules.PII_SSN)
@@ -86,11 +115,6 @@ def mask_text(s):
     return s
 
 
-@F.pandas_udf(StringType())
-def _mask_udf(s: pd.Series) -> pd.Series:
-    return s.map(mask_text)
-
-
 def mask_pii(df: DataFrame, cols: list[str] | None = None, tabular: bool = False) -> DataFrame:
     """Mask PII in the given string columns (default: every string column).
     ``tabular=True`` first squeezes runs of spaces (padded table output)."""
@@ -99,7 +123,7 @@ def mask_pii(df: DataFrame, cols: list[str] | None = None, tabular: bool = False
     for f in df.columns:
         if f in cols:
             src = squeeze_spaces(F.col(f)) if tabular else F.col(f)
-            out.append(_mask_udf(src).alias(f))
+            out.append(mask_value(src).alias(f))
         else:
             out.append(F.col(f))
     return df.select(*out)

@@ -15,6 +15,7 @@ from ..operators import routing as RT
 from ..session import Tables, checkpoint_dir
 from .q_docs import _sql_doc_type
 from .q_discrepancy import order_statements
+from .q_pii import SQL_MASKED
 from .registry import query
 
 
@@ -217,7 +218,7 @@ def retention_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
             .unionByName(kd.agg(F.count(F.lit(1)).alias("kept")).select(F.lit("queries").alias("tbl"), "kept")))
 
 
-@query("sink_append_only")
+@query("sink_append_only", oracle=f"SELECT conv_id, turn, {SQL_MASKED} AS detail FROM conversations")
 def sink_append_only(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversation turns appended to an insert-only audit folder, detail masked."""
     import uuid
@@ -226,7 +227,8 @@ def sink_append_only(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.append_audit(c, path, ["detail"])
 
 
-@query("sink_csv_export")
+@query("sink_csv_export", oracle="SELECT " + ", ".join(f"coalesce(CAST({c} AS VARCHAR), '') AS {c}"
+                                                        for c in ("event_id", "ts", "user_id", "event_type", "value", "props")) + " FROM events")
 def sink_csv_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events exported as CSV (nulls as empty strings) and read back."""
     import uuid

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import pii as P
 from ..streaming import core as S
+from .q_pii import SQL_MASKED
 from .registry import query
 
 # event_type -> endpoint of the quota rules
@@ -73,7 +74,7 @@ def daily_user_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.run_available_now(d, "daily")
 
 
-@query("stream_mask")
+@query("stream_mask", oracle=f"SELECT conv_id, turn, role, {SQL_MASKED} AS text FROM conversations")
 def stream_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversation turns masked as whole rows before they leave the stream
     (a PII value split across tokens cannot escape)."""
