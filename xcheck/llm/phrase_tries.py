@@ -10,7 +10,8 @@ occur together far more than apart. Everything is counted over all texts:
    (a byte a cell, counts up to ``min_count``; a cell holds all its phrases, so its sum
    is never too low); then phrases of crowded cells are sent by name, each once a
    task, with its occurrences up to ``min_count``: enough to tell whether it can be
-   frequent. In a corpus that crowds all cells every phrase is sent by name.
+   frequent. In a corpus that crowds all cells every phrase is sent by name. Cells,
+   phrases and counts travel in packed chunks and are added up chunk by chunk.
 3. All candidates are cut into shards of about ``SHARD`` phrases; each shard
    becomes a double-array trie, built in a task. ``TRIES`` of them at a time are
    sent to all tasks (so what is sent is bounded; more shards take more passes
@@ -25,6 +26,8 @@ A word is named by a 64-bit hash of its folded bytes and its language.
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -44,6 +47,8 @@ HELD = 1_500_000        # distinct phrases or words that a task holds before it
 NEAR = 128              # free places that a node's children are tried at
 CELLS = 1 << 25         # hash cells of phrases (32 MB a task, 4 MB sent back; fixed)
 CHUNK = 1 << 16         # cells that travel together
+PACKS = 1024            # packs into which a task's phrases are dealt by hash
+PLACES = 1 << 13        # counts that travel together
 FILTER_BITS = 1 << 26   # filter of frequent parts (8 MB, fixed)
 NO_LANGUAGE = "und"
 
@@ -182,6 +187,21 @@ def _cell(phrase: np.ndarray) -> np.ndarray:
     return (phrase >> _U(40)).astype(np.int64) & (CELLS - 1)
 
 
+def _by_chunk(packed: DataFrame, keys: list[str], merged, schema: str) -> DataFrame:
+    """``merged(key, rows)`` for all rows of one key, which come one after the
+    other; rows are read as they arrive, a batch at a time."""
+
+    def run(batches):
+        def rows():
+            for b in batches:
+                yield from zip(zip(*[b.column(k).to_pylist() for k in range(len(keys))]), *[b.column(k) for k in range(len(keys), b.num_columns)])
+
+        for key, group in itertools.groupby(rows(), key=lambda r: r[0]):
+            yield from merged(key, ([x.as_buffer() for x in r[1:]] for r in group))
+
+    return packed.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+
+
 def crowded_cells(texts: DataFrame, sent, k: int, min_count: int) -> bytes:
     """Bits of the cells whose possible phrases of k words occur ``min_count``
     times together. Tasks send their cells in chunks; a chunk's parts are added up as
@@ -197,17 +217,14 @@ def crowded_cells(texts: DataFrame, sent, k: int, min_count: int) -> bytes:
         for c in np.flatnonzero(have.reshape(-1, CHUNK).any(axis=1)).tolist():
             yield pa.RecordBatch.from_arrays([pa.array([c]), pa.array([have[c * CHUNK:(c + 1) * CHUNK].tobytes()], pa.binary())], names=["chunk", "counts"])
 
-    def add(batches):
-        have: dict[int, np.ndarray] = {}
-        for b in batches:
-            for c, raw in zip(b.column(0).to_pylist(), b.column(1)):
-                more = np.frombuffer(raw.as_buffer(), np.uint8)
-                have[c] = np.minimum(have[c] + more, min_count) if c in have else more.astype(np.int32)
-        for c, n in have.items():
-            # a count that a byte cannot hold says nothing
-            yield pa.RecordBatch.from_arrays([pa.array([c]), pa.array([np.packbits(n >= min(min_count, 255), bitorder="little").tobytes()], pa.binary())], names=["chunk", "bits"])
-
-    got = texts.mapInArrow(run, "chunk long, counts binary").repartition("chunk").mapInArrow(add, "chunk long, bits binary").toArrow()
+    def add(key, rows):
+        have = np.zeros(CHUNK, np.int32)
+        for (raw,) in rows:
+            have = np.minimum(have + np.frombuffer(raw, np.uint8), min_count)
+        # a count that a byte cannot hold says nothing
+        yield pa.RecordBatch.from_arrays([pa.array([key[0]]), pa.array([np.packbits(have >= min(min_count, 255), bitorder="little").tobytes()], pa.binary())], names=["chunk", "bits"])
+
+    got = _by_chunk(texts.mapInArrow(run, "chunk long, counts binary"), ["chunk"], add, "chunk long, bits binary").toArrow()
     out = np.zeros((CELLS // CHUNK, CHUNK // 8), np.uint8)
     for c, raw in zip(got["chunk"].to_pylist(), got["bits"].to_pylist()):
         out[c] = np.frombuffer(raw, np.uint8)
@@ -231,8 +248,12 @@ def candidates(texts: DataFrame, parts: DataFrame, k: int, min_count: int) -> Da
         held, size = [], 0
 
         def out():
-            _, n, *words = summed(held)
-            return pa.RecordBatch.from_arrays([*[pa.array(x.view(np.int64)) for x in words], pa.array(n)], names=[*_S[:k], "n"])
+            name, n, *words = summed(held)
+            pack = (name >> _U(54)).astype(np.int64)       # names are in order, and so are their packs
+            edge = np.searchsorted(pack, np.arange(PACKS + 1))
+            table = np.column_stack([n.view(_U), *words])
+            some = np.flatnonzero(np.diff(edge))
+            return pa.RecordBatch.from_arrays([pa.array(some), pa.array([table[edge[c]:edge[c + 1]].tobytes() for c in some.tolist()], pa.binary())], names=["pack", "phrases"])
 
         for b in batches:
             for _, _, name, end, _ in _scanned(b.column(0), b.column(1)):
@@ -254,8 +275,20 @@ def candidates(texts: DataFrame, parts: DataFrame, k: int, min_count: int) -> Da
         if held:
             yield out()
 
-    got = texts.mapInArrow(run, ", ".join(f"{s} long" for s in _S[:k]) + ", n long")
-    return got.groupBy(*_S[:k]).agg(F.sum("n").alias("n")).filter(F.col("n") >= min_count).drop("n")
+    def add(key, rows):
+        held, size = [], 0
+        for (raw,) in rows:
+            table = np.frombuffer(raw, _U).reshape(-1, k + 1)
+            words = [np.ascontiguousarray(table[:, j + 1]) for j in range(k)]
+            held.append([_named(words), table[:, 0].astype(np.int64), *words])
+            size += len(table)
+            if size > HELD:
+                held = [summed(held)]
+                size = len(held[0][0])
+        _, n, *words = summed(held)
+        yield pa.RecordBatch.from_arrays([pa.array(x[n >= min_count].view(np.int64)) for x in words], names=_S[:k])
+
+    return _by_chunk(texts.mapInArrow(run, "pack long, phrases binary"), ["pack"], add, ", ".join(f"{s} long" for s in _S[:k]))
 
 
 class DoubleArrayTrie:
@@ -416,14 +449,23 @@ def frequencies(texts: DataFrame, phrases: DataFrame, shard: int = SHARD, at_onc
                         t.count(name, end, into)
             for (number, t), into in zip(all_tries, sums):
                 n = into[t.state]
-                place = np.flatnonzero(n)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(place), number)), pa.array(place), pa.array(n[place])], names=["shard", "place", "n"])
+                some = [c for c in range(0, len(n), PLACES) if n[c:c + PLACES].any()]
+                yield pa.RecordBatch.from_arrays([pa.array([number] * len(some), pa.int64()), pa.array(some, pa.int64()), pa.array([n[c:c + PLACES].tobytes() for c in some], pa.binary())],
+                                                 names=["shard", "first", "counts"])
+
+        sums.append(texts.mapInArrow(run, "shard long, first long, counts binary"))
+
+    def add(key, rows):
+        n = 0
+        for (raw,) in rows:
+            n = n + np.frombuffer(raw, np.int64)
+        place = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(place), key[0])), pa.array(key[1] + place), pa.array(n[place])], names=["shard", "place", "a"])
 
-        sums.append(texts.mapInArrow(run, "shard long, place long, n long"))
     total = sums[0]
     for more in sums[1:]:
         total = total.unionAll(more)
-    total = total.groupBy("shard", "place").agg(F.sum("n").alias("a"))
+    total = _by_chunk(total, ["shard", "first"], add, "shard long, place long, a long")
 
     def listed(batches):
         for b in batches:
