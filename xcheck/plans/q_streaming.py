@@ -48,30 +48,60 @@ def stream_financials(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.round("revenue", 2).alias("revenue"), F.col("orders").cast("long").alias("orders"))
 
 
-@query("sliding_rate_limit")
+_WHEN = "strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts"
+
+
+def _told(df: DataFrame) -> DataFrame:
+    return df.withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+
+
+@query("sliding_rate_limit", oracle=f"""
+WITH RECURSIVE e AS (SELECT user_id, event_id, ts, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+  r AS (SELECT user_id, rn, event_id, ts, true AS allowed, CAST(0 AS BIGINT) AS retry_after, [t] AS hits FROM e WHERE rn = 1
+        UNION ALL
+        SELECT user_id, rn, event_id, ts, len(live) < 3, CASE WHEN len(live) < 3 THEN 0 ELSE (live[1] + 3600000000 - t) // 1000000 + 1 END,
+               CASE WHEN len(live) < 3 THEN list_append(live, t) ELSE live END
+        FROM (SELECT e.*, list_filter(r.hits, lambda h: h >= e.t - 3600000000) AS live FROM r JOIN e ON e.user_id = r.user_id AND e.rn = r.rn + 1))
+SELECT CAST(user_id AS VARCHAR) AS key, event_id, {_WHEN}, allowed, retry_after, CAST(len(hits) AS DOUBLE) AS used FROM r""")
 def sliding_rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per user: at most 3 requests per trailing hour (the 60 s window is
     nearly empty on this data); denied requests are not counted."""
     ev = S.file_stream(spark, sf_dir, "events")
     d = S.sliding_rate_limit(ev, "user_id", "ts", "event_id", limit=3, seconds=3600)
-    return S.run_available_now(d, "ratelimit")
+    return _told(S.run_available_now(d, "ratelimit"))
+
+
+_WEIGHT = "CASE event_type WHEN 'view' THEN 2 WHEN 'purchase' THEN 2 WHEN 'signup' THEN 5 ELSE 1 END"
 
 
-@query("session_budget")
+@query("session_budget", oracle=f"""
+WITH RECURSIVE e AS (SELECT user_id, event_id, ts, {_WEIGHT} AS w, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+  r AS (SELECT user_id, rn, event_id, ts, w <= 50 AS allowed, CASE WHEN w <= 50 THEN w ELSE 0 END AS spent FROM e WHERE rn = 1
+        UNION ALL
+        SELECT user_id, rn, event_id, ts, had + w <= 50, CASE WHEN had + w <= 50 THEN had + w ELSE had END
+        FROM (SELECT e.*, CASE WHEN e.ts - r.ts > INTERVAL 24 HOURS THEN 0 ELSE r.spent END AS had FROM r JOIN e ON e.user_id = r.user_id AND e.rn = r.rn + 1))
+SELECT CAST(user_id AS VARCHAR) AS key, event_id, {_WHEN}, allowed, CAST(0 AS BIGINT) AS retry_after, CAST(spent AS DOUBLE) AS used FROM r""")
 def session_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per session (user): weighted budget of 50 (chat 1, hybrid 2, sandbox 2,
-    autopilot 5)."""
+    """Per session (user, until a day without a request): weighted budget of 50
+    (chat 1, hybrid 2, sandbox 2, autopilot 5)."""
     ev = S.file_stream(spark, sf_dir, "events")
     d = S.budget(ev, F.col("user_id"), "ts", "event_id", S.endpoint_weight(_endpoint(F.col("event_type"))), 50.0)
-    return S.run_available_now(d, "budget")
+    return _told(S.run_available_now(d, "budget"))
 
 
-@query("daily_user_budget")
+@query("daily_user_budget", oracle=f"""
+WITH RECURSIVE e AS (SELECT user_id, event_id, ts, strftime(ts, '%Y-%m-%d') AS day, {_WEIGHT} AS w,
+                            row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id) AS rn FROM events),
+  r AS (SELECT user_id, day, rn, event_id, ts, w <= 10 AS allowed, CASE WHEN w <= 10 THEN w ELSE 0 END AS spent FROM e WHERE rn = 1
+        UNION ALL
+        SELECT e.user_id, e.day, e.rn, e.event_id, e.ts, spent + w <= 10, CASE WHEN spent + w <= 10 THEN spent + w ELSE spent END
+        FROM r JOIN e ON e.user_id = r.user_id AND e.day = r.day AND e.rn = r.rn + 1)
+SELECT user_id || '|' || day AS key, event_id, {_WHEN}, allowed, CAST(0 AS BIGINT) AS retry_after, CAST(spent AS DOUBLE) AS used FROM r""")
 def daily_user_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per (user, UTC day): weighted budget of 10."""
     ev = S.file_stream(spark, sf_dir, "events")
     d = S.daily_budget(ev, "user_id", "ts", "event_id", S.endpoint_weight(_endpoint(F.col("event_type"))), 10.0)
-    return S.run_available_now(d, "daily")
+    return _told(S.run_available_now(d, "daily"))
 
 
 @query("stream_mask", oracle=f"SELECT conv_id, turn, role, {SQL_MASKED} AS text FROM conversations")

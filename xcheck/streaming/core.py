@@ -8,10 +8,13 @@ streaming upsert keeps its checkpoint with its table and resumes there, the othe
 registered queries are one-off runs with a fresh checkpoint.
 
 Stateful quota folds (sliding rate limit, session / daily budgets) are
-sequential per key by definition; ``applyInPandasWithState`` keeps only the
-per-key state (accepted timestamps inside the window, or the amount spent)
-between micro-batches; one key's rows of one micro-batch are sorted together, so
-bound the batches (``max_files``) where a key may be hot.
+sequential per key by definition. The sliding limit and the session budget are
+``transformWithStateInPandas`` processors: between micro-batches a key has the
+times of its accepted requests inside the window (list state), or the amount
+spent and the time of the last request (value state), and an event-time timer
+that clears them once the watermark says that they cannot matter any more. One
+key's rows of one micro-batch are sorted together, so bound the batches
+(``max_files``) where a key may be hot.
 """
 
 from __future__ import annotations
@@ -23,6 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..session import checkpoint_dir, fs_is_dir, fs_list
@@ -93,45 +97,104 @@ _DAY_MS = 86_400_000
 _DECISION = "key string, event_id long, ts timestamp, allowed boolean, retry_after long, used double"
 
 
-def _rate_limit_fn(limit: int, seconds: int):
-    def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        hits = list(state.get[0]) if state.exists else []
-        frames = [p for p in pdfs]
-        if not frames:
-            return
-        pdf = pd.concat(frames).sort_values(["ts", "event_id"])
-        out = []
-        for eid, t in zip(pdf["event_id"].tolist(), pdf["ts"].tolist()):
-            now = t.timestamp()
-            start = now - seconds
-            hits = [h for h in hits if h >= start]
-            if len(hits) >= limit:
-                out.append((key[0], eid, t, False, int(hits[0] + seconds - now) + 1, float(len(hits))))
-            else:
-                hits.append(now)
-                out.append((key[0], eid, t, True, 0, float(len(hits))))
-        state.update((hits,))
-        yield pd.DataFrame(out, columns=["key", "event_id", "ts", "allowed", "retry_after", "used"])
-    return fn
+_MICRO = 1_000_000
+_COLUMNS = ["key", "event_id", "ts", "allowed", "retry_after", "used"]
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def _budget_fn(cap: float):
-    def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        spent = state.get[0] if state.exists else 0.0
-        frames = [p for p in pdfs]
-        if not frames:
-            return
-        pdf = pd.concat(frames).sort_values(["ts", "event_id"])
-        out = []
-        for eid, t, w in zip(pdf["event_id"].tolist(), pdf["ts"].tolist(), pdf["weight"].tolist()):
-            if spent + w > cap:
-                out.append((key[0], eid, t, False, 0, spent))
+class _Fold(StatefulProcessor):
+    """One decision per request, in order of time and id; a timer clears the
+    key's state ``keep_ms`` after its last request."""
+
+    keep_ms: int
+
+    def _ordered(self, rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
+        return pd.concat(list(rows)).sort_values(["ts", "event_id"])
+
+    def _keep_until(self, last_us: int) -> None:
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t[0] if isinstance(t, tuple) else t)
+        self.handle.registerTimer(last_us // 1000 + self.keep_ms + 1)
+
+    def _decided(self, key, frame: pd.DataFrame, out: list) -> pd.DataFrame:
+        allowed, retry, used = zip(*out)
+        return pd.DataFrame({"key": key[0], "event_id": frame["event_id"].to_numpy(), "ts": frame["ts"].to_numpy(),
+                             "allowed": list(allowed), "retry_after": list(retry), "used": [float(u) for u in used]})[_COLUMNS]
+
+    def close(self) -> None:
+        pass
+
+
+def _micros(ts: pd.Series) -> list[int]:
+    return ts.astype("datetime64[us]").astype("int64").tolist()
+
+
+class SlidingLimit(_Fold):
+    """At most ``limit`` accepted requests in the trailing ``seconds``."""
+
+    def __init__(self, limit: int, seconds: int):
+        self.limit, self.window, self.keep_ms = limit, seconds * _MICRO, seconds * 1000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.hits = handle.getListState("hits", "t long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        frame, hits, out = self._ordered(rows), [t[0] for t in self.hits.get()] if self.hits.exists() else [], []
+        times = _micros(frame["ts"])
+        for now in times:
+            hits = [h for h in hits if h >= now - self.window]
+            if len(hits) >= self.limit:
+                out.append((False, (hits[0] + self.window - now) // _MICRO + 1, len(hits)))
             else:
-                spent += w
-                out.append((key[0], eid, t, True, 0, spent))
-        state.update((float(spent),))
-        yield pd.DataFrame(out, columns=["key", "event_id", "ts", "allowed", "retry_after", "used"])
-    return fn
+                hits.append(now)
+                out.append((True, 0, len(hits)))
+        self.hits.put([(h,) for h in hits])
+        self._keep_until(times[-1])
+        yield self._decided(key, frame, out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.hits.clear()
+        return iter([])
+
+
+class SessionBudget(_Fold):
+    """Weights are charged while the session's total stays within ``cap``; a
+    session ends ``idle`` seconds after its last request."""
+
+    def __init__(self, cap: float, idle: int):
+        self.cap, self.idle, self.keep_ms = cap, idle * _MICRO, idle * 1000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.spent = handle.getValueState("spent", "spent double, last long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        frame, out = self._ordered(rows), []
+        spent, last = self.spent.get() if self.spent.exists() else (0.0, None)
+        for now, weight in zip(_micros(frame["ts"]), frame["weight"].tolist()):
+            if last is not None and now - last > self.idle:
+                spent = 0.0
+            last = now
+            ok = spent + weight <= self.cap
+            spent += weight if ok else 0.0
+            out.append((ok, 0, spent))
+        self.spent.update((float(spent), int(last)))
+        self._keep_until(last)
+        yield self._decided(key, frame, out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.spent.clear()
+        return iter([])
+
+
+def _folded(rows: DataFrame, fold: _Fold, late: str) -> DataFrame:
+    """Decisions of a fold over (key, event_id, ts, ...). Such folds need the
+    RocksDB state store, which is set for the session if none is named."""
+    conf = rows.sparkSession.conf
+    if "RocksDB" not in conf.get("spark.sql.streaming.stateStore.providerClass", ""):
+        conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    return rows.withWatermark("ts", late).groupBy("key").transformWithStateInPandas(fold, _DECISION, "append", "EventTime")
 
 
 def _daily_budget_fn(cap: float, lateness_ms: int):
@@ -173,24 +236,24 @@ def daily_budget(events: DataFrame, user: str, ts: str, event_id: str, weight: C
 
 
 def sliding_rate_limit(events: DataFrame, key: str, ts: str, event_id: str, limit: int,
-                       seconds: int = 60) -> DataFrame:
+                       seconds: int = 60, late: str = "1 day") -> DataFrame:
     """Per key: allow up to ``limit`` requests per trailing ``seconds``; denied
     requests are not counted; a denial carries retry-after = oldest + window -
-    now, + 1 second."""
-    ev = events.select(F.col(key).cast("string").alias("key"), F.col(event_id).alias("event_id"),
-                       F.col(ts).alias("ts"))
-    return ev.groupBy("key").applyInPandasWithState(
-        _rate_limit_fn(limit, seconds), _DECISION, "hits array<double>", "append", GroupStateTimeout.NoTimeout)
+    now, + 1 second. Requests more than ``late`` behind the newest are left out;
+    a key's state goes once the watermark has passed its last request's window."""
+    ev = events.select(F.col(key).cast("string").alias("key"), F.col(event_id).alias("event_id"), F.col(ts).alias("ts"))
+    return _folded(ev, SlidingLimit(limit, seconds), late)
 
 
-def budget(events: DataFrame, key: Column, ts: str, event_id: str, weight: Column, cap: float) -> DataFrame:
+def budget(events: DataFrame, key: Column, ts: str, event_id: str, weight: Column, cap: float,
+           idle_hours: int = 24, late: str = "1 day") -> DataFrame:
     """Per key: charge each request's weight while the running total stays
     within ``cap``; a request that does not fit is refused and not charged, so
-    a cheaper later one may still fit."""
+    a cheaper later one may still fit. ``idle_hours`` without a request end the
+    session: the next one starts at nothing, and the state goes."""
     ev = events.select(key.cast("string").alias("key"), F.col(event_id).alias("event_id"), F.col(ts).alias("ts"),
                        weight.cast("double").alias("weight"))
-    return ev.groupBy("key").applyInPandasWithState(
-        _budget_fn(cap), _DECISION, "spent double", "append", GroupStateTimeout.NoTimeout)
+    return _folded(ev, SessionBudget(cap, idle_hours * 3600), late)
 
 
 def endpoint_weight(endpoint) -> Column:
