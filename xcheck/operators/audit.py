@@ -2,9 +2,7 @@
 
 All metrics are one-pass aggregations with conditional counts; JSON metadata is
 read with ``get_json_object`` (no Python). Percentiles are exact without
-gathering a group's rows: values are first counted per (group, value) — a
-partial aggregation bounded by the value domain — and ranks are read off a
-running sum of those counts.
+gathering a group's rows (``operators.selection``).
 """
 
 from __future__ import annotations
@@ -13,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .selection import at_rank, ranked_values
+
 # FIXED VALUES — query-type buckets (anything else, missing or bad JSON -> unknown)
 QUERY_TYPES = ["doc", "db", "hybrid", "csv", "unknown"]
 
@@ -64,29 +64,19 @@ def latency_percentiles(df: DataFrame, by: list[str], value: str, approx: bool =
     """p50 = interpolated median, p95 = nearest rank ``sorted[max(0, round(.95 n) - 1)]``
     (round half-even), per group.
 
-    Exact mode sorts one row per distinct (group, value); with continuous values
-    and one group holding a large share of the data, ``approx=True`` switches to
-    ``percentile_approx`` (bounded sketch per group, rank error ~ 1/accuracy)."""
+    Exact by distributed selection (``operators.selection``), however many rows
+    one group has; ``approx=True`` switches to ``percentile_approx`` (bounded
+    sketch per group, rank error ~ 1/accuracy)."""
     if approx:
         v = F.col(value).cast("double")
         return df.where(v.isNotNull()).groupBy(*by).agg(
             F.count(v).alias("n"), F.percentile_approx(v, 0.5, accuracy).alias("p50"),
             F.percentile_approx(v, 0.95, accuracy).alias("p95"))
-    freq = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c"))
-    w = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    cum = freq.withColumn("_cum", F.sum("_c").over(w)).withColumn(
-        "_n", F.sum("_c").over(Window.partitionBy(*by)))
-    pos = (F.col("_n") - 1) * 0.5
-    lo, hi = F.floor(pos), F.ceil(pos)
-    r95 = F.greatest(F.lit(0), F.bround(F.col("_n") * 0.95, 0).cast("long") - 1)
-    covers = lambda r: (F.col("_cum") - F.col("_c") <= r) & (r < F.col("_cum"))
-    picked = cum.select(*by, "_n", F.when(covers(lo), F.col(value)).alias("_lo"),
-                        F.when(covers(hi), F.col(value)).alias("_hi"),
-                        F.when(covers(r95), F.col(value)).alias("_p95"),
-                        (pos - lo).alias("_frac"))
-    agg = picked.groupBy(*by).agg(F.max("_lo").alias("lo"), F.max("_hi").alias("hi"),
-                                  F.max("_p95").alias("p95"), F.max("_frac").alias("frac"),
-                                  F.max("_n").alias("n"))
+    ranked = ranked_values(df.select(*by, value), by, value)
+    pos = (F.col("total") - 1) * 0.5
+    r95 = F.greatest(F.lit(0), F.bround(F.col("total") * 0.95, 0).cast("long") - 1)
+    agg = ranked.groupBy(*by).agg(F.max("total").alias("n"), at_rank(value, F.floor(pos)).alias("lo"), at_rank(value, F.ceil(pos)).alias("hi"),
+                                  at_rank(value, r95).alias("p95"), F.max(pos - F.floor(pos)).alias("frac"))
     return agg.select(*by, "n", (F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("frac")).alias("p50"), "p95")
 
 

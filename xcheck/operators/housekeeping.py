@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions.text import strip_ws
 from .pii import mask_pii
+from .selection import quantiles
 
 # FIXED VALUES — skipped form values, semantic-break percentile, upload TTL
 FORM_SKIP_VALUES = ["", "False", "Off"]
@@ -65,10 +66,10 @@ def semantic_breaks(sentences: DataFrame, doc: str, order: str, vec: str = "unit
     nxt = F.lead(vec).over(w)
     d = sentences.withColumn("dist", 1 - F.aggregate(F.zip_with(vec, nxt, lambda a, b: a * b), F.lit(0.0),
                                                      lambda s, x: s + x))
-    # exact percentile keeps the distinct distances of a document; approx=True
-    # bounds that memory for very large documents
-    q = F.percentile_approx("dist", pct, 100_000) if approx else F.percentile("dist", pct)
-    thr = d.groupBy(doc).agg(q.alias("thr"))
+    if approx:
+        thr = d.groupBy(doc).agg(F.percentile_approx("dist", pct, 100_000).alias("thr"))
+    else:
+        thr = quantiles(d.select(doc, "dist"), [doc], "dist", [pct]).select(doc, F.col("q")[0].alias("thr"))
     j = d.join(thr, doc).withColumn("brk", (F.col("dist") > F.col("thr")).cast("int"))
     prev = F.coalesce(F.sum("brk").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return j.withColumn("chunk_id", prev).drop("brk")

@@ -3,7 +3,8 @@ histogram, datetime detection, frequency inference, majority-numeric casts.
 
 Each profile is one aggregation pass over the table (all columns at once)
 followed by an unpivot of the single result row into long form
-``(column, ...)`` — no per-column jobs, no pandas.
+``(column, ...)`` — no per-column jobs, no pandas; exact percentiles come from a
+distributed selection over all columns together.
 """
 
 from __future__ import annotations
@@ -14,11 +15,13 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions.text import strip_ws
+from .selection import quantiles
 
 _NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 
 # FIXED VALUES — thresholds
 LOW_CARD_MAX = 15
+_QUARTILES = [0.25, 0.5, 0.75]
 DATETIME_NAME_KEYS = ["date", "time", "timestamp"]
 DATETIME_PARSE_SHARE = 0.7
 NUMERIC_MAJORITY = 0.5
@@ -44,31 +47,30 @@ def _unpivot(row: DataFrame, cols: list[str], fields: list[str]) -> DataFrame:
 def describe_numeric(df: DataFrame, cols: list[str] | None = None, approx: bool = False,
                      accuracy: int = 10_000, exact_scale: int | None = None) -> DataFrame:
     """count, mean, std (sample), min, 25/50/75 % (linear interpolation), max.
-    ``approx=True`` swaps the exact percentiles for ``percentile_approx``
-    (bounded memory per column at any scale). ``exact_scale=s`` (columns with
+    The percentiles are exact, by distributed selection (``operators.selection``:
+    no column in one buffer); ``approx=True`` swaps them for ``percentile_approx``. ``exact_scale=s`` (columns with
     at most ``s`` decimals, e.g. money) accumulates the mean as a sum of scaled
     integers, so it does not depend on the order partial sums are combined."""
     cols = cols or numeric_columns(df)
     aggs = []
     for c in cols:
         x = F.col(c).cast("double")
-        if approx:
-            q = F.percentile_approx(x, [0.25, 0.5, 0.75], accuracy)
-        else:
-            q = F.percentile(x, [0.25, 0.5, 0.75])
         if exact_scale is None:
             mean = F.avg(x)
         else:
             k = 10 ** exact_scale
             mean = F.sum(F.round(x * k).cast("long")) / F.count(x) / k
         aggs += [F.count(x).alias(f"{c}__count"), mean.alias(f"{c}__mean"),
-                 F.stddev_samp(x).alias(f"{c}__std"), F.min(x).alias(f"{c}__min"),
-                 q.alias(f"{c}__q"), F.max(x).alias(f"{c}__max")]
-    row = df.agg(*aggs)
-    for c in cols:
-        row = (row.withColumn(f"{c}__p25", F.col(f"{c}__q")[0]).withColumn(f"{c}__p50", F.col(f"{c}__q")[1])
-               .withColumn(f"{c}__p75", F.col(f"{c}__q")[2]))
-    return _unpivot(row, cols, ["count", "mean", "std", "min", "p25", "p50", "p75", "max"])
+                 F.stddev_samp(x).alias(f"{c}__std"), F.min(x).alias(f"{c}__min"), F.max(x).alias(f"{c}__max")]
+        if approx:
+            aggs.append(F.percentile_approx(x, _QUARTILES, accuracy).alias(f"{c}__q"))
+    fields = ["count", "mean", "std", "min", *(["q"] if approx else []), "max"]
+    out = _unpivot(df.agg(*aggs), cols, fields)
+    if not approx:
+        cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in cols])).alias("x")
+        long = df.select(cells).select("x.column", "x.value")
+        out = out.join(quantiles(long, ["column"], "value", _QUARTILES).drop("n"), "column", "left")
+    return out.select("column", "count", "mean", "std", "min", *[F.col("q")[i].alias(f"p{p}") for i, p in enumerate((25, 50, 75))], "max")
 
 
 def null_percentages(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
