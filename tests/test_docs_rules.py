@@ -153,3 +153,25 @@ def test_schema_summary_and_drift(spark):
                                 "connection_id string, table_name string, column_name string, data_type string")
     drift = {r["column_name"]: r["change"] for r in G.schema_drift(old, new).collect()}
     assert drift == {"a": "retyped", "b": "removed", "c": "added"}
+
+
+def test_page_marks_find_every_head(spark):
+    """Any 40 characters of a page meet it, in pages with few different characters too."""
+    import random
+    r = random.Random(6)
+    pages, chunks = [], []
+    for d in range(12):
+        texts = ["".join(r.choice("ab " if d % 3 else "abcdefghi é漢😀") for _ in range(r.randint(20, 400))) for _ in range(6)]
+        pages += [(d, k + 1, t) for k, t in enumerate(texts)]
+        for ix in range(25):
+            t = r.choice(texts)
+            at = r.randrange(max(1, len(t) - 39))
+            chunks.append((d, ix, t[at:at + r.choice([10, 39, 40, 41, 60])] if ix % 5 else "".join(r.choice("ab ") for _ in range(45))))
+    p = spark.createDataFrame(pages, "doc_id long, page int, page_text string")
+    c = spark.createDataFrame(chunks, "doc_id long, chunk_ix int, chunk string")
+    got = {(x.doc_id, x.chunk_ix): x.page for x in DO.attach_page_meta(c, p).collect()}
+    for d, ix, text in chunks:
+        mine = [(k, t) for e, k, t in pages if e == d]
+        exact = [k for k, t in mine if t[:80] == text[:80]]
+        held = [k for k, t in mine if text[:40] in t]
+        assert got[d, ix] == (max(exact) if exact else min(held) if held else 1)

@@ -57,6 +57,28 @@ def test_topk_matches_bruteforce(spark):
         assert [v for _, v in sorted(got[j])] == want
 
 
+def test_blocks_equal_sent_queries(spark, monkeypatch):
+    """Both ways of the top-k, with tenants of unlike sizes, ties and a floor."""
+    rng = np.random.default_rng(2)
+    X = rng.integers(-3, 4, (900, 6)).astype(float)
+    Q = rng.integers(-3, 4, (120, 6)).astype(float)
+    tenant = lambda i: int(min(i % 7, 3))
+    corpus = R.with_unit(spark.createDataFrame([(i, X[i].tolist(), tenant(i)) for i in range(900)], "vec_id long, embedding array<double>, t int")).repartition(5)
+    qs = R.with_unit(spark.createDataFrame([(j, Q[j].tolist(), tenant(j)) for j in range(120)], "qid long, e array<double>, t int"), vec="e", out="qunit")
+    monkeypatch.setattr(R, "CORPUS_BLOCK", 70)
+    monkeypatch.setattr(R, "QUERY_BLOCK", 11)
+    monkeypatch.setattr(R, "_STEP", 16)
+    unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+    score = unit(Q) @ unit(X).T
+    for keys in ([], ["t"]):
+        got = [{(r.qid, r.rank): (r.vec_id, round(r.score, 9)) for r in R.topk(qs, corpus, 4, partition_cols=keys, min_score=0.2, sent_bytes=b).collect()} for b in (1 << 20, 0)]
+        assert got[0] == got[1]
+        for j in range(120):
+            mine = [i for i in range(900) if score[j, i] >= 0.2 and (not keys or tenant(i) == tenant(j))]
+            want = sorted(mine, key=lambda i: (-round(score[j, i], 9), i))[:4]
+            assert [round(got[0][j, k + 1][1], 6) for k in range(len(want))] == [round(score[j, i], 6) for i in want]
+
+
 def test_lsh_finds_planted_duplicates(spark):
     rng = np.random.default_rng(1)
     X = rng.normal(size=(200, 8))

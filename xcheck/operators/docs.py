@@ -9,10 +9,11 @@ from __future__ import annotations
 
 from html import unescape
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType
+from pyspark.sql.types import StringType
 from pyspark.sql.window import Window
 
 from ..functions import rules
@@ -221,49 +222,68 @@ def joined_text(pages: DataFrame, id_col: str = "doc_id") -> DataFrame:
             .select(id_col, F.array_join(F.transform("_p", lambda x: x["page_text"]), " ").alias("text")))
 
 
-def _first_pages(heads, texts) -> list:
-    """For each head the index of the first text that holds it (None: none does).
-    Texts are read once per distinct head length, not once per head."""
-    first = {h: 0 for h in heads if h == ""}
-    left: dict[int, set] = {}
-    for h in heads:
-        if h:
-            left.setdefault(len(h), set()).add(h)
-    for k, text in enumerate(texts):
-        for n, want in left.items():
-            found = {w for i in range(len(text) - n + 1) if (w := text[i:i + n]) in want} if want else set()
-            first.update(dict.fromkeys(found, k))
-            want -= found
-    return [first.get(h) for h in heads]
+HEAD = 40               # characters of a chunk that are looked for in the pages
+GRAM = 8                # characters of a fingerprint
 
 
-@F.pandas_udf(ArrayType(IntegerType()))
-def _head_pages(heads: pd.Series, texts: pd.Series) -> pd.Series:
-    return pd.Series([_first_pages(h, [] if t is None else t) for h, t in zip(heads, texts)], dtype=object)
+def _marks(text: str, every: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(fingerprint, place) of the last smallest gram hash of each window of
+    ``HEAD`` characters (all windows, or the first): a text that holds another's
+    first ``HEAD`` characters has that one's mark."""
+    c = np.frombuffer((text if every else text[:HEAD]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    n = len(c) - GRAM + 1
+    h = np.zeros(n, np.uint64)
+    for k in range(GRAM):
+        h = (h + c[k:k + n]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    windows = HEAD - GRAM + 1
+    places = []
+    for lo in range(0, n - windows + 1, 1 << 16):       # a long page piece by piece
+        view = np.lib.stride_tricks.sliding_window_view(h[lo:lo + (1 << 16) + windows - 1], windows)
+        places.append(lo + np.arange(len(view)) + windows - 1 - view[:, ::-1].argmin(axis=1))
+    at = np.unique(np.concatenate(places))
+    return h[at].view(np.int64), at
+
+
+def _marked(rows: DataFrame, id_col: str, number: str, text: str, every: bool) -> DataFrame:
+    """(id, number, mark, at) of texts with at least ``HEAD`` characters."""
+    kind = rows.schema[id_col].dataType.simpleString()
+
+    def run(batches):
+        for pdf in batches:
+            found = [_marks(t, every) for t in pdf["t"]]
+            size = [len(x) for x, _ in found]
+            yield pd.DataFrame({"id": pdf["id"].repeat(size), "n": pdf["n"].repeat(size), "mark": np.concatenate([x for x, _ in found]) if found else [],
+                                "at": np.concatenate([x for _, x in found]) if found else []})
+
+    long = rows.where(F.length(text) >= HEAD).select(F.col(id_col).alias("id"), F.col(number).cast("long").alias("n"), F.col(text).alias("t"))
+    return long.mapInPandas(run, f"id {kind}, n long, mark long, at long")
 
 
 def attach_page_meta(chunks: DataFrame, pages: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Page of each chunk: the page whose 80-char prefix equals the chunk's
     (the last such page); else the first page that holds the chunk's first 40
-    characters; else the document's first page. A document's pages and chunk
-    heads meet in one row, as the document did before it was cut."""
-    def listed(df, order, *cols):
-        rows = F.array_sort(F.collect_list(F.struct(order, *cols)))
-        return df.groupBy(id_col).agg(rows.alias("_r"))
+    characters; else the document's first page.
 
+    Heads meet pages on a fingerprint: of every window of 40 characters a page
+    keeps the smallest gram hash (some 6 % of its places), a head has one; who
+    meets is then compared letter by letter. Chunks under 40 characters (a document's last) are
+    looked for in its pages directly. No document is gathered in one row."""
     exact = (pages.select(id_col, F.substring("page_text", 1, 80).alias("_k"), "page")
              .groupBy(id_col, "_k").agg(F.max("page").alias("p_exact")))
-    p = listed(pages, "page", "page_text").select(
-        id_col, F.col("_r.page").alias("_pages"), F.col("_r.page_text").alias("_texts"))
-    heads = chunks.select(id_col, "chunk_ix", F.substring("chunk", 1, 80).alias("_k"))
-    c = listed(heads, "chunk_ix", "_k").join(p, id_col, "left")
-    c = c.withColumn("_at", _head_pages(F.transform("_r", lambda x: F.substring(x["_k"], 1, 40)), F.col("_texts")))
-    c = (c.select(id_col, F.col("_pages")[0].alias("p_first"),
-                  F.explode(F.zip_with("_r", F.transform("_at", lambda k: F.get("_pages", k)),
-                                       lambda r, at: F.struct(r["chunk_ix"].alias("chunk_ix"), r["_k"].alias("_k"),
-                                                              at.alias("p_in")))).alias("_c"))
-         .select(id_col, "p_first", "_c.*"))
-    return (c.join(exact, [id_col, "_k"], "left")
+    first = pages.groupBy(id_col).agg(F.min("page").alias("p_first"))
+    heads = chunks.select(id_col, "chunk_ix", F.substring("chunk", 1, 80).alias("_k")).withColumn("_h", F.substring("_k", 1, HEAD))
+    theirs = _marked(pages, id_col, "page", "page_text", True)
+    ours = _marked(heads, id_col, "chunk_ix", "_h", False)
+    met = (ours.alias("o").join(theirs.alias("t"), (F.col("o.id") == F.col("t.id")) & (F.col("o.mark") == F.col("t.mark")))
+           .select(F.col("o.id").alias(id_col), F.col("o.n").alias("chunk_ix"), F.col("t.n").alias("page"), (F.col("t.at") - F.col("o.at")).alias("_from")).distinct())
+    held = (met.join(heads.select(id_col, F.col("chunk_ix").cast("long").alias("chunk_ix"), "_h"), [id_col, "chunk_ix"])
+            .join(pages.select(id_col, F.col("page").cast("long").alias("page"), "page_text"), [id_col, "page"])
+            .where((F.col("_from") >= 0) & (F.substring(F.col("page_text"), F.col("_from").cast("int") + 1, F.lit(HEAD)) == F.col("_h"))))
+    short = (heads.where(F.length("_h") < HEAD).join(pages.select(id_col, "page", "page_text"), id_col).where(F.col("page_text").contains(F.col("_h"))))
+    inside = (held.select(id_col, "chunk_ix", "page").unionByName(short.select(id_col, F.col("chunk_ix").cast("long").alias("chunk_ix"), F.col("page").cast("long").alias("page")))
+              .groupBy(id_col, "chunk_ix").agg(F.min("page").cast("int").alias("p_in")))
+    return (heads.join(first, id_col, "left").join(exact, [id_col, "_k"], "left").join(inside, [id_col, "chunk_ix"], "left")
             .select(id_col, "chunk_ix", F.coalesce("p_exact", "p_in", "p_first").alias("page")))
 
 

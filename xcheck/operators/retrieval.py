@@ -1,17 +1,20 @@
 """Vector retrieval: exact top-k, recall@k, few-shot, table selection, result
 merging (dedup / rerank / citations), query expansion, multi-pass retrieval.
 
-Exact top-k plan: the query side is a bounded batch (questions). Its size is
-checked, it is broadcast once, and each corpus partition is scored with one
-matrix product per Arrow batch (``mapInPandas``), keeping only the k best rows
-per query per batch; a final ``row_number() <= k`` (a ``WindowGroupLimit``)
-merges them. No pair rows, no cross join, and the shuffle carries at most
-k x queries rows per batch. A batch over the bound is processed in bounded
-slices, one corpus scan each.
+Exact top-k plan: scores are matrix products of blocks of corpus rows and
+blocks of queries; a block keeps the k best rows of each query only, and a final
+``row_number() <= k`` (a ``WindowGroupLimit``) merges the blocks. No pair rows
+and no cross join. A query side of at most ``SENT_BYTES`` (its size is measured
+first) is sent to the tasks, and the corpus stays where it is. A larger one is
+never gathered: both sides are cut into blocks per tenant, every block of
+queries goes to its tenant's blocks of the corpus, and Spark deals the pairs of
+blocks. Both ways give the same rows.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -19,7 +22,10 @@ from pyspark.sql.window import Window
 from ..functions import rules
 from ..functions import text as T
 
-MAX_BROADCAST_QUERIES = 100_000
+SENT_BYTES = 16 << 20       # query vectors that are sent to the tasks
+CORPUS_BLOCK = 20_000       # corpus rows of a block, about
+QUERY_BLOCK = 2_000         # queries of a block, about
+_STEP = 2048                # rows and queries of one product
 
 
 def with_unit(df: DataFrame, vec: str = "embedding", out: str = "unit") -> DataFrame:
@@ -32,68 +38,95 @@ def with_unit(df: DataFrame, vec: str = "embedding", out: str = "unit") -> DataF
     return d.withColumn(out, unit).drop("_norm")
 
 
-def _topk_slice(spark, qrows, corpus, k, qid, did, dvec, keys, min_score, qvec):
-    import numpy as np
-    import pandas as pd
-
-    qids = [r[qid] for r in qrows]
-    qmat = np.array([np.asarray(r[qvec], dtype=np.float64) for r in qrows])
-    qkeys = [tuple(r[c] for c in keys) for r in qrows]
-    bc = spark.sparkContext.broadcast((qids, qmat, qkeys))
-    out_schema = f"{qid} long, {did} long, score double"
+def _best(x, ids, m, k: int, min_score: float | None):
+    """(query, id, score) of the k best rows of ``x`` for every query (row of
+    ``m``), ties by id, from products of at most ``_STEP`` rows and queries."""
+    queries, found, scores = [], [], []
+    for lo in range(0, len(x), _STEP):
+        own = ids[lo:lo + _STEP]
+        for first in range(0, len(m), _STEP):
+            s = x[lo:lo + _STEP] @ m[first:first + _STEP].T
+            ok = np.isfinite(s) if min_score is None else np.isfinite(s) & (s >= min_score)
+            least = np.partition(s, len(s) - k, axis=0)[len(s) - k] if len(s) > k else np.full(s.shape[1], -np.inf)
+            row, query = np.nonzero(ok & (s >= least))
+            order = np.lexsort((own[row], -s[row, query], query))
+            row, query = row[order], query[order]
+            rank = np.arange(len(query)) - np.searchsorted(query, query)
+            keep = rank < k
+            queries.append(first + query[keep]), found.append(own[row[keep]]), scores.append(s[row[keep], query[keep]])
+    if not queries:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    query, did, score = (np.concatenate(c) for c in (queries, found, scores))
+    order = np.lexsort((did, -score, query))
+    query, did, score = query[order], did[order], score[order]
+    keep = np.arange(len(query)) - np.searchsorted(query, query) < k
+    return query[keep], did[keep], score[keep]
+
+
+def _matrix(vectors) -> np.ndarray:
+    return np.vstack(vectors.to_numpy()).astype(np.float64)
+
+
+def _sent_queries(spark, qrows, corpus, k, qid, did, dvec, keys, min_score, qvec) -> DataFrame:
+    tenants: dict[tuple, list[int]] = {}
+    for i, r in enumerate(qrows):
+        tenants.setdefault(tuple(r[c] for c in keys), []).append(i)
+    qids = np.array([r[qid] for r in qrows], np.int64)
+    m = np.array([np.asarray(r[qvec], np.float64) for r in qrows])
+    sent = spark.sparkContext.broadcast((qids, m, tenants))
 
     def score(batches):
-        ids, m, qk = bc.value
+        ids, vectors, of = sent.value
         for pdf in batches:
-            if len(pdf) == 0:
+            if not len(pdf):
                 continue
-            x = np.vstack(pdf[dvec].to_numpy()).astype(np.float64)
-            s = x @ m.T
-            if keys:
-                dk = list(zip(*[pdf[c].tolist() for c in keys]))
-                mask = np.array([[a == b for b in qk] for a in dk])
-                s = np.where(mask, s, -np.inf)
-            dids = pdf[did].to_numpy()
-            rows = []
-            for j, q in enumerate(ids):
-                col = s[:, j]
-                ok = np.isfinite(col) if min_score is None else np.isfinite(col) & (col >= min_score)
-                idx = np.nonzero(ok)[0]
-                if len(idx) > k:
-                    cut = np.partition(col[idx], len(idx) - k)[len(idx) - k]
-                    idx = idx[col[idx] >= cut]
-                if len(idx):
-                    order = np.lexsort((dids[idx], -col[idx]))[:k]
-                    sel = idx[order]
-                    rows.append(pd.DataFrame({qid: q, did: dids[sel], "score": col[sel]}))
-            if rows:
-                yield pd.concat(rows, ignore_index=True)
-
-    cols = [did, dvec] + keys
-    return corpus.select(*cols).mapInPandas(score, out_schema)
+            groups = pdf.groupby(keys, dropna=False, sort=False).indices.items() if keys else [((), np.arange(len(pdf)))]
+            x, dids = _matrix(pdf[dvec]), pdf[did].to_numpy()
+            for tenant, rows in groups:
+                mine = of.get(tenant if isinstance(tenant, tuple) else (tenant,))
+                if mine:
+                    query, d, s = _best(x[rows], dids[rows], vectors[mine], k, min_score)
+                    yield pd.DataFrame({qid: ids[np.array(mine)[query]], did: d, "score": s})
+
+    return corpus.select(did, dvec, *keys).mapInPandas(score, f"{qid} long, {did} long, score double")
+
+
+def _blocks(queries: DataFrame, corpus: DataFrame, k, qid, did, dvec, keys, min_score, qvec) -> DataFrame:
+    key = F.xxhash64(*keys) if keys else F.lit(0).cast("long")
+    q = queries.select(F.col(qid).alias("_id"), F.col(qvec).alias("_v"), key.alias("_key"))
+    c = corpus.select(F.col(did).alias("_id"), F.col(dvec).alias("_v"), key.alias("_key"))
+    size = lambda df, rows, name: df.groupBy("_key").agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias(name))
+    shape = size(q, QUERY_BLOCK, "_nq").join(size(c, CORPUS_BLOCK, "_nc"), "_key")
+    own = lambda n: F.pmod(F.xxhash64("_id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    q = q.join(shape, "_key").select("_key", "_id", "_v", own("_nq").alias("_qb"), every("_nc").alias("_cb"))
+    c = c.join(shape, "_key").select("_key", "_id", "_v", own("_nc").alias("_cb"), every("_nq").alias("_qb"))
+    block = ["_key", "_qb", "_cb"]
+
+    def score(ours: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
+        if not len(ours) or not len(theirs):
+            return pd.DataFrame({qid: [], did: [], "score": []}).astype({qid: "int64", did: "int64"})
+        query, d, s = _best(_matrix(theirs["_v"]), theirs["_id"].to_numpy(), _matrix(ours["_v"]), k, min_score)
+        return pd.DataFrame({qid: ours["_id"].to_numpy()[query], did: d, "score": s})
+
+    return q.groupBy(*block).cogroup(c.groupBy(*block)).applyInPandas(score, f"{qid} long, {did} long, score double")
 
 
 def topk(queries: DataFrame, corpus: DataFrame, k: int, qid: str = "qid", did: str = "vec_id",
          qvec: str = "qunit", dvec: str = "unit", partition_cols: list[str] | None = None,
-         min_score: float | None = None, max_queries: int = MAX_BROADCAST_QUERIES) -> DataFrame:
+         min_score: float | None = None, sent_bytes: int = SENT_BYTES) -> DataFrame:
     """k best corpus rows per query by dot product of unit vectors (cosine).
     ``partition_cols`` restrict candidates to the query's own partition
-    (tenant / collection). Output: qid, did, score, rank (1-based, ties by did)."""
+    (tenant / collection). Output: qid, did, score, rank (1-based, ties by did).
+    Memory is bounded by the blocks, whatever the number of queries or rows."""
     keys = partition_cols or []
-    spark = corpus.sparkSession
-    q = queries.select(qid, qvec, *keys)
-    n = q.count()                                  # the size check
-    parts = []
-    if n <= max_queries:
-        parts.append(_topk_slice(spark, q.collect(), corpus, k, qid, did, dvec, keys, min_score, qvec))
-    else:                                          # bounded slices, one scan each
-        sl = q.withColumn("_s", F.pmod(F.xxhash64(qid), F.lit((n + max_queries - 1) // max_queries)))
-        for i in range((n + max_queries - 1) // max_queries):
-            rows = sl.where(F.col("_s") == i).drop("_s").collect()
-            parts.append(_topk_slice(spark, rows, corpus, k, qid, did, dvec, keys, min_score, qvec))
-    scored = parts[0]
-    for p in parts[1:]:
-        scored = scored.unionByName(p)
+    q = queries.select(qid, qvec, *keys).where(F.col(qvec).isNotNull())
+    c = corpus.where(F.col(dvec).isNotNull())
+    size = q.agg(F.coalesce(F.sum(F.size(qvec) * 8 + 64), F.lit(0))).first()[0]
+    if size <= sent_bytes:
+        scored = _sent_queries(corpus.sparkSession, q.collect(), c, k, qid, did, dvec, keys, min_score, qvec)
+    else:
+        scored = _blocks(q, c, k, qid, did, dvec, keys, min_score, qvec)
     w = Window.partitionBy(qid).orderBy(F.col("score").desc(), F.col(did))
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
