@@ -10,10 +10,13 @@ numpy takes a step of all open intervals at once.
 
 Texts are first cut where both tokenizers always end a token (a space after an
 ASCII character that is none), each distinct stretch between such places is
-encoded and aligned once and kept by the worker for later batches.
+encoded and aligned once and kept by the worker for later batches. A text is the
+row of its stretches, so what is aligned once serves wherever it occurs.
 
-Links are pairs of token occurrences whose byte ranges overlap. How often each
-pair of ids is linked in the whole corpus is counted by shuffle; pairs with more
+Links are pairs of token occurrences whose byte ranges overlap. The texts of a
+piece are aligned once and written as the piece's different stretches, their
+links and the texts' places. From these the links of each pair of ids are
+counted over the whole corpus by shuffle, and then looked up: pairs with more
 than ``HOT`` of all links (fewer than ``1 / HOT`` of them) are sent to the tasks,
 a text's other pairs meet their counts by join, so that no join key is hot.
 """
@@ -28,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .sentencepiece_codec import Vocabulary
-from .tables import with_results, written
+from .tables import give_back, with_results, written
 from .token_words import _hashes, stretches
 from .words import pieces, utf8
 
@@ -89,27 +92,53 @@ def overlaps(end_a: np.ndarray, end_b: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 class ByteLevelTokens:
-    """Ids of a byte-level vocabulary file (tokenizers library), and their lengths in bytes."""
+    """Ids of a byte-level vocabulary file, and their bytes. The file's merges
+    are in the order of their ids, so its entries are ranks; its pre-tokenizer is
+    the byte-level one with its usual pattern. A cut before a space is a token
+    end, so stretches that do not end in white space are encoded in one call."""
+
+    PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
     def __init__(self, file: str):
-        import os
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-        self.model = Tokenizer.from_file(file)
-        self.model.encode_special_tokens = True
+        import json
+
+        import tiktoken
+        with open(file, encoding="utf-8") as f:
+            model = json.load(f)
         # the byte-level alphabet: printable Latin-1 characters stand for themselves, the other bytes for U+0100 on
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        others = [b for b in range(256) if b not in plain]
-        byte_of = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(others)}
-        vocabulary = self.model.get_vocab()
-        self.bytes = [b""] * (max(vocabulary.values()) + 1)
-        for token, i in vocabulary.items():
-            self.bytes[i] = bytes(byte_of[c] for c in token) if all(c in byte_of for c in token) else token.encode()
+        byte_of = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in plain)}
+        special = {t["content"] for t in model["added_tokens"]}
+        vocabulary = {t: i for t, i in model["model"]["vocab"].items() if t not in special}
+        ranks = {bytes(byte_of[c] for c in t): i for t, i in vocabulary.items()}
+        known = model["model"]["vocab"]
+        last = -1
+        for m in model["model"]["merges"]:
+            to = known["".join(m if isinstance(m, list) else m.split(" "))]
+            if to <= last:
+                raise ValueError("merges that are not in the order of their ids")
+            last = to
+        self.model = tiktoken.Encoding("alignment", pat_str=self.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.bytes = [b""] * (max(ranks.values()) + 1)
+        for t, i in ranks.items():
+            self.bytes[i] = t
         self.length = np.array([len(x) for x in self.bytes], np.int64)
 
     def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        ids = [e.ids for e in self.model.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
-        return np.array([i for x in ids for i in x], np.int64), np.array([len(x) for x in ids], np.int64)
+        alone = [k for k, w in enumerate(words) if w[:1] != b" " or w[-1:].isspace() or w[-1] > 127]
+        parts: list = [None] * len(words)
+        for k in alone:
+            parts[k] = self.model.encode_ordinary(words[k].decode())
+        mark = set(alone)
+        many = [k for k in range(len(words)) if k not in mark]
+        flat = np.array(self.model.encode_ordinary(b"".join([words[k] for k in many]).decode()), np.int64)
+        upto = np.searchsorted(np.cumsum(self.length[flat]), np.cumsum([len(words[k]) for k in many], dtype=np.int64), "right")
+        if not alone:
+            return flat, np.diff(upto, prepend=0)
+        listed = flat.tolist()
+        for k, x, y in zip(many, [0, *upto.tolist()], upto.tolist()):
+            parts[k] = listed[x:y]
+        return np.array([i for x in parts for i in x], np.int64), np.array([len(x) for x in parts], np.int64)
 
 
 class PieceTokens:
@@ -128,11 +157,13 @@ class PieceTokens:
 
 class Aligner:
     """Aligned stretches of a worker. Per stretch: tokens of each side, groups,
-    links (as pairs of ids) and, if asked for, the groups as text; a stretch that
-    one side does not give back byte by byte is marked as lost."""
+    links (as pairs of ids) and the groups as text (each after a semicolon); a
+    stretch that one side does not give back byte by byte is marked as lost."""
 
-    def __init__(self, a, b, as_text: bool):
-        self.a, self.b, self.as_text = a, b, as_text
+    def __init__(self, a, b):
+        self.a, self.b = a, b
+        # tokens in a group's text, by what stands before them: the first of a, another of a, the first of b, another of b
+        self.said = np.array([f"{mark}{i}" for mark, side in ((";", a), (",", a), ("|", b), (",", b)) for i in range(len(side.bytes))], object)
         self.clear()
 
     def clear(self):
@@ -167,12 +198,16 @@ class Aligner:
         self.sizes = np.concatenate([self.sizes, np.column_stack([*counts, groups, lost])])
         self.pairs = np.concatenate([self.pairs, ids[0][at_a].astype(np.int64) * WIDTH + ids[1][at_b]])
         self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(links)])
-        if self.as_text:
-            name_a, name_b = ([str(i) for i in x.tolist()] for x in ids)
-            bound_a, bound_b = [*group_a.tolist(), len(name_a)], [*group_b.tolist(), len(name_b)]
-            said = [",".join(name_a[bound_a[g]:bound_a[g + 1]]) + "|" + ",".join(name_b[bound_b[g]:bound_b[g + 1]]) for g in range(len(group_a))]
-            upto = np.concatenate([[0], np.cumsum(groups)]).tolist()
-            self.text += [";".join(said[x:y]).encode() for x, y in zip(upto, upto[1:])]
+        # a group's tokens of a, then those of b
+        n, size = [len(x) for x in ids], [len(side.bytes) for side in (self.a, self.b)]
+        first = [np.zeros(k, bool) for k in n]
+        first[0][group_a] = first[1][group_b] = True
+        of = [np.cumsum(f) - 1 for f in first]
+        said = np.empty(sum(n), np.int64)
+        said[np.arange(n[0]) + np.append(group_b, n[1])[of[0]]] = np.where(first[0], 0, size[0]) + ids[0]
+        said[np.arange(n[1]) + np.append(group_a, n[0])[of[1] + 1]] = 2 * size[0] + np.where(first[1], 0, size[1]) + ids[1]
+        parts, edge = self.said[said].tolist(), (firsts[0] + firsts[1]).tolist()
+        self.text += ["".join(parts[x:y]).encode() for x, y in zip(edge, edge[1:])]
 
     def stretches(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(stretch at each place, first place of each text) of consecutive texts;
@@ -221,39 +256,95 @@ class Aligner:
 _ALIGNERS: dict[tuple, Aligner] = {}
 
 
-def _aligner(file_a: str, file_b: str, as_text: bool) -> Aligner:
-    """Once per worker; the alignments of the other kind of pass go."""
+def _aligner(file_a: str, file_b: str) -> Aligner:
+    """Once per worker."""
     key = (file_a, file_b)
     if key not in _ALIGNERS:
-        _ALIGNERS[key] = Aligner(ByteLevelTokens(file_a), PieceTokens(file_b), as_text)
-    if _ALIGNERS[key].as_text != as_text:
-        _ALIGNERS[key].as_text = as_text
-        _ALIGNERS[key].clear()
+        _ALIGNERS[key] = Aligner(ByteLevelTokens(file_a), PieceTokens(file_b))
     return _ALIGNERS[key]
 
 
-def pair_counts(texts: DataFrame, file_a: str, file_b: str) -> DataFrame:
+def _said(aligner: Aligner, marks: list[int], x: int, y: int) -> bytes:
+    return b"".join([aligner.text[k] for k in marks[x:y]])[1:]
+
+
+def token_groups(docs: DataFrame, file_a: str, file_b: str, text_col: str = "text", groups_col: str = "groups") -> DataFrame:
+    """All columns of ``docs`` plus ``groups_col``: each text's groups as
+    ``a1,a2|b1;a3|b2`` (decimal ids of both sides in order). Null and empty
+    texts, and texts that one side does not give back, have the empty string."""
+
+    def compute(column):
+        aligner = _aligner(file_a, file_b)
+        for lo, hi, word, first in aligner.column(column):
+            lost, marks = aligner.sums(word, first)[:, 3] > 0, word.tolist()
+            yield lo, hi, [pa.array(["" if gone else _said(aligner, marks, x, y).decode()
+                                     for x, y, gone in zip(first[:-1].tolist(), first[1:].tolist(), lost.tolist())], pa.string())]
+
+    return with_results(docs, text_col, compute, [(groups_col, "string")])
+
+
+_PIECE = ["n_a", "n_b", "n_groups", "n_links", "sha"]
+
+
+def aligned_pieces(docs: DataFrame, file_a: str, file_b: str) -> DataFrame:
+    """One row per piece of texts, from (id, text): ids and what is known of each
+    text, and, packed, the different pairs of the piece, the links of its
+    different stretches (as places among the pairs), where each stretch's links
+    begin, the stretches at the texts' places, and where each text begins. Texts that
+    one side does not give back have no places."""
+    kind = docs.schema["id"].dataType.simpleString()
+
+    def run(batches):
+        for b in batches:
+            aligner = _aligner(file_a, file_b)
+            for lo, hi, word, first in aligner.column(b.column(1)):
+                sums = aligner.sums(word, first)
+                lost = sums[:, 3] > 0
+                sums[lost] = 0
+                marks = word.tolist()
+                said = [hashlib.sha256(_said(aligner, marks, x, y)).hexdigest() if y > x and not gone else ""
+                        for x, y, gone in zip(first[:-1].tolist(), first[1:].tolist(), lost.tolist())]
+                size = np.where(lost, 0, np.diff(first))
+                some, back = np.unique(word[np.repeat(~lost, np.diff(first))], return_inverse=True)
+                linked, place = aligner.links(some)
+                pairs, links = np.unique(linked, return_inverse=True)
+                packed = [pairs, links.astype(np.int32), np.searchsorted(place, np.arange(len(some) + 1)).astype(np.int32), back.astype(np.int32), np.concatenate([[0], np.cumsum(size)])]
+                lists = [b.column(0).slice(lo, hi - lo), *[pa.array(np.ascontiguousarray(sums[:, k])) for k in (0, 1, 2, 4)], pa.array(said, pa.string())]
+                ends = pa.array([0, hi - lo], pa.int32())
+                yield pa.RecordBatch.from_arrays([*[pa.ListArray.from_arrays(ends, x) for x in lists], *[pa.array([x.tobytes()], pa.binary()) for x in packed]],
+                                                 names=["ids", *_PIECE, "pairs", "links", "edges", "places", "firsts"])
+        for aligner in _ALIGNERS.values():
+            aligner.clear()
+        give_back()
+
+    schema = f"ids array<{kind}>, " + ", ".join(f"{c} array<{'string' if c == 'sha' else 'bigint'}>" for c in _PIECE)
+    return docs.select("id", "text").mapInArrow(run, schema + ", pairs binary, links binary, edges binary, places binary, firsts binary")
+
+
+def _unpacked(row: list) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_buffer(), kind) for x, kind in zip(row, (np.int64, np.int32, np.int32, np.int32, np.int64))]
+
+
+def pair_counts(pieces_of_texts: DataFrame) -> DataFrame:
     """(pair, n, best): how often each pair of ids is linked in all texts, and
     whether no other pair of its second id is linked more often."""
 
     def run(batches):
-        aligner = _aligner(file_a, file_b, False)
         held, size = [], 0
 
         def merged():
             pair, n = (np.concatenate(x) for x in zip(*held))
             uniq, back = np.unique(pair, return_inverse=True)
-            return uniq, np.bincount(back, n, len(uniq)).astype(np.int64)
+            order = np.argsort(back, kind="stable")
+            return uniq, np.add.reduceat(n[order], np.searchsorted(back[order], np.arange(len(uniq)))) if len(uniq) else n
 
         for b in batches:
-            for _, _, word, first in aligner.column(b.column(0)):
-                bad = np.diff(np.concatenate([[0], np.cumsum(aligner.sizes[word, 3])])[first]) > 0
-                times = np.bincount(word[np.repeat(~bad, np.diff(first))], minlength=len(aligner.sizes))
-                some = np.flatnonzero(times)
-                pair, place = aligner.links(some)
-                uniq, back = np.unique(pair, return_inverse=True)
-                held.append((uniq, np.bincount(back, times[some][place], len(uniq)).astype(np.int64)))
-                size += len(uniq)
+            for row in zip(*b.columns):
+                pairs, links, edges, places, _ = _unpacked(row)
+                times = np.bincount(places, minlength=len(edges) - 1)
+                n = np.bincount(links, np.repeat(times, np.diff(edges)), len(pairs)).astype(np.int64)       # of one piece: exact in a float
+                held.append((pairs, n))
+                size += len(pairs)
                 if size > HELD:
                     held = [merged()]
                     size = len(held[0][0])
@@ -263,27 +354,13 @@ def pair_counts(texts: DataFrame, file_a: str, file_b: str) -> DataFrame:
         if held:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in merged()], names=["pair", "n"])
 
-    pairs = written(texts.mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")), "pairs")
+    packed = pieces_of_texts.select("pairs", "links", "edges", "places", "firsts")
+    pairs = written(packed.mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")), "pairs")
     second = F.expr(f"pair % {WIDTH}L")
     most = pairs.groupBy(second.alias("second")).agg(F.max("n").alias("most"))       # one row an id
     return pairs.withColumn("second", second).join(most, "second").select("pair", "n", (F.col("n") == F.col("most")).alias("best"))
 
 
-def token_groups(docs: DataFrame, file_a: str, file_b: str, text_col: str = "text", groups_col: str = "groups") -> DataFrame:
-    """All columns of ``docs`` plus ``groups_col``: each text's groups as
-    ``a1,a2|b1;a3|b2`` (decimal ids of both sides in order). Null and empty
-    texts, and texts that one side does not give back, have the empty string."""
-
-    def compute(column):
-        aligner = _aligner(file_a, file_b, True)
-        for lo, hi, word, first in aligner.column(column):
-            lost, marks = aligner.sums(word, first)[:, 3] > 0, word.tolist()
-            yield lo, hi, [pa.array(["" if gone else b";".join([aligner.text[k] for k in marks[x:y]]).decode()
-                                     for x, y, gone in zip(first[:-1].tolist(), first[1:].tolist(), lost.tolist())], pa.string())]
-
-    return with_results(docs, text_col, compute, [(groups_col, "string")])
-
-
 def align_tokens(docs: DataFrame, file_a: str, file_b: str, id_col: str = "doc_id", text_col: str = "text", hot: float = HOT) -> DataFrame:
     """(id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256), one row for each row of ``docs``.
 
@@ -297,53 +374,49 @@ def align_tokens(docs: DataFrame, file_a: str, file_b: str, id_col: str = "doc_i
     rows and ids count each time and keep their rows; other columns are not
     looked at; an empty table gives an empty result."""
     spark = docs.sparkSession
-    texts = docs.select(F.col(text_col).alias("text"))
-    counts = written(pair_counts(texts, file_a, file_b), "pair-counts")
+    plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    made = written(aligned_pieces(plain, file_a, file_b), "pieces")
+    counts = written(pair_counts(made), "pair-counts")
     total = counts.agg(F.sum("n")).first()[0] or 0
     often = counts.filter(F.col("n") > hot * total).toArrow()       # fewer than 1 / hot rows
     order = np.argsort(np.asarray(often["pair"]))
     sent = spark.sparkContext.broadcast((np.asarray(often["pair"])[order], np.asarray(often["n"])[order], np.asarray(often["best"])[order]))
 
-    def compute(column):
-        aligner = _aligner(file_a, file_b, True)
-        pair, count, best = sent.value
-        for lo, hi, word, first in aligner.column(column):
-            sums = aligner.sums(word, first)
-            sums[sums[:, 3] > 0] = 0, 0, 0, 1, 0
-            lost = sums[:, 3] > 0
-            # once for each distinct stretch of the piece
-            some, back = np.unique(word, return_inverse=True)
-            linked, place = aligner.links(some)
-            at = np.minimum(np.searchsorted(pair, linked), max(0, len(pair) - 1))
-            known = pair[at] == linked if len(pair) else np.zeros(len(linked), bool)
-            each = [np.bincount(place[known], x[at[known]], len(some)).astype(np.int64) for x in (count, best)]
-            # counts may pass what a float holds exactly: added up as integers
-            exact = np.concatenate([[0], np.cumsum(np.where(known, count[at] if len(pair) else 0, 0))])
-            edge = np.searchsorted(place, np.arange(len(some) + 1))
-            each[0] = exact[edge[1:]] - exact[edge[:-1]]
-            totals = [np.where(lost, 0, np.diff(np.concatenate([[0], np.cumsum(x[back])])[first])) for x in each]
-            cold, cold_edge = linked[~known], np.searchsorted(place[~known], np.arange(len(some) + 1))
-            few = np.diff(cold_edge)
-            row = np.repeat(np.arange(hi - lo), np.diff(first))
-            use = np.flatnonzero((few[back] > 0) & ~lost[row])
-            size = few[back[use]]
-            to = np.concatenate([[0], np.cumsum(size)])
-            rest = cold[np.arange(to[-1]) + np.repeat(cold_edge[:-1][back[use]] - to[:-1], size)]
-            bounds = np.searchsorted(np.repeat(row[use], size), np.arange(hi - lo + 1))
-            marks = word.tolist()
-            said = [hashlib.sha256(b";".join([aligner.text[k] for k in marks[x:y]])).hexdigest() if y > x and not gone else ""
-                    for x, y, gone in zip(first[:-1].tolist(), first[1:].tolist(), lost.tolist())]
-            yield lo, hi, [*[pa.array(np.ascontiguousarray(sums[:, k])) for k in (0, 1, 2, 4)], *[pa.array(x) for x in totals], pa.array(said),
-                           pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(rest))]
-
-    new = ["n_a", "n_b", "n_groups", "n_links"]
-    plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = with_results(plain, "text", compute, [*[(c, "long") for c in [*new, "hot_sum", "hot_best"]], ("sha", "string"), ("cold", "array<long>")])
-    rows = written(rows.drop("text").withColumn("row", F.monotonically_increasing_id()), "aligned")
+    def run(batches):
+        known, count, best = sent.value
+        for b in batches:
+            for row in zip(*b.columns[len(_PIECE) + 1:], range(b.num_rows)):
+                pairs, links, edges, places, firsts = _unpacked(row[:-1])
+                at = np.minimum(np.searchsorted(known, pairs), max(0, len(known) - 1))
+                is_hot = known[at] == pairs if len(known) else np.zeros(len(pairs), bool)
+                totals = []
+                for x in (count, best):
+                    of_pair = np.where(is_hot, x[at], 0).astype(np.int64) if len(known) else np.zeros(len(pairs), np.int64)
+                    upto = np.concatenate([[0], np.cumsum(of_pair[links])])
+                    upto = np.concatenate([[0], np.cumsum((upto[edges[1:]] - upto[edges[:-1]])[places])])
+                    totals.append(upto[firsts[1:]] - upto[firsts[:-1]])
+                # links of the other pairs, text by text
+                cold = np.flatnonzero(~is_hot[links])
+                edge = np.searchsorted(cold, edges)
+                few = np.diff(edge)
+                use = np.flatnonzero(few[places] > 0)
+                size = few[places[use]]
+                to = np.concatenate([[0], np.cumsum(size)])
+                rest = pairs[links[cold[np.arange(to[-1]) + np.repeat(edge[places[use]] - to[:-1], size)]]] if len(use) else np.zeros(0, np.int64)
+                text = np.repeat(np.searchsorted(firsts, use, "right") - 1, size)
+                k, n = row[-1], len(firsts) - 1
+                own = [b.column(j).slice(k, 1).flatten() for j in range(len(_PIECE) + 1)]
+                yield pa.RecordBatch.from_arrays([*own, *[pa.array(x) for x in totals],
+                                                  pa.ListArray.from_arrays(pa.array(np.searchsorted(text, np.arange(n + 1)).astype(np.int32)), pa.array(rest))], names=names)
+
+    names = ["id", *_PIECE, "hot_sum", "hot_best", "cold"]
+    kinds = [plain.schema["id"].dataType.simpleString(), *["long"] * 4, "string", "long", "long", "array<long>"]
+    rows = made.mapInArrow(run, ", ".join(f"{c} {k}" for c, k in zip(names, kinds)))
+    rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "aligned")
     cold = rows.select("row", F.explode("cold").alias("pair")).groupBy("row", "pair").agg(F.count("*").alias("times"))
     met = cold.join(counts.filter(F.col("n") <= hot * total), "pair")
     rest = met.groupBy("row").agg(F.sum(F.col("n") * F.col("times")).alias("cold_sum"), F.sum(F.when(F.col("best"), F.col("times")).otherwise(0)).alias("cold_best"))
     zero = F.lit(0).cast("long")
     both = rows.join(rest, "row", "left")
     sums = [(F.col("hot_best") + F.coalesce("cold_best", zero)).alias("n_best"), (F.col("hot_sum") + F.coalesce("cold_sum", zero)).alias("count_sum"), F.col("sha").alias("groups_sha256")]
-    return both.select(F.col("id").alias(id_col), *new, *sums)
+    return both.select(F.col("id").alias(id_col), *_PIECE[:-1], *sums)
