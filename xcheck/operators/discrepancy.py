@@ -12,8 +12,9 @@ Scale plan (no all-pairs step anywhere):
 2. Table facts are reduced to the last fact per ``(entity, label)``: that is the
    only one that can win a tie, so the fan-out per document fact is bounded by
    the number of matching labels. Both reductions are partial aggregations.
-3. The best candidate per document fact is a ``max_by`` over
-   ``(similarity, table ix)``, again an aggregation, not a window sort.
+3. The best candidate per document fact is the last table fact among the most
+   similar ones: two hash aggregates over numbers, not a window sort. Labels and
+   texts are joined back to what is left.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..functions import text as T
+from ..session import materialize
 
 
 def label_similarity(doc_labels: DataFrame, db_labels: DataFrame,
@@ -49,45 +51,49 @@ def label_similarity(doc_labels: DataFrame, db_labels: DataFrame,
     return pairs.select("doc_label", "db_label", sim.alias("sim")).where(F.col("sim") >= threshold)
 
 
+def matched_numbers(doc_facts: DataFrame, db_facts: DataFrame, threshold: float = rules.MATCH_THRESHOLD) -> DataFrame:
+    """(entity_id, doc_ix, doc_value, db_ix, db_value, sim): the best table fact
+    of each document fact, by keys and numbers alone.
+
+    Candidates meet on ``(entity_id, token)``: a document fact only ever pairs
+    with the distinct labels of its own entity that share a token with it. They
+    are dealt once by document fact; counting shared tokens, taking the last of
+    equally similar facts and the most similar one are hash aggregates there."""
+    last = (db_facts.groupBy("entity_id", "label").agg(F.max("ix").alias("db_ix"), F.max_by("value", "ix").alias("db_value"))
+            .withColumn("bt", T.label_tokens("label")).withColumn("bn", F.size("bt")))
+    be = last.select("entity_id", "db_ix", "db_value", "bn", F.explode("bt").alias("tok"))
+    d = (doc_facts.select("entity_id", F.col("ix").alias("doc_ix"), F.col("value").alias("doc_value"), T.label_tokens("label").alias("dt"))
+         .withColumn("dn", F.size("dt")))
+    de = d.select("entity_id", "doc_ix", "doc_value", "dn", F.explode("dt").alias("tok"))
+    met = (de.join(be, ["entity_id", "tok"])
+           # |a ∩ b| / |a ∪ b| >= t needs min(|a|,|b|) >= t * max(|a|,|b|)
+           .where(F.least("dn", "bn") >= F.lit(threshold) * F.greatest("dn", "bn")).drop("tok").repartition("entity_id", "doc_ix"))
+    numbers = ["doc_value", "dn", "db_value", "bn"]
+    pairs = met.groupBy("entity_id", "doc_ix", "db_ix").agg(F.count(F.lit(1)).alias("inter"), *[F.first(c).alias(c) for c in numbers])
+    cand = pairs.withColumn("sim", F.col("inter") / (F.col("dn") + F.col("bn") - F.col("inter"))).where(F.col("sim") >= threshold)
+    last_of = (cand.groupBy("entity_id", "doc_ix", "sim")
+               .agg(F.max("db_ix").alias("db_ix"), F.max_by("db_value", "db_ix").alias("db_value"), F.first("doc_value").alias("doc_value")))
+    best = last_of.groupBy("entity_id", "doc_ix").agg(F.max("sim").alias("sim"), F.max_by("db_ix", "sim").alias("db_ix"),
+                                                      F.max_by("db_value", "sim").alias("db_value"), F.first("doc_value").alias("doc_value"))
+    return best.select("entity_id", "doc_ix", "doc_value", "db_ix", "db_value", "sim")
+
+
+def with_texts(matches: DataFrame, doc_facts: DataFrame, db_facts: DataFrame) -> DataFrame:
+    """Labels and texts of matched facts, by their numbers: doc_label, doc_raw, db_label, db_raw."""
+    ours = doc_facts.select("entity_id", F.col("ix").alias("doc_ix"), F.col("label").alias("doc_label"), F.col("raw_text").alias("doc_raw"))
+    theirs = db_facts.select("entity_id", F.col("ix").alias("db_ix"), F.col("label").alias("db_label"), F.col("raw_text").alias("db_raw"))
+    return matches.join(ours, ["entity_id", "doc_ix"]).join(theirs, ["entity_id", "db_ix"])
+
+
 def best_matches(doc_facts: DataFrame, db_facts: DataFrame,
                  threshold: float = rules.MATCH_THRESHOLD) -> DataFrame:
     """One best table fact per document fact (``label_match_join`` +
     ``best_match_per_fact``). Columns: entity_id, doc_ix, doc_label, doc_value,
-    doc_raw, db_ix, db_label, db_value, db_raw, sim.
-
-    Candidates meet on ``(entity_id, token)``: a document fact only ever pairs
-    with the distinct labels of its own entity that share a token with it.
-    """
-    last = (db_facts.groupBy("entity_id", "label")
-            .agg(F.max_by(F.struct("ix", "value", "raw_text"), F.col("ix")).alias("r"))
-            .select("entity_id", F.col("label").alias("db_label"),
-                    F.col("r.ix").alias("db_ix"), F.col("r.value").alias("db_value"),
-                    F.col("r.raw_text").alias("db_raw"))
-            .withColumn("bt", T.label_tokens("db_label"))
-            .withColumn("bn", F.size("bt")))
-    be = last.select("entity_id", "db_label", "db_ix", "db_value", "db_raw", "bn",
-                     F.explode("bt").alias("tok"))
-    d = (doc_facts.select("entity_id", F.col("ix").alias("doc_ix"), F.col("label").alias("doc_label"),
-                          F.col("value").alias("doc_value"), F.col("raw_text").alias("doc_raw"))
-         .withColumn("dt", T.label_tokens("doc_label"))
-         .withColumn("dn", F.size("dt")))
-    de = d.select("entity_id", "doc_ix", "doc_label", "doc_value", "doc_raw", "dn",
-                  F.explode("dt").alias("tok"))
-    doc_cols = ["doc_label", "doc_value", "doc_raw", "dn"]
-    db_cols = ["db_ix", "db_value", "db_raw", "bn"]
-    pairs = (de.join(be, ["entity_id", "tok"])
-             # |a ∩ b| / |a ∪ b| >= t needs min(|a|,|b|) >= t * max(|a|,|b|)
-             .where(F.least("dn", "bn") >= F.lit(threshold) * F.greatest("dn", "bn"))
-             .groupBy("entity_id", "doc_ix", "db_label")
-             .agg(F.count(F.lit(1)).alias("inter"),
-                  *[F.first(c).alias(c) for c in doc_cols + db_cols]))
-    sim = F.col("inter") / (F.col("dn") + F.col("bn") - F.col("inter"))
-    cand = pairs.withColumn("sim", sim).where(F.col("sim") >= threshold)
-    best = (cand.groupBy("entity_id", "doc_ix")
-            .agg(F.max_by(F.struct("doc_label", "doc_value", "doc_raw", "db_ix", "db_label",
-                                   "db_value", "db_raw", "sim"),
-                          F.struct("sim", "db_ix")).alias("b")))
-    return best.select("entity_id", "doc_ix", "b.*")
+    doc_raw, db_ix, db_label, db_value, db_raw, sim. Facts are found once and
+    written; a fact is named by (entity_id, ix)."""
+    doc, db = materialize(doc_facts, "doc-facts"), materialize(db_facts, "db-facts")
+    return with_texts(matched_numbers(doc, db, threshold), doc, db).select(
+        "entity_id", "doc_ix", "doc_label", "doc_value", "doc_raw", "db_ix", "db_label", "db_value", "db_raw", "sim")
 
 
 def score_pairs(pairs: DataFrame, lo: float = rules.DELTA_LOW, hi: float = rules.DELTA_HIGH,
@@ -109,8 +115,10 @@ def detect_discrepancies(doc_facts: DataFrame, db_facts: DataFrame,
                          match: float = rules.MATCH_THRESHOLD, lo: float = rules.DELTA_LOW,
                          hi: float = rules.DELTA_HIGH) -> DataFrame:
     """Flagged discrepancies: entity_id, doc_ix, label, doc_value, db_value,
-    delta, pct, doc_snippet, db_snippet."""
-    scored = score_pairs(best_matches(doc_facts, db_facts, match), lo, hi)
+    delta, pct, doc_snippet, db_snippet. Matching and scoring see keys and
+    numbers; labels and texts join the flagged pairs only."""
+    doc, db = materialize(doc_facts, "doc-facts"), materialize(db_facts, "db-facts")
+    scored = with_texts(score_pairs(matched_numbers(doc, db, match), lo, hi), doc, db)
     n = rules.SNIPPET_CHARS
     return scored.select(
         "entity_id", "doc_ix",
@@ -124,7 +132,7 @@ def detect_discrepancies(doc_facts: DataFrame, db_facts: DataFrame,
 def checked_pairs(doc_facts: DataFrame, db_facts: DataFrame,
                   match: float = rules.MATCH_THRESHOLD) -> DataFrame:
     """Per entity: how many document facts found a table partner."""
-    return (best_matches(doc_facts, db_facts, match)
+    return (matched_numbers(doc_facts, db_facts, match)
             .groupBy("entity_id").agg(F.count(F.lit(1)).alias("checked_pairs")))
 
 

@@ -18,28 +18,34 @@ LONG_SERIES = 24
 HORIZON = 12
 
 
-def trend_fit(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
+def trend_fit(df: DataFrame, by: list[str], x: str, y: str, scale: int = 2) -> DataFrame:
     """Least-squares line per group (slope, intercept, r2) and the quadratic
-    y = c0 + c1 x + c2 x^2 from the normal equations (power sums in one
-    aggregation, solved with Cramer's rule — no per-group Python)."""
+    y = c0 + c1 x + c2 x^2, in one aggregation and no per-group Python.
+
+    ``x`` is an integer (a period), ``y`` has ``scale`` decimals. The quadratic
+    comes from the normal equations: sums of powers as exact decimals, so that
+    their differences lose nothing, then solved in doubles. Null coefficients where
+    a group has fewer than three different ``x``."""
     X, Y = F.col(x).cast("double"), F.col(y).cast("double")
+    used = F.col(x).isNotNull() & F.col(y).isNotNull()
+    xi = F.when(used, F.col(x)).cast("decimal(9,0)")
+    yi = F.when(used, F.round(Y * 10 ** scale)).cast("decimal(18,0)")
+    exact = lambda c: F.sum(c.cast("decimal(28,0)"))
     s = df.groupBy(*by).agg(
-        F.regr_slope(Y, X).alias("slope"), F.regr_intercept(Y, X).alias("intercept"), F.regr_r2(Y, X).alias("r2"),
-        F.count(Y).alias("n"), F.sum(X).alias("s1"), F.sum(X * X).alias("s2"), F.sum(X * X * X).alias("s3"),
-        F.sum(X * X * X * X).alias("s4"), F.sum(Y).alias("t0"), F.sum(X * Y).alias("t1"), F.sum(X * X * Y).alias("t2"))
-    c = {k: F.col(k) for k in ["n", "s1", "s2", "s3", "s4", "t0", "t1", "t2"]}
-
-    def det3(a, b, cc, d, e, f, g, h, i):
-        return a * (e * i - f * h) - b * (d * i - f * g) + cc * (d * h - e * g)
-
-    n, s1, s2, s3, s4, t0, t1, t2 = (c[k] for k in ["n", "s1", "s2", "s3", "s4", "t0", "t1", "t2"])
-    D = det3(n, s1, s2, s1, s2, s3, s2, s3, s4)
-    q0 = det3(t0, s1, s2, t1, s2, s3, t2, s3, s4) / D
-    q1 = det3(n, t0, s2, s1, t1, s3, s2, t2, s4) / D
-    q2 = det3(n, s1, t0, s1, s2, t1, s2, s3, t2) / D
-    ok = F.abs(D) > 1e-9
-    return s.select(*by, "n", "slope", "intercept", "r2", F.when(ok, q0).alias("quad_c0"),
-                    F.when(ok, q1).alias("quad_c1"), F.when(ok, q2).alias("quad_c2"))
+        F.regr_slope(Y, X).alias("slope"), F.regr_intercept(Y, X).alias("intercept"), F.regr_r2(Y, X).alias("r2"), F.count_if(used).alias("n"),
+        exact(xi).alias("s1"), exact(xi * xi).alias("s2"), exact(xi * xi * xi).alias("s3"), exact(xi * xi * xi * xi).alias("s4"),
+        exact(yi).alias("t0"), exact(xi * yi).alias("t1"), exact(xi * xi * yi).alias("t2"))
+    n, s1, s2, s3, s4, t0, t1, t2 = (F.col(k).cast("decimal(38,0)") for k in ["n", "s1", "s2", "s3", "s4", "t0", "t1", "t2"])
+    # sums about the mean, times n: differences of exact products
+    moments = {"a": n * s2 - s1 * s1, "b": n * s3 - s1 * s2, "c": n * s4 - s2 * s2, "d": n * t1 - s1 * t0, "e": n * t2 - s2 * t0}
+    s = s.select("*", *[v.cast("double").alias(f"_{k}") for k, v in moments.items()])
+    a, b, c, d, e = (F.col(f"_{k}") for k in "abcde")
+    unit = float(10 ** scale)
+    ok = (a * c - b * b) > 0
+    s = s.withColumn("_q2", F.when(ok, (e * a - d * b) / (a * c - b * b)))
+    s = s.withColumn("_q1", (d - b * F.col("_q2")) / a)
+    q0 = (t0.cast("double") - s1.cast("double") * F.col("_q1") - s2.cast("double") * F.col("_q2")) / F.col("n")
+    return s.select(*by, "n", "slope", "intercept", "r2", (q0 / unit).alias("quad_c0"), (F.col("_q1") / unit).alias("quad_c1"), (F.col("_q2") / unit).alias("quad_c2"))
 
 
 def forecast_linear(df: DataFrame, by: list[str], x: str, y: str, horizon: int = HORIZON) -> DataFrame:

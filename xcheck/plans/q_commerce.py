@@ -229,22 +229,39 @@ def sync_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("incremental_sync", oracle=f"""
 WITH so AS ({_SQL_SHOP}),
-  cur AS (SELECT connection_id, max(o_orderdate) AS cursor FROM so WHERE o_orderdate < TIMESTAMP '1997-01-01' GROUP BY ALL),
-  pulled AS (SELECT so.connection_id, o_orderdate FROM so JOIN cur USING (connection_id) WHERE o_orderdate > cursor)
-SELECT connection_id, 'orders' AS feed, count(*) AS pulled, strftime(max(o_orderdate), '%Y-%m-%d %H:%M:%S') AS new_cursor
-FROM pulled GROUP BY ALL""")
+  a AS (SELECT connection_id, o_orderkey, o_orderdate, n_regionkey = 4 AS broken,
+               o_orderdate + CASE WHEN o_orderpriority = '5-LOW' THEN INTERVAL 20 DAYS ELSE INTERVAL 0 DAYS END AS arrives
+        FROM so JOIN nation ON connection_id = 'shop-' || n_nationkey),
+  one AS (SELECT connection_id, count(*) AS first_pull, max(o_orderdate) AS cursor FROM a WHERE arrives < TIMESTAMP '1997-01-01' GROUP BY ALL),
+  two AS (SELECT a.*, cursor FROM a LEFT JOIN one USING (connection_id) WHERE NOT broken AND (cursor IS NULL OR o_orderdate >= cursor - INTERVAL 30 DAYS)),
+  kept AS (SELECT connection_id, count(DISTINCT o_orderkey) AS stored FROM (SELECT connection_id, o_orderkey FROM a WHERE arrives < TIMESTAMP '1997-01-01'
+           UNION ALL SELECT connection_id, o_orderkey FROM two) GROUP BY ALL),
+  again AS (SELECT connection_id, count(*) AS second_pull, max(o_orderdate) AS newest FROM two GROUP BY ALL),
+  who AS (SELECT DISTINCT connection_id, broken FROM a)
+SELECT connection_id, 'orders' AS feed, coalesce(first_pull, 0) AS first_pull, coalesce(second_pull, 0) AS second_pull, coalesce(stored, 0) AS stored,
+       strftime(greatest(cursor, newest), '%Y-%m-%d %H:%M:%S') AS cursor, CASE WHEN broken THEN 'error' ELSE 'idle' END AS state
+FROM who LEFT JOIN one USING (connection_id) LEFT JOIN again USING (connection_id) LEFT JOIN kept USING (connection_id)""")
 def incremental_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cursor per (connection, feed): the previous sync saw orders before 1997;
-    this pull takes rows strictly newer than each connection's cursor and
-    advances it to the newest row pulled."""
-    n = _norm_shopify(Tables(spark, sf_dir))
-    cursor = (n.where(F.col("order_date") < F.lit("1997-01-01").cast("timestamp"))
-              .groupBy("connection_id").agg(F.max("order_date").alias("cursor"))
-              .withColumn("feed", F.lit("orders")))
-    pulled = n.join(cursor, "connection_id").where(F.col("order_date") > F.col("cursor"))
-    return (pulled.groupBy("connection_id", "feed")
-            .agg(F.count(F.lit(1)).alias("pulled"),
-                 F.date_format(F.max("order_date"), "yyyy-MM-dd HH:mm:ss").alias("new_cursor")))
+    """Two runs of every shop's order feed. Orders of low priority arrive 20 days
+    after their date: those that the first run (1997-01-01) could not see yet lie
+    before its cursor, and the second run's overlap of 30 days still pulls them.
+    The shops of one region cannot be read in the second run."""
+    from ..operators import sync as SY
+    from ..streaming.core import scratch
+    t = Tables(spark, sf_dir)
+    low = t.orders.select(F.col("o_orderkey").cast("string").alias("marketplace_order_id"), (F.col("o_orderpriority") == "5-LOW").alias("late"))
+    feed = _norm_shopify(t).select("connection_id", "marketplace_order_id", "status", "total_amount", "order_date").withColumn("feed", F.lit("orders"))
+    feed = feed.join(low, "marketplace_order_id").withColumn("arrives", F.col("order_date") + F.when(F.col("late"), F.expr("INTERVAL 20 DAYS")).otherwise(F.expr("INTERVAL 0 DAYS")))
+    broken = t.nation.where("n_regionkey = 4").select(F.concat(F.lit("shop-"), "n_nationkey").alias("connection_id"), F.lit("orders").alias("feed"), F.lit("connection refused").alias("message"))
+    broken = broken.join(feed.select("connection_id").distinct(), "connection_id", "left_semi")
+    folder = scratch(spark, "sync")
+    SY.sync_run(feed.where("arrives < timestamp'1997-01-01'"), folder, 1, "order_date", 30 * 24)
+    first = spark.read.parquet(f"{folder}/rows").where("run = 1").groupBy("connection_id").agg(F.count(F.lit(1)).alias("first_pull"))
+    second = SY.sync_run(feed, folder, 2, "order_date", 30 * 24, broken)
+    kept = SY.stored_rows(spark, folder, ["connection_id", "marketplace_order_id"]).groupBy("connection_id").agg(F.count(F.lit(1)).alias("stored"))
+    out = second.join(first, "connection_id", "left").join(kept, "connection_id", "left")
+    return out.select("connection_id", "feed", F.coalesce("first_pull", F.lit(0)).cast("long").alias("first_pull"), F.col("pulled").cast("long").alias("second_pull"),
+                      F.coalesce("stored", F.lit(0)).cast("long").alias("stored"), F.date_format("cursor", "yyyy-MM-dd HH:mm:ss").alias("cursor"), "state")
 
 
 @query("sync_window", oracle=f"""

@@ -24,13 +24,22 @@ _SQL_MONTHLY = """
          FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL)"""
 
 
-@query("trend_fit", oracle=f"""WITH {_SQL_MONTHLY}
-SELECT c_nationkey, count(*) AS n, round(regr_slope(revenue, mi), 4) AS slope, round(regr_intercept(revenue, mi), 2) AS intercept,
-       round(regr_r2(revenue, mi), 6) AS r2 FROM mo GROUP BY c_nationkey""")
+@query("trend_fit", oracle=f"""WITH {_SQL_MONTHLY},
+  p AS (SELECT c_nationkey, mi, revenue, CAST(mi AS HUGEINT) AS x, CAST(round(revenue * 100) AS HUGEINT) AS y FROM mo),
+  s AS (SELECT c_nationkey, count(*) AS n, regr_slope(revenue, mi) AS slope, regr_intercept(revenue, mi) AS intercept, regr_r2(revenue, mi) AS r2,
+               sum(x) AS s1, sum(x * x) AS s2, sum(x * x * x) AS s3, sum(x * x * x * x) AS s4, sum(y) AS t0, sum(x * y) AS t1, sum(x * x * y) AS t2
+        FROM p GROUP BY c_nationkey),
+  m AS (SELECT *, CAST(n * s2 - s1 * s1 AS DOUBLE) AS a, CAST(n * s3 - s1 * s2 AS DOUBLE) AS b, CAST(n * s4 - s2 * s2 AS DOUBLE) AS c,
+               CAST(n * t1 - s1 * t0 AS DOUBLE) AS d, CAST(n * t2 - s2 * t0 AS DOUBLE) AS e FROM s),
+  q AS (SELECT *, CASE WHEN a * c - b * b > 0 THEN (e * a - d * b) / (a * c - b * b) END AS q2 FROM m),
+  r AS (SELECT *, (d - b * q2) / a AS q1 FROM q)
+SELECT c_nationkey, n, round(slope, 4) AS slope, round(intercept, 2) AS intercept, round(r2, 6) AS r2,
+       round((CAST(t0 AS DOUBLE) - CAST(s1 AS DOUBLE) * q1 - CAST(s2 AS DOUBLE) * q2) / n / 100, 2) AS quad_c0,
+       round(q1 / 100, 3) AS quad_c1, round(q2 / 100, 4) AS quad_c2 FROM r""")
 def trend_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = M.trend_fit(monthly(Tables(spark, sf_dir)), ["c_nationkey"], "mi", "revenue")
-    return f.select("c_nationkey", "n", F.round("slope", 4).alias("slope"), F.round("intercept", 2).alias("intercept"),
-                    F.round("r2", 6).alias("r2"))
+    return f.select("c_nationkey", "n", F.round("slope", 4).alias("slope"), F.round("intercept", 2).alias("intercept"), F.round("r2", 6).alias("r2"),
+                    F.round("quad_c0", 2).alias("quad_c0"), F.round("quad_c1", 3).alias("quad_c1"), F.round("quad_c2", 4).alias("quad_c2"))
 
 
 @query("forecast_linear", oracle=f"""WITH {_SQL_MONTHLY},
