@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..session import Tables, checkpoint_dir
+from ..session import Tables, checkpoint_dir, materialize
 from ..sources import csvio as CV
 from .registry import query
 
@@ -24,8 +24,16 @@ def _q(c):
     return F.concat(F.lit('"'), F.regexp_replace(c, '"', '""'), F.lit('"'))
 
 
-def write_region_csvs(spark: SparkSession, sf_dir: str) -> str:
+LATER_HEADER = ["Customer", "Segment", "Account Balance", "Loyalty Tier"]
+
+
+def write_region_csvs(spark: SparkSession, sf_dir: str, later: bool = False) -> str:
+    """``later``: the export of a later date, without nation keys, with a loyalty
+    tier, and with balances in words of money."""
     t = Tables(spark, sf_dir)
+    header = LATER_HEADER if later else HEADER
+    balance = F.format_string("EUR %.2f", "c_acctbal") if later else F.format_string("%.2f", "c_acctbal")
+    last_cell = F.concat(F.lit("tier "), F.col("c_nationkey")) if later else F.col("c_nationkey").cast("string")
     nat = t.nation.select("n_nationkey", "n_name", "n_regionkey")
     nat = nat.withColumn("sec", F.row_number().over(Window.partitionBy("n_regionkey").orderBy("n_nationkey")))
     last = (t.customer.agg(F.max("c_custkey")).first()[0] or 0) // SLICE
@@ -33,11 +41,11 @@ def write_region_csvs(spark: SparkSession, sf_dir: str) -> str:
     place = [F.col("n_regionkey").alias("region"), F.col("slice").cast("int").alias("slice"), "sec"]
     title = sections.select(*place, F.lit(0).alias("kind"), F.lit(0).cast("long").alias("k"),
                             F.concat(F.lit("TABLE "), F.col("sec").cast("string"), F.lit(": "), F.col("n_name")).alias("value"))
-    head = sections.select(*place, F.lit(1).alias("kind"), F.lit(0).cast("long").alias("k"), F.lit(",".join(HEADER)).alias("value"))
+    head = sections.select(*place, F.lit(1).alias("kind"), F.lit(0).cast("long").alias("k"), F.lit(",".join(header)).alias("value"))
     data = (t.customer.join(nat, F.col("c_nationkey") == F.col("n_nationkey")).withColumn("slice", F.floor(F.col("c_custkey") / SLICE))
             .select(*place, F.lit(2).alias("kind"), F.col("c_custkey").cast("long").alias("k"),
                     F.concat_ws(",", _q(F.col("c_name")), _q(F.col("c_mktsegment")),
-                                F.format_string("%.2f", "c_acctbal"), F.col("c_nationkey").cast("string")).alias("value")))
+                                balance, last_cell).alias("value")))
     lines = title.unionByName(head).unionByName(data)
     path = f"{checkpoint_dir(spark).rstrip('/')}/xcheck-csv/{uuid.uuid4().hex}"
     (lines.repartition("region", "slice").sortWithinPartitions("region", "slice", "sec", "kind", "k")
@@ -50,8 +58,8 @@ def _placed(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.regexp_extract("file", rf"{c}=(\d+)", 1).cast("int") for c in ("region", "slice")})
 
 
-def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = write_region_csvs(spark, sf_dir)
+def _raw(spark: SparkSession, sf_dir: str, later: bool = False) -> DataFrame:
+    path = write_region_csvs(spark, sf_dir, later)
     return _placed(CV.read_csv_loose(spark, path + "/region=*/slice=*/*.txt"))
 
 
@@ -107,3 +115,23 @@ def section_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = _raw(spark, sf_dir)
     m = CV.section_manifest(CV.csv_sections(raw))
     return _placed(m).select("region", "slice", "manifest")
+
+
+@query("schema_drift", oracle=f"""WITH {_SQL_SECTIONS},
+  d AS (SELECT unnest([{{'c': 'account_balance', 'change': 'retyped', 'o': 'double', 'n': 'text'}}, {{'c': 'loyalty_tier', 'change': 'added', 'o': NULL, 'n': 'text'}},
+                       {{'c': 'nation_key', 'change': 'removed', 'o': 'double', 'n': NULL}}]) AS x)
+SELECT n_regionkey AS region, slice, 'TABLE ' || sec || ': ' || n_name AS table_name, x.c AS column_name,
+       CASE WHEN c = 0 AND x.o IS NOT NULL THEN 'text' ELSE x.o END AS old_type, x.n AS new_type, x.change AS change
+FROM pos, d WHERE NOT (c = 0 AND x.change = 'retyped')""")
+def schema_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns added, removed and retyped between the sections of two dates' exports."""
+    from ..operators import sqlgate as G
+
+    def inventory(later: bool) -> DataFrame:
+        raw = materialize(_raw(spark, sf_dir, later), "csv-rows")
+        cols = _placed(CV.section_inventory(raw, CV.csv_sections(raw)))
+        return cols.withColumn("connection_id", F.concat_ws("-", "region", "slice"))
+
+    found = G.schema_drift(inventory(False), inventory(True))
+    place = F.split("connection_id", "-")
+    return found.select(place[0].cast("int").alias("region"), place[1].cast("int").alias("slice"), "table_name", "column_name", "old_type", "new_type", "change")

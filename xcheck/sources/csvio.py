@@ -301,6 +301,26 @@ def load_section(raw: DataFrame, sections: DataFrame, file: str, index: int) ->
     return numeric_if_majority(t, [c for _, c in keep]).orderBy("row_ix").drop("row_ix")
 
 
+INVENTORY_BLOCK = 4096      # rows that share a block key when rows meet their section
+
+
+def section_inventory(raw: DataFrame, sections: DataFrame) -> DataFrame:
+    """(file, table_name, ordinal, column_name, data_type) of every section's
+    columns: ``double`` where more than half of the non-blank cells are numbers
+    (after removing ``, $ %``), else ``text``. Rows meet their section by blocks
+    of row numbers; a column without a cell is ``text``."""
+    block = F.floor(F.col("row_ix") / INVENTORY_BLOCK)
+    spans = sections.select("file", "index", F.col("name").alias("table_name"), "columns", "data_start_idx", "data_end_idx")
+    used = spans.where(F.col("data_end_idx") > F.col("data_start_idx")).select("file", "index", "data_start_idx", "data_end_idx", F.explode(
+        F.sequence(F.floor(F.col("data_start_idx") / INVENTORY_BLOCK), F.floor((F.col("data_end_idx") - 1) / INVENTORY_BLOCK))).alias("_b"))
+    rows = raw.select("file", "row_ix", "cells", block.alias("_b")).join(used, ["file", "_b"]).where("row_ix >= data_start_idx and row_ix < data_end_idx")
+    cells = rows.select("file", "index", F.posexplode("cells").alias("pos", "cell")).where(F.col("cell").isNotNull())
+    kinds = cells.groupBy("file", "index", "pos").agg((F.count_if(_is_numeric(strip_ws(F.col("cell")))) > F.count(F.lit(1)) * 0.5).alias("number"))
+    cols = spans.select("file", "index", "table_name", F.posexplode("columns").alias("pos", "column_name")).where("column_name <> ''")
+    return cols.join(kinds, ["file", "index", "pos"], "left").select(
+        "file", "table_name", F.col("pos").alias("ordinal"), "column_name", F.when(F.col("number"), "double").otherwise("text").alias("data_type"))
+
+
 def section_manifest(sections: DataFrame) -> DataFrame:
     """Text manifest per file (bounded: at most 2500 characters; only the first
     sections that fit are gathered)."""
