@@ -70,7 +70,7 @@ def semantic_breaks(sentences: DataFrame, doc: str, order: str, vec: str = "unit
         thr = d.groupBy(doc).agg(F.percentile_approx("dist", pct, 100_000).alias("thr"))
     else:
         thr = quantiles(d.select(doc, "dist"), [doc], "dist", [pct]).select(doc, F.col("q")[0].alias("thr"))
-    j = d.join(thr, doc).withColumn("brk", (F.col("dist") > F.col("thr")).cast("int"))
+    j = d.join(thr, doc, "left").withColumn("brk", (F.col("dist") > F.col("thr")).cast("int"))
     prev = F.coalesce(F.sum("brk").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return j.withColumn("chunk_id", prev).drop("brk")
 

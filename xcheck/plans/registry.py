@@ -53,5 +53,5 @@ def load_all() -> None:
     """Import every plan module so their ``@query`` decorators run."""
     from . import (  # noqa: F401
         q_audit, q_commerce, q_convo, q_csv, q_discrepancy, q_docs, q_functions, q_misc, q_model,
-        q_pii, q_profile, q_relational, q_retrieval, q_sources, q_streaming,
+        q_pii, q_profile, q_records, q_relational, q_retrieval, q_sources, q_streaming,
     )
