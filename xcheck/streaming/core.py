@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..session import checkpoint_dir, fs_is_dir, fs_list
+from ..session import checkpoint_dir, fs_is_dir
 
 # FIXED VALUES — endpoint weights for budgets (default 1)
 ENDPOINT_WEIGHTS = {"chat": 1, "hybrid": 2, "sandbox": 2, "autopilot": 5}
@@ -288,50 +288,39 @@ def budget_reference(weights: list[float], cap: float) -> list[bool]:
 
 
 # ---------------------------------------------------------------------------
-# Streaming upsert into a versioned Parquet table
+# Streaming upsert: appended batches, newest row per key on read
 # ---------------------------------------------------------------------------
 
-def committed_versions(spark: SparkSession, table: str) -> list[str]:
-    """Names of the committed versions of a versioned table, oldest first."""
-    return sorted(v for v in fs_list(spark, table) if v.startswith("v") and "_SUCCESS" in fs_list(spark, f"{table}/{v}"))
+BUCKETS = 16            # folders of a table by key hash
 
 
-def latest_version(spark: SparkSession, table: str):
-    """Path of the newest committed version of a versioned table (or None)."""
-    vs = committed_versions(spark, table)
-    return f"{table}/{vs[-1]}" if vs else None
+def upserted(spark: SparkSession, table: str, keys: list[str]) -> DataFrame:
+    """The newest row of every key, by batch number (``updated_at``)."""
+    rows = spark.read.parquet(f"{table}/rows").drop("bucket", "batch")
+    others = [c for c in rows.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*others), "updated_at").alias("_r")).select(*keys, "_r.*")
 
 
-def stream_upsert(feed: DataFrame, table: str, keys: list[str], order_col: str, what: str = "upsert"):
-    """Each micro-batch is upserted into ``table``: rows of the batch replace
-    rows with the same key (latest ``order_col`` inside the batch wins) and a
-    new version ``v<number>-<what>-e<epoch>`` is written, one above the newest.
+def stream_upsert(feed: DataFrame, table: str, keys: list[str], order_col: str, what: str = "upsert") -> DataFrame:
+    """Each micro-batch is appended to ``table`` as its newest row per key (latest
+    ``order_col``), in folders by key hash; ``updated_at`` is the number of the
+    batch. Readers take the newest row per key (``upserted``): a batch writes what
+    it brings, never the whole table.
 
-    The checkpoint lies beside the versions (``_checkpoint/<what>``), so a later
-    call goes on where the last one ended. The name of a version records its
-    epoch: an epoch that is already committed is skipped, and one that was cut
-    off is written again under the same name. Readers take the newest committed
-    version; a version is never read while it is written."""
-    from ..operators.commerce import upsert
+    The checkpoint lies beside the rows (``_checkpoint/<what>``), so a later call
+    goes on where the last one ended. A batch that was cut off is written again
+    into the same folder, so it counts once."""
     spark = feed.sparkSession
 
     def apply(batch: DataFrame, epoch: int) -> None:
-        done = committed_versions(spark, table)
-        if any(v.endswith(f"-{what}-e{epoch}") for v in done):
-            return
-        cols = [c for c in batch.columns if c != order_col]
-        if not done:
-            first = batch.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in cols if c not in keys]), F.col(order_col)).alias("_r"))
-            out = first.select(*keys, "_r.*").withColumn("updated_at", F.lit(epoch).cast("long"))
-        else:
-            target = spark.read.parquet(f"{table}/{done[-1]}")
-            out = upsert(target, batch, keys, order_col=order_col, now=F.lit(epoch).cast("long"))
-        number = int(done[-1][1:].split("-")[0]) + 1 if done else 0
-        out.write.mode("overwrite").parquet(f"{table}/v{number:012d}-{what}-e{epoch}")
+        others = [c for c in batch.columns if c not in (*keys, order_col)]
+        newest = batch.groupBy(*keys).agg(F.max_by(F.struct(*others), F.col(order_col)).alias("_r")).select(*keys, "_r.*")
+        (newest.withColumn("updated_at", F.lit(epoch).cast("long")).withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)))
+         .write.mode("overwrite").partitionBy("bucket").parquet(f"{table}/rows/batch={what}-{epoch}"))
 
     q = (feed.writeStream.foreachBatch(apply).option("checkpointLocation", f"{table}/_checkpoint/{what}")
          .trigger(availableNow=True).start())
     q.awaitTermination()
     if q.exception():
         raise q.exception()
-    return spark.read.parquet(latest_version(spark, table))
+    return upserted(spark, table, keys)
