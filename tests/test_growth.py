@@ -53,3 +53,20 @@ def test_daily_budget_takes_a_cell_of_users_at_once():
             assert mine["allowed"].tolist() == ([True, True] if batch == 0 else [True, False])
             assert mine["used"].tolist() == ([3.0, 6.0] if batch == 0 else [9.0, 9.0])
     assert dict(zip(*state.get)) == {"a": 9.0, "b": 9.0}
+
+
+def test_lsh_gives_the_pairs_of_the_row_join_without_candidate_rows(spark, plan):
+    from pyspark.ml.feature import BucketedRandomProjectionLSH
+    from pyspark.ml.functions import array_to_vector
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(120, 6))
+    x[60:] = x[:60] + rng.normal(scale=0.2, size=(60, 6))
+    rows = [(i, x[i].tolist()) for i in range(120)] + [(5, x[5].tolist())]          # one row twice
+    df = R.with_unit(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = R.lsh_neighbors(df, 0.4, bucket_length=0.5)
+    assert " Join " not in plan(got)
+    v = df.select("vec_id", array_to_vector("unit").alias("f"))
+    m = BucketedRandomProjectionLSH(inputCol="f", outputCol="hashes", bucketLength=0.5, numHashTables=3, seed=7).fit(v)
+    want = m.approxSimilarityJoin(v, v, 0.4, distCol="dist").select(F.col("datasetA.vec_id").alias("a"), F.col("datasetB.vec_id").alias("b"), "dist").where("a < b")
+    want = sorted(tuple(r) for r in want.collect())
+    assert want and sorted(tuple(r) for r in got.collect()) == want

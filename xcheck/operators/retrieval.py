@@ -182,12 +182,62 @@ def lsh_neighbors(vectors: DataFrame, threshold: float, id_col: str = "vec_id",
                   bucket_length: float = 1.0, num_tables: int = 3, seed: int = 7) -> DataFrame:
     """Approximate near-duplicate pairs (Euclidean distance on unit vectors,
     i.e. cosine >= 1 - d^2/2) with MLlib's bucketed random projection LSH:
-    candidates share a hash bucket, so the join never forms all pairs."""
+    candidates share a hash bucket in one table at least.
+
+    Buckets may hold a large part of all vectors, so candidates are never rows.
+    Vectors are dealt into blocks, each pair of blocks meets once, and a matrix
+    product finds its close pairs; those in a common bucket stay, with the distance
+    that MLlib computes. Memory is bounded by a block and a product of ``_STEP``
+    rows; the products are quadratic in the number of vectors."""
     from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-    v = vectors.select(id_col, array_to_vector(vec).alias("features"))
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    v = vectors.select(id_col, F.col(vec).alias("_v")).distinct().select(id_col, "_v", array_to_vector("_v").alias("features"))
     model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=bucket_length,
                                         numHashTables=num_tables, seed=seed).fit(v)
-    pairs = model.approxSimilarityJoin(v, v, threshold, distCol="dist")
-    return (pairs.select(F.col(f"datasetA.{id_col}").alias("a"), F.col(f"datasetB.{id_col}").alias("b"), "dist")
-            .where(F.col("a") < F.col("b")))
+    hashed = model.transform(v).select(F.col(id_col).alias("id"), F.col("_v").alias("v"), F.array(
+        *[vector_to_array(F.col("hashes")[i])[0] for i in range(num_tables)]).alias("h"))
+    blocks = max(_LSH_BLOCKS, -(-hashed.count() // _LSH_BLOCK))
+    own = hashed.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    meets = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda x: F.struct(F.least(x, "block").alias("p"), F.greatest(x, "block").alias("q")))
+    kind = hashed.schema["id"].dataType.simpleString()
+    dealt = own.select("*", F.inline(meets)).repartition(blocks * (blocks + 1) // 2, "p", "q")
+    return dealt.groupBy("p", "q").applyInPandas(_close_pairs(threshold), f"a {kind}, b {kind}, dist double")
+
+
+_LSH_BLOCKS = 8             # at least so many blocks, for 36 tasks
+_LSH_BLOCK = 40_000         # vectors of a block, about
+
+
+def _close_pairs(threshold: float):
+    """Pairs of the vectors of two blocks (or inside one) in a common bucket and nearer than ``threshold``."""
+    limit = threshold * threshold + 1e-6        # the product's rounding is far below; the distance itself decides
+
+    def pairs(frame: pd.DataFrame) -> pd.DataFrame:
+        p, q = int(frame["p"].iloc[0]), int(frame["q"].iloc[0])
+        sides = []
+        for block in (p, q):
+            part = frame[frame["block"] == block]
+            sides.append((part["id"].to_numpy(), np.array(part["v"].tolist(), dtype="f8"), np.array(part["h"].tolist(), dtype="f8")))
+        (ids_a, va, ha), (ids_b, vb, hb) = sides
+        found = [(ids_a[:0], ids_a[:0], np.empty(0))]
+        if len(ids_a) and len(ids_b):
+            na, nb = (va * va).sum(1), (vb * vb).sum(1)
+            for i in range(0, len(ids_a), _STEP):
+                for j in range(0, len(ids_b), _STEP):
+                    near = na[i:i + _STEP, None] + nb[None, j:j + _STEP] - 2.0 * (va[i:i + _STEP] @ vb[j:j + _STEP].T)
+                    x, y = np.nonzero(near < limit)
+                    x, y = x + i, y + j
+                    keep = (ha[x] == hb[y]).any(1) & (ids_a[x] != ids_b[y])
+                    if p == q:
+                        keep &= ids_a[x] < ids_b[y]
+                    x, y = x[keep], y[keep]
+                    square = np.zeros(len(x))
+                    for k in range(va.shape[1]):        # in MLlib's order of summing
+                        square += (va[x, k] - vb[y, k]) ** 2
+                    dist = np.sqrt(square)
+                    keep = dist < threshold
+                    a, b = ids_a[x[keep]], ids_b[y[keep]]
+                    found.append((np.where(a < b, a, b), np.where(a < b, b, a), dist[keep]))
+        a, b, dist = (np.concatenate(c) for c in zip(*found))
+        return pd.DataFrame({"a": a, "b": b, "dist": dist})
+    return pairs
