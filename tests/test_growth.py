@@ -70,3 +70,12 @@ def test_lsh_gives_the_pairs_of_the_row_join_without_candidate_rows(spark, plan)
     want = m.approxSimilarityJoin(v, v, 0.4, distCol="dist").select(F.col("datasetA.vec_id").alias("a"), F.col("datasetB.vec_id").alias("b"), "dist").where("a < b")
     want = sorted(tuple(r) for r in want.collect())
     assert want and sorted(tuple(r) for r in got.collect()) == want
+
+
+def test_semantic_chunks_leave_the_vectors_behind(spark, plan):
+    docs = spark.createDataFrame([(1, "One a. Two b. Three c.", "financial"), (2, "Four d. Five e.", "financial")], "doc_id long, text string, doc_type string")
+    vectors = spark.createDataFrame([(1, 0, [1.0, 0.0]), (1, 1, [1.0, 0.0]), (1, 2, [0.0, 1.0]), (2, 0, [1.0, 0.0])], "doc_id long, ix int, unit array<double>")
+    out = RC.chunk_semantic(docs, vectors)
+    assert "unit#" not in plan(out)
+    got = {(r["doc_id"], r["chunk_ix"]): (r["chunk"], r["method"]) for r in out.collect()}
+    assert got == {(1, 0): ("One a. Two b.", "semantic"), (1, 1): ("Three c.", "semantic"), (2, 0): ("Four d. Five e.", "length")}

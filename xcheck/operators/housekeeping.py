@@ -62,10 +62,19 @@ def semantic_breaks(sentences: DataFrame, doc: str, order: str, vec: str = "unit
     """Distance to the next sentence (1 - cosine of unit vectors); a chunk ends
     where that distance is above the document's ``pct`` percentile (linear
     interpolation); chunk id = breaks so far."""
+    return breaks_at(neighbour_distances(sentences, doc, order, vec), doc, order, pct, approx)
+
+
+def neighbour_distances(sentences: DataFrame, doc: str, order: str, vec: str = "unit") -> DataFrame:
+    """Adds ``dist``: 1 - cosine of a sentence's unit vector and the next one's."""
+    nxt = F.lead(vec).over(Window.partitionBy(doc).orderBy(order))
+    return sentences.withColumn("dist", 1 - F.aggregate(F.zip_with(vec, nxt, lambda a, b: a * b), F.lit(0.0),
+                                                        lambda s, x: s + x))
+
+
+def breaks_at(d: DataFrame, doc: str, order: str, pct: float = SEMANTIC_PERCENTILE, approx: bool = False) -> DataFrame:
+    """Adds ``thr`` and ``chunk_id`` to sentences with their ``dist`` to the next one."""
     w = Window.partitionBy(doc).orderBy(order)
-    nxt = F.lead(vec).over(w)
-    d = sentences.withColumn("dist", 1 - F.aggregate(F.zip_with(vec, nxt, lambda a, b: a * b), F.lit(0.0),
-                                                     lambda s, x: s + x))
     if approx:
         thr = d.groupBy(doc).agg(F.percentile_approx("dist", pct, 100_000).alias("thr"))
     else:

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import rules
+from ..session import materialize
 from . import chunking
-from .housekeeping import semantic_breaks
+from .housekeeping import breaks_at, neighbour_distances
 
 # FIXED VALUES — ordered rules (any of the phrases, in lower case -> message); the first that holds wins
 ERROR_RULES = [
@@ -151,10 +152,12 @@ def chunk_semantic(docs: DataFrame, vectors: DataFrame, id_col: str = "doc_id",
     percentile; ``vectors`` is (id, ix, unit) per sentence. The others, and those
     with a sentence that has no vector, are cut by length."""
     semantic = docs.where(F.col(type_col).isin(SEMANTIC_TYPES))
-    parts = sentences(semantic, id_col, text_col).join(vectors, [id_col, "ix"], "left")
-    lacking = parts.where(F.col("unit").isNull()).select(id_col).distinct()
-    able = parts.join(lacking, id_col, "left_anti")
-    cut = semantic_breaks(able, id_col, "ix", "unit", pct)
+    parts = neighbour_distances(sentences(semantic, id_col, text_col).join(vectors, [id_col, "ix"], "left"), id_col, "ix", "unit")
+    # vectors move up to here only: what follows reads the written numbers and sentences
+    parts = materialize(parts.select(id_col, "ix", "sentence", "dist", F.col("unit").isNull().alias("lacks")), "distances")
+    lacking = parts.where("lacks").select(id_col).distinct()
+    able = parts.drop("lacks").join(lacking, id_col, "left_anti")
+    cut = breaks_at(able, id_col, "ix", pct)
     joined = (cut.groupBy(id_col, F.col("chunk_id").cast("int").alias("chunk_ix")).agg(F.array_sort(F.collect_list(F.struct("ix", "sentence"))).alias("_s"))
               .select(id_col, "chunk_ix", F.array_join(F.transform("_s", lambda s: s["sentence"]), " ").alias("chunk"), F.lit("semantic").alias("method")))
     rest = docs.join(able.select(id_col).distinct(), id_col, "left_anti")
