@@ -72,6 +72,26 @@ def test_lsh_gives_the_pairs_of_the_row_join_without_candidate_rows(spark, plan)
     assert want and sorted(tuple(r) for r in got.collect()) == want
 
 
+def test_feed_json_is_written_and_parsed_once(spark, plan):
+    raw = spark.range(3).select(F.lit("shop-1").alias("connection_id"), F.col("id").alias("ix"), F.to_json(F.struct(
+        F.col("id").cast("string").alias("id"), F.lit("paid").alias("financial_status"), F.lit("2024-01-01T00:00:00Z").alias("created_at"))).alias("raw_json"))
+    n = C.normalize_orders(raw, "shopify", keep=("connection_id", "ix")).where("order_date >= timestamp'2023-01-01'")
+    text = plan(n)
+    assert text.count("from_json(") == 1 and text.count("StructsToJsonEvaluator") + text.count("to_json(") == 1
+    assert n.count() == 3
+
+
+def test_order_feeds_are_read_back_not_derived_again(spark, plan, tmp_path):
+    ts = dt.datetime(2024, 1, 5)
+    rows = [(i, 1, "P" if i == 2 else "F", 1.0, ts + dt.timedelta(hours=20 * i), "1-URGENT") for i in range(1, 4)]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp, o_orderpriority string").write.parquet(str(tmp_path / "orders.parquet"))
+    spark.createDataFrame([(1, 2)], "c_custkey long, c_nationkey int").write.parquet(str(tmp_path / "customer.parquet"))
+    spark.createDataFrame([(1, 4.5, 0.1, 0.0, "R", "F")], "l_orderkey long, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string").write.parquet(str(tmp_path / "lineitem.parquet"))
+    out = QC.sync_window(spark, str(tmp_path))
+    assert "from_json(" not in plan(out)
+    assert [tuple(r) for r in out.collect()] == [("shop-2", 3)]
+
+
 def test_semantic_chunks_leave_the_vectors_behind(spark, plan):
     docs = spark.createDataFrame([(1, "One a. Two b. Three c.", "financial"), (2, "Four d. Five e.", "financial")], "doc_id long, text string, doc_type string")
     vectors = spark.createDataFrame([(1, 0, [1.0, 0.0]), (1, 1, [1.0, 0.0]), (1, 2, [0.0, 1.0]), (2, 0, [1.0, 0.0])], "doc_id long, ix int, unit array<double>")

@@ -46,6 +46,9 @@ SHOPIFY_ORDER = T.StructType([
     T.StructField("refunds", T.ArrayType(T.StructType([T.StructField("transactions", T.ArrayType(_TXN))]))),
 ])
 
+# what the order rows need of it
+ORDER_FIELDS = T.StructType([f for f in SHOPIFY_ORDER if f.name not in ("total_tax", "total_discounts", "refunds")])
+
 _MONEY = T.StructType([T.StructField("Amount", T.StringType()), T.StructField("CurrencyCode", T.StringType())])
 AMAZON_ORDER = T.StructType([
     T.StructField("AmazonOrderId", T.StringType()),
@@ -93,13 +96,21 @@ def _money(s: Column) -> Column:
     return F.coalesce(F.nullif(s, F.lit("")).try_cast("double"), F.lit(0.0))
 
 
+def parsed_once(json_col: str, schema: T.StructType, name: str) -> Column:
+    """The parsed JSON as column ``name``. It comes out of a generator (``inline`` of
+    a one-element array): field by field, and in every filter pushed below, Spark
+    would parse the text (and write it, where it is derived) anew."""
+    return F.inline(F.array(F.struct(F.from_json(F.col(json_col), schema).alias(name))))
+
+
 def normalize_orders(raw: DataFrame, source: str, json_col: str = "raw_json",
                      keep: tuple[str, ...] = ("connection_id",)) -> DataFrame:
     """Unified order rows: marketplace_order_id, status, total_amount, currency,
     order_date, customer_id (+ ``keep`` columns and the raw JSON). Rows without
     an order id are dropped, as the persist step skips them."""
+    o = F.col("_o")
     if source == "shopify":
-        o = F.from_json(F.col(json_col), SHOPIFY_ORDER)
+        schema = ORDER_FIELDS
         cols = [F.coalesce(o["id"], F.lit("")).alias("marketplace_order_id"),
                 shopify_status(F.coalesce(o["financial_status"], F.lit("")), o["fulfillment_status"]).alias("status"),
                 _money(o["total_price"]).alias("total_amount"),
@@ -107,7 +118,7 @@ def normalize_orders(raw: DataFrame, source: str, json_col: str = "raw_json",
                 parse_ts(o["created_at"]).alias("order_date"),
                 o["customer"]["email"].alias("customer_id")]
     elif source == "amazon":
-        o = F.from_json(F.col(json_col), AMAZON_ORDER)
+        schema = AMAZON_ORDER
         cols = [F.coalesce(o["AmazonOrderId"], F.lit("")).alias("marketplace_order_id"),
                 F.coalesce(o["OrderStatus"], F.lit("unknown")).alias("status"),
                 _money(o["OrderTotal"]["Amount"]).alias("total_amount"),
@@ -116,7 +127,8 @@ def normalize_orders(raw: DataFrame, source: str, json_col: str = "raw_json",
                 o["BuyerInfo"]["BuyerEmail"].alias("customer_id")]
     else:
         raise ValueError(f"unknown source {source}")
-    out = raw.select(*[F.col(k) for k in keep], F.lit(source).alias("connector_type"), *cols, F.col(json_col))
+    parsed = raw.select(*[F.col(k) for k in keep], F.col(json_col), parsed_once(json_col, schema, "_o"))
+    out = parsed.select(*[F.col(k) for k in keep], F.lit(source).alias("connector_type"), *cols, F.col(json_col))
     return out.where(F.col("marketplace_order_id") != "")
 
 
@@ -125,11 +137,12 @@ def shopify_financials(raw: DataFrame, by: list[str], json_col: str = "raw_json"
     """Per period: revenue, refunds (|amount| of kind='refund' transactions),
     taxes, discounts, fees 0, net = revenue - refunds, last-seen currency, count.
     Refunds are folded inside each order row before the one aggregation."""
-    o = F.from_json(F.col(json_col), SHOPIFY_ORDER)
+    o = F.col("_o")
     txns = F.flatten(F.transform(F.coalesce(o["refunds"], F.array()), lambda r: F.coalesce(r["transactions"], F.array())))
     refund = F.aggregate(txns, F.lit(0.0), lambda acc, t: acc + F.when(
         t["kind"] == "refund", F.abs(_money(t["amount"]))).otherwise(F.lit(0.0)))
-    rows = raw.select(*by, F.col(order_col).alias("_ix"), _money(o["total_price"]).alias("rev"),
+    parsed = raw.select(*by, order_col, parsed_once(json_col, SHOPIFY_ORDER, "_o"))
+    rows = parsed.select(*by, F.col(order_col).alias("_ix"), _money(o["total_price"]).alias("rev"),
                       _money(o["total_tax"]).alias("tax"), _money(o["total_discounts"]).alias("disc"),
                       refund.alias("ref"), o["currency"].alias("cur"))
     agg = rows.groupBy(*by).agg(
@@ -148,7 +161,7 @@ def amazon_financials(events: DataFrame, by: list[str], json_col: str = "events_
     """revenue = Σ Principal charges of shipments; refunds = Σ |Principal| of
     refund adjustments; fees = Σ |fee| over shipment items only;
     net = revenue - refunds - fees."""
-    e = F.from_json(F.col(json_col), AMAZON_EVENTS)
+    e = F.col("_e")
     ship_items = F.flatten(F.transform(F.coalesce(e["ShipmentEventList"], F.array()),
                                        lambda s: F.coalesce(s["ShipmentItemList"], F.array())))
     charges = F.flatten(F.transform(ship_items, lambda i: F.coalesce(i["ItemChargeList"], F.array())))
@@ -166,7 +179,8 @@ def amazon_financials(events: DataFrame, by: list[str], json_col: str = "events_
     ref = F.aggregate(adj, F.lit(0.0), lambda a, c: a + F.when(c["ChargeType"] == "Principal",
                                                                F.abs(amt(c["ChargeAmount"]))).otherwise(0.0))
     fee = F.aggregate(fees, F.lit(0.0), lambda a, f: a + F.abs(amt(f["FeeAmount"])))
-    rows = events.select(*by, rev.alias("rev"), ref.alias("ref"), fee.alias("fee"))
+    parsed = events.select(*by, parsed_once(json_col, AMAZON_EVENTS, "_e"))
+    rows = parsed.select(*by, rev.alias("rev"), ref.alias("ref"), fee.alias("fee"))
     agg = rows.groupBy(*by).agg(F.sum("rev").alias("r"), F.sum("ref").alias("f"), F.sum("fee").alias("x"))
     return agg.select(*by, F.round("r", 2).alias("revenue"), F.round("f", 2).alias("refunds"),
                       F.round("x", 2).alias("fees"),

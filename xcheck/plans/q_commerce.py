@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import commerce as C
-from ..session import Tables
+from ..session import Tables, materialize
 from .registry import query
 
 _ISO = "yyyy-MM-dd'T'HH:mm:ss'Z'"
@@ -23,12 +23,12 @@ def _orders_with_shop(t: Tables) -> DataFrame:
 
 def shopify_raw(t: Tables) -> DataFrame:
     """(connection_id, ix, raw_json) — the Shopify order feed."""
-    txn = F.struct(F.when(F.col("l_linestatus") == "O", "pending").otherwise("refund").alias("kind"),
-                   F.format_string("%.2f", "l_extendedprice").alias("amount"))
+    txn = lambda x: F.struct(F.when(x["l_linestatus"] == "O", "pending").otherwise("refund").alias("kind"),
+                             F.format_string("%.2f", x["l_extendedprice"]).alias("amount"))
     lines = (t.lineitem.groupBy("l_orderkey")
              .agg(F.sum("l_tax").alias("tax"), F.sum("l_discount").alias("disc"),
-                  F.collect_list(F.when(F.col("l_returnflag") == "R",
-                                        F.struct(F.array(txn).alias("transactions")))).alias("refunds")))
+                  F.collect_list(F.when(F.col("l_returnflag") == "R", F.struct("l_linestatus", "l_extendedprice"))).alias("back")))
+    refunds = F.transform("back", lambda x: F.struct(F.array(txn(x)).alias("transactions")))
     o = _orders_with_shop(t).join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
     fin = (F.when(F.col("o_orderstatus") == "F", "paid").when(F.col("o_orderstatus") == "O", "pending")
            .otherwise("partially_refunded"))
@@ -41,7 +41,7 @@ def shopify_raw(t: Tables) -> DataFrame:
         F.struct(F.concat(F.lit("customer"), F.col("o_custkey"), F.lit("@example.com")).alias("email")).alias("customer"),
         F.format_string("%.2f", F.coalesce("tax", F.lit(0.0))).alias("total_tax"),
         F.format_string("%.2f", F.coalesce("disc", F.lit(0.0))).alias("total_discounts"),
-        F.coalesce("refunds", F.array()).alias("refunds"))
+        F.coalesce(refunds, F.array()).alias("refunds"))
     return o.select("connection_id", F.col("o_orderkey").alias("ix"), F.to_json(body).alias("raw_json"))
 
 
@@ -272,7 +272,8 @@ WHERE o_orderdate >= last - INTERVAL 24 HOURS GROUP BY ALL""")
 def sync_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verified webhook events (partially shipped orders) trigger a re-pull of
     the shop's last 24 hours before its latest event."""
-    n = _norm_shopify(Tables(spark, sf_dir))
+    # events and orders are read from the same feed
+    n = materialize(_norm_shopify(Tables(spark, sf_dir)).select("connection_id", "status", "order_date"), "orders")
     events = n.where(F.col("status") == "shipped").select("connection_id", "order_date")
     rep = C.sync_window(events, n, "connection_id", "order_date", 24)
     return rep.groupBy("connection_id").agg(F.count(F.lit(1)).alias("repulled"))
