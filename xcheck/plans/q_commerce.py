@@ -252,6 +252,7 @@ def incremental_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
     low = t.orders.select(F.col("o_orderkey").cast("string").alias("marketplace_order_id"), (F.col("o_orderpriority") == "5-LOW").alias("late"))
     feed = _norm_shopify(t).select("connection_id", "marketplace_order_id", "status", "total_amount", "order_date").withColumn("feed", F.lit("orders"))
     feed = feed.join(low, "marketplace_order_id").withColumn("arrives", F.col("order_date") + F.when(F.col("late"), F.expr("INTERVAL 20 DAYS")).otherwise(F.expr("INTERVAL 0 DAYS")))
+    feed = materialize(feed, "feed")           # both runs and the failures read it
     broken = t.nation.where("n_regionkey = 4").select(F.concat(F.lit("shop-"), "n_nationkey").alias("connection_id"), F.lit("orders").alias("feed"), F.lit("connection refused").alias("message"))
     broken = broken.join(feed.select("connection_id").distinct(), "connection_id", "left_semi")
     folder = scratch(spark, "sync")
