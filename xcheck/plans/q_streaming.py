@@ -126,11 +126,12 @@ def stream_upsert_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     with refreshed statuses); each pull is one run of the same stream, which
     resumes at its checkpoint and upserts by (connection_id, marketplace_order_id)."""
     from ..operators import commerce as C
-    from ..session import Tables
+    from ..session import Tables, materialize
     from .q_commerce import shopify_raw
     n = C.normalize_orders(shopify_raw(Tables(spark, sf_dir)), "shopify", keep=("connection_id", "ix"))
     feed_dir = S.scratch(spark, "feed")
     ts = F.col("order_date")
+    n = materialize(n.select("connection_id", "marketplace_order_id", "status", "total_amount", "ix", "order_date"), "orders")
     first = n.where(ts < F.lit("1996-01-01").cast("timestamp"))
     second = n.where(ts >= F.lit("1995-07-01").cast("timestamp")).withColumn("status", F.upper("status"))
     cols = ["connection_id", "marketplace_order_id", "status", "total_amount", "ix"]
