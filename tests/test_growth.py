@@ -81,6 +81,18 @@ def test_feed_json_is_written_and_parsed_once(spark, plan):
     assert n.count() == 3
 
 
+def test_amazon_events_are_parsed_once(spark, plan, tmp_path):
+    ts = dt.datetime(2024, 1, 5)
+    spark.createDataFrame([(1, 1, ts)], "o_orderkey long, o_custkey long, o_orderdate timestamp").write.parquet(str(tmp_path / "orders.parquet"))
+    spark.createDataFrame([(1, 2)], "c_custkey long, c_nationkey int").write.parquet(str(tmp_path / "customer.parquet"))
+    spark.createDataFrame([(1, 10.0, 0.1, 0.02, "N"), (1, 4.5, 0.1, 0.0, "R"), (1, 5.25, 0.05, 0.0, "A")],
+                          "l_orderkey long, l_extendedprice double, l_discount double, l_tax double, l_returnflag string").write.parquet(str(tmp_path / "lineitem.parquet"))
+    out = QC.amazon_financials(spark, str(tmp_path))
+    assert plan(out).count("from_json(") == 1
+    r = out.collect()[0]
+    assert (r["connection_id"], r["revenue"], r["refunds"], r["fees"], r["net_proceeds"]) == ("shop-2", 15.25, 4.5, 15.0, -4.25)
+
+
 def test_order_feeds_are_read_back_not_derived_again(spark, plan, tmp_path):
     ts = dt.datetime(2024, 1, 5)
     rows = [(i, 1, "P" if i == 2 else "F", 1.0, ts + dt.timedelta(hours=20 * i), "1-URGENT") for i in range(1, 4)]

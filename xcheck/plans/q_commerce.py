@@ -66,19 +66,21 @@ def amazon_events(t: Tables) -> DataFrame:
     for returned lines."""
     usd = F.lit("USD")
     money = lambda c: F.struct(F.format_string("%.2f", c).alias("Amount"), usd.alias("CurrencyCode"))
-    item = F.struct(
-        F.array(F.struct(F.lit("Principal").alias("ChargeType"), money(F.col("l_extendedprice")).alias("ChargeAmount")),
-                F.struct(F.lit("Tax").alias("ChargeType"), money(F.col("l_tax") * 100).alias("ChargeAmount"))).alias("ItemChargeList"),
-        F.array(F.struct(F.lit("FBAFee").alias("FeeType"), money(-F.col("l_discount") * 100).alias("FeeAmount"))).alias("ItemFeeList"))
-    adj = F.struct(F.array(F.struct(F.lit("Principal").alias("ChargeType"),
-                                    money(-F.col("l_extendedprice")).alias("ChargeAmount"))).alias("ItemChargeAdjustmentList"))
+    item = lambda x: F.struct(
+        F.array(F.struct(F.lit("Principal").alias("ChargeType"), money(x["l_extendedprice"]).alias("ChargeAmount")),
+                F.struct(F.lit("Tax").alias("ChargeType"), money(x["l_tax"] * 100).alias("ChargeAmount"))).alias("ItemChargeList"),
+        F.array(F.struct(F.lit("FBAFee").alias("FeeType"), money(-x["l_discount"] * 100).alias("FeeAmount"))).alias("ItemFeeList"))
+    adj = lambda x: F.struct(F.array(F.struct(F.lit("Principal").alias("ChargeType"),
+                                              money(-x["l_extendedprice"]).alias("ChargeAmount"))).alias("ItemChargeAdjustmentList"))
+    # plain numbers are grouped; each order's lists take their shape in its own row
     lines = (t.lineitem.groupBy("l_orderkey")
-             .agg(F.collect_list(F.when(F.col("l_returnflag") != "R", item)).alias("ship"),
-                  F.collect_list(F.when(F.col("l_returnflag") == "R", adj)).alias("refund")))
+             .agg(F.collect_list(F.when(F.col("l_returnflag") != "R", F.struct("l_extendedprice", "l_tax", "l_discount"))).alias("kept"),
+                  F.collect_list(F.when(F.col("l_returnflag") == "R", F.struct("l_extendedprice"))).alias("back")))
     o = _orders_with_shop(t).join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
+    ship, refund = F.transform("kept", item), F.transform("back", adj)
     ev = F.struct(F.date_format("o_orderdate", _ISO).alias("PostedDate"),
-                  F.array(F.struct(F.col("ship").alias("ShipmentItemList"))).alias("ShipmentEventList"),
-                  F.array(F.struct(F.col("refund").alias("ShipmentItemAdjustmentList"))).alias("RefundEventList"))
+                  F.array(F.struct(ship.alias("ShipmentItemList"))).alias("ShipmentEventList"),
+                  F.array(F.struct(refund.alias("ShipmentItemAdjustmentList"))).alias("RefundEventList"))
     return o.select("connection_id", F.date_trunc("month", "o_orderdate").alias("period_start"),
                     F.to_json(ev).alias("events_json"))
 
