@@ -104,6 +104,15 @@ def test_order_feeds_are_read_back_not_derived_again(spark, plan, tmp_path):
     assert [tuple(r) for r in out.collect()] == [("shop-2", 3)]
 
 
+def test_facts_are_extracted_once(spark, plan):
+    from xcheck.functions.registered import register_all
+    register_all(spark)
+    spark.createDataFrame([(1, "Total price: $1,234.50.")], "doc_id long, text string").createOrReplaceTempView("growth_texts")
+    df = spark.sql("SELECT doc_id, f.label, f.value FROM (SELECT doc_id, extract_facts(text) AS facts FROM growth_texts) LATERAL VIEW explode(facts) e AS f")
+    assert plan(df).count("regexp_extract_all(") == 3                              # one pass per pattern
+    assert ("total price", 1234.5) in {(r["label"], r["value"]) for r in df.collect()}
+
+
 def test_semantic_chunks_leave_the_vectors_behind(spark, plan):
     docs = spark.createDataFrame([(1, "One a. Two b. Three c.", "financial"), (2, "Four d. Five e.", "financial")], "doc_id long, text string, doc_type string")
     vectors = spark.createDataFrame([(1, 0, [1.0, 0.0]), (1, 1, [1.0, 0.0]), (1, 2, [0.0, 1.0]), (2, 0, [1.0, 0.0])], "doc_id long, ix int, unit array<double>")

@@ -33,6 +33,9 @@ SESSION_CONF = {
     # rank filters up to this bound become map-side WindowGroupLimits (top-k
     # per key before the shuffle); the compression input needs 2667
     "spark.sql.optimizer.windowGroupLimitThreshold": "5000",
+    # that rule puts size(x) > 0 and x is not null under every explode(x), and the
+    # filter is then pushed to where x is computed, which it computes twice more
+    "spark.sql.optimizer.excludedRules": "org.apache.spark.sql.catalyst.optimizer.InferFiltersFromGenerate",
 }
 
 
