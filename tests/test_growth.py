@@ -113,6 +113,14 @@ def test_facts_are_extracted_once(spark, plan):
     assert ("total price", 1234.5) in {(r["label"], r["value"]) for r in df.collect()}
 
 
+def test_missing_labels_counts_rows_of_both_sides_once(spark, plan):
+    pred = spark.createDataFrame([(1,), (1,), (2,), (None,)], "doc_id long").withColumn("label", F.upper(F.lit("q")))
+    gold = spark.createDataFrame([(1,), (3,), (3,), (None,), (None,)], "doc_id long").withColumn("label", F.upper(F.lit("q")))
+    out = H.missing_labels(pred, gold, ["doc_id", "label"])
+    assert plan(out).count("LogicalRDD") == 2
+    assert collections.Counter(tuple(r) for r in out.collect()) == {(1, "Q", "fp"): 1, (2, "Q", "fp"): 1, (3, "Q", "fn"): 2, (None, "Q", "fn"): 1}
+
+
 def test_semantic_chunks_leave_the_vectors_behind(spark, plan):
     docs = spark.createDataFrame([(1, "One a. Two b. Three c.", "financial"), (2, "Four d. Five e.", "financial")], "doc_id long, text string, doc_type string")
     vectors = spark.createDataFrame([(1, 0, [1.0, 0.0]), (1, 1, [1.0, 0.0]), (1, 2, [0.0, 1.0]), (2, 0, [1.0, 0.0])], "doc_id long, ix int, unit array<double>")

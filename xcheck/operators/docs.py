@@ -93,8 +93,9 @@ def doc_type_scores(df: DataFrame, text: str = "text") -> DataFrame:
     base = base.withColumn("_kc", keyword_counts(low, [kws for _, kws in rules.DOC_TYPE_KEYWORDS]))
     scores = F.struct(*[F.col("_kc")[i].alias(f"_s_{n}") for i, (n, _) in enumerate(rules.DOC_TYPE_KEYWORDS)],
                       F.when(F.col("_st") == "", F.lit(0)).otherwise(F.size(toks)).alias("_ntok"),
-                      # whitespace-separated tokens holding a digit: one regex pass
-                      F.size(F.regexp_extract_all(F.col("_st"), F.lit(r"\S*[0-9]\S*"), 0)).alias("_ndig"))
+                      # whitespace-separated tokens holding a digit, from their first digit on:
+                      # a match starts at a digit only, so no token is read again
+                      F.size(F.regexp_extract_all(F.col("_st"), F.lit(r"[0-9]\S*+"), 0)).alias("_ndig"))
     return base.select("*", F.inline(F.array(scores))).drop("_low", "_st", "_kc")
 
 

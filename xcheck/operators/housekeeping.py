@@ -51,10 +51,12 @@ def classification_report(pred: DataFrame, gold: DataFrame, key: str, label: str
 
 
 def missing_labels(pred: DataFrame, gold: DataFrame, cols: list[str]) -> DataFrame:
-    """Expected-but-missed (fn) and detected-but-unexpected (fp) rows."""
-    fn = gold.select(*cols).exceptAll(pred.select(*cols)).withColumn("kind", F.lit("fn"))
-    fp = pred.select(*cols).exceptAll(gold.select(*cols)).withColumn("kind", F.lit("fp"))
-    return fn.unionByName(fp)
+    """Expected-but-missed (fn) and detected-but-unexpected (fp) rows: EXCEPT ALL
+    both ways, as one count per row (both sides are computed once)."""
+    both = gold.select(*cols, F.lit(1).alias("_n")).unionByName(pred.select(*cols, F.lit(-1).alias("_n")))
+    left = both.groupBy(*cols).agg(F.sum("_n").alias("_n")).where(F.col("_n") != 0)
+    kind = F.when(F.col("_n") > 0, "fn").otherwise("fp").alias("kind")
+    return left.select(*cols, kind, F.explode(F.sequence(F.lit(1).cast("long"), F.abs("_n"))).alias("_i")).drop("_i")
 
 
 def semantic_breaks(sentences: DataFrame, doc: str, order: str, vec: str = "unit",
