@@ -113,6 +113,16 @@ def test_facts_are_extracted_once(spark, plan):
     assert ("total price", 1234.5) in {(r["label"], r["value"]) for r in df.collect()}
 
 
+def test_label_tokens_are_not_made_for_a_filter(spark, plan):
+    from xcheck.operators import discrepancy as D
+    from xcheck.operators import facts as FX
+    docs = spark.createDataFrame([(1, "Total price: $100.00.")], "doc_id long, text string")
+    rows = spark.createDataFrame([(1, 110.0)], "k long, total_price double")
+    out = D.checked_pairs(FX.extract_facts(docs), FX.facts_from_table(rows, "k", ["total_price"]))
+    assert plan(out).count("array_except(") == 2                                   # one per side
+    assert [tuple(r) for r in out.collect()] == [(1, 1)]
+
+
 def test_missing_labels_counts_rows_of_both_sides_once(spark, plan):
     pred = spark.createDataFrame([(1,), (1,), (2,), (None,)], "doc_id long").withColumn("label", F.upper(F.lit("q")))
     gold = spark.createDataFrame([(1,), (3,), (3,), (None,), (None,)], "doc_id long").withColumn("label", F.upper(F.lit("q")))

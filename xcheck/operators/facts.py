@@ -93,7 +93,8 @@ def facts_from_table(df: DataFrame, id_col: str, cols: list[str] | None = None,
     order = F.col(order_col) if order_col else F.lit(0)
     ncols = len(cols)
     cells = F.array(*[
-        F.struct(F.lit(i).alias("ci"), F.lit(c).alias("col"),
+        # labels are made here: the filter on their length would make them once more below
+        F.struct(F.lit(i).alias("ci"), F.lit(c).alias("col"), T.normalize_label(F.lit(c)).alias("label"),
                  T.numeric_like(F.col(c)).alias("value"),
                  F.col(c).cast("string").alias("sval"))
         for i, c in enumerate(cols)])
@@ -102,7 +103,7 @@ def facts_from_table(df: DataFrame, id_col: str, cols: list[str] | None = None,
              .where(F.col("c.value").isNotNull())
              .select("entity_id",
                      (F.col("_row") * F.lit(ncols) + F.col("c.ci")).alias("ix"),
-                     T.normalize_label(F.col("c.col")).alias("label"),
+                     F.col("c.label").alias("label"),
                      F.col("c.value").alias("value"),
                      F.concat(F.col("c.col"), F.lit(": "), F.col("c.sval")).alias("raw_text"))
              .where(F.length("label") >= min_label)
