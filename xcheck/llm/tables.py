@@ -7,6 +7,7 @@ session names no folder (tests) a fresh temporary one is used.
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import tempfile
 import uuid
@@ -37,6 +38,18 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def shuffles_freed(spark: SparkSession):
+    """What runs inside gives its shuffle files back when it ends, not when the
+    driver collects garbage. For frames that are run once, such as ``written``."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
 
 def give_back() -> None:
     """Return a worker's freed memory to the system: workers outlive their task
