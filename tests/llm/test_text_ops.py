@@ -389,6 +389,27 @@ def test_cross_entropy_counts_are_exact(spark, hot):
             assert r.target_loss == pytest.approx(loss(t, 0), rel=1e-5) and r.background_loss == pytest.approx(loss(t, 1), rel=1e-5)
 
 
+def test_cross_entropy_keeps_little_on_disk(spark, tmp_path, monkeypatch):
+    # nearly every pair occurs once: tables of all pairs came to several times the input
+    import random
+    from pathlib import Path
+
+    from xcheck.llm import tables
+    r = random.Random(5)
+    rows = [(i, " ".join(f"w{r.randrange(30_000)}" for _ in range(200))) for i in range(1_000)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/in")
+    monkeypatch.setattr(tables, "shared_folder", lambda _: f"{tmp_path}/tables")
+    dirs = [f.getAbsolutePath() for f in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+
+    def size(*folders, named="*"):
+        return sum(p.stat().st_size for d in folders for p in Path(d).rglob(named) if p.is_file())
+
+    before = size(*dirs, named="shuffle_*")
+    got = cross_entropy_difference(spark.read.parquet(f"{tmp_path}/in"), spark.range(0, 1_000, 3).toDF("doc_id"))
+    assert size(f"{tmp_path}/tables") + size(*dirs, named="shuffle_*") - before < 4 * size(f"{tmp_path}/in")
+    assert {(x.doc_id, x.n_words) for x in got.collect()} == {(i, 200) for i in range(1_000)}
+
+
 def test_digests_are_of_the_operator(spark):
     from xcheck.llm.queries import QUERIES
     r = QUERIES["op5_winnowing"](spark, "/root/testdata/sf0.001").filter("n_items = 0").first()

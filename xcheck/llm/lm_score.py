@@ -11,8 +11,8 @@ words of more than ``HOT / WORDS`` of all tokens (fewer than ``WORDS / HOT``) ar
 hot: their counts are sent to the tasks. A pair of two words above ``HOT * WORDS``
 that makes up more than ``HOT`` itself (fewer than ``1 / HOT``) is sent too, so
 that no key has many rows. Every other pair with a hot word crosses one shuffle, a
-row for each document that has it: its task counts it, knows both words, and adds
-its losses up by document. The few pairs of two cold words meet the counts of both
+row for each document that has it: its task counts it, knows both words, and gives
+its losses back to the documents, summed by document. The few pairs of two cold words meet the counts of both
 by join. The one shuffle goes part by part of the keys, over texts read again, and
 its files are freed after each part: the disk holds one part at a time. Words are
 named by 64-bit hashes.
@@ -25,13 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import shuffles_freed, with_results, written
+from .tables import shuffles_freed, written
 from .words import SPACES, byte_class, mix, pieces, scan, utf8
 
 BACK_OFF = 0.4          # weight of the unigram estimate
 HOT = 1e-5              # share of all tokens above which a pair is sent to the tasks
 WORDS = 10              # hot words start at a tenth of that share, the words of such pairs at ten times
-PARTS = 4               # parts of the pairs, one on disk at a time; a power of two
+PARTS = 2               # parts of the pairs, one on disk at a time; a power of two
 HELD = 2_000_000        # distinct names a task holds before it sends them on
 START = 0               # the word before a text's first
 
@@ -39,6 +39,7 @@ START = 0               # the word before a text's first
 BOTH = 1 << 40          # the key is a pair of places
 AS_WORD, AS_CONTEXT = -2, -1    # the key's own counts, in ``n`` (targets) and ``doc`` (all)
 PLACE_BITS = 32
+SUMS = "doc long, n long, sum_0 double, sum_1 double"
 PLACE_MASK = (1 << PLACE_BITS) - 1
 
 _CLASSES = byte_class(SPACES, True)
@@ -158,30 +159,14 @@ def _before(w, first) -> np.ndarray:
     return before
 
 
-def _doc_rows(texts: DataFrame, rows, fields: str) -> DataFrame:
-    """``rows`` gives (at, names ...): the words of a piece that count, and the
-    names of their pairs. A text's equal pairs are one row: names, doc, n (below
-    zero: the text is no target)."""
-    labels = [f.split()[0] for f in fields.split(", ")] + ["doc", "n"]
-
-    def run(batches):
-        for b in batches:
-            doc, flag = np.asarray(b.column(0)), np.asarray(b.column(1))
-            for lo, hi, w in _pieces_of(b.column(2)):
-                first, row = _positions(w)
-                at, *names = rows(w, first)
-                row = row[at]
-                pair = row.astype(_U) + _U(1)
-                for x in names:
-                    pair = mix(pair) * _PRIME + x.view(_U)
-                _, one, n = np.unique(mix(pair), return_index=True, return_counts=True)
-                order = np.argsort(one)      # a text's pairs stay together
-                one, n = one[order], n[order]
-                row = row[one] + lo
-                yield pa.RecordBatch.from_arrays([*(pa.array(x[one].view(np.int64)) for x in names), pa.array(doc[row]), pa.array(np.where(flag[row], n, -n))],
-                                                 names=labels)
-
-    return texts.mapInArrow(run, f"{fields}, doc long, n long")
+def _doc_pairs(row, *names):
+    """The distinct pairs of each text among words: (place of one of its words, how often)."""
+    pair = row.astype(_U) + _U(1)
+    for x in names:
+        pair = mix(pair) * _PRIME + x.view(_U)
+    _, one, n = np.unique(mix(pair), return_index=True, return_counts=True)
+    order = np.argsort(one)      # a text's pairs stay together
+    return one[order], n[order]
 
 
 def _near_sums(texts: DataFrame, words: DataFrame, sent, model: Model, part: int) -> DataFrame:
@@ -189,15 +174,24 @@ def _near_sums(texts: DataFrame, words: DataFrame, sent, model: Model, part: int
     pairs, of one part of the keys. A pair's key is its cold word, or the pair of
     places; a cold word's counts go to its key's task ahead of the pairs."""
 
-    def rows(w, first):
+    def rows(batches):
         s = sent.value
-        word, before = s.places(w, first)
-        both = (word >= 0) & (before >= 0)
-        key = np.where(both, before << PLACE_BITS | word, np.where(word < 0, w.hash.view(np.int64), _before(w, first).view(np.int64)))
-        mine = np.where(both, mix(key.view(_U)).view(np.int64), key) & (PARTS - 1) == part
-        at = np.flatnonzero(mine & ((word >= 0) | (before >= 0)) & (s.hot_pairs(word, before) < 0))
-        key, word, before = key[at], word[at], before[at]
-        return at, key, np.where(word < 0, 2 * before, np.where(before < 0, 2 * word + 1, BOTH))
+        for b in batches:
+            doc, flag = np.asarray(b.column(0)), np.asarray(b.column(1))
+            for lo, hi, w in _pieces_of(b.column(2)):
+                first, row = _positions(w)
+                word, before = s.places(w, first)
+                both = (word >= 0) & (before >= 0)
+                key = np.where(both, before << PLACE_BITS | word, np.where(word < 0, w.hash.view(np.int64), _before(w, first).view(np.int64)))
+                mine = np.where(both, mix(key.view(_U)).view(np.int64), key) & (PARTS - 1) == part
+                at = np.flatnonzero(mine & ((word >= 0) | (before >= 0)))
+                at = at[s.hot_pairs(word[at], before[at]) < 0]
+                key, word, before, row = key[at], word[at], before[at], row[at]
+                other = np.where(word < 0, 2 * before, np.where(before < 0, 2 * word + 1, BOTH))
+                one, n = _doc_pairs(row, key, other)
+                row = row[one] + lo
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key[one], other[one], doc[row], np.where(flag[row], n, -n))],
+                                                 names=["key", "other", "doc", "n"])
 
     def scored(key, other, doc, n):
         s = sent.value
@@ -217,15 +211,13 @@ def _near_sums(texts: DataFrame, words: DataFrame, sent, model: Model, part: int
         counts = np.add.reduceat(np.maximum(n, 0), start), np.add.reduceat(size, start)
         both, cold_word = other == BOTH, other & 1 == 0
         word, before = np.where(both, key & PLACE_MASK, other >> 1), np.where(both, key >> PLACE_BITS, other >> 1)
-        docs, back = np.unique(doc, return_inverse=True)
         sums = []
         for k in (0, 1):
             as_word = np.where(~both & cold_word, own[k][of], s.counts[k][np.where(~both & cold_word, 0, word)])
             as_context = np.where(~both & ~cold_word, own[2 + k][of], s.counts[2 + k][np.where(~both & ~cold_word, 0, before)])
             loss = model.loss(k, counts[k], as_word, as_context).astype(np.float32)
-            sums.append(np.bincount(back, loss[group] * size.astype(float)))
-        return pa.RecordBatch.from_arrays([pa.array(docs), pa.array(np.bincount(back, size).astype(np.int64)), *map(pa.array, sums)],
-                                          names=["doc", "n", "sum_0", "sum_1"])
+            sums.append(loss[group] * size.astype(float))
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (doc, size, *sums)], names=["doc", "n", "sum_0", "sum_1"])
 
     def run(batches):
         """Whole keys at a time."""
@@ -246,32 +238,51 @@ def _near_sums(texts: DataFrame, words: DataFrame, sent, model: Model, part: int
     mine = words.filter(~F.col("is_hot") & (F.col("word").bitwiseAND(PARTS - 1) == part))
     facts = [mine.select(F.col("word").alias("key"), F.lit(kind).cast("long").alias("other"), F.col(f"{c}whole").alias("doc"), F.col(f"{c}target").alias("n"))
              for kind, c in ((AS_WORD, ""), (AS_CONTEXT, "before_"))]
-    both = _doc_rows(texts, rows, "key long, other long").unionByName(facts[0]).unionByName(facts[1])
+    both = texts.mapInArrow(rows, "key long, other long, doc long, n long").unionByName(facts[0]).unionByName(facts[1])
     dealt = both.repartition("key").sortWithinPartitions("key", "other")
-    return _by_doc(dealt.mapInArrow(run, "doc long, n long, sum_0 double, sum_1 double"))
+    return _by_doc(dealt.mapInArrow(run, SUMS).withColumn("copies", F.lit(0)))
 
 
-def _far_sums(texts: DataFrame, words: DataFrame, sent, model: Model) -> DataFrame:
-    """Loss sums by doc of the pairs of two cold words: their counts meet the
-    counts of both words by join."""
+def _own_and_far_sums(texts: DataFrame, words: DataFrame, sent, model: Model) -> DataFrame:
+    """Loss sums by doc of the hot pairs, a row for every text, and of the pairs
+    of two cold words: their counts meet the counts of both words by join."""
 
-    def rows(w, first):
-        word, before = sent.value.places(w, first)
-        at = np.flatnonzero((word < 0) & (before < 0))
-        return at, _before(w, first)[at], w.hash[at]
-
-    far = written(_doc_rows(texts, rows, "before long, word long"), "far")
+    def rows(batches):
+        s = sent.value
+        for b in batches:
+            doc, flag = np.asarray(b.column(0)), np.asarray(b.column(1))
+            for lo, hi, w in _pieces_of(b.column(2)):
+                first, row = _positions(w)
+                word, before = s.places(w, first)
+                hot = s.hot_pairs(word, before)
+                is_hot = hot >= 0
+                own = [np.bincount(row[is_hot], x[hot[is_hot]], hi - lo).astype(float) for x in s.losses]
+                at = np.flatnonzero((word < 0) & (before < 0))
+                names, row_of = (_before(w, first)[at], w.hash[at]), row[at]
+                one, n = _doc_pairs(row_of, *names)
+                row_of = row_of[one] + lo
+                k = len(one)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.concatenate([doc[lo:hi], doc[row_of]])),
+                    pa.array(np.concatenate([np.bincount(row[is_hot], minlength=hi - lo), np.where(flag[row_of], n, -n)])),
+                    *[pa.array(np.concatenate([x, np.zeros(k)])) for x in own],
+                    *[pa.concat_arrays([pa.nulls(hi - lo, pa.int64()), pa.array(x[one].view(np.int64))]) for x in names]],
+                    names=["doc", "n", "sum_0", "sum_1", "before", "word"])
+
+    found = written(texts.mapInArrow(rows, f"{SUMS}, before long, word long"), "own")
+    own, far = found.filter("word is null"), found.filter("word is not null").select("doc", "n", "before", "word")
     pairs = far.groupBy("before", "word").agg(F.sum(F.greatest("n", F.lit(0))).alias("pair_0"), F.sum(F.abs("n")).alias("pair_1"))
     cold = words.filter(~F.col("is_hot"))
     pairs = pairs.join(cold.select("word", F.col("target").alias("word_0"), F.col("whole").alias("word_1")), "word")
     pairs = pairs.join(cold.select(F.col("word").alias("before"), F.col("before_target").alias("before_0"), F.col("before_whole").alias("before_1")), "before")
     loss = [model.loss(k, *(F.col(f"{c}_{k}") for c in ("pair", "word", "before")), log=F.log).cast("float").alias(f"loss_{k}") for k in (0, 1)]
     met = far.join(pairs.select("before", "word", *loss), ["before", "word"])
-    return _by_doc(met.select("doc", F.abs("n").alias("n"), *[(F.abs("n") * F.col(f"loss_{k}")).cast("double").alias(f"sum_{k}") for k in (0, 1)]))
+    met = met.select("doc", F.abs("n").alias("n"), *[(F.abs("n") * F.col(f"loss_{k}")).cast("double").alias(f"sum_{k}") for k in (0, 1)], F.lit(0).alias("copies"))
+    return _by_doc(own.drop("before", "word").withColumn("copies", F.lit(1)).unionByName(met))
 
 
 def _by_doc(sums: DataFrame) -> DataFrame:
-    return sums.groupBy("doc").agg(*[F.sum(c).alias(c) for c in ("n", "sum_0", "sum_1")])
+    return sums.groupBy("doc").agg(*[F.sum(c).alias(c) for c in ("n", "sum_0", "sum_1", "copies")])
 
 
 def _name_of(id_column, text):
@@ -319,23 +330,13 @@ def cross_entropy_difference(docs: DataFrame, targets: DataFrame, id_col: str =
         sent.losses = np.stack([model.loss(k, counts[k][order], sent.counts[k][sent.pair & PLACE_MASK], sent.counts[2 + k][sent.pair >> PLACE_BITS]).astype(np.float32)
                                 for k in (0, 1)]).astype(float)
         known = spark.sparkContext.broadcast(sent)
-        sums = written(_far_sums(texts, words, known, model), "sums")
+        sums = written(_own_and_far_sums(texts, words, known, model), "sums")
         for part in range(PARTS):
             sums = sums.unionByName(written(_near_sums(texts, words, known, model, part), "sums"))
 
-    def compute(column):
-        for lo, hi, w in _pieces_of(column):
-            first, row = _positions(w)
-            at = known.value.hot_pairs(*known.value.places(w, first))
-            is_hot = at >= 0
-            totals = [np.bincount(row[is_hot], x[at[is_hot]], hi - lo).astype(float) for x in known.value.losses]
-            yield lo, hi, [pa.array(np.diff(w.first)), pa.array(np.bincount(row[is_hot], minlength=hi - lo)), *[pa.array(x) for x in totals]]
-
-    # rows alike in id and text have the same mean
-    mean = _by_doc(sums).select("doc", *[(F.col(f"sum_{k}") / F.col("n")).alias(f"mean_{k}") for k in (0, 1)])
-    own = with_results(plain, "text", compute, [("n_words", "long"), ("n_hot", "long"), ("hot_0", "double"), ("hot_1", "double")])
-    own = own.select(id_col, _name_of(F.col(id_col), F.col("text")).alias("name"), "n_words", "n_hot", "hot_0", "hot_1")
-    both = own.join(mean, F.col("name") == F.col("doc"), "left")
-    total = [F.col(f"hot_{k}") + (F.col("n_words") - F.col("n_hot")) * F.coalesce(f"mean_{k}", F.lit(0.0)) for k in (0, 1)]
-    a, b = (F.when(F.col("n_words") > 0, x / F.col("n_words")) for x in total)
-    return both.select(id_col, "n_words", a.alias("target_loss"), b.alias("background_loss"), (a - b).alias("score"))
+    # rows alike in id and text have the same sums, each of them once
+    name = plain.select(id_col, _name_of(F.col(id_col), F.col("text")).alias("name"))
+    both = name.join(_by_doc(sums), F.col("name") == F.col("doc"), "left")
+    a, b = (F.when(F.col("n") > 0, F.col(f"sum_{k}") / F.col("n")) for k in (0, 1))
+    n_words = F.expr("n div copies").alias("n_words")
+    return both.select(id_col, n_words, a.alias("target_loss"), b.alias("background_loss"), (a - b).alias("score"))
