@@ -122,3 +122,36 @@ def test_divide_and_conquer_equals_common_ends():
         cuts = np.intersect1d(a, b)
         starts = np.concatenate([[0], np.searchsorted(a, cuts) + 1])[:-1], np.concatenate([[0], np.searchsorted(b, cuts) + 1])[:-1]
         assert got[0].tolist() == starts[0].tolist() and got[1].tolist() == starts[1].tolist()
+
+
+def test_a_worker_holds_little(spark, tmp_path, monkeypatch):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from xcheck.llm import tables
+    from xcheck.llm import token_alignment as T
+    rng = random.Random(5)
+    column = pa.array([" ".join("".join(rng.choice("abcdef") for _ in range(rng.randrange(1, 9))) for _ in range(400)) for _ in range(300)] + [None, ""])
+    size = max(len(t or "") for t in column.to_pylist())
+    aligner, seen = T._aligner(A, B), []
+    aligner.clear()
+    got = list(aligner.column(column))
+    whole = [[aligner.said_of(word[x:y]) for x, y in zip(first, first[1:])] for _, _, word, first in got]
+    looked_up = aligner.stretches
+    monkeypatch.setattr(aligner, "stretches", lambda data, offsets: (seen.append(len(data)), looked_up(data, offsets))[1])
+    monkeypatch.setattr(T, "STEP", 4 * size)
+    aligner.clear()
+    small = [[aligner.said_of(word[x:y]) for x, y in zip(first, first[1:])] for _, _, word, first in aligner.column(column)]
+    assert small == whole and len(seen) > 10 and max(seen) <= 4 * size + 302
+    assert sum(x.nbytes for x in (aligner.hash, aligner.number, aligner.sizes, aligner.first, aligner.text_first)) < 50 * len(aligner.hash)
+    monkeypatch.setitem(tables._OWN, "dir", str(tmp_path))
+    monkeypatch.setattr(tables, "shared_folder", lambda spark: str(tmp_path))
+    rows = spark.range(12, numPartitions=1).selectExpr("id", "array_join(transform(sequence(1, 200000), x -> sha2(concat(id, x), 256)), '') AS x")
+    tables.written(rows, "large", large_rows=True)
+    files = list(tmp_path.glob("llm-large-*/*.parquet"))
+    assert sum(pq.ParquetFile(f).metadata.num_row_groups for f in files) >= 4
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    with tables.small_batches(spark, 3):
+        sizes = spark.range(10, numPartitions=1).mapInArrow(lambda bs: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["n"]) for b in bs), "n long").collect()
+    assert [r[0] for r in sizes] == [3, 3, 3, 1] and spark.conf.get(name) == before

@@ -29,15 +29,35 @@ def shared_folder(spark: SparkSession) -> str:
     return _OWN["dir"]
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
+# a writer else looks at its size every 100 rows only, however large they are
+_LARGE_ROWS = {"parquet.block.size": 16 << 20, "parquet.page.size.row.check.min": 1}
+
+
+def written(df: DataFrame, what: str, large_rows: bool = False) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: each row is
-    computed once and a lost executor costs a re-read, not a re-computation."""
+    computed once and a lost executor costs a re-read, not a re-computation.
+    ``large_rows``: rows may hold megabytes, so a writer keeps few of them."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/llm-{what}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").options(**_LARGE_ROWS if large_rows else {}).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int):
+    """What is run inside reads Parquet and feeds its Python workers ``rows``
+    rows at a time: for rows that are large. As ``shuffles_freed``, for ``written``."""
+    names = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize")
+    before = [spark.conf.get(name) for name in names]
+    for name, now in zip(names, before):
+        spark.conf.set(name, str(min(rows, int(now)) if int(now) > 0 else rows))
+    try:
+        yield
+    finally:
+        for name, was in zip(names, before):
+            spark.conf.set(name, was)
+
+
 @contextlib.contextmanager
 def shuffles_freed(spark: SparkSession):
     """What runs inside gives its shuffle files back when it ends, not when the

@@ -10,8 +10,8 @@ numpy takes a step of all open intervals at once.
 
 Texts are first cut where both tokenizers always end a token (a space after an
 ASCII character that is none), each distinct stretch between such places is
-encoded and aligned once and kept by the worker for later batches. A text is the
-row of its stretches, so what is aligned once serves wherever it occurs.
+encoded and aligned once and kept by the worker for later batches, in flat arrays.
+A text is the row of its stretches, so what is aligned once serves wherever it occurs.
 
 Links are pairs of token occurrences whose byte ranges overlap. The texts of a
 piece are aligned once and written as the piece's different stretches, their
@@ -31,11 +31,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .sentencepiece_codec import Vocabulary
-from .tables import give_back, with_results, written
+from .tables import give_back, small_batches, with_results, written
 from .token_words import _hashes, stretches
 from .words import pieces, utf8
 
 KEPT = 400_000          # distinct stretches whose alignment a worker keeps
+STEP = 1 << 18          # bytes of text whose stretches are looked up at a time
+BATCH = 2_000           # texts that a task is sent at a time
+PACKED = 4              # pieces that a task is sent at a time
 HELD = 1_000_000        # distinct id pairs that a task holds before it sends them on
 HOT = 2e-6              # share of all links above which a pair's count is sent to the tasks
 WIDTH = 1 << 31         # a pair is first id * WIDTH + second id
@@ -164,12 +167,15 @@ class Aligner:
         self.a, self.b = a, b
         # tokens in a group's text, by what stands before them: the first of a, another of a, the first of b, another of b
         self.said = np.array([f"{mark}{i}" for mark, side in ((";", a), (",", a), ("|", b), (",", b)) for i in range(len(side.bytes))], object)
+        self.said_size = np.array([len(x) for x in self.said], np.int64)
         self.clear()
 
     def clear(self):
-        self.at: dict[int, int] = {}
-        self.text: list[bytes] = []
-        self.sizes = np.zeros((0, 4), np.int64)     # tokens of a and b, groups, lost
+        self.hash = np.zeros(0, np.uint64)          # rising
+        self.number = np.zeros(0, np.int32)         # stretch of each hash
+        self.text = bytearray()
+        self.text_first = np.zeros(1, np.int64)
+        self.sizes = np.zeros((0, 4), np.int32)     # tokens of a and b, groups, lost
         self.pairs = np.zeros(0, np.int64)
         self.first = np.zeros(1, np.int64)
 
@@ -195,7 +201,7 @@ class Aligner:
         groups = np.diff(np.searchsorted(group_a, firsts[0]))
         at_a, at_b = overlaps(*ends)
         links = np.diff(np.searchsorted(at_a, firsts[0]))
-        self.sizes = np.concatenate([self.sizes, np.column_stack([*counts, groups, lost])])
+        self.sizes = np.concatenate([self.sizes, np.column_stack([*counts, groups, lost]).astype(np.int32)])
         self.pairs = np.concatenate([self.pairs, ids[0][at_a].astype(np.int64) * WIDTH + ids[1][at_b]])
         self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(links)])
         # a group's tokens of a, then those of b
@@ -206,8 +212,9 @@ class Aligner:
         said = np.empty(sum(n), np.int64)
         said[np.arange(n[0]) + np.append(group_b, n[1])[of[0]]] = np.where(first[0], 0, size[0]) + ids[0]
         said[np.arange(n[1]) + np.append(group_a, n[0])[of[1] + 1]] = 2 * size[0] + np.where(first[1], 0, size[1]) + ids[1]
-        parts, edge = self.said[said].tolist(), (firsts[0] + firsts[1]).tolist()
-        self.text += ["".join(parts[x:y]).encode() for x, y in zip(edge, edge[1:])]
+        self.text += "".join(self.said[said].tolist()).encode()
+        upto = np.concatenate([[0], np.cumsum(self.said_size[said])])
+        self.text_first = np.concatenate([self.text_first, self.text_first[-1] + upto[(firsts[0] + firsts[1])[1:]]])
 
     def stretches(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(stretch at each place, first place of each text) of consecutive texts;
@@ -217,34 +224,49 @@ class Aligner:
             return np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
         end = np.append(start[1:], len(data))
         h, first, back = np.unique(_hashes(data, start), return_index=True, return_inverse=True)
-        if len(self.at) > KEPT:
-            self.clear()
-        known = h.tolist()
-        word = np.array([self.at.get(x, -1) for x in known], np.int64)
-        new = np.flatnonzero(word < 0).tolist()
-        if new:
+        at = np.searchsorted(self.hash, h)
+        known = np.zeros(len(h), bool)
+        inside = np.flatnonzero(at < len(self.hash))
+        known[inside] = self.hash[at[inside]] == h[inside]
+        word = np.zeros(len(h), np.int32)
+        word[known] = self.number[at[known]]
+        new = np.flatnonzero(~known)
+        if len(new):
             raw = data.tobytes()
             self._learn([raw[x:y] for x, y in zip(start[first[new]].tolist(), end[first[new]].tolist())])
-            word[new] = np.arange(len(self.at), len(self.at) + len(new))
-            self.at.update(zip([known[k] for k in new], word[new].tolist()))
+            word[new] = np.arange(len(self.hash), len(self.hash) + len(new))
+            self.hash, self.number = np.insert(self.hash, at[new], h[new]), np.insert(self.number, at[new], word[new])
         return word[back], np.searchsorted(start, offsets)
 
     def column(self, column: pa.Array):
         """(first row, last row, stretches, places of each text) in pieces."""
         data, off = utf8(column)
         for lo, hi in pieces(off):
-            d, o = data[off[lo]:off[hi]], off[lo:hi + 1] - off[lo]
-            filled = o[1:] > o[:-1]
-            d = np.insert(d, o[:-1][filled], 0x20)
-            o = o + np.concatenate([[0], np.cumsum(filled)])
-            word, first = self.stretches(d, o)
-            yield lo, hi, word, first
+            if len(self.hash) > KEPT:
+                self.clear()
+            words, firsts, n = [], [np.zeros(1, np.int64)], 0
+            for x, y in pieces(off[lo:hi + 1], STEP):
+                d, o = data[off[lo + x]:off[lo + y]], off[lo + x:lo + y + 1] - off[lo + x]
+                filled = o[1:] > o[:-1]
+                d = np.insert(d, o[:-1][filled], 0x20)
+                word, first = self.stretches(d, o + np.concatenate([[0], np.cumsum(filled)]))
+                words.append(word), firsts.append(first[1:] + n)
+                n += len(word)
+            yield lo, hi, np.concatenate(words), np.concatenate(firsts)
 
     def sums(self, word: np.ndarray, first: np.ndarray) -> np.ndarray:
         """(tokens of a and b, groups, lost stretches, links) of each text."""
-        size = np.column_stack([self.sizes[word], self.first[word + 1] - self.first[word]])
-        upto = np.concatenate([np.zeros((1, 5), np.int64), np.cumsum(size, axis=0)])
-        return upto[first[1:]] - upto[first[:-1]]
+        out = np.zeros((len(first) - 1, 5), np.int64)
+        upto = np.zeros(len(word) + 1, np.int64)
+        for k in range(5):
+            np.cumsum(self.sizes[word, k] if k < 4 else self.first[word + 1] - self.first[word], out=upto[1:])
+            out[:, k] = upto[first[1:]] - upto[first[:-1]]
+        return out
+
+    def said_of(self, word: np.ndarray) -> bytes:
+        """The groups of a text."""
+        text = self.text
+        return b"".join([text[x:y] for x, y in zip(self.text_first[word].tolist(), self.text_first[word + 1].tolist())])[1:]
 
     def links(self, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(pairs of the places in order, place of each)."""
@@ -264,10 +286,6 @@ def _aligner(file_a: str, file_b: str) -> Aligner:
     return _ALIGNERS[key]
 
 
-def _said(aligner: Aligner, marks: list[int], x: int, y: int) -> bytes:
-    return b"".join([aligner.text[k] for k in marks[x:y]])[1:]
-
-
 def token_groups(docs: DataFrame, file_a: str, file_b: str, text_col: str = "text", groups_col: str = "groups") -> DataFrame:
     """All columns of ``docs`` plus ``groups_col``: each text's groups as
     ``a1,a2|b1;a3|b2`` (decimal ids of both sides in order). Null and empty
@@ -276,8 +294,8 @@ def token_groups(docs: DataFrame, file_a: str, file_b: str, text_col: str = "tex
     def compute(column):
         aligner = _aligner(file_a, file_b)
         for lo, hi, word, first in aligner.column(column):
-            lost, marks = aligner.sums(word, first)[:, 3] > 0, word.tolist()
-            yield lo, hi, [pa.array(["" if gone else _said(aligner, marks, x, y).decode()
+            lost = aligner.sums(word, first)[:, 3] > 0
+            yield lo, hi, [pa.array(["" if gone else aligner.said_of(word[x:y]).decode()
                                      for x, y, gone in zip(first[:-1].tolist(), first[1:].tolist(), lost.tolist())], pa.string())]
 
     return with_results(docs, text_col, compute, [(groups_col, "string")])
@@ -301,8 +319,7 @@ def aligned_pieces(docs: DataFrame, file_a: str, file_b: str) -> DataFrame:
                 sums = aligner.sums(word, first)
                 lost = sums[:, 3] > 0
                 sums[lost] = 0
-                marks = word.tolist()
-                said = [hashlib.sha256(_said(aligner, marks, x, y)).hexdigest() if y > x and not gone else ""
+                said = [hashlib.sha256(aligner.said_of(word[x:y])).hexdigest() if y > x and not gone else ""
                         for x, y, gone in zip(first[:-1].tolist(), first[1:].tolist(), lost.tolist())]
                 size = np.where(lost, 0, np.diff(first))
                 some, back = np.unique(word[np.repeat(~lost, np.diff(first))], return_inverse=True)
@@ -313,6 +330,7 @@ def aligned_pieces(docs: DataFrame, file_a: str, file_b: str) -> DataFrame:
                 ends = pa.array([0, hi - lo], pa.int32())
                 yield pa.RecordBatch.from_arrays([*[pa.ListArray.from_arrays(ends, x) for x in lists], *[pa.array([x.tobytes()], pa.binary()) for x in packed]],
                                                  names=["ids", *_PIECE, "pairs", "links", "edges", "places", "firsts"])
+                give_back()
         for aligner in _ALIGNERS.values():
             aligner.clear()
         give_back()
@@ -353,9 +371,12 @@ def pair_counts(pieces_of_texts: DataFrame) -> DataFrame:
                         held, size = [], 0
         if held:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in merged()], names=["pair", "n"])
+        held = []
+        give_back()
 
     packed = pieces_of_texts.select("pairs", "links", "edges", "places", "firsts")
-    pairs = written(packed.mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")), "pairs")
+    with small_batches(pieces_of_texts.sparkSession, PACKED):
+        pairs = written(packed.mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")), "pairs")
     second = F.expr(f"pair % {WIDTH}L")
     most = pairs.groupBy(second.alias("second")).agg(F.max("n").alias("most"))       # one row an id
     return pairs.withColumn("second", second).join(most, "second").select("pair", "n", (F.col("n") == F.col("most")).alias("best"))
@@ -375,7 +396,8 @@ def align_tokens(docs: DataFrame, file_a: str, file_b: str, id_col: str = "doc_i
     looked at; an empty table gives an empty result."""
     spark = docs.sparkSession
     plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    made = written(aligned_pieces(plain, file_a, file_b), "pieces")
+    with small_batches(spark, BATCH):
+        made = written(aligned_pieces(plain, file_a, file_b), "pieces", large_rows=True)
     counts = written(pair_counts(made), "pair-counts")
     total = counts.agg(F.sum("n")).first()[0] or 0
     often = counts.filter(F.col("n") > hot * total).toArrow()       # fewer than 1 / hot rows
@@ -408,11 +430,13 @@ def align_tokens(docs: DataFrame, file_a: str, file_b: str, id_col: str = "doc_i
                 own = [b.column(j).slice(k, 1).flatten() for j in range(len(_PIECE) + 1)]
                 yield pa.RecordBatch.from_arrays([*own, *[pa.array(x) for x in totals],
                                                   pa.ListArray.from_arrays(pa.array(np.searchsorted(text, np.arange(n + 1)).astype(np.int32)), pa.array(rest))], names=names)
+        give_back()
 
     names = ["id", *_PIECE, "hot_sum", "hot_best", "cold"]
     kinds = [plain.schema["id"].dataType.simpleString(), *["long"] * 4, "string", "long", "long", "array<long>"]
     rows = made.mapInArrow(run, ", ".join(f"{c} {k}" for c, k in zip(names, kinds)))
-    rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "aligned")
+    with small_batches(spark, PACKED):
+        rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "aligned")
     cold = rows.select("row", F.explode("cold").alias("pair")).groupBy("row", "pair").agg(F.count("*").alias("times"))
     met = cold.join(counts.filter(F.col("n") <= hot * total), "pair")
     rest = met.groupBy("row").agg(F.sum(F.col("n") * F.col("times")).alias("cold_sum"), F.sum(F.when(F.col("best"), F.col("times")).otherwise(0)).alias("cold_best"))
