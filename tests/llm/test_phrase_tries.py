@@ -111,3 +111,30 @@ def test_scores_beyond_64_bits(spark):
     assert row.score == 2_000_000 * (big - 1) // (2 * big + 1)
     longer = spark.createDataFrame([(1, 3, 0, 0, big), (1, 3, 5, 0, big // 5 * 4), (5, 7, 0, 0, big), (5, 7, 9, 0, big // 5 * 4 - 1)], schema)
     assert {(r.s1, r.s2) for r in T.uncovered(longer).filter("s3 = 0").collect()} == {(5, 7)}
+
+
+def test_texts_are_scanned_once_and_positions_meet_one_trie(spark, monkeypatch):
+    rows = corpus(4)
+    docs = spark.createDataFrame([(i, t, lang, "s", "x", 3) for i, (t, lang) in enumerate(rows)], SCHEMA).repartition(3)
+    texts = docs.selectExpr("xxhash64(coalesce(lang, 'und')) as key", "text", "coalesce(lang, 'und') as lang")
+    words = T.count_words(texts).filter("n >= 3 and word <> ''").selectExpr("name as s1")
+    monkeypatch.setattr(T, "STRETCH", 7)
+    runs = [np.frombuffer(r.names, np.uint64) for r in T.frequent_runs(texts, words).collect()]
+    often = {r.s1 % 2 ** 64 for r in words.collect()}
+    assert len(runs) > 20 and all(r[-1] == 0 and r[0] != 0 for r in runs)
+    for r in runs:
+        lengths = np.diff(np.flatnonzero(r == 0), prepend=-1) - 1
+        assert lengths.min() >= 2 and {int(x) for x in r if x} <= often
+    # a position is walked in the trie of its first two words only
+    phrases = np.array([(a, b, c, 0) for a in (1, 3) for b in (5, 7, 9) for c in (0, 11)], np.uint64)
+    shard = T._shard(phrases[:, 0], phrases[:, 1], 4)
+    assert (shard[::2] == shard[1::2]).all()
+    text, end = np.array([1, 5, 11, 3, 9, 1, 5, 0], np.uint64), np.full(8, 7)
+    at = np.arange(6)
+    of, found = T._shard(text[at], text[at + 1], 4), {}
+    for k in range(4):
+        trie = T.DoubleArrayTrie(phrases[shard == k])
+        into = np.zeros(len(trie.check), np.int64)
+        trie.count(text, end, into, at[of == k])
+        found |= {tuple(p.tolist()): int(into[x]) for p, x in zip(phrases[shard == k], trie.state)}
+    assert {p: n for p, n in found.items() if n} == {(1, 5, 0, 0): 2, (1, 5, 11, 0): 1, (3, 9, 0, 0): 1}

@@ -3,7 +3,10 @@
 A language's phrases of two to four words that occur often and whose words
 occur together far more than apart. Everything is counted over all texts:
 
-1. Words are added up inside each task and then by shuffle.
+1. Words are added up inside each task and then by shuffle. Then the texts are
+   scanned once more and written as the names of their runs of frequent words
+   (which a filter of fixed size tells, letting a few others pass); all that
+   follows reads these runs, not the texts.
 2. Candidates of k words are Apriori-safe: both of their parts of k - 1 words
    are frequent. Tasks meet the frequent parts in a filter of fixed size (which
    lets a few others pass). Phrases that are left are first counted by hash cell
@@ -12,11 +15,12 @@ occur together far more than apart. Everything is counted over all texts:
    task, with its occurrences up to ``min_count``: enough to tell whether it can be
    frequent. In a corpus that crowds all cells every phrase is sent by name. Cells,
    phrases and counts travel in packed chunks and are added up chunk by chunk.
-3. All candidates are cut into shards of about ``SHARD`` phrases; each shard
-   becomes a double-array trie, built in a task. ``TRIES`` of them at a time are
-   sent to all tasks (so what is sent is bounded; more shards take more passes
-   over the texts). numpy advances the states of all text positions at once,
-   level by level; accepting states are added up by ``bincount`` and the sums of
+3. All candidates are cut into shards of about ``SHARD`` phrases by their first
+   two words; each shard becomes a double-array trie, built in a task. ``TRIES`` of
+   them at a time are sent to all tasks (so what is sent is bounded; more shards
+   take more passes over the runs). A position goes into the one trie that its
+   first two words name. numpy advances the states of all its positions at once,
+   level by level; accepting states are added up and the sums of
    the tasks by shuffle. These are the frequencies.
 4. Cuts, overlaps with longer phrases and ranks are joins and aggregates over
    the frequent phrases only.
@@ -33,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tables import written
+from .tables import small_batches, written
 from .words import byte_class, mix, pieces, scan, utf8
 
 LONGEST = 4             # words of a phrase
@@ -50,6 +54,8 @@ CHUNK = 1 << 16         # cells that travel together
 PACKS = 1024            # packs into which a task's phrases are dealt by hash
 PLACES = 1 << 13        # counts that travel together
 FILTER_BITS = 1 << 26   # filter of frequent parts (8 MB, fixed)
+PACKED = 8              # rows of packed names that a task is sent at a time
+STRETCH = 1 << 16       # names of a row of runs, about (half a MB)
 NO_LANGUAGE = "und"
 
 BREAKS = b".,;:!?\n\x0b\x0c\r"      # end a piece; space and tab end a word only
@@ -170,15 +176,62 @@ def fixed_filter(phrases: DataFrame, k: int) -> bytes:
     return words.tobytes()
 
 
+def _in_filter(name: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Whether the filter has the names' bits: of every phrase in it, and a few others."""
+    often = np.ones(len(name), bool)
+    for at in _places(name):
+        often &= (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+    return often
+
+
+def frequent_runs(texts: DataFrame, words: DataFrame) -> DataFrame:
+    """(names): the texts' runs of two or more words that may be frequent (column
+    s1 of ``words``), inside a piece, as packed word names with a zero after each run."""
+    sent = texts.sparkSession.sparkContext.broadcast(fixed_filter(words, 1))
+
+    def run(batches):
+        bits = np.frombuffer(sent.value, np.uint8)
+        for b in batches:
+            for _, _, name, end, _ in _scanned(b.column(0), b.column(1)):
+                often = np.where(_in_filter(_named([name]), bits), name, _U(0))
+                closes = end == np.arange(1, len(name) + 1)
+                stream = np.zeros(len(name) + int(closes.sum()), _U)
+                stream[np.arange(len(name)) + np.cumsum(closes) - closes] = often
+                word = stream != 0
+                beside = word.copy()
+                beside[:-1] &= word[1:]             # the next one is a word, too
+                beside[-1:] = False
+                beside[1:] |= word[1:] & beside[:-1]
+                stream[~beside] = 0
+                use = beside.copy()
+                use[1:] |= beside[:-1]              # the zero after the run
+                stream = stream[use]
+                zero = np.flatnonzero(stream == 0)
+                lo = 0
+                while lo < len(stream):             # a row ends with a run
+                    hi = int(zero[min(np.searchsorted(zero, lo + STRETCH), len(zero) - 1)]) + 1
+                    yield pa.RecordBatch.from_arrays([pa.array([stream[lo:hi].tobytes()], pa.binary())], names=["names"])
+                    lo = hi
+
+    return texts.select("key", "text").mapInArrow(run, "names binary")
+
+
+def _runs(batches):
+    """(name of each word, end of its run) of each row of packed runs."""
+    for b in batches:
+        for raw in b.column(0):
+            name = np.frombuffer(raw.as_buffer(), _U)
+            zero = np.flatnonzero(name == 0)
+            yield name, np.repeat(zero, np.diff(zero, prepend=-1))
+
+
 def _possible(name: np.ndarray, end: np.ndarray, k: int, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(first word, name) of the phrases of k words inside a piece whose first and last k - 1 words are in the filter."""
     m = len(name) - k + 1
     if m <= 0:
         return np.zeros(0, np.int64), np.zeros(0, _U)
     part = _named([name[j:len(name) - k + 2 + j] for j in range(k - 1)])
-    often = np.ones(len(part), bool)
-    for at in _places(part):
-        often &= (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+    often = _in_filter(part, bits)
     at = np.flatnonzero(often[:m] & often[1:m + 1] & (np.arange(m) + k <= end[:m]))
     return at, mix(part[at] * _PRIME + name[at + k - 1])
 
@@ -202,7 +255,7 @@ def _by_chunk(packed: DataFrame, keys: list[str], merged, schema: str) -> DataFr
     return packed.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
 
 
-def crowded_cells(texts: DataFrame, sent, k: int, min_count: int) -> bytes:
+def crowded_cells(runs: DataFrame, sent, k: int, min_count: int) -> bytes:
     """Bits of the cells whose possible phrases of k words occur ``min_count``
     times together. Tasks send their cells in chunks; a chunk's parts are added up as
     they come in."""
@@ -210,10 +263,9 @@ def crowded_cells(texts: DataFrame, sent, k: int, min_count: int) -> bytes:
     def run(batches):
         bits = np.frombuffer(sent.value, np.uint8)
         have = np.zeros(CELLS, np.uint8)
-        for b in batches:
-            for _, _, name, end, _ in _scanned(b.column(0), b.column(1)):
-                cell, n = np.unique(_cell(_possible(name, end, k, bits)[1]), return_counts=True)
-                have[cell] = np.minimum(have[cell] + n, min(min_count, 255))
+        for name, end in _runs(batches):
+            cell, n = np.unique(_cell(_possible(name, end, k, bits)[1]), return_counts=True)
+            have[cell] = np.minimum(have[cell] + n, min(min_count, 255))
         for c in np.flatnonzero(have.reshape(-1, CHUNK).any(axis=1)).tolist():
             yield pa.RecordBatch.from_arrays([pa.array([c]), pa.array([have[c * CHUNK:(c + 1) * CHUNK].tobytes()], pa.binary())], names=["chunk", "counts"])
 
@@ -224,19 +276,20 @@ def crowded_cells(texts: DataFrame, sent, k: int, min_count: int) -> bytes:
         # a count that a byte cannot hold says nothing
         yield pa.RecordBatch.from_arrays([pa.array([key[0]]), pa.array([np.packbits(have >= min(min_count, 255), bitorder="little").tobytes()], pa.binary())], names=["chunk", "bits"])
 
-    got = _by_chunk(texts.mapInArrow(run, "chunk long, counts binary"), ["chunk"], add, "chunk long, bits binary").toArrow()
+    with small_batches(runs.sparkSession, PACKED):
+        got = _by_chunk(runs.mapInArrow(run, "chunk long, counts binary"), ["chunk"], add, "chunk long, bits binary").toArrow()
     out = np.zeros((CELLS // CHUNK, CHUNK // 8), np.uint8)
     for c, raw in zip(got["chunk"].to_pylist(), got["bits"].to_pylist()):
         out[c] = np.frombuffer(raw, np.uint8)
     return out.tobytes()
 
 
-def candidates(texts: DataFrame, parts: DataFrame, k: int, min_count: int) -> DataFrame:
+def candidates(runs: DataFrame, parts: DataFrame, k: int, min_count: int) -> DataFrame:
     """(s1, ..., sk): the phrases of k words that occur ``min_count`` times and
     whose first and last k - 1 words are in ``parts``."""
-    context = texts.sparkSession.sparkContext
+    context = runs.sparkSession.sparkContext
     sent = context.broadcast(fixed_filter(parts, k - 1))
-    crowd = context.broadcast(crowded_cells(texts, sent, k, min_count))
+    crowd = context.broadcast(crowded_cells(runs, sent, k, min_count))
 
     def summed(held):
         cols = [np.concatenate(x) for x in zip(*held)]
@@ -255,23 +308,22 @@ def candidates(texts: DataFrame, parts: DataFrame, k: int, min_count: int) -> Da
             some = np.flatnonzero(np.diff(edge))
             return pa.RecordBatch.from_arrays([pa.array(some), pa.array([table[edge[c]:edge[c + 1]].tobytes() for c in some.tolist()], pa.binary())], names=["pack", "phrases"])
 
-        for b in batches:
-            for _, _, name, end, _ in _scanned(b.column(0), b.column(1)):
-                at, phrase = _possible(name, end, k, bits)
-                cell = _cell(phrase)
-                on = (cells[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1 > 0
-                at, phrase = at[on], phrase[on]
-                if not len(at):
-                    continue
-                uniq, first, n = np.unique(phrase, return_index=True, return_counts=True)
-                held.append([uniq, n, *[name[at[first] + j] for j in range(k)]])
-                size += len(uniq)
-                if size > HELD:
-                    held = [summed(held)]
-                    size = len(held[0][0])
-                    if size > HELD // 2:
-                        yield out()
-                        held, size = [], 0
+        for name, end in _runs(batches):
+            at, phrase = _possible(name, end, k, bits)
+            cell = _cell(phrase)
+            on = (cells[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1 > 0
+            at, phrase = at[on], phrase[on]
+            if not len(at):
+                continue
+            uniq, first, n = np.unique(phrase, return_index=True, return_counts=True)
+            held.append([uniq, n, *[name[at[first] + j] for j in range(k)]])
+            size += len(uniq)
+            if size > HELD:
+                held = [summed(held)]
+                size = len(held[0][0])
+                if size > HELD // 2:
+                    yield out()
+                    held, size = [], 0
         if held:
             yield out()
 
@@ -288,7 +340,7 @@ def candidates(texts: DataFrame, parts: DataFrame, k: int, min_count: int) -> Da
         _, n, *words = summed(held)
         yield pa.RecordBatch.from_arrays([pa.array(x[n >= min_count].view(np.int64)) for x in words], names=_S[:k])
 
-    return _by_chunk(texts.mapInArrow(run, "pack long, phrases binary"), ["pack"], add, ", ".join(f"{s} long" for s in _S[:k]))
+    return _by_chunk(runs.mapInArrow(run, "pack long, phrases binary"), ["pack"], add, ", ".join(f"{s} long" for s in _S[:k]))
 
 
 class DoubleArrayTrie:
@@ -384,16 +436,15 @@ class DoubleArrayTrie:
         at = np.minimum(np.searchsorted(self.words, name), len(self.words) - 1)
         return np.where(self.words[at] == name, self.number[at], -1)
 
-    def count(self, name: np.ndarray, end: np.ndarray, into: np.ndarray) -> None:
-        """Add to ``into`` how often each state is reached from a position,
-        inside its piece: all positions go on a level at a time."""
-        number = self.numbers(name)
-        at = np.flatnonzero(number >= 0)
+    def count(self, name: np.ndarray, end: np.ndarray, into: np.ndarray, at: np.ndarray | None = None) -> None:
+        """Add to ``into`` how often each state is reached from a position (of
+        those in ``at``), inside its piece: all positions go on a level at a time."""
+        at = np.arange(len(name)) if at is None else at
         state = np.zeros(len(at), np.int64)
         for level in range(LONGEST):
             on = at + level < end[at]
             at, state = at[on], state[on]
-            word = number[at + level]
+            word = self.numbers(name[at + level])
             on = word >= 0
             at, state, word = at[on], state[on], word[on]
             for shift in self.shifts:
@@ -404,7 +455,7 @@ class DoubleArrayTrie:
             if not len(at):
                 return
             if level:
-                into += np.bincount(state, minlength=len(into))
+                np.add.at(into, state, 1)
 
     def packed(self) -> list[bytes]:
         return [x.tobytes() for x in (self.words, self.number, self.base, self.check, self.state)]
@@ -417,22 +468,32 @@ class DoubleArrayTrie:
         return out
 
 
+def _shard(first: np.ndarray, second: np.ndarray, shards: int) -> np.ndarray:
+    """Shard of the phrases that begin with these two words."""
+    return (_named([first, second]) % _U(shards)).astype(np.int64)
+
+
 def tries(phrases: DataFrame, shards: int) -> DataFrame:
     """(shard, words, number, base, check, state, phrases): one row for each of ``shards``
     tries over (s1, ..., s4); ``phrases`` has the words of every phrase, in order."""
 
+    def deal(batches):
+        for b in batches:
+            shard = _shard(*[np.asarray(b.column(k)).view(_U) for k in (0, 1)], shards)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(shard)], names=[*_S, "shard"])
+
     def build(table: pa.Table) -> pa.Table:
         rows = np.column_stack([np.asarray(table[s]).view(_U) for s in _S])
         trie = DoubleArrayTrie(rows)
         return pa.table({"shard": pa.array([table["shard"][0].as_py()], pa.int64()), **{c: pa.array([x], pa.binary()) for c, x in zip(("words", "number", "base", "check", "state", "phrases"), [*trie.packed(), rows.tobytes()])}})
 
-    dealt = phrases.withColumn("shard", F.pmod(F.xxhash64(*_S), F.lit(shards)))
+    dealt = phrases.select(*_S).mapInArrow(deal, ", ".join(f"{s} long" for s in _S) + ", shard long")
     return dealt.groupBy("shard").applyInArrow(build, "shard long, words binary, number binary, base binary, check binary, state binary, phrases binary")
 
 
-def frequencies(texts: DataFrame, phrases: DataFrame, shard: int = SHARD, at_once: int = TRIES) -> DataFrame:
-    """(s1, ..., s4, a): how often each phrase occurs in all texts."""
-    spark = texts.sparkSession
+def frequencies(runs: DataFrame, phrases: DataFrame, shard: int = SHARD, at_once: int = TRIES) -> DataFrame:
+    """(s1, ..., s4, a): how often each phrase occurs in all runs."""
+    spark = runs.sparkSession
     shards = max(1, -(-phrases.count() // shard))
     made = written(tries(phrases, shards), "tries")
     sums = []
@@ -443,17 +504,18 @@ def frequencies(texts: DataFrame, phrases: DataFrame, shard: int = SHARD, at_onc
         def run(batches, sent=sent):
             all_tries = [(number, DoubleArrayTrie.unpacked(x)) for number, x in sent.value]
             sums = [np.zeros(len(t.check), np.int64) for _, t in all_tries]
-            for b in batches:
-                for _, _, name, end, _ in _scanned(b.column(0), b.column(1)):
-                    for (_, t), into in zip(all_tries, sums):
-                        t.count(name, end, into)
+            for name, end in _runs(batches):
+                at = np.flatnonzero(np.arange(len(name)) + 1 < end)
+                of = _shard(name[at], name[at + 1], shards)
+                for (number, t), into in zip(all_tries, sums):
+                    t.count(name, end, into, at[of == number])
             for (number, t), into in zip(all_tries, sums):
                 n = into[t.state]
                 some = [c for c in range(0, len(n), PLACES) if n[c:c + PLACES].any()]
                 yield pa.RecordBatch.from_arrays([pa.array([number] * len(some), pa.int64()), pa.array(some, pa.int64()), pa.array([n[c:c + PLACES].tobytes() for c in some], pa.binary())],
                                                  names=["shard", "first", "counts"])
 
-        sums.append(texts.mapInArrow(run, "shard long, first long, counts binary"))
+        sums.append(runs.mapInArrow(run, "shard long, first long, counts binary"))
 
     def add(key, rows):
         n = 0
@@ -534,15 +596,19 @@ def mine_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     words = written(count_words(texts).filter((F.col("n") >= min_count) | (F.col("word") == "")), "words")
     totals = words.filter("word = ''").select("lang", F.col("n").alias("total"))
     often = words.filter("word <> ''").select("lang", "word", F.col("name").alias("s1"), "n")
-    texts = texts.select("key", "text")
-    levels, parts = [], often.select("s1")
+    runs = written(frequent_runs(texts, often), "runs", large_rows=True)
+    spark, levels, parts = docs.sparkSession, [], often.select("s1")
     for k in range(2, LONGEST + 1):
-        parts = written(candidates(texts, parts, k, min_count), f"phrases-{k}")
+        found = candidates(runs, parts, k, min_count)
+        with small_batches(spark, PACKED):
+            parts = written(found, f"phrases-{k}")
         levels.append(parts.select(*_S[:k], *[F.lit(0).cast("long").alias(s) for s in _S[k:]]))
     every = levels[0]
     for more in levels[1:]:
         every = every.unionAll(more)
-    phrases = written(frequencies(texts, every, shard).filter(F.col("a") >= min_count), "frequent")
+    counted = frequencies(runs, every, shard).filter(F.col("a") >= min_count)
+    with small_batches(spark, PACKED):
+        phrases = written(counted, "frequent")
     rows = written(scored(uncovered(phrases), phrases, often), "scored")
     for k, s in enumerate(_S):
         named = often.select(F.col("s1").alias(s), F.col("word").alias(f"w{k}"), *([F.col("lang")] if k == 0 else []))
