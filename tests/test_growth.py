@@ -138,3 +138,23 @@ def test_semantic_chunks_leave_the_vectors_behind(spark, plan):
     assert "unit#" not in plan(out)
     got = {(r["doc_id"], r["chunk_ix"]): (r["chunk"], r["method"]) for r in out.collect()}
     assert got == {(1, 0): ("One a. Two b.", "semantic"), (1, 1): ("Three c.", "semantic"), (2, 0): ("Four d. Five e.", "length")}
+
+
+def test_semantic_vectors_are_shuffled_once_and_by_parts(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "One a. Two b. Three c.", "financial") for i in range(12)], "doc_id long, text string, doc_type string")
+    vectors = spark.createDataFrame([(i, ix, [1.0, 0.0] if ix < 2 else [0.0, 1.0]) for i in range(12) for ix in range(3)], "doc_id long, ix int, unit array<double>")
+    written, real = [], RC.materialize
+
+    def recorded(df, what):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        out = real(df, what)
+        written.append((plan.count("Exchange "), {r["doc_id"] for r in out.collect()}))
+        return out
+
+    monkeypatch.setattr(RC, "materialize", recorded)
+    name = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(name)
+    got = {(r["doc_id"], r["chunk_ix"]): (r["chunk"], r["method"]) for r in RC.chunk_semantic(docs, vectors).collect()}
+    assert got == {(i, k): (c, "semantic") for i in range(12) for k, c in enumerate(["One a. Two b.", "Three c."])}
+    assert len(written) == RC.VECTOR_PARTS and all(n == 2 for n, _ in written)      # sentences and vectors, each once
+    assert sorted(i for _, ids in written for i in ids) == list(range(12)) and spark.conf.get(name) == before

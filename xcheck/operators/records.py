@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import rules
-from ..session import materialize
+from ..session import materialize, settings
 from . import chunking
 from .housekeeping import breaks_at, neighbour_distances
 
@@ -34,6 +34,10 @@ EXPLAIN_RULES = [(["GROUP BY"], "groups results"), (["ORDER BY"], "orders by a c
                  (["COUNT(", "SUM(", "AVG(", "MAX(", "MIN("], "computes aggregates")]
 SEMANTIC_TYPES = ["financial", "legal"]
 SENTENCE_END = r"(?<=[.?!])\s+"
+VECTOR_PARTS = 4        # parts of the documents whose vectors are on disk one after the other
+# a table's rows of one document meet in one task, for the join by (document, place) as for the window
+# over a document; a part's shuffle files go when it is written
+_BY_DOCUMENT = {"spark.sql.requireAllClusterKeysForCoPartition": "false", "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
 
 
 def classify_error(message, dialect) -> Column:
@@ -152,9 +156,15 @@ def chunk_semantic(docs: DataFrame, vectors: DataFrame, id_col: str = "doc_id",
     percentile; ``vectors`` is (id, ix, unit) per sentence. The others, and those
     with a sentence that has no vector, are cut by length."""
     semantic = docs.where(F.col(type_col).isin(SEMANTIC_TYPES))
-    parts = neighbour_distances(sentences(semantic, id_col, text_col).join(vectors, [id_col, "ix"], "left"), id_col, "ix", "unit")
-    # vectors move up to here only: what follows reads the written numbers and sentences
-    parts = materialize(parts.select(id_col, "ix", "sentence", "dist", F.col("unit").isNull().alias("lacks")), "distances")
+    # vectors move up to here only, once and a part at a time: what follows reads the written numbers and sentences
+    parts = None
+    with settings(docs.sparkSession, _BY_DOCUMENT):
+        for k in range(VECTOR_PARTS):
+            own = F.pmod(F.xxhash64(id_col), F.lit(VECTOR_PARTS)) == k
+            said, known = sentences(semantic.where(own), id_col, text_col).repartition(id_col), vectors.where(own).repartition(id_col)
+            part = neighbour_distances(said.join(known, [id_col, "ix"], "left"), id_col, "ix", "unit")
+            part = materialize(part.select(id_col, "ix", "sentence", "dist", F.col("unit").isNull().alias("lacks")), "distances")
+            parts = part if parts is None else parts.unionByName(part)
     lacking = parts.where("lacks").select(id_col).distinct()
     able = parts.drop("lacks").join(lacking, id_col, "left_anti")
     cut = breaks_at(able, id_col, "ix", pct)

@@ -6,6 +6,7 @@ only place that knows where tables live and how the session is tuned.
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
@@ -109,6 +110,19 @@ def materialize(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def settings(spark: SparkSession, conf: dict[str, str]):
+    """``conf`` holds for what is run inside."""
+    before = {name: spark.conf.get(name, None) for name in conf}
+    for name, value in conf.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, was in before.items():
+            spark.conf.unset(name) if was is None else spark.conf.set(name, was)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Deal the rows over ``xcheck.spread.partitions`` partitions if the session
     sets that, else leave them as they are. Off by default: a cluster splits its
